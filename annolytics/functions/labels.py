@@ -103,9 +103,15 @@ def bad_lines(lines: Column) -> Column:
 
 def class_counts(lines: Column, class_ids: list[int]) -> Column:
     """ARRAY<BIGINT>: how many of `lines` carry each class id, in the given order."""
-    ids = F.transform(lines, lambda line: line["class_id"])
-    return F.array(
-        *(F.size(F.filter(ids, lambda found, k=k: found == k)).cast("bigint") for k in class_ids)
+    wanted = F.array(*(F.lit(k).cast("bigint") for k in class_ids))
+    # The lines are the argument of the fold and never captured by a lambda, which would parse them
+    # again for every class.
+    return F.aggregate(
+        F.transform(lines, lambda line: line["class_id"]),
+        F.array(*(F.lit(0).cast("bigint") for _ in class_ids)),
+        lambda counts, class_id: F.zip_with(
+            counts, wanted, lambda n, k: n + F.when(class_id == k, 1).otherwise(0)
+        ),
     )
 
 

@@ -47,10 +47,9 @@ def label_path(path: Column, root: str) -> Column:
     root = root.rstrip("/")
     parts = F.split(path, "/")
     from_end = F.array_position(F.reverse(F.transform(parts, F.lower)), "images").cast("int")
-    at = F.size(parts) - from_end
-    swapped = F.array_join(
-        F.transform(parts, lambda part, i: F.when(i == at, F.lit("labels")).otherwise(part)), "/"
-    )
+    before = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - from_end, F.lit(0)))
+    after = F.slice(parts, -F.greatest(from_end - 1, F.lit(1)), F.greatest(from_end - 1, F.lit(0)))
+    swapped = F.array_join(F.concat(before, F.array(F.lit("labels")), after), "/")
     below = F.when(
         F.startswith(path, F.lit(root + "/")), F.substring(path, len(root) + 2, 2**31 - 1)
     ).otherwise(file_name(path))

@@ -15,70 +15,100 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.functions.boxes import iou, side
+from annolytics.functions.boxes import iou
 
 CORNERS = ("x1", "y1", "x2", "y2")
 _STEP = 3.0  # a level is a factor of 2 ** 3
 _SLACK = 1e-6
 
 
-def _size(prefix: str) -> tuple[Column, Column]:
-    c = {name: F.col(prefix + name) for name in CORNERS}
-    return side(c["x1"], c["x2"]), side(c["y1"], c["y2"])
-
-
-def _centre(prefix: str) -> tuple[Column, Column]:
-    c = {name: F.col(prefix + name) for name in CORNERS}
-    return (c["x1"] + c["x2"]) / 2, (c["y1"] + c["y2"]) / 2
+def _measured(df: DataFrame, prefix: str) -> DataFrame:
+    """Add width, height and centre of the box.  Only boxes with an area can have a positive IoU."""
+    x1, y1, x2, y2 = (F.col(prefix + name) for name in CORNERS)
+    return df.where((x2 > x1) & (y2 > y1)).withColumns(
+        {"__w": x2 - x1, "__h": y2 - y1, "__cx": (x1 + x2) / 2, "__cy": (y1 + y2) / 2}
+    )
 
 
 def _level(size: Column, slack: float = 0.0) -> Column:
-    return F.floor(F.log2(size) / _STEP + slack).cast("int")
+    return _known(F.floor(F.log2(size) / _STEP + slack).cast("int"))
 
 
-def _cell(level: Column) -> Column:
-    return F.pow(F.lit(2.0), (level + 1) * _STEP)
+def _known(value: Column) -> Column:
+    """Declare a grid number non-null, so that no null filter repeats its expression at the scan."""
+    return F.coalesce(value, F.lit(0))
 
 
-def _solid(df: DataFrame, prefix: str) -> DataFrame:
-    """Only boxes with an area can have a positive IoU."""
-    w, h = _size(prefix)
-    return df.where((w > 0) & (h > 0))
+def _with_cell(df: DataFrame) -> DataFrame:
+    return df.withColumn("__cell", F.pow(F.lit(2.0), (F.col("__level") + 1) * _STEP))
 
 
 def _stored(df: DataFrame, prefix: str) -> DataFrame:
-    w, h = _size(prefix)
-    cx, cy = _centre(prefix)
-    return (
-        _solid(df, prefix)
-        .withColumn("__level", _level(F.greatest(w, h)))
-        .withColumn("__gx", F.floor(cx / _cell(F.col("__level"))))
-        .withColumn("__gy", F.floor(cy / _cell(F.col("__level"))))
-    )
+    leveled = _measured(df, prefix).withColumn("__level", _level(F.greatest("__w", "__h")))
+    return _with_cell(leveled).withColumns(
+        {
+            "__gx": _known(F.floor(F.col("__cx") / F.col("__cell"))),
+            "__gy": _known(F.floor(F.col("__cy") / F.col("__cell"))),
+        }
+    ).drop(*_HELPERS)
 
 
 def _looking(df: DataFrame, prefix: str, min_iou: float, levels: str) -> DataFrame:
-    w, h = _size(prefix)
-    cx, cy = _centre(prefix)
-    size = F.greatest(w, h)
-    own = _level(size)
-    lowest = {
+    size = F.col("__size")
+    first = {
         "all": _level(size * min_iou, -_SLACK),
-        "up": own,
-        "above": own + 1,
+        "up": _level(size),
+        "above": _level(size) + 1,
     }[levels]
-    highest = _level(size / min_iou, _SLACK)
+    found = (
+        _measured(df, prefix)
+        .withColumn("__size", F.greatest("__w", "__h"))
+        .withColumns({"__first": first, "__last": _level(size / min_iou, _SLACK)})
+        .where(F.col("__last") >= F.col("__first"))
+    )
+    found = found.select(
+        "*",
+        F.posexplode_outer(_repeat(F.col("__last") - F.col("__first") + 1)).alias("__step", "__one"),
+    ).withColumn("__level", _known(F.col("__first") + F.col("__step")))
+    found = _with_cell(found)
+
     reach = (1.0 - min_iou) / (1.0 + min_iou) / 2.0 * (1.0 + _SLACK)
-    cell = _cell(F.col("__level"))
+    cell = F.col("__cell")
+
+    def far(centre: str, width: str) -> Column:
+        partner = F.least(cell, F.col(width) / min_iou)
+        return (F.col(width) + partner) * reach + (F.abs(F.col(centre)) + cell) * 1e-9
+
+    found = found.withColumns({"__fx": far("__cx", "__w"), "__fy": far("__cy", "__h")}).withColumns(
+        {
+            f"__{axis}{end}": F.floor((F.col(f"__c{axis}") + sign * F.col(f"__f{axis}")) / cell)
+            for axis in "xy"
+            for end, sign in ((0, -1), (1, 1))
+        }
+    )
+    found = found.withColumn("__wide", F.col("__x1") - F.col("__x0") + 1)
+    cells = (F.col("__wide") * (F.col("__y1") - F.col("__y0") + 1)).cast("int")
+    return (
+        found.drop("__step", "__one")
+        .select("*", F.posexplode_outer(_repeat(cells)).alias("__step", "__one"))
+        .withColumns(
+            {
+                "__gx": _known(F.col("__x0") + F.col("__step") % F.col("__wide")),
+                "__gy": _known(F.col("__y0") + F.floor(F.col("__step") / F.col("__wide"))),
+            }
+        )
+        .drop(*_HELPERS)
+    )
+
 
-    def cells(centre: Column, width: Column) -> Column:
-        far = (width + F.least(cell, width / min_iou)) * reach + (F.abs(centre) + cell) * 1e-9
-        return F.sequence(F.floor((centre - far) / cell), F.floor((centre + far) / cell))
+def _repeat(times: Column) -> Column:
+    return F.array_repeat(F.lit(True), times)
 
-    found = _solid(df, prefix).where(highest >= lowest)
-    found = found.withColumn("__level", F.explode(F.sequence(lowest, highest)))
-    found = found.withColumn("__gx", F.explode(cells(cx, w)))
-    return found.withColumn("__gy", F.explode(cells(cy, h)))
+
+_HELPERS = (
+    "__w", "__h", "__cx", "__cy", "__size", "__first", "__last", "__step", "__one", "__cell",
+    "__fx", "__fy", "__x0", "__x1", "__y0", "__y1", "__wide",
+)
 
 
 def overlapping_pairs(
@@ -96,16 +126,12 @@ def overlapping_pairs(
     right = _prefixed(right, on, "r_")
     keys = [*on, "__level", "__gx", "__gy"]
     if min_iou >= 0.3:
-        pairs = _looking(left, "l_", min_iou, "all").join(_stored(right, "r_"), keys)
+        pairs = _join(_looking(left, "l_", min_iou, "all"), _stored(right, "r_"), keys)
     else:
         # With a low threshold partners differ much in size: the smaller box of a pair looks for
         # the larger one, so that nobody has to search many small cells.
-        pairs = (
-            _looking(left, "l_", min_iou, "up")
-            .join(_stored(right, "r_"), keys)
-            .unionByName(
-                _looking(right, "r_", min_iou, "above").join(_stored(left, "l_"), keys)
-            )
+        pairs = _join(_looking(left, "l_", min_iou, "up"), _stored(right, "r_"), keys).unionByName(
+            _join(_looking(right, "r_", min_iou, "above"), _stored(left, "l_"), keys)
         )
     overlap = iou(
         tuple(F.col("l_" + name) for name in CORNERS),
@@ -118,5 +144,11 @@ def overlapping_pairs(
     )
 
 
+def _join(looking: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """A sort-merge join: it spills, adaptive execution can split its skewed partitions, and the
+    size estimate that would otherwise choose a broadcast knows nothing of the exploded rows."""
+    return looking.hint("merge").join(stored, keys)
+
+
 def _prefixed(df: DataFrame, on: list[str], prefix: str) -> DataFrame:
     return df.select(*on, *(F.col(c).alias(prefix + c) for c in df.columns if c not in on))

@@ -259,18 +259,23 @@ def _best_moves(
     salt: str,
 ) -> DataFrame:
     """Add `target` (null when no move helps) and `halvings`, how often a seeded coin kept the group."""
-    measures = _measures(classes)
+    row = F.concat(F.array(F.col("size")), F.col("class_counts"), F.col("class_image_counts"))
 
     def change(split: str, direction: int) -> Column:
-        terms = [
-            weights[m]
-            * direction
-            * measure
-            * (2.0 * (totals[split][m] - targets[split][m]) + direction * measure)
-            / (targets[split][m] ** 2)
-            for m, measure in enumerate(measures)
+        """What adding (+1) or taking (-1) the group changes: a quadratic in its measures."""
+        goal = targets[split]
+        square = [w / g**2 for w, g in zip(weights, goal)]
+        linear = [
+            2.0 * direction * w * (t - g) / g**2 for w, t, g in zip(weights, totals[split], goal)
         ]
-        return sum(terms[1:], terms[0])
+        terms = F.arrays_zip(
+            row.alias("m"),
+            F.array(*map(F.lit, square)).alias("s"),
+            F.array(*map(F.lit, linear)).alias("l"),
+        )
+        return F.aggregate(
+            terms, F.lit(0.0), lambda acc, t: acc + t["m"] * (t["m"] * t["s"] + t["l"])
+        )
 
     leaving = F.create_map(*(p for s in names for p in (F.lit(s), change(s, -1))))[F.col("split")]
     options = F.array(

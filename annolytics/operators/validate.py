@@ -154,13 +154,12 @@ def split_counts(items: DataFrame, taxonomy: Taxonomy) -> DataFrame:
         F.coalesce(F.size(lines), F.lit(0)).alias("total"),
         class_counts(valid_lines(lines), ids).alias("n"),
     )
-    counted = counted.withColumn("n", F.when(F.get("n", 0) >= 0, F.col("n")))
     per_class = [F.coalesce(F.get("n", i), F.lit(0)) for i in range(len(ids))]
     return counted.groupBy("split").agg(
         F.count("*").alias("images"),
         F.sum("present").alias("images_present"),
         F.sum("label").alias("label_files"),
-        F.sum(F.greatest(F.col("total"), F.lit(0))).alias("annotation_lines"),
+        F.sum("total").alias("annotation_lines"),
         F.array(*(F.sum(c) for c in per_class)).alias("annotations_by_class"),
         F.array(*(F.count_if(c > 0) for c in per_class)).alias("images_by_class"),
     )

@@ -138,7 +138,8 @@ def freeze_records(
     n = len(classes.ids)
     judged = cut_lineage(dedup.with_winner(records))
     retained = dedup.retained_records(judged)
-    assigned = split.assign_splits(split.source_groups(retained, n), n, ratios, seed)
+    groups = cut_lineage(split.source_groups(retained, n))
+    assigned = split.assign_splits(groups, n, ratios, seed)
     assigned = split.refine_splits(assigned, n, ratios, seed=seed)
     sums = split.split_sums(assigned, n, list(ratios))
     split.require_coverage(sums, classes, required)

@@ -27,6 +27,7 @@ def local_session(name: str, cpus: int = 8, memory: str = "8g", **conf: str) ->
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
     )

@@ -27,7 +27,7 @@ from annolytics.operators import (
     validate,
 )
 from annolytics.plans.comparison import comparison_views
-from annolytics.session import fresh_folder
+from annolytics.session import cut_lineage, fresh_folder
 from annolytics.streaming import sessions as streams
 from annolytics.workloads import fixtures as fx
 
@@ -53,21 +53,28 @@ def dirty_items(spark: SparkSession, sf: str) -> DataFrame:
 def clean_records(spark: SparkSession, sf: str) -> DataFrame:
     joined = items.annotated_items(fx.clean_images(spark, sf), fx.clean_label_files(spark, sf), fx.ROOT)
     strict = remap.reject_bad_lines(items.with_lines(joined, fx.TARGET))
-    return dedup.make_records(strict, fx.TARGET, fx.FINAL, settings.REMOVED_FINAL_CLASSES)
+    return cut_lineage(
+        dedup.make_records(strict, fx.TARGET, fx.FINAL, settings.REMOVED_FINAL_CLASSES)
+    )
 
 
 def retained(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.retained_records(dedup.with_winner(clean_records(spark, sf)))
+    return cut_lineage(dedup.retained_records(dedup.with_winner(clean_records(spark, sf))))
+
+
+def grouped(records: DataFrame) -> DataFrame:
+    """The groups are read several times from here on, so they are written once."""
+    groups = cut_lineage(split.source_groups(records, FINAL_N))
+    return split.assign_splits(groups, FINAL_N)
 
 
 def assigned(spark: SparkSession, sf: str) -> DataFrame:
-    return split.assign_splits(split.source_groups(retained(spark, sf), FINAL_N), FINAL_N)
+    return grouped(retained(spark, sf))
 
 
 def final_items(spark: SparkSession, sf: str) -> DataFrame:
     records = retained(spark, sf)
-    groups = split.assign_splits(split.source_groups(records, FINAL_N), FINAL_N)
-    return freeze.final_items(records, groups)
+    return cut_lineage(freeze.final_items(records, grouped(records)))
 
 
 def sums(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,12 +399,13 @@ def manifest_verification(spark, sf):
 @query
 def freeze_summary(spark, sf):
     records = clean_records(spark, sf)
-    judged = dedup.with_winner(records)
+    judged = cut_lineage(dedup.with_winner(records))
+    kept = dedup.retained_records(judged)
     return freeze.freeze_counts(
         records,
         dedup.duplicate_groups(records),
         judged,
-        final_items(spark, sf),
+        freeze.final_items(kept, grouped(kept)),
         settings.REMOVED_FINAL_CLASSES,
     )
 
