@@ -3,43 +3,55 @@
 from __future__ import annotations
 
 import posixpath
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolytics.functions.paths import has_image_suffix, label_path, suffix
+from annolytics import settings
+from annolytics.functions.paths import has_image_suffix
 from annolytics.functions.text import strip
 from annolytics.sources.spec import DatasetSpec, file_status, issue_rows
 
 _SCAN = "split string, source string, path string, content binary"
 
 
-def plain_path(path):
+def plain_path(path: Column) -> Column:
     """Drop the `file:` scheme that Spark adds to local paths."""
     return F.regexp_replace(path, "^file:/*", "/")
 
 
-def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content of every image below a folder.  The suffix is tested on the listing, before any
-    file is opened."""
+def scan_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """path, content of the files below a folder whose names match.
+
+    A file scan leaves empty files out, but an empty label is a statement of its own.  They are added
+    from the listing, which a file scan keeps on the driver in any case; no content passes there.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _image_glob())
+        .option("pathGlobFilter", glob)
         .load(folder)
     )
-    return files.select(plain_path(F.col("path")).alias("path"), "content").where(
-        has_image_suffix(F.col("path"))
-    )
+    filled = files.select(plain_path(F.col("path")).alias("path"), "content")
+    names = pd.DataFrame({"path": [unquote(name) for name in files.inputFiles()]}, dtype=str)
+    listed = spark.createDataFrame(names, "path string").select(plain_path(F.col("path")).alias("path"))
+    empty = listed.join(filled.select("path"), "path", "left_anti")
+    return filled.unionByName(empty.withColumn("content", F.lit(b"")))
 
 
-def _image_glob() -> str:
-    from annolytics.settings import IMAGE_EXTENSIONS
+def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """path, content of every image below a folder.  The suffix is tested on the listing, before any
+    file is opened."""
+    return scan_files(spark, folder, _image_glob()).where(has_image_suffix(F.col("path")))
+
 
+def _image_glob() -> str:
     def any_case(text: str) -> str:
         return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in text)
 
-    return "*{" + ",".join(any_case(e) for e in IMAGE_EXTENSIONS) + "}"
+    return "*{" + ",".join(any_case(e) for e in settings.IMAGE_EXTENSIONS) + "}"
 
 
 def read_list_file(spark: SparkSession, list_file: str, root: str) -> DataFrame:
@@ -124,18 +136,4 @@ def _listed_files(spark: SparkSession, root: str, list_file: str) -> DataFrame:
 def scan_labels(spark: SparkSession, folder: str) -> DataFrame:
     """label_path, content of every `.txt` file below a folder, as bytes: undecodable files must stay
     visible."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.txt")
-        .load(folder)
-    )
-    return files.select(plain_path(F.col("path")).alias("label_path"), "content")
-
-
-def sniff_kind(path):
-    """`image`, `list` or null for a single source path."""
-    return F.when(has_image_suffix(path), "image").when(suffix(path) == ".txt", "list")
-
-
-__all__ = ["label_path", "read_list_file", "resolve_list", "scan_folder", "scan_images", "scan_labels"]
+    return scan_files(spark, folder, "*.txt").withColumnRenamed("path", "label_path")

@@ -24,7 +24,10 @@ SPLITS = ("train", "val", "test")
 
 # --- expressions that mean the same in Spark SQL and in DuckDB ------------------------------------
 
-SPLIT = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END"
+SPLIT = (
+    "CASE WHEN (doc_id + floor(doc_id / 20)) % 10 < 7 THEN 'train' "
+    "WHEN (doc_id + floor(doc_id / 20)) % 10 < 9 THEN 'val' ELSE 'test' END"
+)
 MISSING_LABEL = "n_chars < 60"
 EMPTY_LABEL = "n_chars BETWEEN 60 AND 199"
 UNDECODABLE_LABEL = "n_chars BETWEEN 200 AND 299"
