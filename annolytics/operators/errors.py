@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from annolytics import settings
 from annolytics.functions.boxes import area_ratio, confidence_band
 from annolytics.operators.matching import (
-    class_confusions,
+    confusion_counts,
     greedy_match,
     match_candidates,
-    missed_and_extra,
     overlapping_truth,
+    unmatched,
 )
+from annolytics.session import cut_lineage
 
 
 def image_errors(
@@ -31,25 +32,19 @@ def image_errors(
     banded = predictions.withColumn("band", confidence_band(F.col("conf"), active, low))
     in_use = banded.where(F.col("band") == "active")
     matches = greedy_match(match_candidates(truth, in_use, min_iou))
-    unmatched = missed_and_extra(truth, in_use, matches)
-    missed = unmatched.where(F.col("side") == "missed")
-
     ratio = area_ratio(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "width", "height")))
     small = (ratio < settings.SMALL_AREA_RATIO).cast("int")
+    # Both are read several times below.
+    missed = cut_lineage(unmatched(truth.withColumn("small", small).drop("width", "height"), matches, "gi"))
+    extra = cut_lineage(unmatched(in_use.drop("band"), matches, "pi"))
+
     one = F.lit(1)
     parts = [
         _counted(truth, objects=one),
         _counted(banded.where(F.col("band") == "low"), low=one),
-        _counted(
-            missed.join(
-                truth.select("image_id", "class_id", "idx", "width", "height"),
-                ["image_id", "class_id", "idx"],
-            ),
-            missed=one,
-            small=small,
-        ),
-        _counted(unmatched.where(F.col("side") == "extra"), extra=one),
-        _counted(class_confusions(unmatched, min_iou), confused=one),
+        _counted(missed, missed=one, small=F.col("small")),
+        _counted(extra, extra=one),
+        _counted(confusion_counts(missed, extra, min_iou), confused=F.col("confused")),
         _counted(overlapping_truth(missed, truth), occluded=one),
     ]
     stacked = parts[0]

@@ -85,24 +85,25 @@ def with_match(boxes: DataFrame, matches: DataFrame, index: str) -> DataFrame:
     return boxes.join(found, [*GROUP, "idx"], "left")
 
 
+def unmatched(boxes: DataFrame, matches: DataFrame, index: str) -> DataFrame:
+    return with_match(boxes, matches, index).where(F.col("match_iou").isNull()).drop("match_iou")
+
+
 def missed_and_extra(truth: DataFrame, predictions: DataFrame, matches: DataFrame) -> DataFrame:
     """Unmatched boxes of both sides: side (`missed` or `extra`), image_id, class_id, idx, box."""
-    missed = with_match(truth.select(*_BOX), matches, "gi").where(F.col("match_iou").isNull())
-    extra = with_match(predictions.select(*_BOX), matches, "pi").where(F.col("match_iou").isNull())
+    missed = unmatched(truth.select(*_BOX), matches, "gi")
+    extra = unmatched(predictions.select(*_BOX), matches, "pi")
     return missed.select(F.lit("missed").alias("side"), *_BOX).unionByName(
         extra.select(F.lit("extra").alias("side"), *_BOX)
     )
 
 
 def class_confusions(
-    unmatched: DataFrame, min_iou: float = settings.MATCH_IOU
+    missed: DataFrame, extra: DataFrame, min_iou: float = settings.MATCH_IOU
 ) -> DataFrame:
     """Pairs of a missed truth and an extra prediction of another class at the same place; every
     pair counts, so one box may appear in several."""
-    side = [c for c in _BOX]
-    missed = unmatched.where(F.col("side") == "missed").select(*side)
-    extra = unmatched.where(F.col("side") == "extra").select(*side)
-    pairs = overlapping_pairs(missed, extra, ["image_id"], min_iou)
+    pairs = overlapping_pairs(missed.select(*_BOX), extra.select(*_BOX), ["image_id"], min_iou)
     return pairs.where(F.col("l_class_id") != F.col("r_class_id")).select(
         "image_id",
         F.col("l_idx").alias("gi"),
@@ -113,13 +114,39 @@ def class_confusions(
     )
 
 
-def overlapping_truth(
-    boxes: DataFrame, truth: DataFrame, min_iou: float = settings.OCCLUSION_IOU
+_PLACE = ["image_id", "x1", "y1", "x2", "y2"]
+
+
+def _places(boxes: DataFrame, *more: str) -> DataFrame:
+    """Distinct places with the number of boxes there: copies of a box are counted, not paired."""
+    return boxes.groupBy(*_PLACE, *more).agg(F.count("*").alias("n"))
+
+
+def confusion_counts(
+    missed: DataFrame, extra: DataFrame, min_iou: float = settings.MATCH_IOU
 ) -> DataFrame:
-    """Keys (image_id, idx) of those `boxes` that overlap another ground-truth box of any class."""
-    pairs = overlapping_pairs(boxes.select(*_BOX), truth.select(*_BOX), ["image_id"], min_iou)
+    """image_id, confused: how many pairs `class_confusions` would list, without listing them."""
+    pairs = overlapping_pairs(
+        _places(missed, "class_id"), _places(extra, "class_id"), ["image_id"], min_iou
+    )
     return (
-        pairs.where(F.col("l_idx") != F.col("r_idx"))
-        .select("image_id", F.col("l_idx").alias("idx"))
-        .distinct()
+        pairs.where(F.col("l_class_id") != F.col("r_class_id"))
+        .groupBy("image_id")
+        .agg(F.sum(F.col("l_n") * F.col("r_n")).alias("confused"))
     )
+
+
+def overlapping_truth(
+    boxes: DataFrame, truth: DataFrame, min_iou: float = settings.OCCLUSION_IOU
+) -> DataFrame:
+    """Keys (image_id, idx) of those ground-truth `boxes` that overlap another box of `truth`, of any
+    class.  Boxes at the very same place overlap each other; only distinct places are compared."""
+    everywhere = _places(truth)
+    shared = everywhere.where((F.col("n") > 1) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    pairs = overlapping_pairs(_places(boxes).drop("n"), everywhere.drop("n"), ["image_id"], min_iou)
+    differs = F.lit(False)
+    for corner in _PLACE[1:]:
+        differs = differs | (F.col(f"l_{corner}") != F.col(f"r_{corner}"))
+    crowded = pairs.where(differs).select("image_id", *(F.col(f"l_{c}").alias(c) for c in _PLACE[1:]))
+    hit = crowded.unionByName(shared.drop("n")).distinct()
+    return boxes.join(hit, _PLACE, "left_semi").select("image_id", "idx")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from annolytics import settings
 from annolytics.operators.matching import greedy_match, match_candidates, with_match
 from annolytics.operators.running import exact_percentiles, number_buckets, running_totals
+from annolytics.session import cut_lineage
 from annolytics.taxonomy import Taxonomy
 
 IOU_THRESHOLDS = tuple(t / 100 for t in range(50, 100, 5))
@@ -49,9 +50,11 @@ def precision_recall_curve(
     """class_id, iou_threshold, conf, tp, predicted, truth_count, precision, recall: one point per
     class, threshold and distinct confidence, cumulated from the highest confidence down."""
     hits = [_hit(t) for t in thresholds]
-    points = matched.groupBy("class_id", "conf").agg(
-        F.count("*").alias("predicted"),
-        *(F.count_if(F.col("match_iou") >= t).alias(h) for t, h in zip(thresholds, hits)),
+    points = cut_lineage(
+        matched.groupBy("class_id", "conf").agg(
+            F.count("*").alias("predicted"),
+            *(F.count_if(F.col("match_iou") >= t).alias(h) for t, h in zip(thresholds, hits)),
+        )
     )
     falling = -F.col("conf")
     totals = running_totals(

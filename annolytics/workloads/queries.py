@@ -203,7 +203,7 @@ def remapped(spark, sf):
 
 
 def readable(spark, sf):
-    return remapped(spark, sf).where(F.col("lines").isNotNull())
+    return remapped(spark, sf).where(F.col("label_text").isNotNull())
 
 
 @query
@@ -421,10 +421,6 @@ def matches(spark, sf):
     return matching.greedy_match(matching.match_candidates(fx.truth(spark, sf), active(spark, sf)))
 
 
-def unmatched(spark, sf):
-    return matching.missed_and_extra(fx.truth(spark, sf), active(spark, sf), matches(spark, sf))
-
-
 @query
 def iou_candidates(spark, sf):
     return matching.match_candidates(fx.truth(spark, sf), fx.predictions(spark, sf))
@@ -437,12 +433,17 @@ def greedy_matches(spark, sf):
 
 @query
 def missed_and_extra(spark, sf):
-    return unmatched(spark, sf).select("side", "image_id", "class_id", "idx")
+    both = matching.missed_and_extra(fx.truth(spark, sf), active(spark, sf), matches(spark, sf))
+    return both.select("side", "image_id", "class_id", "idx")
 
 
 @query
 def class_confusions(spark, sf):
-    return matching.class_confusions(unmatched(spark, sf))
+    found = matches(spark, sf)
+    return matching.class_confusions(
+        matching.unmatched(fx.truth(spark, sf), found, "gi"),
+        matching.unmatched(active(spark, sf), found, "pi"),
+    )
 
 
 @query
@@ -671,7 +672,7 @@ SAMPLES = 8
 
 
 def candidates(spark, sf):
-    return preview.preview_candidates(dirty_items(spark, sf), fx.SOURCE)
+    return cut_lineage(preview.preview_candidates(dirty_items(spark, sf), fx.SOURCE))
 
 
 @query
