@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolytics import settings
@@ -14,6 +14,7 @@ from annolytics.operators.matching import (
     overlapping_truth,
     unmatched,
 )
+from annolytics.operators.ranking import first_per_group
 from annolytics.session import cut_lineage
 
 
@@ -113,12 +114,5 @@ def error_categories(errors: DataFrame) -> DataFrame:
 def error_examples(
     errors: DataFrame, order: str = "image_id", k: int = settings.EXAMPLES_PER_CATEGORY
 ) -> DataFrame:
-    """The first `k` affected images of every category.  Each task keeps only its own first `k`
-    before anything is shuffled."""
-    ranked = F.row_number().over(Window.partitionBy("category").orderBy(order))
-    return (
-        _by_category(errors)
-        .where(F.col("events") > 0)
-        .withColumn("rank", ranked)
-        .where(F.col("rank") <= k)
-    )
+    """The first `k` affected images of every category."""
+    return first_per_group(_by_category(errors).where(F.col("events") > 0), ["category"], [order], k)

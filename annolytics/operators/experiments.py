@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.functions.naming import experiment_label
@@ -77,10 +77,11 @@ def run_summary(
     epochs: DataFrame,
     test_metrics: DataFrame | None = None,
     performance: DataFrame | None = None,
+    errors: DataFrame | None = None,
 ) -> DataFrame:
     """One row per run.  `runs`: run, position, model, imgsz, target_epochs, status,
-    duration_seconds, completed_epochs.  Test metrics (run, test_*) and performance are optional
-    artifacts: runs without them get nulls."""
+    duration_seconds, completed_epochs.  Test metrics (run, test_*), performance and error counts are
+    optional artifacts: runs without them get nulls."""
     best = best_epochs(epochs).withColumnRenamed("completed_epochs", "logged_epochs")
     summary = merge_resumes(runs, resumes).join(best, "run")
     epochs_done = F.coalesce("completed_epochs", "logged_epochs")
@@ -92,7 +93,7 @@ def run_summary(
             "stopped_early": early,
         }
     )
-    for optional in (test_metrics, performance):
+    for optional in (test_metrics, performance, errors):
         if optional is not None:
             summary = summary.join(optional, "run", "left")
     return summary
@@ -149,12 +150,11 @@ def number_attempts(attempts: DataFrame) -> DataFrame:
     `interrupted`).  `attempts`: run, attempt_id, started_at (timestamp), status."""
     unfinished = attempts.where(F.col("status") != "completed").withColumn("__one", F.lit(1))
     outcome = F.when(F.col("status") == "failed", "failed").otherwise("interrupted")
-    day = F.to_date("started_at")
     numbered = running_totals(
         unfinished,
         ["run"],
         [F.col("started_at"), F.col("attempt_id")],
-        (F.trunc(day, "year"), day),
+        (F.to_date("started_at"), F.date_trunc("second", "started_at")),
         ["__one"],
     )
     return (
@@ -162,16 +162,3 @@ def number_attempts(attempts: DataFrame) -> DataFrame:
         .withColumnRenamed("__one_upto", "attempt")
         .drop("__one", "__one_total")
     )
-
-
-def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first `n` rows in a fixed order."""
-    if n < 1:
-        raise ValueError("n must be at least 1")
-    return df.orderBy(*order).limit(n)
-
-
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """The first `k` rows of each group with their `rank`."""
-    position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("rank", position).where(F.col("rank") <= k)

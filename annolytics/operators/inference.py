@@ -11,6 +11,14 @@ from pyspark.sql import types as T
 Predict = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+def check_model_parameters(confidence: float, imgsz: int) -> None:
+    """Bounds of what a detector is run with."""
+    if not 0.0 < confidence < 1.0:
+        raise ValueError("confidence must be between 0 and 1")
+    if imgsz < 32:
+        raise ValueError("input size must be at least 32 pixels")
+
+
 def batched_inference(
     rows: DataFrame, make_predict: Callable[[], Predict], batch_size: int, schema: str | T.StructType
 ) -> DataFrame:

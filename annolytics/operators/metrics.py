@@ -164,10 +164,15 @@ def mean_metrics(per_class: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(log: DataFrame, group: Sequence[str], latency: str) -> DataFrame:
-    """Samples, mean, P50 and P95 (linear interpolation) of a latency column per group."""
+def latency_summary(
+    log: DataFrame, group: Sequence[str], latency: str, stages: Sequence[str] = ()
+) -> DataFrame:
+    """Samples, mean, P50 and P95 (linear interpolation) of a latency column per group, and the mean
+    of every stage column as `mean_<stage>`."""
     means = log.groupBy(*group).agg(
-        F.count(latency).alias("samples"), F.avg(latency).alias("mean_ms")
+        F.count(latency).alias("samples"),
+        F.avg(latency).alias("mean_ms"),
+        *(F.avg(stage).alias(f"mean_{stage}") for stage in stages),
     )
     return means.join(
         exact_percentiles(log, group, latency, {"p50_ms": 0.50, "p95_ms": 0.95}), list(group)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.functions.boxes import pixel_corners
 from annolytics.functions.labels import bad_lines, class_counts, valid_lines
 from annolytics.functions.naming import preview_name
+from annolytics.operators.ranking import first_per_group
 from annolytics.taxonomy import Taxonomy
 
 
@@ -33,17 +34,15 @@ def preview_candidates(items: DataFrame, taxonomy: Taxonomy) -> DataFrame:
 
 def sample_preview(candidates: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """`n` usable items per split in a seeded hash order, with `rank` and `output_name`.  The choice
-    depends on seed and path only, and every task keeps at most `n` items per split."""
+    depends on seed and path only."""
     if n < 1:
         raise ValueError("samples per split must be at least 1")
     draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("path")), 256)
-    order = F.row_number().over(Window.partitionBy("split").orderBy("draw", "path"))
+    drawn = first_per_group(
+        candidates.where("usable").withColumn("draw", draw), ["split"], ["draw", "path"], n
+    )
     return (
-        candidates.where("usable")
-        .withColumn("draw", draw)
-        .withColumn("rank", order)
-        .where(F.col("rank") <= n)
-        .withColumn("output_name", preview_name(F.col("rank"), F.col("path")))
+        drawn.withColumn("output_name", preview_name(F.col("rank"), F.col("path")))
         .drop("draw", "usable")
     )
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolytics import settings
 from annolytics.functions.detections import count_class, violations
+from annolytics.operators.ranking import first_per_group
 from annolytics.taxonomy import Taxonomy
 
 
@@ -78,16 +79,10 @@ def violation_frames(
     frames: DataFrame, meta: DataFrame, k: int = settings.VIOLATION_SAMPLES
 ) -> DataFrame:
     """The first `k` frames with a violation per session: session_id, frame, time_seconds,
-    violations.  `meta`: session_id, fps.  Each task passes on at most `k` frames per session."""
+    violations.  `meta`: session_id, fps."""
     bad = violations(F.col("detections"))
-    first = F.row_number().over(Window.partitionBy("session_id").orderBy("frame"))
-    sampled = (
-        frames.select("session_id", "frame", bad.alias("violations"))
-        .where(F.size("violations") > 0)
-        .withColumn("rank", first)
-        .where(F.col("rank") <= k)
-        .drop("rank")
-    )
+    hits = frames.select("session_id", "frame", bad.alias("violations")).where(F.size("violations") > 0)
+    sampled = first_per_group(hits, ["session_id"], ["frame"], k).drop("rank")
     return sampled.join(meta.select("session_id", "fps"), "session_id", "left").select(
         "session_id",
         "frame",

@@ -23,6 +23,7 @@ _METRICS = (
     "per_class array<struct<class_id:int,class_name:string,precision:double,recall:double,"
     "ap50:double,ap50_95:double>>"
 )
+_ERRORS = "image_counts map<string,long>"
 
 
 def read_json(
@@ -64,7 +65,7 @@ def read_epochs(spark: SparkSession, runs: list[str], name: str = "results.csv")
 
 def read_runs(spark: SparkSession, runs: list[str]) -> dict[str, DataFrame]:
     """The tables the comparison works on: runs, resumes, epochs, test_metrics, per_class,
-    performance, in the given order of run folders."""
+    performance, errors, in the given order of run folders."""
     order = spark.createDataFrame(
         [(run.rstrip("/").rsplit("/", 1)[-1], i) for i, run in enumerate(runs)],
         "run string, position int",
@@ -72,7 +73,9 @@ def read_runs(spark: SparkSession, runs: list[str]) -> dict[str, DataFrame]:
     training = read_json(spark, runs, "training_run.json", _TRAINING, required=True)
     tests = read_json(spark, runs, "test_evaluation/test_metrics.json", _METRICS, required=False)
     performance = read_json(spark, runs, "performance/performance.json", _LATENCY, required=False)
+    errors = read_json(spark, runs, "error_analysis/error_analysis.json", _ERRORS, required=False)
     return {
+        "errors": errors.withColumnRenamed("image_counts", "error_image_counts"),
         "runs": training.join(order, "run").select(
             "run",
             "position",

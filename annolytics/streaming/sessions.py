@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from annolytics import settings
 from annolytics.functions.detections import violations
+from annolytics.operators.ranking import first_per_group
 from annolytics.operators.sessions import finish_summary, summary_aggregates, violation_rates
 from annolytics.taxonomy import Taxonomy
 
@@ -57,13 +58,8 @@ def write_revisions(stream: DataFrame, folder: str, checkpoint: str, mode: str =
 
 
 def latest_rows(revisions: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest revision of every key.  Each task keeps one row per key before the shuffle."""
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("revision")))
-    return (
-        revisions.withColumn("__newest", newest)
-        .where(F.col("__newest") == 1)
-        .drop("__newest", "revision")
-    )
+    """The newest revision of every key."""
+    return first_per_group(revisions, keys, ["revision"], 1, descending=True).drop("rank", "revision")
 
 
 _DETECTION = T.StructType(

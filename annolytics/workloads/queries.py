@@ -21,6 +21,7 @@ from annolytics.operators import (
     matching,
     metrics,
     preview,
+    ranking,
     remap,
     sessions,
     split,
@@ -576,7 +577,7 @@ def comparison_headline(spark, sf):
 @query
 def first_images(spark, sf):
     test = fx.images(spark, sf).where("split = 'test'").select("path")
-    return experiments.first_rows(test, ["path"], 100)
+    return ranking.first_rows(test, ["path"], 100)
 
 
 # --- sessions -------------------------------------------------------------------------------------

@@ -28,6 +28,12 @@ def write_run(tmp_path, name, maps, tested=True, resume=None, status="completed"
             "metrics": {"precision": 0.1, "recall": 0.2, "map50": 0.3, "map50_95": max(maps) - 0.05},
             "test_images": 9, "per_class": per_class,
         }))
+        (run / "error_analysis").mkdir()
+        (run / "error_analysis/error_analysis.json").write_text(json.dumps({"image_counts": {"class_confusion": 3}}))
+        (run / "performance/performance.json").write_text(json.dumps({
+            "average_latency_ms": 8.5, "p50_latency_ms": 8, "p95_latency_ms": 12.25, "model_file_size_mb": 5.2,
+            "samples": 100, "device": "cpu",
+        }))
     if resume:
         (run / "resume_run.json").write_text(json.dumps(resume))
     return str(run)
@@ -35,7 +41,8 @@ def write_run(tmp_path, name, maps, tested=True, resume=None, status="completed"
 
 def summary_of(tables):
     return experiments.run_summary(
-        tables["runs"], tables["resumes"], tables["epochs"], tables["test_metrics"], tables["performance"]
+        tables["runs"], tables["resumes"], tables["epochs"], tables["test_metrics"], tables["performance"],
+        tables["errors"],
     )
 
 
@@ -54,6 +61,8 @@ def test_comparison_from_files(spark, tmp_path):
     assert rows["second"]["ended_at"] == "2024-01-02"
     assert rows["second"]["best_epoch"] == 1 and not rows["second"]["stopped_early"]
     assert rows["first"]["stopped_early"] and rows["first"]["label"] == "first / 512px / 3ep"
+    assert rows["first"]["error_image_counts"] == {"class_confusion": 3}
+    assert rows["first"]["mean_latency_ms"] == 8.5 and rows["third"]["device"] is None
     assert rows["third"]["test_map50_95"] is None and not rows["third"]["stopped_early"]
 
     context = experiments.comparison_context(summary_of(tables)).first()

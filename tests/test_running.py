@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from annolytics.operators.metrics import latency_summary
+from annolytics.operators.ranking import first_per_group, first_rows
 from annolytics.operators.running import exact_percentiles, hash_buckets, number_buckets, running_totals
+from annolytics.sources.publish import write_report
 
 
 def test_running_totals_equal_a_plain_window(spark):
@@ -36,3 +39,37 @@ def test_percentiles_interpolate(spark):
     for row in exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect():
         assert row["p50"] == pytest.approx(numpy.percentile(groups[row["g"]], 50))
         assert row["p95"] == pytest.approx(numpy.percentile(groups[row["g"]], 95))
+
+
+def test_latency_summary_and_report_files(spark, tmp_path):
+    rows = [("a", 1.0, 0.5), ("a", 3.0, 1.5), ("b", 7.0, None)]
+    log = spark.createDataFrame(rows, "model string, ms double, pre double")
+    found = {r["model"]: r for r in latency_summary(log, ["model"], "ms", ["pre"]).collect()}
+    assert tuple(found["a"]) == ("a", 2, 2.0, 1.0, 2.0, pytest.approx(2.9))
+    assert found["b"]["mean_pre"] is None and found["b"]["p95_ms"] == 7.0
+
+    write_report(log, str(tmp_path / "csv"), "csv")
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.columns == log.columns and back.count() == 3
+    write_report(log, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+    with pytest.raises(Exception, match="exists"):
+        write_report(log, str(tmp_path / "json"))
+
+
+@pytest.mark.parametrize("limit", ["1000", "3"])
+def test_first_per_group_with_and_without_the_built_in_limit(spark, limit):
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        df = spark.range(200).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 200).alias("v"))
+        found = first_per_group(df, ["g"], ["v"], 10)
+        rows = sorted((r["g"], r["rank"], r["v"]) for r in found.collect())
+    finally:
+        spark.conf.set(key, before)
+    values = {g: sorted(i * 37 % 200 for i in range(200) if i % 3 == g)[:10] for g in range(3)}
+    assert rows == [(g, n + 1, v) for g in range(3) for n, v in enumerate(values[g])]
+    assert [r["v"] for r in first_rows(df, ["v"], 2).collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        first_per_group(df, ["g"], ["v"], 0)

@@ -78,7 +78,7 @@ def test_streamed_summary_equals_the_batch(spark, tmp_path):
 
 
 def test_sessions_can_end_by_a_gap(spark, tmp_path):
-    stream = streams.running_summary(stream_of(spark, tmp_path), NAMES, gap="2 seconds")
+    stream = streams.running_summary(stream_of(spark, tmp_path), NAMES, gap="1 second")
     revisions = finished(spark, stream, tmp_path, mode="complete")
     last = revisions.where(F.col("revision") == revisions.agg(F.max("revision")).first()[0])
     frames = {}
@@ -110,6 +110,13 @@ def test_batches_are_bounded_and_complete(spark):
         inference.batched_inference(rows, lambda: lambda b: b.head(1).assign(n=1), 2, "id long, n long").collect()
 
 
+def test_model_parameters():
+    inference.check_model_parameters(0.25, 512)
+    for confidence, size in ((0.0, 512), (1.0, 512), (0.5, 31)):
+        with pytest.raises(ValueError):
+            inference.check_model_parameters(confidence, size)
+
+
 def test_pluggable_image_check(spark):
     images = spark.createDataFrame([("a", b"ok"), ("b", b"")], "path string, content binary")
     checked = inference.check_images(images, lambda: lambda contents: contents.map(len) > 0)
