@@ -55,7 +55,3 @@ def experiment_label(model: Column, imgsz: Column, epochs: Column) -> Column:
         F.concat(imgsz.cast("string"), F.lit("px")),
         F.concat(epochs.cast("string"), F.lit("ep")),
     )
-
-
-def title(snake: Column) -> Column:
-    return F.replace(snake, F.lit("_"), F.lit(" "))

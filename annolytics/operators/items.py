@@ -55,7 +55,3 @@ def annotations(items: DataFrame) -> DataFrame:
         "line.class_id",
         *(F.get("line.box", i).alias(name) for i, name in enumerate("xywh")),
     )
-
-
-def undecodable(items: DataFrame) -> DataFrame:
-    return items.where(F.col("label_present") & F.col("label_text").isNull())

@@ -127,6 +127,7 @@ def detection_metrics(
 ) -> DataFrame:
     """Per class: precision and recall at IoU 0.50 and the given confidence, AP@50 and AP@50-95;
     every declared class has a row, zeros where nothing was found."""
+    matched = cut_lineage(matched)
     ap = average_precision(precision_recall_curve(matched, truth))
     ap = ap.groupBy("class_id").agg(
         F.max(F.when(F.col("iou_threshold") == IOU_THRESHOLDS[0], F.col("ap"))).alias("ap50"),

@@ -89,10 +89,6 @@ def file_status(spark: SparkSession, path: str) -> str:
     return "folder" if system.getFileStatus(target).isDirectory() else "file"
 
 
-def no_issues(spark: SparkSession) -> DataFrame:
-    return issue_rows(spark, [])
-
-
 def issue_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Issues found on the driver while resolving the few sources of a specification."""
     schema = ", ".join(f"{c} {'int' if c == 'line' else 'string'}" for c in ISSUE_COLUMNS)

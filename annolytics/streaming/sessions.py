@@ -62,15 +62,6 @@ def latest_rows(revisions: DataFrame, keys: list[str]) -> DataFrame:
     return first_per_group(revisions, keys, ["revision"], 1, descending=True).drop("rank", "revision")
 
 
-_DETECTION = T.StructType(
-    [
-        T.StructField("class_id", T.LongType()),
-        T.StructField("class_name", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-    ]
-)
-
-
 class FirstViolations(StatefulProcessor):
     """Keeps the first `k` violation frames of a session, and emits them whenever they change."""
 
@@ -119,6 +110,11 @@ def first_violations(
     among the first `k`.  `ttl_ms` (with time mode `ProcessingTime`) drops idle sessions.
     """
     schema = "session_id long, frame long, violations string"
+    # The list state needs this provider; the setting applies to streams started from here on.
+    frames.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     bad = frames.select(
         "session_id", "frame", F.to_json(violations(F.col("detections"))).alias("violations")
     ).where(F.col("violations") != "[]")

@@ -46,9 +46,22 @@ def query(function: Query) -> Query:
     return function
 
 
+def joined_items(spark: SparkSession, sf: str) -> DataFrame:
+    return items.annotated_items(fx.images(spark, sf), fx.label_files(spark, sf), fx.ROOT)
+
+
 def dirty_items(spark: SparkSession, sf: str) -> DataFrame:
-    joined = items.annotated_items(fx.images(spark, sf), fx.label_files(spark, sf), fx.ROOT)
-    return items.with_lines(joined, fx.SOURCE)
+    return items.with_lines(joined_items(spark, sf), fx.SOURCE)
+
+
+def all_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues read the items twice, so contents are hashed once and the compact rows written."""
+    found = cut_lineage(joined_items(spark, sf))
+    return validate.all_issues(items.with_lines(found, fx.SOURCE))
+
+
+def digests(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_lineage(joined_items(spark, sf).select("digest", "split", "path"))
 
 
 def clean_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,17 +116,17 @@ def validation_split_counts(spark, sf):
 
 @query
 def validation_issues(spark, sf):
-    return validate.all_issues(dirty_items(spark, sf)).withColumn("line", F.col("line").cast("bigint"))
+    return all_issues(spark, sf).withColumn("line", F.col("line").cast("bigint"))
 
 
 @query
 def validation_issue_counts(spark, sf):
-    return validate.issue_counts(validate.all_issues(dirty_items(spark, sf)))
+    return validate.issue_counts(all_issues(spark, sf))
 
 
 @query
 def validation_verdict(spark, sf):
-    return validate.dataset_is_valid(validate.all_issues(dirty_items(spark, sf)))
+    return validate.dataset_is_valid(all_issues(spark, sf))
 
 
 @query
@@ -134,7 +147,7 @@ def duplicate_contents(spark, sf):
 
 @query
 def duplicate_members(spark, sf):
-    return validate.duplicate_members(dirty_items(spark, sf))
+    return validate.duplicate_members(digests(spark, sf))
 
 
 @query
