@@ -80,7 +80,7 @@ def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
 
 
 class BKTree:
-    """Fingerprints of one shard, linked while they are added.
+    """Fingerprints of one shard (as unsigned numbers), linked while they are added.
 
     Only what a fingerprint is connected to matters, so a search leaves out subtrees that lie
     wholly in the component it has already reached: a crowd of near copies costs little each.
@@ -152,15 +152,14 @@ def links(distinct: DataFrame) -> DataFrame:
         found: list[tuple[int, int]] = []
 
         def out() -> pa.RecordBatch:
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
-            )
+            ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             fps, choice, bits = (batch.column(i).to_numpy() for i in range(3))
+            unsigned = fps.view(np.uint64)
             starts = np.flatnonzero((choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])) + 1
             bounds = [0, *starts.tolist(), len(fps)]
             for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -170,7 +169,7 @@ def links(distinct: DataFrame) -> DataFrame:
                     tree = BKTree()
                 if b - a == 1 and 0 < k < len(bounds) - 2:
                     continue  # alone in its shard
-                for value in fps[a:b].tolist():
+                for value in unsigned[a:b].tolist():  # bits of negative numbers count differently
                     tree.add(value)
             key = (choice[-1], bits[-1])
             yield out()
