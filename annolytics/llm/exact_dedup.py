@@ -85,7 +85,8 @@ def exact_groups(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
     _add_newest_first(index, rows)
     sizes = rows.groupBy("digest").agg(F.sum("count").alias("group_size"))
-    groups = sizes.join(index.read(), "digest")
+    # written, so that the join below reads plain shuffles and a hot digest can be split
+    groups = written(sizes.join(index.read(), "digest"), "groups")
     return (
         rows.join(groups, "digest")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "count")))
