@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 
 from annolytics.llm.common import id_crc, whole_text, written
 
-DEPTH = 3
-LEAST_SHARE = 5e-5  # of all positions that a context must precede
+DEPTH = 4
+LEAST_SHARE = 2e-5  # of all positions that a context must precede
 DIVERGENCE = 0.01  # nats
 TOWARDS_SHORTER = 4.0  # weight of the shorter context's distribution, in observations
 BLOCK_BYTES = 8 << 20  # text that shares one local vocabulary
@@ -101,6 +100,8 @@ def gather(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        codes: list[np.ndarray] = []
+        seen = np.zeros(256, np.int64)
         held = 0
 
         def out(keys, codes, n) -> pa.RecordBatch:
@@ -109,6 +110,12 @@ def gather(texts: DataFrame) -> DataFrame:
                 names=["word", "code", "n"],
             )
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield out(list(words), [None] * len(words), list(words.values()))
+            grams, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield out([None] * len(grams), grams, n)
+            yield out([None] * 256, -1 - np.arange(256), seen)
+
         for _, part in _blocks(batches, 0):
             for text in part:
                 words.update(text.split())
@@ -119,14 +126,14 @@ def gather(texts: DataFrame) -> DataFrame:
             counted = np.ones(len(grams), bool)
             for k in range(DEPTH - 1):
                 counted[end + k] = False  # padding
-            codes, n = np.unique(grams[counted], return_counts=True)
-            seen = np.bincount(raw[DEPTH:][counted], minlength=256)
-            codes = np.concatenate([codes, -1 - np.arange(256)])
-            yield out([None] * len(codes), codes, np.concatenate([n, seen]))
+            codes.append(grams[counted])
+            seen += np.bincount(raw[DEPTH:][counted], minlength=256)
             if held >= BLOCK_BYTES:
-                yield out(list(words), [None] * len(words), list(words.values()))
-                words, held = Counter(), 0
-        yield out(list(words), [None] * len(words), list(words.values()))
+                yield from flush()
+                words, codes, held = Counter(), [], 0
+                seen[:] = 0
+        if words:
+            yield from flush()
 
     parts = texts.mapInArrow(run, "word binary, code bigint, n bigint")
     return parts.groupBy("word", "code").agg(F.sum("n").alias("n")).filter("n > 0")
@@ -135,18 +142,33 @@ def gather(texts: DataFrame) -> DataFrame:
 # --- the tree -------------------------------------------------------------------------------------
 
 
-@dataclass
 class Tree:
-    state: np.ndarray  # the last DEPTH symbols -> the longest retained suffix
-    log10: np.ndarray  # per state and next symbol
-    byte: np.ndarray  # log10 of a byte within its symbol
+    """`levels[d]` are the contexts of d + 1 symbols that stay; states are numbered in this order,
+    after the root.  The dense map from the last DEPTH symbols is made where it is used."""
+
+    def __init__(self, levels: list[np.ndarray], log10: np.ndarray, byte: np.ndarray):
+        self.levels, self.log10, self.byte = levels, log10.astype(np.float32), byte
+        self._state: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_state": None}
+
+    def state(self) -> np.ndarray:
+        """The last DEPTH symbols -> the longest retained suffix."""
+        if self._state is None:
+            self._state, first = np.zeros(1 << BITS * DEPTH, np.int32), 1
+            for depth, contexts in enumerate(self.levels, start=1):
+                grid = self._state.reshape(-1, 1 << BITS * depth)
+                grid[:, contexts] = first + np.arange(len(contexts))
+                first += len(contexts)
+        return self._state
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each (lower-cased) text."""
         if not texts:
             return np.zeros(0)
         raw, x, start, end = _stream(texts)
-        each = self.log10[self.state[_contexts(x)], x[DEPTH:]] + self.byte[raw[DEPTH:]]
+        each = self.log10[self.state()[_contexts(x)], x[DEPTH:]] + self.byte[raw[DEPTH:]]
         return np.add.reduceat(each, np.column_stack([start, end]).ravel())[::2]
 
 
@@ -198,26 +220,27 @@ def build_tree(counts: DataFrame) -> Tree:
     rows = np.array(
         [(r.depth, r.context, r.next, r.n) for r in retained(grams).collect()], np.int64
     ).reshape(-1, 4)
-    state = np.zeros(1 << BITS * DEPTH, np.int32)
     root = np.full(SYMBOLS, 1.0)
     own = rows[rows[:, 0] == 0]
     np.add.at(root, own[:, 2], own[:, 3])
-    states = [root / root.sum()]
+    states, levels = [root / root.sum()], []
+    number = {(0, 0): 0}  # (depth, context) -> state
     for depth in range(1, DEPTH + 1):
         level = rows[rows[:, 0] == depth]
         contexts, at = np.unique(level[:, 1], return_inverse=True)
         seen = np.zeros((len(contexts), SYMBOLS))
         np.add.at(seen, (at, level[:, 2]), level[:, 3])
-        grid = state.reshape(-1, 1 << BITS * depth)
-        wider = np.array(states)[grid[0, contexts]] if len(contexts) else seen
-        smooth = (seen + TOWARDS_SHORTER * wider) / (seen.sum(axis=1, keepdims=True) + TOWARDS_SHORTER)
-        grid[:, contexts] = len(states) + np.arange(len(contexts))
-        states.extend(smooth)
+        for context, n in zip(contexts.tolist(), seen, strict=True):
+            suffixes = ((d, context & (1 << BITS * d) - 1) for d in range(depth - 1, -1, -1))
+            wider = states[next(number[s] for s in suffixes if s in number)]
+            number[depth, context] = len(states)
+            states.append((n + TOWARDS_SHORTER * wider) / (n.sum() + TOWARDS_SHORTER))
+        levels.append(contexts)
     seen = np.full(256, 0.5)
     for r in counts.filter("code < 0").collect():  # 256 rows at most
         seen[-1 - r.code] += r.n
     total = np.bincount(SYMBOL, seen, SYMBOLS)
-    return Tree(state, np.log10(np.array(states)), np.log10(seen / total[SYMBOL]))
+    return Tree(levels, np.log10(np.array(states)), np.log10(seen / total[SYMBOL]))
 
 
 # --- scoring --------------------------------------------------------------------------------------
