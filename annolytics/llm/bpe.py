@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from annolytics.llm.common import whole_text
 
 WORD = 256  # bits of a bitmap word
-CACHED = 200_000  # pieces, and chunks, that a worker remembers; then it starts afresh
+CACHED = 600_000  # pieces, and chunks, that a worker remembers; then it starts afresh
 CACHED_LENGTH = 48  # longer pieces are not remembered
 
 
@@ -116,6 +117,7 @@ class Coder:
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
+        self.tokens = {str(i): t for i, t in bpe.tokens.items()}
         self.chunks: dict[str, str] = {}  # chunk -> its ids as text
         self.pieces: dict[str, str] = {}
         self.spaced = re.compile(r"\s | \s")
@@ -154,6 +156,12 @@ class Coder:
         return " ".join(said)
 
 
+@lru_cache(maxsize=1)
+def coder_of(ranks: bytes, pattern: str) -> Coder:
+    """A Python worker keeps its coder, and what it remembers, from one task to the next."""
+    return Coder(Bpe(parse_ranks(ranks), pattern))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (decimal, joined by one space), decoded (bytes, from the ids) of every row.
 
@@ -165,9 +173,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(parse_ranks(ranks.value), pattern)
-        coder = Coder(bpe)
-        tokens = {str(i): t for i, t in bpe.tokens.items()}
+        coder = coder_of(ranks.value, pattern)
+        tokens = coder.tokens
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
