@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from annolytics.llm.common import whole_text
 
 WORD = 256  # bits of a bitmap word
-CACHED = 600_000  # pieces, and chunks, that a worker remembers; then it starts afresh
+CACHED_CHUNKS, CACHED_PIECES = 600_000, 1_000_000  # that a worker remembers; then it starts afresh
 CACHED_LENGTH = 48  # longer pieces are not remembered
 
 
@@ -141,8 +141,9 @@ class Coder:
         """Decimal ids joined by one space."""
         if not text:
             return ""
-        if len(self.chunks) > CACHED or len(self.pieces) > CACHED:
+        if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
+        if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
         if self.spaced.search(text) or text[0] == " " or text[-1] == " ":
             first, *rest = self.cut.split(text)
