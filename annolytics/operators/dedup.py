@@ -54,13 +54,11 @@ def removed_class_totals(records: DataFrame, removed: Collection[str]) -> DataFr
     return sums.select(F.inline(F.array(*rows)))
 
 
-def duplicate_groups(records: DataFrame) -> DataFrame:
-    """digest, copies, kept_image, kept_label, consistent: one row per content that occurs more
-    than once.  The kept copy has the most objects, then the smallest path; `consistent` says
-    whether all copies carry the same label lines.  Copies are reduced inside each task first, so
-    the size of a group does not matter."""
+def _groups(records: DataFrame) -> DataFrame:
+    """digest, copies, winner, consistent of contents that occur more than once.  The winner is a
+    whole row key: one path may be listed in several splits."""
     signature = F.sha2(F.array_join("output_lines", "\n"), 256)
-    winner = F.min(F.struct((-F.col("object_count")).alias("o"), "path", "label_path"))
+    winner = F.min(F.struct((-F.col("object_count")).alias("o"), "path", "split", "label_path"))
     return (
         records.withColumn("signature", signature)
         .groupBy("digest")
@@ -70,21 +68,33 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
             (F.min("signature") == F.max("signature")).alias("consistent"),
         )
         .where(F.col("copies") > 1)
-        .select(
-            "digest",
-            "copies",
-            F.col("winner.path").alias("kept_image"),
-            F.col("winner.label_path").alias("kept_label"),
-            "consistent",
-        )
+    )
+
+
+def duplicate_groups(records: DataFrame) -> DataFrame:
+    """digest, copies, kept_image, kept_label, consistent: one row per content that occurs more
+    than once.  The kept copy has the most objects, then the smallest path, split and label;
+    `consistent` says whether all copies carry the same label lines.  Copies are reduced inside
+    each task first, so the size of a group does not matter."""
+    return _groups(records).select(
+        "digest",
+        "copies",
+        F.col("winner.path").alias("kept_image"),
+        F.col("winner.label_path").alias("kept_label"),
+        "consistent",
     )
 
 
 def with_winner(records: DataFrame) -> DataFrame:
     """Records with `kept_image` (null for unique contents) and `is_kept`."""
-    groups = duplicate_groups(records).select("digest", "kept_image")
-    return records.join(groups, "digest", "left").withColumn(
-        "is_kept", F.coalesce(F.col("kept_image") == F.col("path"), F.lit(True))
+    groups = _groups(records).select("digest", F.col("winner").alias("__winner"))
+    chosen = F.col("__winner").isNull()
+    same = [F.col(f"__winner.{c}").eqNullSafe(F.col(c)) for c in ("path", "split", "label_path")]
+    return (
+        records.join(groups, "digest", "left")
+        .withColumn("kept_image", F.col("__winner.path"))
+        .withColumn("is_kept", chosen | (same[0] & same[1] & same[2]))
+        .drop("__winner")
     )
 
 

@@ -115,17 +115,13 @@ def _split_rank() -> Column:
     return rank.otherwise(len(settings.OUTPUT_SPLITS))
 
 
-def ordered_digest(rows: DataFrame, limit: int) -> DataFrame:
+def ordered_digest(rows: DataFrame) -> DataFrame:
     """SHA-256 over the lines `image|sha|label|sha` in split and name order.  A hash over one long
-    text is sequential by nature, so this form is only for up to `limit` rows and fails beyond."""
-    size = rows.agg(F.count("*").alias("n")).scalar()
-    guarded = rows.where(
-        F.when(size > limit, F.raise_error(F.lit("too many rows for an ordered digest")).cast("boolean"))
-        .otherwise(F.lit(True))
-    )
+    text is sequential by nature and is made in one row: ask for this form only for manifests that
+    fit one."""
     line = F.struct(_split_rank().alias("o"), F.col("image"), _record_line().alias("line"))
     ordered = F.transform(F.array_sort(F.collect_list(line)), lambda row: row["line"])
-    return guarded.agg(
+    return rows.agg(
         F.sha2(F.array_join(ordered, ""), 256).alias("dataset_sha256"),
         F.count("*").alias("files"),
         F.lit(EXACT).alias("hash_scheme"),
@@ -164,16 +160,12 @@ def tree_digest(rows: DataFrame, depth: int = 3) -> DataFrame:
     )
 
 
-def dataset_digest(
-    rows: DataFrame, scheme: str | None = None, exact_limit: int = 1_000_000
-) -> DataFrame:
-    """One row: dataset_sha256, files, hash_scheme.  Without a scheme the ordered form is used up to
-    `exact_limit` rows and the tree beyond; the scheme is part of the fingerprint."""
-    if scheme is None:
-        scheme = EXACT if rows.count() <= exact_limit else TREE
+def dataset_digest(rows: DataFrame, scheme: str | None = None) -> DataFrame:
+    """One row: dataset_sha256, files, hash_scheme.  The tree is the scheme at every size; the
+    ordered form is made where it is named.  The scheme is part of the fingerprint."""
     if scheme == EXACT:
-        return ordered_digest(rows, exact_limit)
-    if scheme == TREE:
+        return ordered_digest(rows)
+    if scheme in (None, TREE):
         return tree_digest(rows)
     raise ValueError(f"unknown hash scheme: {scheme}")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from annolytics import settings
 from annolytics.operators.matching import greedy_match, match_candidates, with_match
-from annolytics.operators.running import exact_percentiles, number_buckets, running_totals
+from annolytics.operators.running import exact_percentiles, join_on, number_buckets, running_totals
 from annolytics.session import cut_lineage
 from annolytics.taxonomy import Taxonomy
 
@@ -169,12 +169,11 @@ def latency_summary(
     log: DataFrame, group: Sequence[str], latency: str, stages: Sequence[str] = ()
 ) -> DataFrame:
     """Samples, mean, P50 and P95 (linear interpolation) of a latency column per group, and the mean
-    of every stage column as `mean_<stage>`."""
+    of every stage column as `mean_<stage>`.  Groups without a latency stay, with null percentiles."""
     means = log.groupBy(*group).agg(
         F.count(latency).alias("samples"),
         F.avg(latency).alias("mean_ms"),
         *(F.avg(stage).alias(f"mean_{stage}") for stage in stages),
     )
-    return means.join(
-        exact_percentiles(log, group, latency, {"p50_ms": 0.50, "p95_ms": 0.95}), list(group)
-    )
+    percentiles = exact_percentiles(log, group, latency, {"p50_ms": 0.50, "p95_ms": 0.95})
+    return join_on(means, percentiles, list(group), "left")

@@ -22,8 +22,8 @@ def first_per_group(
 ) -> DataFrame:
     """The first `k` rows of every group with their `rank`.
 
-    For a `k` up to its window group limit, Spark keeps only `k` rows per group and task before it
-    shuffles.  For a larger `k` the same thinning is done here over salted parts of each group.
+    The rows of a group are ranked within salted parts first, so that no task sorts a group whole
+    and at most `k` rows of each part are ranked together, whatever `k` is.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -32,8 +32,6 @@ def first_per_group(
         by = [F.desc(c) if descending else F.asc(c) for c in order]
         return F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
 
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if k > limit:
-        part = F.pmod(F.xxhash64(*order), F.lit(_SALTS))
-        df = df.withColumn("__rank", ranked([*group, part])).where(F.col("__rank") <= k).drop("__rank")
-    return df.withColumn("rank", ranked(group)).where(F.col("rank") <= k)
+    part = F.pmod(F.xxhash64(*order), F.lit(_SALTS))
+    leading = df.withColumn("__rank", ranked([*group, part])).where(F.col("__rank") <= k).drop("__rank")
+    return leading.withColumn("rank", ranked(group)).where(F.col("rank") <= k)

@@ -8,6 +8,8 @@ are ever ordered together.  The result is the same as the plain window's.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +18,11 @@ _COARSE, _FINE = "__coarse", "__fine"
 
 
 def number_buckets(value: Column) -> tuple[Column, Column]:
-    """Coarse and fine buckets of a finite number; both grow with the value (logarithmic, any sign)."""
-    scale = F.signum(value) * F.log2(F.abs(value) + 1.0)
-    return F.floor(scale * 32), F.floor(scale * 65536)
+    """Coarse and fine buckets of a finite number or NaN; both grow with the value (logarithmic, any
+    sign and magnitude)."""
+    scale = F.signum(value) * (F.log2(F.abs(value)) + 1100)  # beyond the smallest double's exponent
+    spread = F.when(F.isnan(value), 4096).when(value == 0, 0).otherwise(scale)  # NaN sorts last
+    return F.floor(spread * 32), F.floor(spread * 65536)
 
 
 def hash_buckets(hexadecimal: Column) -> tuple[Column, Column]:
@@ -26,6 +30,13 @@ def hash_buckets(hexadecimal: Column) -> tuple[Column, Column]:
     return F.substring(hexadecimal, 1, 3), F.substring(hexadecimal, 1, 5)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on columns of the same names, in which null equals null."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys), F.lit(True))
+    return left.join(renamed, same, how).drop(*(f"__right_{k}" for k in keys))
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
@@ -36,6 +47,7 @@ def running_totals(
     """Add `<m>_upto` (sum of `m` from the first row of the group to this one) and `<m>_total`.
 
     `buckets` must not decrease along `order`, and `order` must identify a row within its group.
+    Nulls in the group, the order or the buckets are values like any other; they come first.
     """
     group = list(group)
     rows = df.withColumns({_COARSE: buckets[0], _FINE: buckets[1]})
@@ -61,7 +73,8 @@ def running_totals(
         _COARSE,
         _FINE,
         *(F.coalesce(F.sum(m).over(over_fine), F.lit(0)).alias(f"__{m}_f") for m in measures),
-    ).join(coarse, [*group, _COARSE])
+    )
+    fine = join_on(fine, coarse, [*group, _COARSE])
 
     within = (
         Window.partitionBy(*group, _COARSE, _FINE)
@@ -69,7 +82,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     rows = rows.withColumns({f"__{m}_w": F.sum(m).over(within) for m in measures})
-    joined = rows.join(fine, [*group, _COARSE, _FINE])
+    joined = join_on(rows, fine, [*group, _COARSE, _FINE])
     return joined.select(
         *df.columns,
         *(

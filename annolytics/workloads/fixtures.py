@@ -137,11 +137,8 @@ PERFORMANCE = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  With fewer files than cores a scan cannot use the cluster (a file here is
-    one row group), so only then the rows are spread; large tables are read where they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, df.columns[0])
+    """A driver table, read where it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -354,6 +354,13 @@ _DIGEST = (
     "count(*) AS files, 'sha256-ordered' AS hash_scheme FROM final"
 )
 
+_TREE_DIGEST = f"""WITH l0 AS (SELECT sha256({_DIGEST_LINES}) AS h FROM final),
+        l1 AS (SELECT substr(h, 1, 6) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM l0 GROUP BY 1),
+        l2 AS (SELECT substr(k, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l1 GROUP BY 1),
+        l3 AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l2 GROUP BY 1)
+        SELECT sha256(string_agg(h, '' ORDER BY k)) AS dataset_sha256, (SELECT count(*) FROM final) AS files,
+               'sha256-tree' AS hash_scheme FROM l3"""
+
 QUERIES: dict[str, str] = {
     "annotation_counts_by_split_class": "SELECT * FROM grid",
     "validation_split_counts": """SELECT i.split, count(*) AS images, count(*) FILTER (WHERE present) AS images_present,
@@ -450,16 +457,11 @@ QUERIES: dict[str, str] = {
         count(*) AS images FROM images GROUP BY ALL HAVING count(*) > 1""",
     "freeze_manifest": "SELECT split, image, label, image_sha256, label_sha256, source_image, source_key FROM final",
     "dataset_digest": _DIGEST,
-    "dataset_tree_digest": f"""WITH l0 AS (SELECT sha256({_DIGEST_LINES}) AS h FROM final),
-        l1 AS (SELECT substr(h, 1, 6) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM l0 GROUP BY 1),
-        l2 AS (SELECT substr(k, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l1 GROUP BY 1),
-        l3 AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l2 GROUP BY 1)
-        SELECT sha256(string_agg(h, '' ORDER BY k)) AS dataset_sha256, (SELECT count(*) FROM final) AS files,
-               'sha256-tree' AS hash_scheme FROM l3""",
+    "dataset_tree_digest": _TREE_DIGEST,
     "manifest_status": """SELECT image, label, CASE regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT % 50
         WHEN 7 THEN 'missing_file' WHEN 8 THEN 'image_mismatch' WHEN 9 THEN 'label_mismatch' ELSE 'ok' END AS status FROM final""",
     "manifest_verification": f"""SELECT dataset_sha256 AS expected_sha256, dataset_sha256 AS manifest_sha256,
-        dataset_sha256 AS computed_sha256, files AS files_verified, 0::BIGINT AS bad_files, true AS passed FROM ({_DIGEST})""",
+        dataset_sha256 AS computed_sha256, files AS files_verified, 0::BIGINT AS bad_files, true AS passed FROM ({_TREE_DIGEST})""",
     "freeze_summary": """SELECT (SELECT count(*) FROM records) AS input_images,
         (SELECT count(*) FROM (SELECT 1 FROM records GROUP BY digest HAVING count(*) > 1)) AS duplicate_groups,
         (SELECT count(*) FROM (SELECT 1 FROM records GROUP BY digest HAVING count(*) > 1 AND count(DISTINCT body) > 1)) AS inconsistent_groups,

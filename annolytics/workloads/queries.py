@@ -370,7 +370,7 @@ def freeze_manifest(spark, sf):
 
 @query
 def dataset_digest(spark, sf):
-    return freeze.dataset_digest(freeze.manifest(final_items(spark, sf)))
+    return freeze.dataset_digest(freeze.manifest(final_items(spark, sf)), freeze.EXACT)
 
 
 @query

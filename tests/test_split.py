@@ -132,11 +132,11 @@ def test_digest_schemes(spark):
         F.concat(F.lit("l"), "id").alias("label"),
         F.lit("b").alias("label_sha256"),
     )
-    assert freeze.dataset_digest(rows).first()["hash_scheme"] == freeze.EXACT
-    tree = freeze.dataset_digest(rows, exact_limit=10).first()
+    assert freeze.dataset_digest(rows, freeze.EXACT).first()["hash_scheme"] == freeze.EXACT
+    tree = freeze.dataset_digest(rows).first()
     assert tree["hash_scheme"] == freeze.TREE and tree["files"] == 50
     assert freeze.tree_digest(rows.repartition(9)).first() == tree
     changed = rows.withColumn("image_sha256", F.when(F.col("image") == "i7", "x").otherwise("a"))
     assert freeze.tree_digest(changed).first()[0] != tree[0]
-    with pytest.raises(Exception, match="too many rows"):
-        freeze.ordered_digest(rows, 10).collect()
+    with pytest.raises(ValueError, match="unknown hash scheme"):
+        freeze.dataset_digest(rows, "other")
