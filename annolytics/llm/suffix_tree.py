@@ -30,6 +30,7 @@ LEAST_SHARE = 2e-5  # of all positions that a context must precede
 DIVERGENCE = 0.01  # nats
 TOWARDS_SHORTER = 4.0  # weight of the shorter context's distribution, in observations
 BLOCK_BYTES = 8 << 20  # text that shares one local vocabulary
+GATHER_BYTES = 4 << 20  # text that is counted before counts are handed on; bounds a task's memory
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -128,7 +129,7 @@ def gather(texts: DataFrame) -> DataFrame:
                 counted[end + k] = False  # padding
             codes.append(grams[counted])
             seen += np.bincount(raw[DEPTH:][counted], minlength=256)
-            if held >= BLOCK_BYTES:
+            if held >= GATHER_BYTES:
                 yield from flush()
                 words, codes, held = Counter(), [], 0
                 seen[:] = 0
