@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics import settings
@@ -10,6 +13,7 @@ from annolytics.operators.spatial import overlapping_pairs
 from annolytics.session import cut_lineage
 
 GROUP = ["image_id", "class_id"]
+ROUNDS = 2
 _BOX = ["image_id", "class_id", "idx", "x1", "y1", "x2", "y2"]
 
 
@@ -21,61 +25,56 @@ def match_candidates(
     return pairs.select(*GROUP, F.col("l_idx").alias("gi"), F.col("r_idx").alias("pi"), "iou")
 
 
-def greedy_match(candidates: DataFrame, fold_limit: int = 2048) -> DataFrame:
+def greedy_match(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Take candidates by falling (iou, gi, pi) and keep those whose two boxes are both still free.
 
-    Only boxes of one class and image compete, so every such group is matched on its own.  Groups of
-    up to `fold_limit` candidates are folded inside one row.  Larger ones are matched in rounds
-    spread over the cluster, with the same result: a candidate that ranks first for both of its
-    boxes is always taken, and taking all of these at once changes nothing for the others.
+    A candidate that ranks first for both of its boxes is always taken, and taking all of these at
+    once changes nothing for the others.  `rounds` such rounds, spread over the boxes, settle most of
+    a group however large it is.  What is left is walked through in order, one group of an image and
+    class after the other, remembering used boxes only.  The plan is the same for every input.
     """
-    candidates = cut_lineage(candidates)
-    crowded = candidates.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > fold_limit)
-    if crowded.isEmpty():
-        return _fold(candidates)
-    crowded = cut_lineage(crowded.drop("n"))
-    small = candidates.join(crowded, GROUP, "left_anti")
-    return _fold(small).unionByName(_match_in_rounds(candidates.join(crowded, GROUP, "left_semi")))
-
-
-def _fold(candidates: DataFrame) -> DataFrame:
-    best_first = F.reverse(F.array_sort(F.collect_list(F.struct("iou", "gi", "pi"))))
-    grouped = candidates.groupBy(*GROUP).agg(best_first.alias("ranked"))
-    nothing = F.slice(F.col("ranked"), 1, 0)
-
-    def take(taken: Column, candidate: Column) -> Column:
-        clash = F.exists(
-            taken, lambda t: (t["gi"] == candidate["gi"]) | (t["pi"] == candidate["pi"])
-        )
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(candidate)))
-
-    matched = F.when(F.size("ranked") == 1, F.col("ranked")).otherwise(
-        F.aggregate(F.col("ranked"), nothing, take)
+    judged = candidates.select(*GROUP, "gi", "pi", "iou", F.lit(None).cast("boolean").alias("taken"))
+    for _ in range(rounds):
+        judged = _settle_leaders(judged)
+    judged = cut_lineage(judged)
+    left = judged.where(F.col("taken").isNull()).drop("taken")
+    ordered = left.repartition(*GROUP).sortWithinPartitions(
+        *GROUP, F.desc("iou"), F.desc("gi"), F.desc("pi")
     )
-    return grouped.select(*GROUP, F.inline(matched)).select(*GROUP, "gi", "pi", "iou")
+    walked = ordered.mapInPandas(_take_free, left.schema)
+    return judged.where("taken").drop("taken").unionByName(walked)
 
 
-def _match_in_rounds(candidates: DataFrame) -> DataFrame:
+def _settle_leaders(judged: DataFrame) -> DataFrame:
+    """Set `taken` of open candidates: true if they lead both of their boxes; rows that lose a box to
+    one of these are left out."""
+    truth, prediction = Window.partitionBy(*GROUP, "gi"), Window.partitionBy(*GROUP, "pi")
+    still_open = F.col("taken").isNull()
     rank = F.struct("iou", "gi", "pi")
-    left = cut_lineage(candidates.select(*GROUP, "gi", "pi", "iou"))
-    accepted = None
-    while not left.isEmpty():
-        by_truth = left.groupBy(*GROUP, "gi").agg(F.max(rank).alias("top"))
-        by_prediction = left.groupBy(*GROUP, "pi").agg(F.max(rank).alias("top"))
-        taken = cut_lineage(
-            by_truth.select(*GROUP, "top.gi", "top.pi", "top.iou").join(
-                by_prediction.select(*GROUP, "top.gi", "top.pi"), [*GROUP, "gi", "pi"]
-            )
-        )
-        accepted = taken if accepted is None else accepted.unionByName(taken)
-        left = cut_lineage(
-            left.join(taken.select(*GROUP, "gi"), [*GROUP, "gi"], "left_anti").join(
-                taken.select(*GROUP, "pi"), [*GROUP, "pi"], "left_anti"
-            )
-        )
-    if accepted is None:
-        return candidates.select(*GROUP, "gi", "pi", "iou").limit(0)
-    return accepted.select(*GROUP, "gi", "pi", "iou")
+    best = F.max(F.when(still_open, rank))
+    led = judged.withColumn("leads_truth", rank == best.over(truth)).withColumn(
+        "leads", still_open & F.col("leads_truth") & (rank == best.over(prediction))
+    )
+    used = F.max("leads").over(prediction) | F.max("leads").over(truth)
+    return (
+        led.withColumn("used", used)
+        .where(~still_open | F.col("leads") | ~F.col("used"))
+        .select(*GROUP, "gi", "pi", "iou", F.when(F.col("leads"), True).otherwise(F.col("taken")).alias("taken"))
+    )
+
+
+def _take_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    group, truths, predictions = None, set(), set()
+    for batch in batches:
+        free = []
+        for image, kind, gi, pi in zip(*(batch[c].tolist() for c in (*GROUP, "gi", "pi")), strict=True):
+            if (image, kind) != group:
+                group, truths, predictions = (image, kind), set(), set()
+            free.append(gi not in truths and pi not in predictions)
+            if free[-1]:
+                truths.add(gi)
+                predictions.add(pi)
+        yield batch[free]
 
 
 def with_match(boxes: DataFrame, matches: DataFrame, index: str) -> DataFrame:

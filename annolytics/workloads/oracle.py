@@ -561,8 +561,13 @@ def _needed(sql: str, order: list[str] | None = None) -> list[str]:
     return order
 
 
+_KEPT = ("matches", "floor_matches", "unmatched")  # folds over lists, read more than once
+
+
 def _assemble(sql: str) -> str:
-    blocks = ", ".join(f"{name} AS ({BLOCKS[name]})" for name in _needed(sql))
+    blocks = ", ".join(
+        f"{name} AS {'MATERIALIZED ' if name in _KEPT else ''}({BLOCKS[name]})" for name in _needed(sql)
+    )
     if not blocks:
         return sql
     if sql.lstrip().upper().startswith("WITH "):

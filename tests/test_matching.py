@@ -73,15 +73,15 @@ def test_the_grid_finds_every_pair_once(spark, threshold):
     assert sorted(map(tuple, pairs)) == expected
 
 
-@pytest.mark.parametrize("fold_limit", [2048, 3, 0])
-def test_matching_equals_the_plain_greedy_way(spark, fold_limit):
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_matching_equals_the_plain_greedy_way(spark, rounds):
     rng = random.Random(7)
     truth = random_boxes(rng, 6, 25)
     predictions = jittered(rng, truth)
     candidates = matching.match_candidates(
         spark.createDataFrame(truth, BOX), spark.createDataFrame(predictions, BOX), 0.3
     )
-    matches = matching.greedy_match(candidates, fold_limit).collect()
+    matches = matching.greedy_match(candidates, rounds).collect()
     assert {(m["image_id"], m["gi"], m["pi"]) for m in matches} == greedy(truth, predictions, 0.3)
     assert len(matches) == len(greedy(truth, predictions, 0.3))
 
@@ -89,11 +89,27 @@ def test_matching_equals_the_plain_greedy_way(spark, fold_limit):
 def test_ties_go_to_the_larger_indices(spark):
     rows = [(1, 0, 0.5), (1, 1, 0.5), (0, 1, 0.5), (0, 0, 0.4)]
     df = spark.createDataFrame([(9, 0, g, p, v) for g, p, v in rows], "image_id long, class_id long, gi long, pi long, iou double")
-    for limit in (10, 0):
-        found = {(r["gi"], r["pi"]) for r in matching.greedy_match(df, limit).collect()}
+    for rounds in (2, 0):
+        found = {(r["gi"], r["pi"]) for r in matching.greedy_match(df, rounds).collect()}
         assert found == {(1, 1), (0, 0)}
 
 
+def test_long_chains_need_no_more_jobs(spark, monkeypatch):
+    cuts = []
+    cut = matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    schema = "image_id long, class_id long, gi long, pi long, iou double"
+    used = []
+    for n in (8, 32):
+        # candidate k shares a box with k + 1, and each is better than the next
+        rows = [(1, 0, (k + 1) // 2, k // 2, 1.0 - k / 100) for k in range(n)]
+        cuts.clear()
+        found = {(r["gi"], r["pi"]) for r in matching.greedy_match(spark.createDataFrame(rows, schema)).collect()}
+        assert found == {(k, k) for k in range(n // 2)}
+        used.append(len(cuts))
+    assert used[0] == used[1]
+
+
 def test_no_pair_explosion_in_the_plan(spark):
     boxes = spark.createDataFrame(random_boxes(random.Random(1), 2, 3), BOX)
     pairs = spatial.overlapping_pairs(boxes, boxes, ["image_id"], 0.1)

@@ -15,7 +15,8 @@ CHECKED = [
     "split_objective", "dataset_digest", "dataset_tree_digest", "manifest_status", "freeze_summary",
     "greedy_matches", "error_categories", "average_precision", "latency_summary", "run_summary",
     "comparison_headline", "session_summary", "violation_frames_stream", "preview_sample", "pixel_boxes",
-    "manifest_verification", "dedup_kept", "attempts", "error_examples_topk",
+    "manifest_verification", "dedup_kept", "attempts", "error_examples_topk", "class_confusions",
+    "overlapping_truth", "session_summary_stream", "violation_rate_stream",
 ]
 
 
