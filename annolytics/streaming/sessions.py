@@ -18,13 +18,13 @@ from annolytics.taxonomy import Taxonomy
 
 
 def running_summary(
-    frames: DataFrame, taxonomy: Taxonomy, gap: str | None = None, lateness: str = "10 minutes"
+    frames: DataFrame, taxonomy: Taxonomy, gap: str | None = "1 day", lateness: str = "10 minutes"
 ) -> DataFrame:
     """The session summary as a streaming aggregate.
 
     With `gap`, a session also ends after that long without frames, and its state is dropped once
-    the watermark has passed; `ts` must then be a TIMESTAMP.  Without it, a session stays open
-    until the query is stopped.
+    the watermark has passed; `ts` must then be a TIMESTAMP.  With None, a session and its state stay
+    open until the query is stopped.
     """
     keys = ["session_id"]
     if gap is None:
@@ -62,6 +62,17 @@ def latest_rows(revisions: DataFrame, keys: list[str]) -> DataFrame:
     return first_per_group(revisions, keys, ["revision"], 1, descending=True).drop("rank", "revision")
 
 
+def latest_groups(revisions: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of the newest revision of every key, for streams that emit a changed key whole: rows
+    that a later revision no longer has are gone."""
+    newest = revisions.groupBy(*keys).agg(F.max("revision").alias("newest"))
+    named = newest.withColumnsRenamed({key: f"newest_{key}" for key in keys})
+    same = F.col("revision") == F.col("newest")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"newest_{key}"))
+    return revisions.join(named, same, "left_semi").drop("revision")
+
+
 class FirstViolations(StatefulProcessor):
     """Keeps the first `k` violation frames of a session, and emits them whenever they change."""
 
@@ -100,14 +111,13 @@ def first_violations(
     frames: DataFrame,
     k: int = settings.VIOLATION_SAMPLES,
     ttl_ms: int | None = None,
-    time_mode: str = "None",
 ) -> DataFrame:
     """Streaming twin of `operators.sessions.violation_frames`: session_id, frame, violations (JSON).
-    A changed session is emitted as a whole, so `latest_rows` by (session_id, frame) of the last
-    revision gives the result.
+    A changed session is emitted as a whole, so `latest_groups` by session_id gives the result.
 
     Rows are thinned before the shuffle: of every Arrow batch, at most `k` frames per session can be
-    among the first `k`.  `ttl_ms` (with time mode `ProcessingTime`) drops idle sessions.
+    among the first `k`.  The state of a session without frames for `ttl_ms` of processing time is
+    dropped; with None it is kept for ever.
     """
     schema = "session_id long, frame long, violations string"
     # The list state needs this provider; the setting applies to streams started from here on.
@@ -130,6 +140,6 @@ def first_violations(
             statefulProcessor=FirstViolations(k, ttl_ms),
             outputStructType=T.StructType.fromDDL(schema),
             outputMode="Update",
-            timeMode=time_mode,
+            timeMode="None" if ttl_ms is None else "ProcessingTime",
         )
     )

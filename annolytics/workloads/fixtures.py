@@ -244,10 +244,27 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_from(table(spark, sf_dir, "events"))
 
 
-def frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return frames_from(source.parquet(sf_dir))
+BATCHES = 4
+DELAY = "30 minutes"
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events in `BATCHES` parts by time of arrival; every seventh event arrives `DELAY` late."""
+    events = table(spark, sf_dir, "events")
+    late = F.expr(f"CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL {DELAY} ELSE ts END")
+    seconds = F.unix_timestamp(late.cast("timestamp"))
+    start, end = events.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.least(
+        F.floor((seconds - F.lit(start)) * BATCHES / F.lit(max((end or 0) - (start or 0), 1))), F.lit(BATCHES - 1)
+    )
+    part = F.coalesce(part, F.lit(0))
+    return [events.where(part == i) for i in range(BATCHES)]
+
+
+def frame_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The frames of all event files that arrive below `folder`."""
+    schema = table(spark, sf_dir, "events").schema
+    return frames_from(spark.readStream.schema(schema).parquet(f"{folder}/batch=*")).drop("batch")
 
 
 def session_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -652,29 +652,33 @@ def detection_normalisation(spark, sf):
     )
 
 
-def _streamed(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+def _streamed(spark: SparkSession, sf: str, start: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All revisions that `start(frames)` writes while the events arrive in several parts, each read
+    by a query started anew from the same checkpoint."""
     folder = fresh_folder(spark, "stream")
-    running = streams.write_revisions(stream, f"{folder}/rows", f"{folder}/state")
-    running.awaitTermination()
-    return streams.latest_rows(spark.read.parquet(f"{folder}/rows"), keys)
+    for number, part in enumerate(fx.arrivals(spark, sf)):
+        part.write.parquet(f"{folder}/in/batch={number}")
+        stream = start(fx.frame_stream(spark, sf, f"{folder}/in"))
+        streams.write_revisions(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
 
 
 @query
 def session_summary_stream(spark, sf):
-    stream = streams.running_summary(fx.frame_stream(spark, sf), fx.FINAL)
-    return _flat(_streamed(spark, stream, ["session_id"]))
+    revisions = _streamed(spark, sf, lambda frames: streams.running_summary(frames, fx.FINAL, gap=None))
+    return _flat(streams.latest_rows(revisions, ["session_id"]))
 
 
 @query
 def violation_rate_stream(spark, sf):
-    stream = streams.running_rates(fx.frame_stream(spark, sf))
-    return _as_local(_streamed(spark, stream, ["window_start", "class_name"]))
+    revisions = _streamed(spark, sf, streams.running_rates)
+    return _as_local(streams.latest_rows(revisions, ["window_start", "class_name"]))
 
 
 @query
 def violation_frames_stream(spark, sf):
-    stream = streams.first_violations(fx.frame_stream(spark, sf))
-    return _streamed(spark, stream, ["session_id", "frame"]).select(
+    revisions = _streamed(spark, sf, streams.first_violations)
+    return streams.latest_groups(revisions, ["session_id"]).select(
         "session_id", "frame",
         F.from_json("violations", "array<struct<class_id:long,class_name:string,confidence:double>>").alias("violations"),
     ).select("session_id", "frame", _violation_text())
