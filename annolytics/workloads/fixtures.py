@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 from annolytics import settings
 from annolytics.taxonomy import Taxonomy
 
-SOURCE_CLASSES = (
-    "Gloves", "Helmet", "Human", "Safety Boot", "Safety Vest", "boots", "glasses", "gloves",
-    "hat", "helmet", "no boot", "no boots", "no gloves", "no hat", "no vest", "vest",
-)
+SOURCE_CLASSES = tuple(sorted({*settings.CLASS_SYNONYMS, *settings.REMOVED_SOURCE_CLASSES}))
 SOURCE = Taxonomy.of(SOURCE_CLASSES)
 TARGET = Taxonomy.of(settings.TARGET_CLASSES)
 FINAL = Taxonomy.of(settings.FINAL_CLASSES)
