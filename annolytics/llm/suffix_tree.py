@@ -2,8 +2,9 @@
 
 Texts are sequences of symbols (folded bytes) with an end.  Contexts of up to DEPTH symbols that
 are common enough stay in the tree if their next-symbol distribution diverges from that of the
-context one symbol shorter.  Distributions are smoothed towards the shorter context's, and a text is scored
-from the state of the longest retained suffix at each position.  A byte's probability is that
+context one symbol shorter.  Distributions are smoothed towards the shorter context's, more so the more
+different symbols were seen, and a text is scored from the state of the longest retained suffix at each
+position.  A byte's probability is that
 of its symbol times that of the byte within the symbol, so probabilities of texts are proper.
 
 The tree's size has a bound that no corpus can exceed: at most 1/LEAST_SHARE contexts of each
@@ -25,10 +26,9 @@ from pyspark.sql import functions as F
 
 from annolytics.llm.common import id_crc, whole_text, written
 
-DEPTH = 4
-LEAST_SHARE = 2e-5  # of all positions that a context must precede
+DEPTH = 5
+LEAST_SHARE = 4e-6  # of all positions that a context must precede
 DIVERGENCE = 0.01  # nats
-TOWARDS_SHORTER = 4.0  # weight of the shorter context's distribution, in observations
 BLOCK_BYTES = 8 << 20  # text that shares one local vocabulary
 GATHER_BYTES = 4 << 20  # text that is counted before counts are handed on; bounds a task's memory
 
@@ -73,7 +73,8 @@ def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _contexts(x: np.ndarray) -> np.ndarray:
-    code = x[:-DEPTH].copy()
+    """The DEPTH symbols before each position, the last one in the lowest bits."""
+    code = x[:-DEPTH].astype(np.int64)
     for d in range(1, DEPTH):
         code <<= BITS
         code |= x[d : d - DEPTH]
@@ -145,31 +146,52 @@ def gather(texts: DataFrame) -> DataFrame:
 
 class Tree:
     """`levels[d]` are the contexts of d + 1 symbols that stay; states are numbered in this order,
-    after the root.  The dense map from the last DEPTH symbols is made where it is used."""
+    after the root.  The tables to walk the tree with are made where it is used."""
 
     def __init__(self, levels: list[np.ndarray], log10: np.ndarray, byte: np.ndarray):
         self.levels, self.log10, self.byte = levels, log10.astype(np.float32), byte
-        self._state: np.ndarray | None = None
+        self._tables: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_state": None}
-
-    def state(self) -> np.ndarray:
-        """The last DEPTH symbols -> the longest retained suffix."""
-        if self._state is None:
-            self._state, first = np.zeros(1 << BITS * DEPTH, np.int32), 1
+        return {**self.__dict__, "_tables": None}
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """(child, state): a node and the symbol before it -> the longer node; the state at a node, 0
+        where its context did not stay.  Node 0 has no children, node 1 is the empty context."""
+        if self._tables is None:
+            nodes = [np.zeros(1, np.int64)]
+            for depth in range(1, DEPTH + 1):
+                suffixes = [contexts & (1 << BITS * depth) - 1 for contexts in self.levels[depth - 1 :]]
+                nodes.append(np.unique(np.concatenate(suffixes)))
+            first = np.cumsum([1, *map(len, nodes)])
+            child = np.zeros((first[DEPTH], SYMBOLS), np.int32)
+            state = np.zeros(first[-1], np.int32)
+            states = 1
             for depth, contexts in enumerate(self.levels, start=1):
-                grid = self._state.reshape(-1, 1 << BITS * depth)
-                grid[:, contexts] = first + np.arange(len(contexts))
-                first += len(contexts)
-        return self._state
+                own, shorter = nodes[depth], nodes[depth] & (1 << BITS * (depth - 1)) - 1
+                parent = first[depth - 1] + np.searchsorted(nodes[depth - 1], shorter)
+                child[parent, own >> BITS * (depth - 1)] = first[depth] + np.arange(len(own))
+                state[first[depth] + np.searchsorted(own, contexts)] = states + np.arange(len(contexts))
+                states += len(contexts)
+            self._tables = child.ravel(), state
+        return self._tables
+
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """The longest retained suffix before each symbol after the first DEPTH."""
+        child, state = self.tables()
+        node = np.ones(len(x) - DEPTH, np.int32)
+        longest = np.zeros_like(node)
+        for depth in range(1, DEPTH + 1):
+            node = child.take((node << BITS) | x[DEPTH - depth : -depth])
+            np.maximum(longest, state.take(node), out=longest)  # longer contexts have larger numbers
+        return longest
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each (lower-cased) text."""
         if not texts:
             return np.zeros(0)
         raw, x, start, end = _stream(texts)
-        each = self.log10[self.state()[_contexts(x)], x[DEPTH:]] + self.byte[raw[DEPTH:]]
+        each = self.log10[self.states(x), x[DEPTH:]] + self.byte[raw[DEPTH:]]
         return np.add.reduceat(each, np.column_stack([start, end]).ravel())[::2]
 
 
@@ -218,9 +240,8 @@ def retained(grams: DataFrame) -> DataFrame:
 def build_tree(counts: DataFrame) -> Tree:
     """Smooth the retained contexts, shortest first, on the driver: their number is bounded."""
     grams = counts.filter("code >= 0").select("code", "n")
-    rows = np.array(
-        [(r.depth, r.context, r.next, r.n) for r in retained(grams).collect()], np.int64
-    ).reshape(-1, 4)
+    found = retained(grams).select("depth", "context", "next", "n").toArrow()
+    rows = np.column_stack([found.column(c).to_numpy().astype(np.int64) for c in found.column_names])
     root = np.full(SYMBOLS, 1.0)
     own = rows[rows[:, 0] == 0]
     np.add.at(root, own[:, 2], own[:, 3])
@@ -235,7 +256,8 @@ def build_tree(counts: DataFrame) -> Tree:
             suffixes = ((d, context & (1 << BITS * d) - 1) for d in range(depth - 1, -1, -1))
             wider = states[next(number[s] for s in suffixes if s in number)]
             number[depth, context] = len(states)
-            states.append((n + TOWARDS_SHORTER * wider) / (n.sum() + TOWARDS_SHORTER))
+            kinds = np.count_nonzero(n)
+            states.append((n + kinds * wider) / (n.sum() + kinds))
         levels.append(contexts)
     seen = np.full(256, 0.5)
     for r in counts.filter("code < 0").collect():  # 256 rows at most

@@ -284,9 +284,25 @@ def test_tree_probabilities_are_proper_and_use_the_longest_suffix(spark):
     assert np.allclose((10.0**tree.log10).sum(axis=1), 1, atol=1e-5)
     good, bad = tree.scores([b"abcabc", b"cbacba"])
     assert good > bad + 5
-    a, b, c = (int(suffix_tree.SYMBOL[x]) for x in b"abc")
-    state = tree.state()[(a << 18) | (b << 12) | (c << 6) | a]
-    assert tree.log10[state].argmax() == b
+    before = suffix_tree.SYMBOL[list(b"bcabca")].astype(np.int32)[-suffix_tree.DEPTH - 1 :]
+    (state,) = tree.states(np.append(before[1:], before[0]))
+    assert tree.log10[state].argmax() == suffix_tree.SYMBOL[ord("b")]
+
+
+def test_the_tree_walk_finds_what_a_plain_search_finds():
+    rng, depth = np.random.default_rng(5), suffix_tree.DEPTH
+    levels = [np.unique(rng.integers(0, 3, (9, d)) @ (64 ** np.arange(d))) for d in range(1, depth + 1)]
+    n = 1 + sum(map(len, levels))
+    tree = suffix_tree.Tree(levels, np.zeros((n, suffix_tree.SYMBOLS)), np.zeros(256))
+    x = rng.integers(0, 4, 400).astype(np.int32)
+    number = {}
+    for d, contexts in enumerate(levels, start=1):
+        for context in contexts.tolist():
+            number[d, context] = len(number) + 1
+    for position, state in enumerate(tree.states(x), start=depth):
+        last = [sum(int(x[position - 1 - i]) << 6 * i for i in range(d)) for d in range(1, depth + 1)]
+        stay = [number[d, c] for d, c in enumerate(last, start=1) if (d, c) in number]
+        assert state == (stay[-1] if stay else 0)
 
 
 def plain_fingerprint(text):
