@@ -16,6 +16,29 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def folder_name(path: Column) -> Column:
+    """The folder of a file."""
+    return F.substring(path, F.lit(1), F.length(path) - F.length(file_name(path)) - 1)
+
+
+def plain_path(path: Column) -> Column:
+    """Drop the `file:` scheme that Spark adds to local paths."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def normal_path(path: Column) -> Column:
+    """An absolute path without `.`, `..` and empty components; scheme and authority stay."""
+    head = F.regexp_extract(path, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
+    parts = F.split(F.substring(path, F.length(head) + 1, F.length(path)), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part.isin("", "."), done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(head, F.lit("/"), F.array_join(kept, "/"))
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), _SUFFIX, "")
 

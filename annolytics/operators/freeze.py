@@ -186,7 +186,7 @@ def manifest_status(expected: DataFrame, images: DataFrame, labels: DataFrame) -
     return joined.withColumn("status", status)
 
 
-def verify_manifest(status: DataFrame, recorded: DataFrame, expected_sha256: str) -> DataFrame:
+def verify_manifest(status: DataFrame, recorded: DataFrame, expected_sha256: str | Column) -> DataFrame:
     """One row: expected, recorded and computed digest, files verified, bad files, passed.  The
     digest is recomputed from the files as found, by the recorded scheme.  `recorded` is the one-row
     table that `dataset_digest` made."""

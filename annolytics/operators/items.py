@@ -11,35 +11,39 @@ from annolytics.functions.paths import label_path
 from annolytics.taxonomy import Taxonomy
 
 
-def annotated_items(
-    images: DataFrame, label_files: DataFrame, root: str, algorithm: str = "sha256"
-) -> DataFrame:
-    """`images`: split, path, content (null when a listed file does not exist) and any further
-    columns; `label_files`: label_path, content.  Contents are reduced to a digest, a signature
-    test and the label text before anything is shuffled.  The join on the label path keeps images
-    without a label file.
-    """
+def image_facts(images: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """`content` (null when a listed file does not exist) reduced to image_present, image_readable (a
+    signature test) and digest; other columns stay.  To be done before anything is shuffled."""
     content = F.col("content")
-    extra = [c for c in images.columns if c not in ("split", "path", "content")]
-    left = images.select(
-        *extra,
-        "split",
-        "path",
-        label_path(F.col("path"), root).alias("label_path"),
+    return images.select(
+        *(c for c in images.columns if c != "content"),
         content.isNotNull().alias("image_present"),
         looks_like_image(content).alias("image_readable"),
         digest(content, algorithm).alias("digest"),
     )
+
+
+def join_labels(facts: DataFrame, label_files: DataFrame, root: str) -> DataFrame:
+    """`facts`: split, path and what `image_facts` made; `label_files`: label_path, content.  The join
+    on the label path keeps images without a label file."""
+    left = facts.withColumn("label_path", label_path(F.col("path"), root))
     right = label_files.select(
         "label_path",
         F.lit(True).alias("label_present"),
-        utf8_text(content).alias("label_text"),
+        utf8_text(F.col("content")).alias("label_text"),
     )
     return left.join(right, "label_path", "left").withColumn(
         "label_present", F.coalesce("label_present", F.lit(False))
     )
 
 
+def annotated_items(
+    images: DataFrame, label_files: DataFrame, root: str, algorithm: str = "sha256"
+) -> DataFrame:
+    """`images`: split, path, content and any further columns; `label_files`: label_path, content."""
+    return join_labels(image_facts(images, algorithm), label_files, root)
+
+
 def with_lines(items: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Add `lines`, the parsed label lines; null where there is no readable label."""
     return items.withColumn("lines", parse_lines(F.col("label_text"), taxonomy))

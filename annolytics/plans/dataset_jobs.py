@@ -10,21 +10,63 @@ from pyspark.sql import functions as F
 from annolytics import settings
 from annolytics.functions.content import digest
 from annolytics.operators import dedup, freeze, remap, split, validate
-from annolytics.operators.items import annotated_items, with_lines
+from annolytics.operators.items import join_labels, with_lines
 from annolytics.session import cut_lineage
-from annolytics.sources.images import scan_images, scan_labels
-from annolytics.sources.publish import check_target, publish, read_published
-from annolytics.sources.spec import read_spec
+from annolytics.sources.images import scan_images, scan_labels, scan_named
+from annolytics.sources.publish import check_target, publish, published, read_published
+from annolytics.sources.spec import DatasetSpec, issue_rows, read_spec
+from annolytics.sources.storage import file_status
 from annolytics.taxonomy import Taxonomy
 
 
+def load_items(
+    spark: SparkSession, path: str, algorithm: str = "sha256"
+) -> tuple[DatasetSpec, DataFrame, DataFrame]:
+    """(specification, items, issues of sources) of a dataset: a specification file, or the target folder
+    of `remap_dataset`, whose newest published version is read."""
+    if file_status(spark, path) == "folder":
+        return _remapped_items(spark, path, algorithm)
+    spec = read_spec(spark, path)
+    images, issues = scan_images(spark, spec, algorithm)
+    items = join_labels(images, scan_labels(spark, images, spec.root), spec.root)
+    return spec, items, issues
+
+
+def _remapped_items(spark: SparkSession, target: str, algorithm: str) -> tuple[DatasetSpec, DataFrame, DataFrame]:
+    """Image facts are those that the remap recorded; label texts are the new ones."""
+    if algorithm != "sha256":
+        raise ValueError("a remapped dataset records sha256 digests")
+    folder = published(spark, target)
+    classes = spark.read.parquet(f"{folder}/classes").orderBy("class_id").collect()
+    taxonomy = Taxonomy.of({row.class_id: row.class_name for row in classes})
+    inner = {name: split for split, name in settings.PUBLISHED_SPLIT_NAMES.items()}
+    sources = {split: (f"{folder}/labels/split={name}",) for name, split in inner.items()}
+    labels = spark.read.schema(_REMAPPED).parquet(f"{folder}/labels")
+    split_name = F.create_map(*(F.lit(p) for pair in inner.items() for p in pair))[F.col("split")]
+    items = labels.select(
+        split_name.alias("split"),
+        "path",
+        F.concat(F.lit(folder + "/"), "output_label").alias("label_path"),
+        F.lit(True).alias("image_present"),
+        "image_readable",
+        "digest",
+        F.lit(True).alias("label_present"),
+        "label_text",
+    )
+    return DatasetSpec(folder, target, taxonomy, sources), items, issue_rows(spark, [])
+
+
+_REMAPPED = (
+    "split string, path string, image_readable boolean, digest string, output_image string, "
+    "output_label string, label_text string"
+)
+
+
 def validate_dataset(
-    spark: SparkSession, spec_path: str, algorithm: str = "sha256"
+    spark: SparkSession, path: str, algorithm: str = "sha256"
 ) -> dict[str, DataFrame]:
     """Tables of the audit: issues, issue_counts, verdict, splits, classes, totals, duplicates."""
-    spec = read_spec(spark, spec_path)
-    images, source_issues = scan_images(spark, spec)
-    items = annotated_items(images.drop("source"), scan_labels(spark, spec.root), spec.root, algorithm)
+    spec, items, source_issues = load_items(spark, path, algorithm)
     # All tables below start from these compact rows: image bytes are read once.
     items = with_lines(cut_lineage(items), spec.taxonomy)
     issues = validate.all_issues(items, source_issues)
@@ -51,13 +93,11 @@ def remap_dataset(
 ) -> str:
     """Write a copy of the dataset under another taxonomy: tables labels, accounting, emptied,
     classes.  Any invalid line stops the job; the source is only read."""
-    spec = read_spec(spark, spec_path).require_all_splits()
-    check_target(spark, spec.root, target, overwrite=False)
+    spec, items, issues = load_items(spark, spec_path)
+    check_target(spark, spec.require_all_splits().root, target, overwrite=False)
     taxonomy = Taxonomy.of(classes)
     mapping = remap.id_mapping(spec.taxonomy, taxonomy, rules, removed)
-    images, issues = scan_images(spark, spec)
     _require_sources(issues)
-    items = annotated_items(images.drop("source"), scan_labels(spark, spec.root), spec.root)
     items = remap.reject_bad_lines(with_lines(_require_images(items), spec.taxonomy))
     mapped = remap.remap_labels(items, mapping, spec.taxonomy, taxonomy)
     sources = [source for found in spec.sources.values() for source in found]
@@ -65,6 +105,8 @@ def remap_dataset(
     written = outputs.select(
         F.col("output_split").alias("split"),
         "path",
+        "image_readable",
+        "digest",
         "output_image",
         "output_label",
         F.col("new_text").alias("label_text"),
@@ -103,15 +145,14 @@ def freeze_dataset(
     removed: Sequence[str] = settings.REMOVED_FINAL_CLASSES,
     required: Sequence[str] = settings.VIOLATION_CLASSES,
 ) -> str:
-    """Deduplicate, drop emptied items, split by source, audit, fingerprint and publish: tables
+    """Deduplicate, drop emptied items, split by source, audit, fingerprint and publish.  `spec_path`
+    may also be the target folder of a remap.  Tables:
     items, manifest, fingerprint, split_stats, duplicate_groups, removed_files, counts, objective."""
     split.check_ratios(ratios)
-    spec = read_spec(spark, spec_path).require_all_splits()
-    check_target(spark, spec.root, target, overwrite)
+    spec, items, issues = load_items(spark, spec_path)
+    check_target(spark, spec.require_all_splits().root, target, overwrite)
     final_classes = Taxonomy.of(classes)
-    images, issues = scan_images(spark, spec)
     _require_sources(issues)
-    items = annotated_items(images.drop("source"), scan_labels(spark, spec.root), spec.root)
     items = remap.reject_bad_lines(with_lines(_require_images(items), spec.taxonomy))
     # Parsed once; everything below reads the compact records.
     records = cut_lineage(dedup.make_records(items, spec.taxonomy, final_classes, removed))
@@ -162,20 +203,20 @@ def freeze_records(
 def verify_frozen(
     spark: SparkSession, target: str, expected_sha256: str, source_images: DataFrame | None = None
 ) -> DataFrame:
-    """Recompute every label digest from the published texts, and image digests from
-    `source_images` (path, content) when given, and compare with the manifest."""
+    """Recompute every label digest from the published texts and every image digest from the bytes of
+    the source images, and compare with the manifest.  `source_images` (path, content) are read
+    from the folders that the manifest names unless given."""
     items = read_published(spark, target, "items")
     manifest = read_published(spark, target, "manifest")
     labels = items.select(
         F.col("label").alias("path"), digest(F.col("label_text")).alias("sha256")
     )
     if source_images is None:
-        images = items.select(F.col("image").alias("path"), F.col("image_sha256").alias("sha256"))
+        found = scan_named(spark, items, "source_image")
     else:
-        found = source_images.select(
-            F.col("path").alias("source_image"), digest(F.col("content")).alias("sha256")
-        )
-        images = items.join(found, "source_image").select(F.col("image").alias("path"), "sha256")
+        found = source_images.select("path", digest(F.col("content")).alias("digest"))
+    found = found.select(F.col("path").alias("source_image"), F.col("digest").alias("sha256"))
+    images = items.join(found, "source_image").select(F.col("image").alias("path"), "sha256")
     status = freeze.manifest_status(manifest, images, labels)
     return freeze.verify_manifest(
         status, read_published(spark, target, "fingerprint"), expected_sha256

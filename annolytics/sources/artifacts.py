@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolytics.operators.experiments import epoch_table
-from annolytics.sources.spec import file_status
+from annolytics.sources.storage import file_status
 
 _LATENCY = (
     "average_latency_ms double, p50_latency_ms double, p95_latency_ms double, "

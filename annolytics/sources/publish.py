@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.sources.spec import file_status
+from annolytics.sources.storage import file_status, file_system
 
 _MARK = "_PUBLISHED"
 
@@ -39,7 +39,7 @@ def publish(
         writer.parquet(f"{folder}/{name}")
     if audit is not None:
         audit(lambda name: spark.read.parquet(f"{folder}/{name}"))
-    system, mark = _at(spark, f"{folder}/{_MARK}")
+    system, mark = file_system(spark, f"{folder}/{_MARK}")
     system.create(mark, False).close()
     return folder
 
@@ -68,13 +68,8 @@ def write_report(table: DataFrame, path: str, kind: str = "json") -> None:
         raise ValueError("a report is written as json or csv")
 
 
-def _at(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def _versions(spark: SparkSession, target: str) -> list[int]:
-    system, path = _at(spark, target)
+    system, path = file_system(spark, target)
     if not system.exists(path):
         return []
     names = [status.getPath().getName() for status in system.listStatus(path)]

@@ -79,16 +79,6 @@ def _resolve(path: str, base: str) -> str:
     return posixpath.normpath(posixpath.join(base, path))
 
 
-def file_status(spark: SparkSession, path: str) -> str:
-    """`folder`, `file` or `missing`, on whatever file system the path names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(target):
-        return "missing"
-    return "folder" if system.getFileStatus(target).isDirectory() else "file"
-
-
 def issue_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Issues found on the driver while resolving the few sources of a specification."""
     schema = ", ".join(f"{c} {'int' if c == 'line' else 'string'}" for c in ISSUE_COLUMNS)

@@ -354,13 +354,17 @@ _DIGEST = (
     "count(*) AS files, 'sha256-ordered' AS hash_scheme FROM final"
 )
 
-_TREE_DIGEST = f"""WITH l0 AS (SELECT sha256({_DIGEST_LINES}) AS h FROM final),
+def _tree(files: str) -> str:
+    return f"""WITH l0 AS (SELECT sha256({_DIGEST_LINES}) AS h FROM {files}),
         l1 AS (SELECT substr(h, 1, 6) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM l0 GROUP BY 1),
         l2 AS (SELECT substr(k, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l1 GROUP BY 1),
         l3 AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l2 GROUP BY 1)
-        SELECT sha256(string_agg(h, '' ORDER BY k)) AS dataset_sha256, (SELECT count(*) FROM final) AS files,
+        SELECT sha256(string_agg(h, '' ORDER BY k)) AS dataset_sha256, (SELECT count(*) FROM {files}) AS files,
                'sha256-tree' AS hash_scheme FROM l3"""
 
+
+_TREE_DIGEST = _tree("final")
+
 QUERIES: dict[str, str] = {
     "annotation_counts_by_split_class": "SELECT * FROM grid",
     "validation_split_counts": """SELECT i.split, count(*) AS images, count(*) FILTER (WHERE present) AS images_present,
@@ -460,8 +464,15 @@ QUERIES: dict[str, str] = {
     "dataset_tree_digest": _TREE_DIGEST,
     "manifest_status": """SELECT image, label, CASE regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT % 50
         WHEN 7 THEN 'missing_file' WHEN 8 THEN 'image_mismatch' WHEN 9 THEN 'label_mismatch' ELSE 'ok' END AS status FROM final""",
-    "manifest_verification": f"""SELECT dataset_sha256 AS expected_sha256, dataset_sha256 AS manifest_sha256,
-        dataset_sha256 AS computed_sha256, files AS files_verified, 0::BIGINT AS bad_files, true AS passed FROM ({_TREE_DIGEST})""",
+    "manifest_verification": f"""WITH numbered AS (SELECT *, regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT % 50 AS number FROM final),
+        altered AS (SELECT * REPLACE (CASE number WHEN 8 THEN sha256('altered') ELSE image_sha256 END AS image_sha256,
+                                      CASE number WHEN 9 THEN sha256('altered') ELSE label_sha256 END AS label_sha256) FROM numbered),
+        frozen AS ({_TREE_DIGEST}), found AS ({_tree("altered")}),
+        verified AS (SELECT 'as frozen' AS state, f.dataset_sha256 AS e, f.dataset_sha256 AS c, f.files, 0::BIGINT AS bad FROM frozen f
+                 UNION ALL SELECT 'altered', f.dataset_sha256, g.dataset_sha256, g.files,
+                                  (SELECT count(*) FROM numbered WHERE number IN (8, 9)) FROM frozen f, found g)
+        SELECT state, e AS expected_sha256, e AS manifest_sha256, c AS computed_sha256, files AS files_verified,
+               bad AS bad_files, e = c AND bad = 0 AS passed FROM verified""",
     "freeze_summary": """SELECT (SELECT count(*) FROM records) AS input_images,
         (SELECT count(*) FROM (SELECT 1 FROM records GROUP BY digest HAVING count(*) > 1)) AS duplicate_groups,
         (SELECT count(*) FROM (SELECT 1 FROM records GROUP BY digest HAVING count(*) > 1 AND count(DISTINCT body) > 1)) AS inconsistent_groups,
