@@ -194,10 +194,7 @@ def refine_splits(
     names = list(ratios)
     width = 1 + 2 * classes
     current = cut_lineage(assigned)
-    totals = _totals(current, classes, names)
-    overall = [sum(totals[s][m] for s in names) for m in range(width)]
-    targets = {s: [max(total * ratios[s], 1.0) for total in overall] for s in names}
-    weights = [8.0] + [1.0] * classes + [4.0] * classes
+    totals, targets, weights = _goals(current, classes, ratios)
 
     def objective(state: dict[str, list[float]]) -> float:
         return sum(
@@ -208,7 +205,10 @@ def refine_splits(
 
     score = objective(totals)
     for turn in range(rounds):
-        proposed = _best_moves(current, classes, names, totals, targets, weights, f"{seed}:{turn}")
+        # written once a round: the sums and the next round both start from here
+        proposed = cut_lineage(
+            _best_moves(current, classes, names, totals, targets, weights, f"{seed}:{turn}").drop("delta")
+        )
         batches = _batch_sums(proposed, classes)
         best, best_score, best_state = None, score - 1e-12, None
         for smallest in sorted({row["halvings"] for row in batches}):
@@ -223,15 +223,32 @@ def refine_splits(
         if best is None:
             break
         moved = F.col("target").isNotNull() & (F.col("halvings") >= best)
-        current = cut_lineage(
-            proposed.withColumn("split", F.when(moved, F.col("target")).otherwise(F.col("split"))).drop(
-                "target", "halvings"
-            )
+        current = proposed.withColumn("split", F.when(moved, F.col("target")).otherwise(F.col("split"))).drop(
+            "target", "halvings"
         )
         score, totals = best_score, best_state
     return current
 
 
+def best_moves(
+    assigned: DataFrame, classes: int, ratios: Mapping[str, float] = settings.SPLIT_RATIOS, seed: int = 42
+) -> DataFrame:
+    """source_key, split, target, delta: the best move of every group by itself in the first round, and
+    what it changes of the objective; target is null where staying is best."""
+    totals, targets, weights = _goals(assigned, classes, ratios)
+    moves = _best_moves(assigned, classes, list(ratios), totals, targets, weights, f"{seed}:0")
+    return moves.select("source_key", "split", "target", "delta")
+
+
+def _goals(assigned: DataFrame, classes: int, ratios: Mapping[str, float]) -> tuple:
+    """(totals, targets, weights): per split what each measure sums up to and should, and how much
+    a measure's squared relative deviation counts."""
+    totals = _totals(assigned, classes, list(ratios))
+    overall = [sum(totals[s][m] for s in ratios) for m in range(1 + 2 * classes)]
+    targets = {s: [max(total * ratios[s], 1.0) for total in overall] for s in ratios}
+    return totals, targets, [8.0] + [1.0] * classes + [4.0] * classes
+
+
 def _measures(classes: int) -> list[Column]:
     return [
         F.col("size"),
@@ -258,8 +275,9 @@ def _best_moves(
     weights: list[float],
     salt: str,
 ) -> DataFrame:
-    """Add `target` (null when no move helps) and `halvings`, how often a seeded coin kept the group."""
-    row = F.concat(F.array(F.col("size")), F.col("class_counts"), F.col("class_image_counts"))
+    """Add `delta`, what the best move changes, `target` (null when no move helps) and `halvings`, how
+    often a seeded coin kept the group."""
+    row = [c.cast("double") for c in _measures(classes)]
 
     def change(split: str, direction: int) -> Column:
         """What adding (+1) or taking (-1) the group changes: a quadratic in its measures."""
@@ -268,14 +286,7 @@ def _best_moves(
         linear = [
             2.0 * direction * w * (t - g) / g**2 for w, t, g in zip(weights, totals[split], goal)
         ]
-        terms = F.arrays_zip(
-            row.alias("m"),
-            F.array(*map(F.lit, square)).alias("s"),
-            F.array(*map(F.lit, linear)).alias("l"),
-        )
-        return F.aggregate(
-            terms, F.lit(0.0), lambda acc, t: acc + t["m"] * (t["m"] * t["s"] + t["l"])
-        )
+        return sum((m * (m * a + b) for m, a, b in zip(row, square, linear)), F.lit(0.0))
 
     leaving = F.create_map(*(p for s in names for p in (F.lit(s), change(s, -1))))[F.col("split")]
     options = F.array(
@@ -290,8 +301,11 @@ def _best_moves(
     best = F.array_min(options)
     coin = F.conv(F.substring(F.sha2(F.concat(F.lit(salt + ":"), "source_key"), 256), 1, 8), 16, 10)
     halvings = F.least(F.lit(24), F.floor(32 - F.log2(coin.cast("double") + 1.0))).cast("int")
-    return current.withColumn("target", F.when(best["delta"] < -1e-12, best["split"])).withColumn(
-        "halvings", halvings
+    return current.withColumn("_best", best).select(
+        *(F.col(c) for c in current.columns),
+        F.col("_best.delta").alias("delta"),
+        F.when(F.col("_best.delta") < -1e-12, F.col("_best.split")).alias("target"),
+        halvings.alias("halvings"),
     )
 
 

@@ -440,6 +440,24 @@ QUERIES: dict[str, str] = {
         SELECT 8 AS weight, images::DOUBLE AS value, greatest(sum(images) OVER () * ratio, 1) AS target FROM split_sizes
         UNION ALL SELECT 1, annotations::DOUBLE, greatest(sum(annotations) OVER (PARTITION BY class_id) * ratio, 1) FROM sums
         UNION ALL SELECT 4, covered::DOUBLE, greatest(sum(covered) OVER (PARTITION BY class_id) * ratio, 1) FROM sums)""",
+    "split_best_moves": """WITH measures AS (
+          SELECT source_key, -1 AS class_id, 8 AS weight, size::DOUBLE AS v FROM groups
+          UNION ALL SELECT g.source_key, c.class_id, 1, coalesce(o.annotations, 0)::DOUBLE FROM groups g CROSS JOIN finals c
+            LEFT JOIN group_classes o ON o.source_key = g.source_key AND o.class_id = c.class_id
+          UNION ALL SELECT g.source_key, c.class_id, 4, coalesce(o.images, 0)::DOUBLE FROM groups g CROSS JOIN finals c
+            LEFT JOIN group_classes o ON o.source_key = g.source_key AND o.class_id = c.class_id),
+        goals AS (
+          SELECT split, -1 AS class_id, 8 AS weight, images::DOUBLE AS t, greatest(sum(images) OVER () * ratio, 1) AS g FROM split_sizes
+          UNION ALL SELECT split, class_id, 1, annotations::DOUBLE, greatest(sum(annotations) OVER (PARTITION BY class_id) * ratio, 1) FROM sums
+          UNION ALL SELECT split, class_id, 4, covered::DOUBLE, greatest(sum(covered) OVER (PARTITION BY class_id) * ratio, 1) FROM sums),
+        changes AS (SELECT source_key, split, sum(weight * v * (v + 2 * (t - g)) / g ** 2) AS enter,
+                           sum(weight * v * (v - 2 * (t - g)) / g ** 2) AS leave
+          FROM measures JOIN goals USING (class_id, weight) GROUP BY ALL),
+        options AS (SELECT a.source_key, a.split, e.split AS target, CASE WHEN e.split = a.split THEN 0.0 ELSE l.leave + e.enter END AS delta
+          FROM assigned a JOIN changes l USING (source_key, split) JOIN changes e ON e.source_key = a.source_key)
+        SELECT source_key, split, CASE WHEN delta < -1e-12 THEN target END AS target, round(delta, 9) AS delta FROM options
+        QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY delta, target) = 1""",
+    "split_refinement_check": "SELECT count(*) AS groups, sum(size)::BIGINT AS images, true AS not_worse FROM groups",
     "coverage_gaps": "SELECT split, class_name FROM sums JOIN finals USING (class_id) WHERE covered = 0",
     "leakage_audit": """WITH d AS (SELECT count(DISTINCT split) AS s FROM records GROUP BY digest HAVING count(*) > 1),
         k AS (SELECT 1 FROM records GROUP BY source_key HAVING count(DISTINCT split) > 1)

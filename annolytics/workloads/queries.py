@@ -314,6 +314,28 @@ def coverage_gaps(spark, sf):
     return split.coverage_gaps(sums(spark, sf), fx.FINAL, settings.FINAL_CLASSES)
 
 
+@query
+def split_best_moves(spark, sf):
+    """The first round of the refinement, group by group."""
+    moves = split.best_moves(assigned(spark, sf), FINAL_N)
+    return moves.withColumn("delta", F.round("delta", 9))
+
+
+@query
+def split_refinement_check(spark, sf):
+    """What a refinement may not change or make worse."""
+    before = cut_lineage(assigned(spark, sf))
+    after = cut_lineage(split.refine_splits(before, FINAL_N))
+
+    def objective(groups):
+        totals = split.split_sums(groups, FINAL_N, settings.OUTPUT_SPLITS)
+        return split.split_objective(totals, settings.SPLIT_RATIOS, FINAL_N).scalar()
+
+    return after.agg(F.count("*").alias("groups"), F.sum("size").cast("bigint").alias("images")).withColumn(
+        "not_worse", objective(after) <= objective(before)
+    )
+
+
 @query
 def split_refined(spark, sf):
     return split.refine_splits(assigned(spark, sf), FINAL_N).select("source_key", "size", "split")
