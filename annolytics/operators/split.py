@@ -288,11 +288,13 @@ def _best_moves(
         ]
         return sum((m * (m * a + b) for m, a, b in zip(row, square, linear)), F.lit(0.0))
 
-    leaving = F.create_map(*(p for s in names for p in (F.lit(s), change(s, -1))))[F.col("split")]
+    # columns of their own, so that every sum is worked out once
+    changes = {f"_enter_{s}": change(s, 1) for s in names} | {f"_leave_{s}": change(s, -1) for s in names}
+    leaving = F.coalesce(*(F.when(F.col("split") == s, F.col(f"_leave_{s}")) for s in names))
     options = F.array(
         *(
             F.struct(
-                F.when(F.col("split") != s, leaving + change(s, 1)).otherwise(0.0).alias("delta"),
+                F.when(F.col("split") != s, leaving + F.col(f"_enter_{s}")).otherwise(0.0).alias("delta"),
                 F.lit(s).alias("split"),
             )
             for s in names
@@ -301,7 +303,7 @@ def _best_moves(
     best = F.array_min(options)
     coin = F.conv(F.substring(F.sha2(F.concat(F.lit(salt + ":"), "source_key"), 256), 1, 8), 16, 10)
     halvings = F.least(F.lit(24), F.floor(32 - F.log2(coin.cast("double") + 1.0))).cast("int")
-    return current.withColumn("_best", best).select(
+    return current.withColumns(changes).withColumn("_best", best).select(
         *(F.col(c) for c in current.columns),
         F.col("_best.delta").alias("delta"),
         F.when(F.col("_best.delta") < -1e-12, F.col("_best.split")).alias("target"),
