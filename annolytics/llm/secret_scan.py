@@ -51,9 +51,25 @@ ASSIGN = Rule(
 ACCESS = Rule("access", r"AKIA[A-Z0-9]+", 20)
 HEX = Rule("hex", r"[0-9a-f]+", 24)
 BASE = (ASSIGN, ACCESS, HEX)
-# Further kinds.
+# Further kinds.  A private key goes on to its END line, if no other BEGIN or END line comes first; else over
+# header fields and base64 lines, also where line ends are escapes or lines are quoted.  Blank lines, and
+# blanks within a line, are passed only before 16 base64 characters, so that prose is kept.
+_LINE_END = (
+    r"""(?:(?:[\x20\t]*(?:(?:\\r)?\\n)?[\x20\t"'+,]*(?:\r?\n|\r)|[\x20\t]*(?:\\r)?\\n)[\x20\t>"'#*]*)"""
+)
+_BASE64 = r"(?:[A-Za-z0-9+/]|\\/)"
+_LAST = r"""(?=[\x20\t]*(?:[\r\n\\]|["'](?!\s*:)|-----|\Z))"""
+_FIELD = rf"{_LINE_END}(?:[A-Z][A-Za-z]*-[A-Za-z-]+|Comment|Version):[^\n\r\\]*+"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:"
+    r"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:(?:{_FIELD})++(?:{_LINE_END}(?={_LINE_END}))?+)?+"
+    rf"(?:{_LINE_END}{_BASE64}++=*+{_LAST}"
+    rf"|(?:{_LINE_END}|[\x20\t])*+{_BASE64}{{16,}}+=*+(?:[\x20\t]++{_BASE64}++=*+{_LAST})?+"
+    rf"|[\x20\t]++{_BASE64}++=*+\Z)*+)"  # cut off within its first line
+)
 EXTRA = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("code_host", r"(?:ghp|gho|ghs|ghu|ghr)_[A-Za-z0-9]+", 40),
     Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]+", 24),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
