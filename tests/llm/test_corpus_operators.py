@@ -11,10 +11,12 @@ import pytest
 import tiktoken
 import xxhash
 
+import corpus_pipeline
 from annolytics.llm import (
     bpe,
     chat_format,
     exact_dedup,
+    jaccard_dedup,
     near_dedup,
     packing,
     quality,
@@ -356,6 +358,40 @@ def test_simhash_components(docs, none):
     assert near_dedup.near_duplicates(none).count() == near_dedup.drop_near_copies(none).count() == 0
 
 
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(30):
+        words = prose(i, 200).split()
+        for _ in range(rng.randrange(1, 9)):  # each changed word costs five shingles
+            copy = list(words)
+            for at in rng.sample(range(200), rng.choice([0, 1, 2, 3, 4, 5, 8])):
+                copy[at] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    base = prose(77, 200).split()  # a large bucket whose members are linked to some of the others only
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 3, 5])):
+            copy[at] = f"new{rng.random()}"
+        texts.append(" ".join(copy))
+    texts += ["", "one two", "one  TWO", None]
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    near = [
+        [j for j, t in enumerate(sets) if (len(s & t) >= 0.8 * len(s | t) if s | t else True)] for s in sets
+    ]
+    wanted = list(range(len(texts)))
+    for _ in texts:
+        wanted = [min(wanted[j] for j in around) for around in near]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, frame, "").collect()) == sorted(set(wanted))
+    # op8's shingles and radius, used here before, keep more
+    assert len(set(wanted)) < near_dedup.drop_near_copies(frame).count()
+    assert jaccard_dedup.drop_similar(frame.limit(0)).count() == 0
+
+
 def test_links_lose_none(spark):
     rng = random.Random(2)
     values = []
