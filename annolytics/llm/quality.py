@@ -98,13 +98,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """A model from up to `per_class` labelled documents of each class, picked by a hash of the id.
-
-    Rows whose id's crc32 leaves 2 modulo 4 are held out.  Texts are turned into bags in the tasks;
-    the driver gets at most 2 * `per_class` bags of at most BUCKETS entries.  A repeated label or
-    id counts once (the smallest label, the smallest text); null ids and labels are left out.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, quality, ids, counts): the bags to learn from, one for each id however often it is repeated."""
     usable = (
         labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)")
         .filter(id_crc() % 4 != 2)
@@ -132,14 +127,24 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
                 names=["doc_id", "quality", "ids", "counts"],
             )
 
-    rows = (
+    return (
         texts.join(F.broadcast(picked), "doc_id")  # at most 2 * per_class ids
         .select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
         .mapInArrow(bags, "doc_id bigint, quality int, ids binary, counts binary")
-        .collect()
+        .groupBy("doc_id", "quality")
+        .agg(F.min(F.struct("ids", "counts")).alias("bag"))
+        .select("doc_id", "quality", "bag.*")
     )
-    one = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["ids"], r["counts"]), reverse=True)}
-    rows = [one[k] for k in sorted(one)]
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """A model from up to `per_class` labelled documents of each class, picked by a hash of the id.
+
+    Rows whose id's crc32 leaves 2 modulo 4 are held out.  Texts are turned into bags in the tasks;
+    the driver gets at most 2 * `per_class` bags of at most BUCKETS entries.  A repeated label or
+    id counts once (the smallest label, the smallest bag); null ids and labels are left out.
+    """
+    rows = sorted(sampled(docs, labels, per_class).collect(), key=lambda r: r["doc_id"])
     return train(
         [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows],
         np.array([r["quality"] for r in rows], int),

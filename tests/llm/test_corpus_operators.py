@@ -277,6 +277,17 @@ def test_quality_learns_junk(spark, none):
     assert quality.with_scores(none, blank).count() == 0
 
 
+def test_one_bag_of_a_repeated_id(spark):
+    texts = [(3, prose(i % 5)) for i in range(300)] + [(i, prose(i)) for i in range(20)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    found = quality.sampled(frame, labels, 100).collect()  # what goes to the driver
+    assert sorted(r.doc_id for r in found) == [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    (own,) = [(r.ids, r.counts) for r in found if r.doc_id == 3]
+    bags = [quality.bag(t.encode()) for i, t in texts if i == 3]
+    assert own == min((i.tobytes(), n.tobytes()) for i, n in bags)
+
+
 def test_folded_scores_equal_the_averaged_vectors():
     bags = [quality.bag(prose(i).encode()) for i in range(20)]
     model = quality.train(bags, np.array([i % 2 for i in range(20)]))
