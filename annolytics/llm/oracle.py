@@ -57,3 +57,55 @@ LLM_ORACLE = {
         FROM digests WINDOW same AS (PARTITION BY text_sha256)
     """,
 }
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+LLM_ORACLE["op12_filter_audit"] = rf"""
+    WITH facts AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, {_WORDS} AS words FROM documents
+    ), failing AS (
+        SELECT doc_id, part,
+               CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask
+        FROM facts
+    ), marked AS (
+        SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+        FROM failing LEFT JOIN (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+        ) USING (doc_id)
+    ), grouped AS (
+        SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+        FROM marked GROUP BY part, mask
+    ), orders AS (
+        SELECT [a.f, b.f, c.f, d.f, e.f] AS o
+        FROM range(5) a(f), range(5) b(f), range(5) c(f), range(5) d(f), range(5) e(f)
+        WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+    ), places AS (
+        SELECT o, s.k AS step, o[s.k] AS f,
+               (CASE WHEN s.k > 1 THEN 1 << o[1] ELSE 0 END) + (CASE WHEN s.k > 2 THEN 1 << o[2] ELSE 0 END)
+               + (CASE WHEN s.k > 3 THEN 1 << o[3] ELSE 0 END) + (CASE WHEN s.k > 4 THEN 1 << o[4] ELSE 0 END) AS before
+        FROM orders, range(1, 6) s(k)
+    ), result AS (
+        SELECT part, o, step, f,
+               sum(CASE WHEN mask & (before | (1 << f)) = 0 THEN n ELSE 0 END) AS kept,
+               sum(CASE WHEN mask & (1 << f) > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN mask & (1 << f) > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+               sum(CASE WHEN mask = (1 << f) THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN mask & (1 << f) > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+               sum(CASE WHEN mask & (1 << f) > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+        FROM grouped, places GROUP BY part, o, step, f
+    )
+    SELECT part,
+           substr('ABCDE', CAST(o[1] AS INT) + 1, 1) || substr('ABCDE', CAST(o[2] AS INT) + 1, 1)
+           || substr('ABCDE', CAST(o[3] AS INT) + 1, 1) || substr('ABCDE', CAST(o[4] AS INT) + 1, 1)
+           || substr('ABCDE', CAST(o[5] AS INT) + 1, 1) AS filter_order,
+           CAST(step AS INT) AS step,
+           CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+    FROM result
+"""

@@ -12,6 +12,7 @@ from annolytics.llm import (
     bpe,
     chat_format,
     exact_dedup,
+    filter_audit,
     near_dedup,
     packing,
     quality,
@@ -120,6 +121,10 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -133,5 +138,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_webp,
         op10_hash_tree_shards,
+        op12_filter_audit,
     )
 }
