@@ -109,3 +109,35 @@ LLM_ORACLE["op12_filter_audit"] = rf"""
            CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
     FROM result
 """
+
+_TERMS = rf"""regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LLM_ORACLE["op11_ranked_search"] = f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents
+    ), sizes AS (
+        SELECT r, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0
+    ), corpus AS (
+        SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes
+    ), asked AS (
+        SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+    ), counts AS (
+        SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+        WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counts, corpus GROUP BY term, docs
+    ), impacts AS (
+        SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS impact
+        FROM counts JOIN weights USING (term) JOIN sizes USING (r), corpus
+    ), scores AS (
+        SELECT item_id, doc_id, r, CAST(sum(impact) AS BIGINT) AS score
+        FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id, r
+    ), ranked AS (
+        SELECT item_id, doc_id, score,
+               row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scores WHERE score > 0
+    )
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -13,6 +13,7 @@ from annolytics.llm import (
     chat_format,
     exact_dedup,
     filter_audit,
+    lexical_search,
     near_dedup,
     packing,
     quality,
@@ -121,6 +122,11 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -138,6 +144,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_webp,
         op10_hash_tree_shards,
+        op11_ranked_search,
         op12_filter_audit,
     )
 }
