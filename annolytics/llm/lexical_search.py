@@ -27,7 +27,9 @@ BEST = 10
 SLICE_DOCUMENTS, SLICE_POSTINGS = 4_096, 500_000
 BLOCK = 32  # documents
 DIMENSIONS = 24  # of the sketches that say which documents are alike
+TABLE_CELLS = 2_000_000  # of the table in which maxima are found
 KEPT_MAXIMA = 4_000_000  # stored for a slice; lists are blocked anew beyond that
+PROBED = 10  # times as many postings as results wanted are looked at for the first bar
 BATCH_TERMS = 400_000  # terms of the items that are searched, and sent to the tasks, at once
 
 # Bytes of a term stay, A-Z lower-cased; the rest are spaces.  Code points above 127 are all term bytes.
@@ -47,7 +49,7 @@ def weight(documents: int, frequency: int) -> int:
 # --- index ----------------------------------------------------------------------------------------
 
 
-def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
+def _lists(values: pa.Array, sizes: list[int] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values)
 
 
@@ -89,19 +91,28 @@ def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(batch.num_rows), sizes), lists.flatten()
 
 
-def _frequencies(index: DataFrame, vocabulary: pa.Array) -> np.ndarray:
-    """In how many documents each term of the vocabulary occurs."""
+def _postings(index: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """(id, n, terms, times) with the terms of the vocabulary only, as their places in it, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            found = pc.index_in(batch.column(0).flatten(), value_set=vocabulary).drop_null()
-            total += np.bincount(found.to_numpy(), minlength=len(total))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["term", "df"])
+            row, terms = _flat(batch, "terms")
+            place = pc.index_in(terms, value_set=vocabulary)
+            hit = place.is_valid()
+            times = _flat(batch, "times")[1].filter(hit)
+            sizes = np.bincount(row[hit.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("n"), _lists(place.drop_null(), sizes), _lists(times, sizes)],
+                names=["id", "n", "terms", "times"],
+            )
+
+    return written(index.mapInArrow(run, "id bigint, n bigint, terms array<int>, times array<int>"), "lexical-postings")
+
 
-    rows = index.select("terms").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    found = np.zeros(len(vocabulary), np.int64)
+def _frequencies(postings: DataFrame, width: int) -> np.ndarray:
+    """In how many documents each term of the vocabulary occurs."""
+    rows = postings.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = np.zeros(width, np.int64)
     for row in rows.collect():  # a row a term of the batch at most
         found[row["term"]] = row["df"]
     return found
@@ -131,15 +142,20 @@ class Blocks:
             inside = np.arange(len(nearest)) - np.repeat(first, np.diff(np.r_[first, len(nearest)]))
             place = np.cumsum(np.r_[False, (nearest[1:] != nearest[:-1]) | (inside[1:] % BLOCK == 0)])
         self.documents, self.place = documents, place
-        at, sizes = slice_.postings(documents)
         # the coordinatewise maximum: of each block and term the largest impact
-        keys = np.repeat(place, sizes) * slice_.width + slice_.terms[at]
-        order = np.argsort(keys)
-        keys, impacts = keys[order], slice_.impacts[at][order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        self.maxima = np.maximum.reduceat(impacts, first)
-        self.terms = keys[first] % slice_.width
-        self.starts = np.searchsorted(keys[first] // slice_.width, np.arange(place[-1] + 1))
+        width, found = slice_.width, []
+        step = max(1, TABLE_CELLS // width)
+        for low in range(0, int(place[-1]) + 1, step):
+            here = slice(*np.searchsorted(place, (low, low + step)))
+            at, sizes = slice_.postings(documents[here])
+            table = np.zeros((int(place[here][-1]) - low + 1, width), np.int64)
+            np.maximum.at(table.ravel(), np.repeat(place[here] - low, sizes) * width + slice_.terms[at], slice_.impacts[at])
+            stored = table > 0
+            stored[:, 0] = True  # no block without an entry
+            block, terms = np.nonzero(stored)
+            found.append((block + low, terms, table[block, terms]))
+        block, self.terms, self.maxima = (np.concatenate(f) for f in zip(*found, strict=True))
+        self.starts = np.searchsorted(block, np.arange(place[-1] + 1))
 
     def bounds(self, wanted: np.ndarray) -> np.ndarray:
         """For each block a score that none of its documents exceeds."""
@@ -149,14 +165,14 @@ class Blocks:
 class Best:
     """The best documents of an item so far; equal scores by ascending id, null last."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, floor: int = 1):
+        self.size, self.floor = size, floor
         self.scores, self.ids, self.null = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     @property
     def least(self) -> int:
         """A lower score is of no use."""
-        return int(self.scores[-1]) if len(self.scores) == self.size else 1
+        return int(self.scores[-1]) if len(self.scores) == self.size else self.floor
 
     def offer(self, scores: np.ndarray, ids: np.ndarray, null: np.ndarray) -> None:
         good = scores >= self.least
@@ -208,19 +224,24 @@ class Slice:
             self.kept += len(found.maxima)
         return found
 
-    def search(self, item: np.ndarray, best: Best) -> None:
-        """Add to `best` what this slice has for the distinct terms of an item."""
+    def search(self, item: np.ndarray, best: Best, lists: int | None = None) -> None:
+        """Add to `best` what this slice has for the distinct terms of an item.
+
+        With `lists`, only documents of the lists of that many terms are looked at, the first of the item.
+        """
         peaks = self.peaks[item]
+        if lists is not None:
+            peaks = np.where(np.arange(len(item)) < lists, peaks, 0)
         order = np.argsort(-peaks, kind="stable")
         wanted = np.zeros(self.width, np.int64)
         wanted[item] = 1
         seen = np.zeros(len(self.ids), bool)
         # a document with none of the terms so far scores at most what the lists ahead can add
-        ahead = np.cumsum(peaks[order][::-1])[::-1]
-        for term, most in zip(item[order].tolist(), ahead.tolist(), strict=True):
-            if most < best.least:
+        ahead = np.cumsum(self.peaks[item][order][::-1])[::-1]
+        for place, most in zip(order.tolist(), ahead.tolist(), strict=True):
+            if most < best.least or not peaks[place]:
                 break
-            blocks = self.blocks(term)
+            blocks = self.blocks(int(item[place]))
             alive = blocks.bounds(wanted) >= best.least
             self.skipped += int((~alive).sum())
             chosen = blocks.documents[alive[blocks.place]]
@@ -241,30 +262,24 @@ def impacts(times: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.n
     return weights * ((1_000_000_000 * times) // (1000 * times + 8 * lengths))
 
 
-def _search_batch(
-    index: DataFrame, items: list[tuple[int, list[str]]], documents: int, total: int, size: int
+def _best_of_tasks(
+    postings: DataFrame, items: list[np.ndarray], weights: np.ndarray, documents: int, total: int, size: int,
+    lists: list[int] | None = None, floors: list[int] | None = None,
 ) -> DataFrame:
-    """(item, id, score): for each task and item (a number and its terms) the best documents of the task."""
-    vocabulary = pa.array(sorted({t for _, terms in items for t in terms}), pa.string())
-    number = {t: i for i, t in enumerate(vocabulary.to_pylist())}
-    wanted = [(i, np.array(sorted(number[t] for t in terms), np.int64)) for i, terms in items]
-    weights = np.array([weight(documents, df) for df in _frequencies(index, vocabulary).tolist()], np.int64)
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
-        parts: list[tuple] = []
-        rows = postings = 0
+    """(item, id, score): of every task and item (terms, rarest first) the best documents.
 
-        def made() -> Slice:
-            return Slice(*(np.concatenate(p) for p in zip(*parts, strict=True)), len(vocabulary))
+    `lists` restricts each item to its first terms' lists; scores below its floor are of no use.
+    """
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+        parts: list[tuple] = []
+        rows = found = 0
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 row, terms = _flat(part, "terms")
-                term = pc.index_in(terms, value_set=vocabulary)
-                hit = term.is_valid().to_numpy(zero_copy_only=False)
-                row, term = row[hit], term.drop_null().to_numpy().astype(np.int64)
-                times = _flat(part, "times")[1].to_numpy()[hit].astype(np.int64)
+                terms = terms.to_numpy().astype(np.int64)
+                times = _flat(part, "times")[1].to_numpy().astype(np.int64)
                 length = np.array([10 + 90 * n * documents // total for n in part.column("n").to_pylist()], np.int64)
                 ids = part.column("id")
                 parts.append(
@@ -272,34 +287,64 @@ def _search_batch(
                         ids.fill_null(0).to_numpy(),
                         ids.is_null().to_numpy(zero_copy_only=False),
                         row + rows,
-                        term,
-                        impacts(times, length[row], weights[term]),
+                        terms,
+                        impacts(times, length[row], weights[terms]),
                     )
                 )
                 rows += part.num_rows
-                postings += len(row)
-                if rows >= SLICE_DOCUMENTS or postings >= SLICE_POSTINGS:
-                    yield made()
-                    parts, rows, postings = [], 0, 0
+                found += len(row)
+                if rows >= SLICE_DOCUMENTS or found >= SLICE_POSTINGS:
+                    yield Slice(*(np.concatenate(p) for p in zip(*parts, strict=True)), len(weights))
+                    parts, rows, found = [], 0, 0
         if parts:
-            yield made()
+            yield Slice(*(np.concatenate(p) for p in zip(*parts, strict=True)), len(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the best of earlier slices raise the bar for later ones
-        found = [Best(size) for _ in wanted]
-        for part in sliced(batches):
-            for best, (_, terms) in zip(found, wanted, strict=True):
-                part.search(terms, best)
+        best = [Best(size, floors[i] if floors else 1) for i in range(len(items))]
+        for part in slices(batches):
+            for i, item in enumerate(items):
+                part.search(item, best[i], lists[i] if lists else None)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat([i for i, _ in wanted], [len(b.ids) for b in found]), pa.int64()),
-                pa.array(np.concatenate([b.ids for b in found]), mask=np.concatenate([b.null for b in found])),
-                pa.array(np.concatenate([b.scores for b in found])),
+                pa.array(np.repeat(np.arange(len(items)), [len(b.ids) for b in best])),
+                pa.array(np.concatenate([b.ids for b in best]), mask=np.concatenate([b.null for b in best])),
+                pa.array(np.concatenate([b.scores for b in best])),
             ],
             names=["item", "id", "score"],
         )
 
-    return index.mapInArrow(run, "item bigint, id bigint, score bigint")
+    return postings.mapInArrow(run, "item bigint, id bigint, score bigint")
+
+
+def _ranked(best: DataFrame, size: int) -> DataFrame:
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+
+
+def _search_batch(
+    index: DataFrame, items: list[tuple[int, list[str]]], documents: int, total: int, size: int
+) -> DataFrame:
+    """(item, id, rank, score) of some items, each a number and its terms.
+
+    The lists of each item's rarest terms are searched first.  The last score they give is one that the
+    result reaches anyway, so the search of all lists starts with it as its bar.
+    """
+    vocabulary = pa.array(sorted({t for _, terms in items for t in terms}), pa.string())
+    place = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+    postings = _postings(index, vocabulary)
+    df = _frequencies(postings, len(vocabulary))
+    weights = np.array([weight(documents, n) for n in df.tolist()], np.int64)
+    asked = [np.array([place[t] for t in terms], np.int64) for _, terms in items]
+    asked = [terms[np.lexsort((terms, df[terms]))] for terms in asked]
+    rare = [int(np.searchsorted(np.cumsum(df[terms]), PROBED * size)) + 1 for terms in asked]
+    probed = _ranked(_best_of_tasks(postings, asked, weights, documents, total, size, lists=rare), size)
+    floors = [1] * len(items)
+    for row in probed.filter(F.col("rank") == size).collect():  # a row an item at most
+        floors[row["item"]] = row["score"]
+    numbers = index.sparkSession.createDataFrame([(i, n) for i, (n, _) in enumerate(items)], "item bigint, number bigint")
+    found = _ranked(_best_of_tasks(postings, asked, weights, documents, total, size, floors=floors), size)
+    return found.join(F.broadcast(numbers), "item").select(F.col("number").alias("item"), "id", "rank", "score")
 
 
 def search(index: DataFrame, items: DataFrame, size: int = BEST) -> DataFrame:
@@ -326,11 +371,8 @@ def search(index: DataFrame, items: DataFrame, size: int = BEST) -> DataFrame:
             found.append(written(
                 _search_batch(index, [tuple(r) for r in rows], total["documents"], total["total"], size), "lexical-best"
             ))
-    best = spark.createDataFrame([], "item bigint, id bigint, score bigint")
+    best = spark.createDataFrame([], "item bigint, id bigint, rank int, score bigint")
     for part in found:
         best = best.unionByName(part)
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
-    return ranked.join(
-        numbered.select(F.col(position).alias("item"), F.col("id").alias("item_id")), "item"
-    ).select("item_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+    names = numbered.select(F.col(position).alias("item"), F.col("id").alias("item_id"))
+    return best.join(names, "item").select("item_id", "rank", F.col("id").alias("doc_id"), "score")
