@@ -13,6 +13,7 @@ from annolytics.llm import (
     chat_format,
     exact_dedup,
     filter_audit,
+    language,
     lexical_search,
     near_dedup,
     packing,
@@ -131,6 +132,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return language.with_languages(docs.select("doc_id", "text"), model).select(
+        "doc_id", (id_crc() % 4 == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -146,5 +155,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_hash_tree_shards,
         op11_ranked_search,
         op12_filter_audit,
+        op13_language_id,
     )
 }
