@@ -11,7 +11,7 @@ from annolytics.llm.queries import LLM_QUERIES
 @pytest.mark.parametrize("name", sorted(LLM_ORACLE))
 def test_query_equals_its_sql(spark, sf_dir, name):
     connection = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark", "labels"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     cursor = connection.execute(LLM_ORACLE[name])
     columns = [d[0] for d in cursor.description]
