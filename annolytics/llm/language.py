@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from annolytics.llm.common import extended, free_names, id_crc, whole_text, written
 
 PER_LANGUAGE = 500  # documents to learn from: about so many, picked by a hash of the id
+BROADCAST_IDS = 200_000
 ROUNDS = 4
 ADDED = 0.01  # to every piece's expected occurrences
 LONGEST_LEARNED = 28  # letters; longer words are scored, not learned from
@@ -143,7 +144,7 @@ class Model:
 def sampled(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text) of about `per_language` documents of each language, one row an id.
 
-    Ids are sampled first, by a hash held against the share wanted, so no text but those of the sample moves.
+    Ids are sampled first, by a hash held against the share wanted, so only texts of the sample move.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (id_crc() % 4 != 2)).select(
         F.col("lang").cast("string").alias("lang"), "doc_id", whole_text().alias("text")
@@ -152,6 +153,10 @@ def sampled(docs: DataFrame, per_language: int) -> DataFrame:
     sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id"), 11) / F.lit(float(1 << 53))
     chosen = ids.join(sizes, "lang").filter(draw * F.col("size") < per_language).select("lang", F.col("doc_id").alias("id"))
+    # some languages' worth of ids go to every task; more are joined by a shuffle
+    chosen = written(chosen, "language-ids")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     same = (usable["lang"] == chosen["lang"]) & usable["doc_id"].eqNullSafe(chosen["id"])
     return usable.join(chosen, same, "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).drop("doc_id")
 
