@@ -103,6 +103,8 @@ def bad_lines(lines: Column) -> Column:
 
 def class_counts(lines: Column, class_ids: list[int]) -> Column:
     """ARRAY<BIGINT>: how many of `lines` carry each class id, in the given order."""
+    if not class_ids:
+        return F.array().cast("array<bigint>")
     wanted = F.array(*(F.lit(k).cast("bigint") for k in class_ids))
     # The lines are the argument of the fold and never captured by a lambda, which would parse them
     # again for every class.

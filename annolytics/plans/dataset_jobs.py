@@ -12,10 +12,11 @@ from annolytics.functions.content import digest
 from annolytics.operators import dedup, freeze, remap, split, validate
 from annolytics.operators.items import join_labels, with_lines
 from annolytics.session import cut_lineage
+from annolytics.sources.files import copied_files, text_files, write_files
 from annolytics.sources.images import scan_images, scan_labels, scan_named
 from annolytics.sources.publish import check_target, publish, published, read_published
-from annolytics.sources.spec import DatasetSpec, issue_rows, read_spec
-from annolytics.sources.storage import file_status
+from annolytics.sources.spec import DatasetSpec, issue_rows, read_spec, spec_text
+from annolytics.sources.storage import create_file, file_status
 from annolytics.taxonomy import Taxonomy
 
 
@@ -37,8 +38,7 @@ def _remapped_items(spark: SparkSession, target: str, algorithm: str) -> tuple[D
     if algorithm != "sha256":
         raise ValueError("a remapped dataset records sha256 digests")
     folder = published(spark, target)
-    classes = spark.read.parquet(f"{folder}/classes").orderBy("class_id").collect()
-    taxonomy = Taxonomy.of({row.class_id: row.class_name for row in classes})
+    taxonomy = _read_classes(spark, folder)
     inner = {name: split for split, name in settings.PUBLISHED_SPLIT_NAMES.items()}
     sources = {split: (f"{folder}/labels/split={name}",) for name, split in inner.items()}
     labels = spark.read.schema(_REMAPPED).parquet(f"{folder}/labels")
@@ -197,6 +197,7 @@ def freeze_records(
         "removed_files": dedup.removed_files(judged),
         "counts": freeze.freeze_counts(records, duplicates, judged, final, removed),
         "objective": split.split_objective(sums, ratios, n),
+        "classes": classes.table(judged.sparkSession),
     }
 
 
@@ -223,6 +224,40 @@ def verify_frozen(
     )
 
 
+def export_dataset(spark: SparkSession, target: str, folder: str, name: str = "data.yaml") -> dict[str, int]:
+    """The newest published remap or freeze below `target` as a plain folder that other tools read: a copy
+    of every image, a label file each, and a specification, which is written last.
+
+    Images are copied from where the dataset was read, and must still have their recorded digests.
+    Returns how many files and bytes were written by how many tasks.
+    """
+    version = published(spark, target)
+    check_target(spark, version, folder, overwrite=False)
+    if file_status(spark, f"{version}/items") == "folder":
+        items = spark.read.parquet(f"{version}/items")
+    else:
+        labels = spark.read.schema(_REMAPPED).parquet(f"{version}/labels")
+        items = labels.select(
+            F.col("output_image").alias("image"),
+            F.col("output_label").alias("label"),
+            F.col("path").alias("source_image"),
+            F.col("digest").alias("image_sha256"),
+            "label_text",
+        )
+    written = write_files(
+        copied_files(items, "image", "source_image", "image_sha256").unionByName(text_files(items, "label", "label_text")),
+        folder,
+    )
+    folders = {split: f"{output}/images" for split, output in settings.PUBLISHED_SPLIT_NAMES.items()}
+    create_file(spark, f"{folder}/{name}", spec_text(_read_classes(spark, version), folders, version))
+    return written
+
+
+def _read_classes(spark: SparkSession, folder: str) -> Taxonomy:
+    rows = spark.read.parquet(f"{folder}/classes").orderBy("class_id").collect()
+    return Taxonomy.of({row.class_id: row.class_name for row in rows})
+
+
 def _require_images(items: DataFrame) -> DataFrame:
     missing = F.concat(F.lit("source image does not exist: "), F.col("path"))
     return items.withColumn(

@@ -70,6 +70,14 @@ def read_spec(spark: SparkSession, path: str) -> DatasetSpec:
     return DatasetSpec(path, root, taxonomy, sources)
 
 
+def spec_text(taxonomy: Taxonomy, sources: dict[str, str], origin: str) -> str:
+    """A specification of a dataset folder, in block YAML; strings are quoted as in JSON."""
+    lines = ["path: .", *(f"{split}: {json.dumps(source)}" for split, source in sources.items())]
+    lines += [f"nc: {len(taxonomy.ids)}", "names:"]
+    lines += [f"  {i}: {json.dumps(name, ensure_ascii=False)}" for i, name in taxonomy.names.items()]
+    return "\n".join([*lines, "source:", f"  folder: {json.dumps(origin, ensure_ascii=False)}"]) + "\n"
+
+
 def _resolve(path: str, base: str) -> str:
     if path.startswith("/") or "://" in path:
         return posixpath.normpath(path) if path.startswith("/") else path.rstrip("/")

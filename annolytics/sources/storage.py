@@ -33,3 +33,11 @@ def listed_paths(files: DataFrame) -> DataFrame:
     # the listing is URL-encoded, but a plus sign in it is a plus sign
     decoded = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
     return DataFrame(listed.toDF(), spark).select(decoded.alias("path"))
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small new text file."""
+    system, target = file_system(spark, path)
+    out = system.create(target, False)
+    out.write(bytearray(text.encode()))
+    out.close()
