@@ -33,3 +33,82 @@ def looks_like_image(content: Column) -> Column:
 def utf8_text(content: Column) -> Column:
     """File bytes as text; null when they are not valid UTF-8."""
     return F.try_validate_utf8(content.cast("string"))
+
+
+# --- sizes from header bytes ----------------------------------------------------------------------
+
+
+def _number(content: Column, at: Column | int, size: int, little: bool = False) -> Column:
+    """Unsigned number of `size` bytes, from byte `at` (the first is 1); null beyond the end."""
+    at = F.lit(at) if isinstance(at, int) else at
+    parts = [F.hex(F.substring(content, at + i, F.lit(1))) for i in range(size)]
+    text = F.concat(*(reversed(parts) if little else parts))
+    return F.when(F.length(text) == 2 * size, F.conv(text, 16, 10).cast("bigint"))
+
+
+def _size(width: Column, height: Column) -> Column:
+    return F.struct(width.try_cast("int").alias("width"), height.try_cast("int").alias("height"))
+
+
+def _jpeg_walk(content: Column, steps: Column) -> Column:
+    """Up to `steps` segments, each skipped by its length, to the frame header: (at, width, height);
+    `at` is null when the walk has ended."""
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        marker = F.hex(F.substring(content, at.try_cast("int"), F.lit(2)))
+        frame = marker.rlike("^FFC[0-35-79-BD-F]$")
+        after = (
+            F.when(frame | ~F.startswith(marker, F.lit("FF")) | marker.isin("FFDA", "FFD9"), None)
+            .when(marker == "FFFF", at + 1)
+            .when(marker.rlike("^FF(01|D[0-8])$"), at + 2)
+            .otherwise(at + 2 + _number(content, (at + 2).try_cast("int"), 2))
+        )
+        return F.struct(
+            after.alias("at"),
+            F.when(frame, _number(content, (at + 7).try_cast("int"), 2)).otherwise(state["width"]).alias("width"),
+            F.when(frame, _number(content, (at + 5).try_cast("int"), 2)).otherwise(state["height"]).alias("height"),
+        )
+
+    none = F.lit(None).cast("bigint")
+    start = F.struct(F.lit(3).cast("bigint").alias("at"), none.alias("width"), none.alias("height"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step)
+
+
+def image_size(content: Column) -> Column:
+    """Struct (width, height) in pixels from the header of PNG, JPEG, BMP and WebP bytes, null for others.
+
+    PNG, BMP and WebP have their sizes at fixed places.  A JPEG is walked from segment to segment; one with
+    more segments before its frame than nearly all files have is walked again, as far as it goes.
+    """
+    head = F.hex(F.substring(content, 1, 30))
+    few = _jpeg_walk(content, F.lit(64))
+    every = _jpeg_walk(content, F.greatest(F.lit(1), (F.octet_length(content) / 2).cast("int")))
+    jpeg = F.when(few["at"].isNull(), few).otherwise(every)
+    lossless, tall = _number(content, 22, 4, little=True), _number(content, 23, 4, little=True)
+    return (
+        F.when(
+            F.startswith(head, F.lit("89504E470D0A1A0A")) & (F.substring(head, 25, 8) == "49484452"),
+            _size(_number(content, 17, 4), _number(content, 21, 4)),
+        )
+        .when(F.startswith(head, F.lit("FFD8FF")), F.transform(F.array(jpeg), lambda j: _size(j["width"], j["height"]))[0])
+        .when(
+            F.startswith(head, F.lit("424D")),
+            # a negative height counts rows from the top
+            _size(_number(content, 19, 4, True), F.least(tall, F.lit(1 << 32) - tall)),
+        )
+        .when(
+            head.rlike("^52494646.{8}5745425056503858"),
+            _size(_number(content, 25, 3, True) + 1, _number(content, 28, 3, True) + 1),
+        )
+        .when(
+            head.rlike("^52494646.{8}574542505650384C"),
+            _size(lossless.bitwiseAND(16383) + 1, F.shiftright(lossless, 14).bitwiseAND(16383) + 1),
+        )
+        .when(
+            head.rlike("^52494646.{8}5745425056503820"),
+            _size(
+                _number(content, 27, 2, True).bitwiseAND(16383), _number(content, 29, 2, True).bitwiseAND(16383)
+            ),
+        )
+    )

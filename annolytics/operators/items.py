@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.functions.content import digest, looks_like_image, utf8_text
+from annolytics.functions.boxes import corners
+from annolytics.functions.content import digest, image_size, looks_like_image, utf8_text
 from annolytics.functions.labels import parse_lines
 from annolytics.functions.paths import label_path
 from annolytics.taxonomy import Taxonomy
 
 
-def image_facts(images: DataFrame, algorithm: str = "sha256") -> DataFrame:
+def image_facts(images: DataFrame, algorithm: str = "sha256", sizes: bool = False) -> DataFrame:
     """`content` (null when a listed file does not exist) reduced to image_present, image_readable (a
-    signature test) and digest; other columns stay.  To be done before anything is shuffled."""
+    signature test) and digest, with `sizes` to width and height too; other columns stay.  To be done
+    before anything is shuffled."""
     content = F.col("content")
+    if sizes:
+        images = images.withColumn("_size", image_size(content)).selectExpr(
+            *(f"`{c}`" for c in images.columns), "_size.width AS width", "_size.height AS height"
+        )
     return images.select(
         *(c for c in images.columns if c != "content"),
         content.isNotNull().alias("image_present"),
@@ -38,10 +44,10 @@ def join_labels(facts: DataFrame, label_files: DataFrame, root: str) -> DataFram
 
 
 def annotated_items(
-    images: DataFrame, label_files: DataFrame, root: str, algorithm: str = "sha256"
+    images: DataFrame, label_files: DataFrame, root: str, algorithm: str = "sha256", sizes: bool = False
 ) -> DataFrame:
     """`images`: split, path, content and any further columns; `label_files`: label_path, content."""
-    return join_labels(image_facts(images, algorithm), label_files, root)
+    return join_labels(image_facts(images, algorithm, sizes), label_files, root)
 
 
 def with_lines(items: DataFrame, taxonomy: Taxonomy) -> DataFrame:
@@ -59,3 +65,19 @@ def annotations(items: DataFrame) -> DataFrame:
         "line.class_id",
         *(F.get("line.box", i).alias(name) for i, name in enumerate("xywh")),
     )
+
+
+def truth_boxes(items: DataFrame, image: str = "path") -> DataFrame:
+    """The valid annotations of items with `lines`, width and height as boxes in pixels: image_id, idx (the
+    line), class_id, x1..y2, width, height.  An image of unknown size that has annotations is an error."""
+    unknown = F.raise_error(F.concat(F.lit("image size is unknown: "), F.col("path"))).cast("int")
+    sized = annotations(items).withColumn("width", F.coalesce("width", unknown))
+    box = corners(*(F.col(c) for c in ("x", "y", "w", "h", "width", "height")))
+    return sized.select(
+        F.col(image).alias("image_id"),
+        F.col("line_no").cast("bigint").alias("idx"),
+        "class_id",
+        box.alias("box"),
+        "width",
+        "height",
+    ).select("image_id", "idx", "class_id", "box.*", "width", "height")

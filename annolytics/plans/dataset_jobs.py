@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics import settings
 from annolytics.functions.content import digest
-from annolytics.operators import dedup, freeze, remap, split, validate
-from annolytics.operators.items import join_labels, with_lines
+from annolytics.operators import dedup, errors, freeze, remap, split, validate
+from annolytics.operators.items import join_labels, truth_boxes, with_lines
 from annolytics.session import cut_lineage
 from annolytics.sources.files import copied_files, text_files, write_files
 from annolytics.sources.images import scan_images, scan_labels, scan_named
-from annolytics.sources.publish import check_target, publish, published, read_published
+from annolytics.sources.publish import check_target, publish, published, read_published, write_reports
 from annolytics.sources.spec import DatasetSpec, issue_rows, read_spec, spec_text
 from annolytics.sources.storage import create_file, file_status
 from annolytics.taxonomy import Taxonomy
 
 
 def load_items(
-    spark: SparkSession, path: str, algorithm: str = "sha256"
+    spark: SparkSession, path: str, algorithm: str = "sha256", sizes: bool = False
 ) -> tuple[DatasetSpec, DataFrame, DataFrame]:
     """(specification, items, issues of sources) of a dataset: a specification file, or the target folder
-    of `remap_dataset`, whose newest published version is read."""
+    of `remap_dataset`, whose newest published version is read (without sizes of images)."""
     if file_status(spark, path) == "folder":
+        if sizes:
+            raise ValueError("a remapped dataset records no image sizes: export it and read its specification")
         return _remapped_items(spark, path, algorithm)
     spec = read_spec(spark, path)
-    images, issues = scan_images(spark, spec, algorithm)
+    images, issues = scan_images(spark, spec, algorithm, sizes)
     items = join_labels(images, scan_labels(spark, images, spec.root), spec.root)
     return spec, items, issues
 
@@ -63,16 +66,18 @@ _REMAPPED = (
 
 
 def validate_dataset(
-    spark: SparkSession, path: str, algorithm: str = "sha256"
+    spark: SparkSession, path: str, algorithm: str = "sha256", report: str | None = None
 ) -> dict[str, DataFrame]:
-    """Tables of the audit: issues, issue_counts, verdict, splits, classes, totals, duplicates."""
+    """Tables of the audit: issues, issue_counts, verdict, splits, classes, totals, duplicates.  With `report`
+    the counts and issues are written there too."""
+    started = datetime.now(UTC)
     spec, items, source_issues = load_items(spark, path, algorithm)
     # All tables below start from these compact rows: image bytes are read once.
     items = with_lines(cut_lineage(items), spec.taxonomy)
     issues = validate.all_issues(items, source_issues)
     counts = validate.split_counts(items, spec.taxonomy)
     grid = validate.class_grid(counts, spec.taxonomy, list(spec.sources))
-    return {
+    tables = {
         "issues": issues,
         "issue_counts": validate.issue_counts(issues),
         "verdict": validate.dataset_is_valid(issues),
@@ -81,6 +86,41 @@ def validate_dataset(
         "totals": validate.class_totals(grid),
         "duplicates": validate.duplicate_members(items),
     }
+    if report is not None:
+        flat = ("issues", "issue_counts", "verdict", "classes", "totals", "duplicates")
+        write_reports({name: tables[name] for name in flat}, report, started)
+    return tables
+
+
+def analyse_errors(
+    spark: SparkSession,
+    path: str,
+    predictions: DataFrame,
+    split_name: str = "test",
+    active: float = settings.ACTIVE_CONFIDENCE,
+    low: float = settings.LOW_CONFIDENCE,
+    report: str | None = None,
+) -> dict[str, DataFrame]:
+    """What goes wrong on one split of a dataset, from its label files, the sizes in its images' headers and
+    `predictions`: path, idx, class_id, x1, y1, x2, y2 (pixels) and conf.
+
+    Tables: images (events per image and category), categories, examples.  A bad label line or an annotated
+    image whose size its header does not tell stops the job.
+    """
+    started = datetime.now(UTC)
+    spec, items, issues = load_items(spark, path, sizes=True)
+    _require_sources(issues)
+    chosen = _require_images(items.where(F.col("split") == split_name))
+    truth = cut_lineage(truth_boxes(remap.reject_bad_lines(with_lines(chosen, spec.taxonomy))))
+    found = cut_lineage(errors.image_errors(truth, predictions.withColumnRenamed("path", "image_id"), active, low))
+    tables = {
+        "images": found,
+        "categories": errors.error_categories(found),
+        "examples": errors.error_examples(found),
+    }
+    if report is not None:
+        write_reports(tables, report, started)
+    return tables
 
 
 def remap_dataset(

@@ -15,7 +15,12 @@ from annolytics.operators.items import image_facts
 from annolytics.sources.spec import DatasetSpec, issue_rows
 from annolytics.sources.storage import file_status, listed_paths
 
-_FACTS = "path string, image_present boolean, image_readable boolean, digest string"
+
+
+def _facts(sizes: bool) -> str:
+    """The columns of `image_facts`."""
+    found = "path string, image_present boolean, image_readable boolean, digest string"
+    return f"{found}, width int, height int" if sizes else found
 
 
 def scan_files(spark: SparkSession, folders: str | Sequence[str], glob: str, below: bool = True) -> DataFrame:
@@ -93,12 +98,14 @@ def resolve_list(entries: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def scan_images(spark: SparkSession, spec: DatasetSpec, algorithm: str = "sha256") -> tuple[DataFrame, DataFrame]:
-    """(images, issues): split, path, image_present, image_readable and digest over all sources of all
-    splits, one row per split and path; and the issues of splits and sources themselves.  Contents
+def scan_images(
+    spark: SparkSession, spec: DatasetSpec, algorithm: str = "sha256", sizes: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(images, issues): split, path, image_present, image_readable and digest (and with `sizes` width and
+    height) over all sources of all splits, one row per split and path; and the issues of splits and sources themselves.  Contents
     are reduced as they are read and go no further."""
     issues: list[tuple] = []
-    images = spark.createDataFrame([], f"split string, {_FACTS}")
+    images = spark.createDataFrame([], f"split string, {_facts(sizes)}")
 
     def report(severity: str, code: str, message: str, split: str) -> None:
         issues.append((severity, code, message, split, None, None, None))
@@ -112,9 +119,9 @@ def scan_images(spark: SparkSession, spec: DatasetSpec, algorithm: str = "sha256
                 report("error", "missing_split_path", f"Split path does not exist: {source}", split)
                 continue
             if status == "file" and source.endswith(".txt"):
-                found = _scan_list(spark, source, spec.root, algorithm)
+                found = _scan_list(spark, source, spec.root, algorithm, sizes)
             else:
-                found = image_facts(scan_folder(spark, source), algorithm)
+                found = image_facts(scan_folder(spark, source), algorithm, sizes)
             if found.select("path").isEmpty():
                 report("warning", "empty_split", f"No supported images found in: {source}", split)
                 continue
@@ -124,14 +131,14 @@ def scan_images(spark: SparkSession, spec: DatasetSpec, algorithm: str = "sha256
     return images, issue_rows(spark, issues)
 
 
-def _scan_list(spark: SparkSession, list_file: str, root: str, algorithm: str) -> DataFrame:
+def _scan_list(spark: SparkSession, list_file: str, root: str, algorithm: str, sizes: bool) -> DataFrame:
     """Listed images, wherever they lie.  Images beside listed ones are read too, others are not."""
     entries = read_list_file(spark, list_file, root)
     folders = existing_folders(spark, F.col("root_path"), F.col("list_path"), of=entries)
     if folders:
-        facts = image_facts(scan_folder(spark, folders, below=False), algorithm)
+        facts = image_facts(scan_folder(spark, folders, below=False), algorithm, sizes)
     else:
-        facts = spark.createDataFrame([], _FACTS)
+        facts = spark.createDataFrame([], _facts(sizes))
     return resolve_list(entries, facts)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from annolytics.sources.storage import file_status, file_system
 
@@ -68,6 +70,22 @@ def write_report(table: DataFrame, path: str, kind: str = "json") -> None:
         raise ValueError("a report is written as json or csv")
 
 
+def write_reports(tables: Mapping[str, DataFrame], folder: str, started: datetime) -> None:
+    """One CSV report a table below a new folder, and last `run` (JSON): when the job started and finished,
+    in UTC, and the seconds between, with the rows of every report, counted while they are written."""
+    spark = next(iter(tables.values())).sparkSession
+    if file_status(spark, folder) != "missing":
+        raise FileExistsError(f"target already exists: {folder}")
+    seen = {}
+    for name, table in tables.items():
+        seen[name] = Observation()
+        write_report(table.observe(seen[name], F.count(F.lit(1)).alias("rows")), f"{folder}/{name}", "csv")
+    finished = datetime.now(UTC)
+    row = (started, finished, (finished - started).total_seconds(), {n: o.get["rows"] for n, o in seen.items()})
+    kind = "started timestamp, finished timestamp, elapsed_seconds double, rows map<string, long>"
+    write_report(spark.createDataFrame([row], kind), f"{folder}/run", "json")
+
+
 def _versions(spark: SparkSession, target: str) -> list[int]:
     system, path = file_system(spark, target)
     if not system.exists(path):

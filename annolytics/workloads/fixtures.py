@@ -92,6 +92,19 @@ PREDICTIONS = {
     "y2": f"({BOX_V} * (1 - {BOX_H}) + {BOX_H}) * 640",
     "conf": CONFIDENCE,
 }
+WIDTH, HEIGHT = "(320 + 16 * (doc_id % 41))", "(240 + 16 * (doc_id % 29))"
+# From the boxes of label lines: shifted, some given the next class.
+LABEL_SHIFT = "((image_id + idx) % 5 * 0.15e0 * (x2 - x1))"
+LABEL_PREDICTIONS = {
+    "image_id": "image_id",
+    "idx": "idx",
+    "class_id": "(class_id + CASE WHEN (image_id + idx) % 11 = 0 THEN 1 ELSE 0 END) % 9",
+    "x1": f"x1 + {LABEL_SHIFT}",
+    "y1": "y1",
+    "x2": f"x2 + {LABEL_SHIFT}",
+    "y2": "y2",
+    "conf": "((image_id * 31 + idx * 17) % 1000) / 1000e0",
+}
 EPOCHS = {
     "run": "'run_' || o_custkey",
     "epoch": "o_orderkey",
@@ -209,6 +222,26 @@ def clean_label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean images with headers that state a size: PNG for even documents, JPEG with up to 99 comments
+    before the frame for odd ones."""
+    png = (
+        f"unhex('89504E470D0A1A0A0000000D49484452' || lpad(hex({WIDTH}), 8, '0') || lpad(hex({HEIGHT}), 8, '0') || '0802000000')"
+    )
+    jpeg = (
+        "unhex('FFD8FFE0' || lpad(hex(2 + n_chars % 50), 4, '0') || repeat('FF', CAST(n_chars % 50 AS INT)) "
+        "|| repeat('FFFE0004C0C0', CAST(doc_id % 100 AS INT)) "
+        f"|| 'FFC0001108' || lpad(hex({HEIGHT}), 4, '0') || lpad(hex({WIDTH}), 4, '0') || '03')"
+    )
+    header = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN {png} ELSE {jpeg} END")
+    return _documents(spark, sf_dir).select(
+        F.col("doc_id").alias("image_id"),
+        "split",
+        F.expr("'/ds/' || split || '/images/' || stem || '.jpg'").alias("path"),
+        F.concat(header, F.encode("text", "utf-8")).alias("content"),
+    )
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(table(spark, sf_dir, "lineitem"), TRUTH)
 

@@ -575,6 +575,28 @@ QUERIES: dict[str, str] = {
 }
 
 
+# The chain from boxes to errors once more, over boxes from label lines.
+BLOCKS["label_truth"] = f"""SELECT image_id, line_no AS idx, class_id, (x - w / 2) * width AS x1, (y - h / 2) * height AS y1,
+    (x + w / 2) * width AS x2, (y + h / 2) * height AS y2, width, height FROM (
+      SELECT doc_id AS image_id, line_no, l.class_id::BIGINT AS class_id, {fx.WIDTH}::INT AS width, {fx.HEIGHT}::INT AS height,
+             split_part(line, ' ', 2)::DOUBLE AS x, split_part(line, ' ', 3)::DOUBLE AS y,
+             split_part(line, ' ', 4)::DOUBLE AS w, split_part(line, ' ', 5)::DOUBLE AS h
+      FROM docs JOIN clean_lines l ON l.path = '/ds/' || split || '/images/' || stem || '.jpg')"""
+BLOCKS["label_predictions"] = _project(fx.LABEL_PREDICTIONS, "label_truth")
+_CHAIN = "active matches unmatched confusions overlapped image_errors events_long".split()
+for _name in _CHAIN:
+    _sql = re.sub(rf"\b(FROM|JOIN)\s+(truth|predictions|{'|'.join(_CHAIN)})\b", r"\1 label_\2", BLOCKS[_name])
+    BLOCKS[f"label_{_name}"] = _sql.replace("(640 * 640)", "(width * height)").replace(
+        "FROM label_unmatched WHERE side = 'missed'",
+        "FROM label_unmatched JOIN (SELECT DISTINCT image_id, width, height FROM label_truth) USING (image_id) WHERE side = 'missed'",
+    )
+QUERIES["image_sizes"] = (
+    f"SELECT '/ds/' || split || '/images/' || stem || '.jpg' AS path, {fx.WIDTH}::INT AS width, {fx.HEIGHT}::INT AS height FROM docs"
+)
+QUERIES["truth_from_labels"] = "SELECT image_id, idx, class_id, x1, y1, x2, y2, width, height FROM label_truth"
+QUERIES["error_categories_from_labels"] = re.sub(r"\bevents_long\b", "label_events_long", QUERIES["error_categories"])
+
+
 def _sources(sql: str) -> list[str]:
     """Blocks that `sql` reads from."""
     return [name for name in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_]+)", sql) if name in BLOCKS]
@@ -590,7 +612,7 @@ def _needed(sql: str, order: list[str] | None = None) -> list[str]:
     return order
 
 
-_KEPT = ("matches", "floor_matches", "unmatched")  # folds over lists, read more than once
+_KEPT = ("matches", "floor_matches", "unmatched", "label_truth", "label_matches", "label_unmatched")  # folds over lists, read more than once
 
 
 def _assemble(sql: str) -> str:

@@ -531,6 +531,31 @@ def error_examples_topk(spark, sf):
     return errors.error_examples(errors_by_image(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def boxes_of_labels(spark, sf):
+    """Truth from label lines and the sizes in image headers, and predictions near it."""
+    sized = fx.sized_images(spark, sf)
+    found = items.with_lines(items.annotated_items(sized, fx.clean_label_files(spark, sf), fx.ROOT, sizes=True), fx.TARGET)
+    boxes = cut_lineage(items.truth_boxes(found, "image_id"))
+    return boxes, fx.project(boxes, fx.LABEL_PREDICTIONS)
+
+
+@query
+def image_sizes(spark, sf):
+    facts = items.image_facts(fx.sized_images(spark, sf), sizes=True)
+    return facts.select("path", "width", "height")
+
+
+@query
+def truth_from_labels(spark, sf):
+    boxes, _ = boxes_of_labels(spark, sf)
+    return boxes
+
+
+@query
+def error_categories_from_labels(spark, sf):
+    return errors.error_categories(errors.image_errors(*boxes_of_labels(spark, sf)))
+
+
 def matched(spark, sf):
     return metrics.matched_predictions(fx.truth(spark, sf), fx.predictions(spark, sf))
 
