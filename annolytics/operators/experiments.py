@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annolytics.functions.naming import experiment_label
 from annolytics.functions.paths import file_stem
-from annolytics.operators.running import running_totals
+from annolytics.operators.running import ordered_totals
 
 METRICS = ["precision", "recall", "map50", "map50_95"]
 
@@ -50,25 +50,28 @@ def merge_resumes(runs: DataFrame, resumes: DataFrame) -> DataFrame:
     """A completed resume takes over status, end and epochs of its run, and adds its duration."""
     finished = resumes.where(F.col("status") == "completed").select(
         "run",
+        F.lit(True).alias("__resumed"),
         F.col("duration_seconds").alias("__more"),
         F.col("completed_epochs").alias("__epochs"),
         *([F.col("ended_at").alias("__ended")] if "ended_at" in resumes.columns else []),
     )
     joined = runs.join(finished, "run", "left")
-    resumed = F.col("__more").isNotNull()
+    resumed = F.col("__resumed").isNotNull()
 
     def either(then: Column, otherwise: str) -> Column:
         return F.when(resumed, then).otherwise(F.col(otherwise))
 
     replaced = {
         "status": either(F.lit("completed"), "status"),
-        "duration_seconds": either(F.col("duration_seconds") + F.col("__more"), "duration_seconds"),
+        "duration_seconds": either(
+            F.col("duration_seconds") + F.coalesce("__more", F.lit(0)), "duration_seconds"
+        ),
         "completed_epochs": either(F.col("__epochs"), "completed_epochs"),
         "resumed": resumed,
     }
     if "__ended" in joined.columns:
         replaced["ended_at"] = either(F.col("__ended"), "ended_at")
-    return joined.withColumns(replaced).drop("__more", "__epochs", "__ended")
+    return joined.withColumns(replaced).drop("__resumed", "__more", "__epochs", "__ended")
 
 
 def run_summary(
@@ -81,9 +84,9 @@ def run_summary(
 ) -> DataFrame:
     """One row per run.  `runs`: run, position, model, imgsz, target_epochs, status,
     duration_seconds, completed_epochs.  Test metrics (run, test_*), performance and error counts are
-    optional artifacts: runs without them get nulls."""
+    optional artifacts: runs without them get nulls, and so do runs without a logged epoch."""
     best = best_epochs(epochs).withColumnRenamed("completed_epochs", "logged_epochs")
-    summary = merge_resumes(runs, resumes).join(best, "run")
+    summary = merge_resumes(runs, resumes).join(best, "run", "left")
     epochs_done = F.coalesce("completed_epochs", "logged_epochs")
     early = (F.col("status") == "completed") & (epochs_done < F.col("target_epochs"))
     summary = summary.withColumns(
@@ -150,13 +153,8 @@ def number_attempts(attempts: DataFrame) -> DataFrame:
     `interrupted`).  `attempts`: run, attempt_id, started_at (timestamp), status."""
     unfinished = attempts.where(F.col("status") != "completed").withColumn("__one", F.lit(1))
     outcome = F.when(F.col("status") == "failed", "failed").otherwise("interrupted")
-    numbered = running_totals(
-        unfinished,
-        ["run"],
-        [F.col("started_at"), F.col("attempt_id")],
-        (F.to_date("started_at"), F.date_trunc("second", "started_at")),
-        ["__one"],
-    )
+    started = F.unix_micros(F.col("started_at").cast("timestamp"))
+    numbered = ordered_totals(unfinished, ["run"], started, ["__one"], [F.col("attempt_id")])
     return (
         numbered.withColumn("outcome", outcome)
         .withColumnRenamed("__one_upto", "attempt")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from annolytics import settings
 from annolytics.operators.matching import greedy_match, match_candidates, with_match
-from annolytics.operators.running import exact_percentiles, join_on, number_buckets, running_totals
+from annolytics.operators.running import exact_percentiles, join_on, ordered_totals
 from annolytics.session import cut_lineage
 from annolytics.taxonomy import Taxonomy
 
@@ -56,10 +56,7 @@ def precision_recall_curve(
             *(F.count_if(F.col("match_iou") >= t).alias(h) for t, h in zip(thresholds, hits)),
         )
     )
-    falling = -F.col("conf")
-    totals = running_totals(
-        points, ["class_id"], [falling], number_buckets(falling), ["predicted", *hits]
-    )
+    totals = ordered_totals(points, ["class_id"], -F.col("conf"), ["predicted", *hits])
     per_class = truth.groupBy("class_id").agg(F.count("*").alias("truth_count"))
     long = totals.join(per_class, "class_id").select(
         "class_id",

@@ -3,6 +3,9 @@
 A plain window over a group sorts that whole group in one task.  Here the order is cut into coarse
 and fine buckets: totals of the buckets are summed up first, and only the rows of one fine bucket
 are ever ordered together.  The result is the same as the plain window's.
+
+For numbers the cuts come from the data: a quantile sketch of every large group, merged from the sketches
+of the tasks, so that buckets hold about equally many rows wherever the values lie and however close.
 """
 
 from __future__ import annotations
@@ -14,15 +17,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COARSE, _FINE = "__coarse", "__fine"
-
+from annolytics.session import cut_lineage
 
-def number_buckets(value: Column) -> tuple[Column, Column]:
-    """Coarse and fine buckets of a finite number or NaN; both grow with the value (logarithmic, any
-    sign and magnitude)."""
-    scale = F.signum(value) * (F.log2(F.abs(value)) + 1100)  # beyond the smallest double's exponent
-    spread = F.when(F.isnan(value), 4096).when(value == 0, 0).otherwise(scale)  # NaN sorts last
-    return F.floor(spread * 32), F.floor(spread * 65536)
+_COARSE, _FINE, _CUTS, _VALUE = "__coarse", "__fine", "__cuts", "__value"
+COARSE_CUTS, FINE_CUTS = 32, 32  # a large group has up to 1,024 fine buckets
+LARGE = 4_096  # rows of a group that one task may order
 
 
 def hash_buckets(hexadecimal: Column) -> tuple[Column, Column]:
@@ -93,6 +92,50 @@ def running_totals(
     )
 
 
+def value_cuts(df: DataFrame, group: Sequence[str], value: Column) -> DataFrame:
+    """The columns of `group` and `__cuts`, rising values that part a large group into about equal shares.
+    Groups of up to LARGE rows have no row: they are not cut."""
+    count = COARSE_CUTS * FINE_CUTS
+    number = value.cast("double")
+    found = df.groupBy(*group).agg(
+        F.count("*").alias("__rows"),
+        F.percentile_approx(
+            F.when(~F.isnan(number), number), [i / count for i in range(1, count)], 8 * count
+        ).alias(_CUTS),
+    )
+    return found.where(F.col("__rows") > LARGE).select(*group, F.array_distinct(_CUTS).alias(_CUTS))
+
+
+def _below(cuts: Column, value: Column) -> tuple[Column, Column]:
+    """Coarse and fine number of the cuts below a value: every 32nd cut is looked at, then those between two."""
+    steps = F.filter(cuts, lambda _, i: i % FINE_CUTS == FINE_CUTS - 1)
+    coarse = F.size(F.filter(steps, lambda c: c < value))
+    near = F.slice(cuts, coarse * FINE_CUTS + 1, F.lit(FINE_CUTS))
+    return coarse, F.size(F.filter(near, lambda c: c < value))
+
+
+def ordered_totals(
+    df: DataFrame, group: Sequence[str], value: Column, measures: Sequence[str], ties: Sequence[Column] = ()
+) -> DataFrame:
+    """`running_totals` along a number and then `ties`, cut where the data's own quantiles lie.
+
+    Null values come first and NaN last.  Rows of one value stay in one bucket, so a value should not be
+    repeated without bound: count equal ones before.
+    """
+    cuts = cut_lineage(value_cuts(df, group, value))
+    valued = join_on(df.withColumn(_VALUE, value.cast("double")), cuts, group, "left")
+    none = F.array().cast("array<double>")
+    coarse, fine = _below(F.coalesce(_CUTS, none), F.col(_VALUE))
+    found = running_totals(
+        valued.withColumns({"__c": coarse, "__f": fine}).drop(_CUTS, _VALUE),
+        group,
+        [value, *ties],
+        (F.col("__c"), F.col("__f")),
+        measures,
+    )
+    return found.drop("__c", "__f")
+
+
 def exact_percentiles(
     df: DataFrame, group: Sequence[str], value: str, fractions: dict[str, float]
 ) -> DataFrame:
@@ -102,8 +145,10 @@ def exact_percentiles(
     task.  Null values are ignored.
     """
     group = list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, group, [F.col(value)], number_buckets(F.col(value)), ["n"])
+    counts = cut_lineage(
+        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    )
+    ranked = ordered_totals(counts, group, F.col(value), ["n"])
     first, last = F.col("n_upto") - F.col("n"), F.col("n_upto") - 1
 
     def at(rank: Column) -> Column:

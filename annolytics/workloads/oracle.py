@@ -239,7 +239,7 @@ BLOCKS: dict[str, str] = {
         CASE WHEN s.run IS NOT NULL THEN s.completed_epochs ELSE r.completed_epochs END AS completed_epochs,
         r.target_epochs, b.best_epoch, b.completed_epochs AS logged_epochs, b.map50, b.map50_95,
         t.test_map50_95, p.mean_latency_ms, p.p95_latency_ms, p.model_size_mib
-        FROM runs r JOIN best b USING (run) LEFT JOIN (SELECT * FROM resumes WHERE status = 'completed') s USING (run)
+        FROM runs r LEFT JOIN best b USING (run) LEFT JOIN (SELECT * FROM resumes WHERE status = 'completed') s USING (run)
         LEFT JOIN test_metrics t USING (run) LEFT JOIN performance p USING (run)""",
     "baseline": "SELECT * FROM summary ORDER BY position LIMIT 1",
     "selected": "SELECT * FROM summary ORDER BY map50_95 DESC, position LIMIT 1",

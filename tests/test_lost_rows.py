@@ -6,7 +6,6 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from annolytics.operators import dedup, experiments, metrics
-from annolytics.operators.running import number_buckets
 
 
 def test_one_path_in_two_splits_is_kept_once(spark):
@@ -35,8 +34,3 @@ def test_attempts_without_a_start_come_first(spark):
     attempts = spark.createDataFrame(rows, "run string, attempt_id int, started_at timestamp, status string")
     found = experiments.number_attempts(attempts).collect()
     assert {(r.run, r.attempt_id): r.attempt for r in found} == {("r", 2): 1, ("r", 1): 2, (None, 3): 1}
-
-
-def test_small_values_spread_over_buckets(spark):
-    values = spark.range(1, 10_001).select((F.col("id") / 1e9).alias("v"))
-    assert values.select(number_buckets(F.col("v"))[1].alias("b")).distinct().count() > 5_000

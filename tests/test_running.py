@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from annolytics.operators.metrics import latency_summary
 from annolytics.operators.ranking import first_per_group, first_rows
-from annolytics.operators.running import exact_percentiles, hash_buckets, number_buckets, running_totals
+from annolytics.operators.running import (
+    LARGE,
+    _below,
+    exact_percentiles,
+    hash_buckets,
+    ordered_totals,
+    running_totals,
+    value_cuts,
+)
 from annolytics.sources.publish import write_report
 
 
@@ -15,7 +23,7 @@ def test_running_totals_equal_a_plain_window(spark):
     values = {rng.choice([-1, 1]) * 10 ** rng.uniform(-6, 6) for _ in range(400)} | {0.0}
     rows = [(rng.choice("aab"), v, rng.randrange(9)) for v in values]
     df = spark.createDataFrame(rows, "g string, v double, m long").repartition(7)
-    found = running_totals(df, ["g"], [F.col("v")], number_buckets(F.col("v")), ["m"])
+    found = ordered_totals(df, ["g"], F.col("v"), ["m"])
     plain = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.withColumn("m_upto", F.sum("m").over(plain)).withColumn(
         "m_total", F.sum("m").over(Window.partitionBy("g"))
@@ -23,6 +31,41 @@ def test_running_totals_equal_a_plain_window(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
 
 
+CLOSE = {
+    "within 1e-5 of 1,000": "1000 + id * 1e-10",
+    "seconds of three hours": "1.7e9 + id % 10080 + id / 1e6",
+    "many scales and signs": "(id % 2 * 2 - 1) * pow(10, id % 600 - 300) * (1 + id / 1e6)",
+    "half of them far off": "CASE WHEN id % 2 = 0 THEN id / 1e12 ELSE id * 1e12 END",
+}
+
+
+@pytest.mark.parametrize("law", CLOSE)
+def test_cuts_follow_the_data(spark, law):
+    df = spark.range(0, 60_000, 1, 8).select(F.expr(CLOSE[law]).cast("double").alias("v"), F.lit("a").alias("g"))
+    small = spark.range(LARGE).select(F.col("id").cast("double").alias("v"), F.lit("b").alias("g"))
+    rows = df.unionByName(small)
+    cuts = value_cuts(rows, ["g"], F.col("v"))
+    assert [r["g"] for r in cuts.collect()] == ["a"]
+    coarse, fine = _below(F.col("__cuts"), F.col("v"))
+    sizes = [r["count"] for r in df.join(cuts, "g").groupBy(coarse, fine).count().collect()]
+    assert len(sizes) > 800 and max(sizes) < 400
+
+
+def test_cut_groups_equal_a_plain_window(spark):
+    rng = random.Random(8)
+    odd = [None, None, float("nan"), float("inf"), float("-inf"), 0.0, -1e-310]
+    values = [rng.gauss(1000, 1e-5) for _ in range(3 * LARGE)] + odd
+    rows = [(None if rng.random() < 0.9 else "b", v, i, rng.randrange(9)) for i, v in enumerate(values + values[:50])]
+    df = spark.createDataFrame(rows, "g string, v double, i long, m long").repartition(7)
+    found = ordered_totals(df, ["g"], F.col("v"), ["m"], [F.col("i")])
+    assert found.columns == ["g", "v", "i", "m", "m_upto", "m_total"]
+    plain = Window.partitionBy("g").orderBy("v", "i").rowsBetween(Window.unboundedPreceding, 0)
+    expected = df.withColumn("m_upto", F.sum("m").over(plain)).withColumn(
+        "m_total", F.sum("m").over(Window.partitionBy("g"))
+    )
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+
+
 def test_hash_order_buckets(spark):
     df = spark.range(300).select(F.sha2(F.col("id").cast("string"), 256).alias("h"), F.lit(1).alias("n"))
     df = df.withColumn("g", F.lit(0))
