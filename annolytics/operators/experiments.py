@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,24 +12,37 @@ from annolytics.operators.running import ordered_totals
 METRICS = ["precision", "recall", "map50", "map50_95"]
 
 
-def metric_column(columns: Sequence[str], name: str) -> str:
-    """The first header that contains `name`; headers may be padded with blanks."""
-    for column in columns:
-        if name in column.strip():
-            return column
-    raise ValueError(f"no metric column contains {name!r}")
+# A comma outside quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_LOGGED = {"epoch": "epoch", "precision": "precision", "recall": "recall", "map50": "mAP50(B)", "map50_95": "mAP50-95"}
+
+
+def _fields(line: Column) -> Column:
+    return F.transform(F.split(line, _COMMA), lambda f: F.trim(F.regexp_replace(F.trim(f), '^"|"$', "")))
 
 
-def epoch_table(raw: DataFrame) -> DataFrame:
-    """Training log with free headers to run, epoch, precision, recall, map50, map50_95."""
-    wanted = {"precision": "precision", "recall": "recall", "map50": "mAP50(B)", "map50_95": "mAP50-95"}
-    quoted = {c: F.col(f"`{metric_column(raw.columns, pattern)}`") for c, pattern in wanted.items()}
-    epoch = F.col(f"`{metric_column(raw.columns, 'epoch')}`")
-    return raw.select(
+def epoch_rows(logs: DataFrame) -> DataFrame:
+    """`logs(run, text)`, whole CSV files, as run, epoch, precision, recall, map50, map50_95.
+
+    Each file has its own header, in any order and padded with blanks: a column is the first whose name
+    contains the metric's.  A file without one is an error; blank lines are left out.
+    """
+    lines = F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
+    rows = logs.select("run", lines.alias("lines")).select(
         "run",
-        F.trim(epoch.cast("string")).cast("double").cast("int").alias("epoch"),
-        *(F.trim(column.cast("string")).cast("double").alias(c) for c, column in quoted.items()),
+        _fields(F.get("lines", 0)).alias("header"),
+        F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"),
     )
+    rows = rows.select("run", "header", _fields(F.col("line")).alias("fields"))
+
+    def logged(pattern: str) -> Column:
+        place = F.array_position(F.transform("header", lambda h: F.contains(h, F.lit(pattern))), True)
+        missing = F.raise_error(F.concat(F.lit(f"no metric column contains '{pattern}': "), F.col("run")))
+        return F.when(place == 0, missing.cast("string")).otherwise(F.get("fields", (place - 1).cast("int"))).cast("double")
+
+    values = {name: logged(pattern) for name, pattern in _LOGGED.items()}
+    values["epoch"] = values["epoch"].cast("int")
+    return rows.select("run", *(column.alias(name) for name, column in values.items()))
 
 
 def best_epochs(epochs: DataFrame) -> DataFrame:

@@ -3,10 +3,13 @@ comparison_headline, over experiment_metrics, per_class_metrics and comparison_c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolytics.operators.experiments import comparison_context, per_class_comparison
+from annolytics.operators.experiments import comparison_context, per_class_comparison, run_summary
+from annolytics.session import cut_lineage
+from annolytics.sources.artifacts import read_runs
+from annolytics.sources.publish import publish
 
 EXPERIMENT_COLUMNS = {
     "experiment": "run",
@@ -85,3 +88,13 @@ def comparison_views(summary: DataFrame, per_class: DataFrame) -> dict[str, Data
         "per_class": spark.sql(LONG),
         "headline": spark.sql(HEADLINE),
     }
+
+
+def compare_runs(spark: SparkSession, runs: list[str], target: str) -> str:
+    """Read some run folders, compare them and store the result below `target` as a new version: summary
+    (a row a run), context, experiments, per_class and headline, all from one written summary."""
+    tables = read_runs(spark, runs)
+    optional = (tables[name] for name in ("test_metrics", "performance", "errors"))
+    summary = cut_lineage(run_summary(tables["runs"], tables["resumes"], tables["epochs"], *optional))
+    views = comparison_views(summary, cut_lineage(tables["per_class"]))
+    return publish({"summary": summary, "context": comparison_context(summary), **views}, target)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolytics.operators.experiments import epoch_table
+from annolytics.operators.experiments import epoch_rows
 from annolytics.sources.storage import file_status
 
 _LATENCY = (
@@ -47,19 +47,20 @@ def read_json(
     return documents.select(run.alias("run"), *fields.names)
 
 
+def _folder_name(run: str) -> str:
+    return run.rstrip("/").rsplit("/", 1)[-1]
+
+
 def read_epochs(spark: SparkSession, runs: list[str], name: str = "results.csv") -> DataFrame:
-    """run, epoch, precision, recall, map50, map50_95 of every run's log; an empty log is an error."""
-    tables = []
-    for run in runs:
-        path = f"{run.rstrip('/')}/{name}"
-        raw = spark.read.option("header", "true").csv(path)
-        if raw.isEmpty():
-            raise ValueError(f"training results are empty: {path}")
-        folder = run.rstrip("/").rsplit("/", 1)[-1]
-        tables.append(epoch_table(raw.withColumn("run", F.lit(folder))))
-    epochs = tables[0]
-    for table in tables[1:]:
-        epochs = epochs.unionByName(table)
+    """run, epoch, precision, recall, map50, map50_95 of every run's log, all read in one scan; runs
+    whose log is empty are an error.  A file is one row, so that every log can have a header of its own."""
+    files = spark.read.text([f"{run.rstrip('/')}/{name}" for run in runs], wholetext=True)
+    run = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("+"), F.lit("%2B")))
+    epochs = epoch_rows(files.select(run.alias("run"), F.col("value").alias("text")))
+    listed = spark.createDataFrame([(_folder_name(r),) for r in runs], "run string")
+    empty = listed.join(epochs.select("run"), "run", "left_anti").orderBy("run").limit(10).collect()
+    if empty:
+        raise ValueError(f"training results are empty: {', '.join(row.run for row in empty)}")
     return epochs
 
 
@@ -67,7 +68,7 @@ def read_runs(spark: SparkSession, runs: list[str]) -> dict[str, DataFrame]:
     """The tables the comparison works on: runs, resumes, epochs, test_metrics, per_class,
     performance, errors, in the given order of run folders."""
     order = spark.createDataFrame(
-        [(run.rstrip("/").rsplit("/", 1)[-1], i) for i, run in enumerate(runs)],
+        [(_folder_name(run), i) for i, run in enumerate(runs)],
         "run string, position int",
     )
     training = read_json(spark, runs, "training_run.json", _TRAINING, required=True)

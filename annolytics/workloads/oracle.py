@@ -296,9 +296,11 @@ def _greedy(predictions: str) -> str:
 
 BLOCKS["matches"] = _greedy("active")
 BLOCKS["floor_matches"] = _greedy("(SELECT * FROM predictions WHERE conf >= 0.001)")
-BLOCKS["confusions"] = f"""SELECT * FROM (SELECT m.image_id, m.idx AS gi, e.idx AS pi, m.class_id AS truth_class,
-    e.class_id AS predicted_class, {_iou('m', 'e')} AS iou FROM unmatched m JOIN unmatched e
-    ON e.image_id = m.image_id AND e.class_id <> m.class_id WHERE m.side = 'missed' AND e.side = 'extra') WHERE iou >= 0.5"""
+BLOCKS["missed_boxes"] = "SELECT * FROM unmatched WHERE side = 'missed'"
+BLOCKS["extra_boxes"] = "SELECT * FROM unmatched WHERE side = 'extra'"
+BLOCKS["facing"] = f"""SELECT m.image_id, m.idx AS gi, e.idx AS pi, m.class_id AS truth_class,
+    e.class_id AS predicted_class, {_iou('m', 'e')} AS iou FROM missed_boxes m JOIN extra_boxes e ON e.image_id = m.image_id"""
+BLOCKS["confusions"] = "SELECT * FROM facing WHERE truth_class <> predicted_class AND iou >= 0.5"
 BLOCKS["overlapped"] = f"""SELECT DISTINCT a.image_id, a.idx FROM truth a JOIN truth b
     ON b.image_id = a.image_id AND b.idx <> a.idx WHERE {_iou('a', 'b')} >= 0.1"""
 
@@ -583,7 +585,7 @@ BLOCKS["label_truth"] = f"""SELECT image_id, line_no AS idx, class_id, (x - w /
              split_part(line, ' ', 4)::DOUBLE AS w, split_part(line, ' ', 5)::DOUBLE AS h
       FROM docs JOIN clean_lines l ON l.path = '/ds/' || split || '/images/' || stem || '.jpg')"""
 BLOCKS["label_predictions"] = _project(fx.LABEL_PREDICTIONS, "label_truth")
-_CHAIN = "active matches unmatched confusions overlapped image_errors events_long".split()
+_CHAIN = "active matches unmatched missed_boxes extra_boxes facing confusions overlapped image_errors events_long".split()
 for _name in _CHAIN:
     _sql = re.sub(rf"\b(FROM|JOIN)\s+(truth|predictions|{'|'.join(_CHAIN)})\b", r"\1 label_\2", BLOCKS[_name])
     BLOCKS[f"label_{_name}"] = _sql.replace("(640 * 640)", "(width * height)").replace(
@@ -612,7 +614,8 @@ def _needed(sql: str, order: list[str] | None = None) -> list[str]:
     return order
 
 
-_KEPT = ("matches", "floor_matches", "unmatched", "label_truth", "label_matches", "label_unmatched")  # folds over lists, read more than once
+_FOLDS = ("truth", "matches", "floor_matches", "unmatched", "missed_boxes", "extra_boxes", "facing")
+_KEPT = (*_FOLDS, *(f"label_{name}" for name in _FOLDS))
 
 
 def _assemble(sql: str) -> str:

@@ -614,7 +614,7 @@ def summary(spark, sf):
 
 
 def views(spark, sf):
-    return comparison_views(summary(spark, sf), fx.per_class(spark, sf))
+    return comparison_views(cut_lineage(summary(spark, sf)), fx.per_class(spark, sf))
 
 
 @query

@@ -3,8 +3,9 @@ import json
 import pytest
 
 from annolytics.operators import experiments
-from annolytics.plans.comparison import comparison_views
+from annolytics.plans.comparison import compare_runs, comparison_views
 from annolytics.sources import artifacts
+from annolytics.sources.publish import read_published
 
 
 def write_run(tmp_path, name, maps, tested=True, resume=None, status="completed"):
@@ -101,8 +102,6 @@ def test_broken_artifacts_are_errors(spark, tmp_path):
     (tmp_path / "only/training_run.json").unlink()
     with pytest.raises(FileNotFoundError):
         artifacts.read_runs(spark, [run])
-    with pytest.raises(ValueError, match="no metric"):
-        experiments.metric_column(["epoch"], "mAP50-95")
 
 
 def test_attempts_are_numbered_by_start(spark):
@@ -114,3 +113,56 @@ def test_attempts_are_numbered_by_start(spark):
     df = df.withColumn("started_at", df.started_at.cast("timestamp"))
     found = {(r["attempt_id"], r["attempt"], r["outcome"]) for r in experiments.number_attempts(df).collect()}
     assert found == {(2, 1, "interrupted"), (1, 2, "failed"), (4, 1, "interrupted")}
+
+
+def test_logs_with_headers_of_their_own_are_one_scan(spark, tmp_path):
+    runs = [write_run(tmp_path, f"run +{i}%20ü", [0.1 * i]) for i in range(1, 7)]
+    (tmp_path / "run +2%20ü/results.csv").write_bytes(
+        b'  metrics/mAP50-95(B) ,"train, loss", recall , x,mAP50(B),epoch,precision\r\n\r\n0.5,"1,5",0.2,y,0.3, 4 ,0.1\r\n'
+    )
+    found = artifacts.read_epochs(spark, runs)
+    assert {r["run"]: (r["epoch"], round(r["map50_95"], 9)) for r in found.collect()} == {
+        "run +2%20ü": (4, 0.5), **{f"run +{i}%20ü": (1, round(0.1 * i, 9)) for i in (1, 3, 4, 5, 6)}
+    }
+    (row,) = [r for r in found.collect() if r["epoch"] == 4]
+    assert tuple(row)[2:] == (0.1, 0.2, 0.3, 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    (tmp_path / "run +3%20ü/results.csv").write_text("")
+    (tmp_path / "run +5%20ü/results.csv").write_text("epoch,precision\n\n")
+    with pytest.raises(ValueError, match=r"empty: run \+3%20ü, run \+5%20ü"):
+        artifacts.read_epochs(spark, runs)
+    (tmp_path / "run +1%20ü/results.csv").write_text("epoch,precision\n1,0.5\n")
+    with pytest.raises(Exception, match="no metric column contains"):
+        artifacts.read_epochs(spark, runs[:2]).collect()
+
+
+def test_a_comparison_is_stored(spark, tmp_path):
+    runs = [write_run(tmp_path, "first", [0.3, 0.4]), write_run(tmp_path, "second", [0.5])]
+    target = str(tmp_path / "comparison")
+    first = compare_runs(spark, runs, target)
+    assert read_published(spark, target, "summary").count() == 2
+    headline = read_published(spark, target, "headline").first()
+    assert headline["no_helmet_delta"] == pytest.approx(0.1)
+    assert read_published(spark, target, "experiments").count() == 2
+    assert read_published(spark, target, "per_class").count() == 4
+    assert read_published(spark, target, "context").first()["selected_experiment"] == "second"
+    write_run(tmp_path, "third", [0.9])
+    second = compare_runs(spark, [*runs, str(tmp_path / "third")], target)
+    assert second != first and read_published(spark, target, "context").first()["selected_experiment"] == "third"
+
+
+def test_runs_without_epochs_stay(spark):
+    runs = spark.createDataFrame(
+        [("a", 0, "m.pt", 64, 3, "completed", 5.0, None), ("b", 1, "m.pt", 64, 3, "interrupted", 5.0, 2)],
+        "run string, position int, model string, imgsz int, target_epochs int, status string, duration_seconds double, completed_epochs long",
+    )
+    resumes = spark.createDataFrame(
+        [("b", "completed", None, 3)], "run string, status string, duration_seconds double, completed_epochs long"
+    )
+    epochs = spark.createDataFrame(
+        [("b", 1, 0.1, 0.2, 0.3, 0.4)], "run string, epoch int, precision double, recall double, map50 double, map50_95 double"
+    )
+    rows = {r["run"]: r for r in experiments.run_summary(runs, resumes, epochs).collect()}
+    assert rows["a"]["best_epoch"] is None and rows["a"]["stopped_early"] is None
+    assert rows["b"]["resumed"] and rows["b"]["status"] == "completed" and rows["b"]["duration_seconds"] == 5.0

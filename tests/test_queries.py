@@ -17,7 +17,8 @@ CHECKED = [
     "comparison_headline", "session_summary", "violation_frames_stream", "preview_sample", "pixel_boxes",
     "manifest_verification", "dedup_kept", "attempts", "error_examples_topk", "class_confusions",
     "overlapping_truth", "session_summary_stream", "violation_rate_stream",
-    "split_best_moves", "split_refinement_check",
+    "split_best_moves", "split_refinement_check", "image_sizes", "truth_from_labels",
+    "error_categories_from_labels", "pr_curve", "ranked_experiments", "model_selection",
 ]
 
 
