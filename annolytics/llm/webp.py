@@ -432,6 +432,8 @@ def wrap(stream: bytes) -> bytes:
 
 
 def header(bits: BitWriter, width: int, height: int) -> None:
+    if not (1 <= width <= MAX_SIDE and 1 <= height <= MAX_SIDE):
+        raise ValueError(f"an image of {width} x {height} pixels does not fit the format, which ends at {MAX_SIDE}")
     bits.write(SIGNATURE, 8)
     bits.write(width - 1, 14)
     bits.write(height - 1, 14)

@@ -578,6 +578,13 @@ def test_webp_predictors_and_cross_colour(mode):
     assert webp.decode(write_image(width, height, body)).ravel().tolist() == wanted
 
 
+def test_webp_refuses_what_does_not_fit():
+    payload = webp.MAX_SIDE * webp.MAX_SIDE
+    webp.header(webp.BitWriter(), webp.side(payload), webp.MAX_SIDE)
+    with pytest.raises(ValueError, match="does not fit"):
+        webp.header(webp.BitWriter(), webp.side(payload + webp.UNIT), webp.MAX_SIDE)
+
+
 def test_webp_payloads(docs, none):
     found = webp.media_table(docs).collect()
     wanted = sorted(
