@@ -44,14 +44,14 @@ def batched_inference(
 
 
 def check_images(
-    images: DataFrame, make_check: Callable[[], Callable[[pd.Series], pd.Series]], batch_size: int = 64
+    images: DataFrame, key: str, make_check: Callable[[], Callable[[pd.Series], pd.Series]], batch_size: int = 64
 ) -> DataFrame:
-    """Add `image_readable` from a pluggable decoder: a function from a series of contents to a
-    series of booleans."""
+    """`key` and `image_readable` of every row (key, content), from a pluggable decoder: a function from a
+    series of contents to a series of booleans.  Contents go to Python, but do not come back."""
 
     def make_predict() -> Predict:
         check = make_check()
-        return lambda batch: batch.assign(image_readable=check(batch["content"]).astype(bool))
+        return lambda batch: pd.DataFrame({key: batch[key], "image_readable": check(batch["content"]).astype(bool)})
 
-    schema = T.StructType([*images.schema.fields, T.StructField("image_readable", T.BooleanType())])
-    return batched_inference(images, make_predict, batch_size, schema)
+    schema = T.StructType([images.schema[key], T.StructField("image_readable", T.BooleanType())])
+    return batched_inference(images.select(key, "content"), make_predict, batch_size, schema)

@@ -88,6 +88,11 @@ HUE_STEP = 0.618033988749895
 COLOUR_SATURATION = 0.78
 COLOUR_VALUE = 0.95
 
+# Messages about the sources of a specification.
+NO_SPLIT = "No '{split}' split is defined."
+NO_SPLIT_PATH = "Split path does not exist: {source}"
+NO_IMAGES = "No supported images found in: {source}"
+
 # Leading bytes (hex) of the raster formats behind IMAGE_EXTENSIONS; RIFF also needs WEBP at byte 9.
 IMAGE_SIGNATURES = ("424D", "FFD8FF", "89504E470D0A1A0A", "49492A00", "4D4D002A")
 WEBP_SIGNATURE = r"^52494646.{8}57454250"

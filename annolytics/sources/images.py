@@ -112,18 +112,18 @@ def scan_images(
 
     for split, sources in spec.sources.items():
         if not sources:
-            report("error", "missing_split", f"No '{split}' split is defined.", split)
+            report("error", "missing_split", settings.NO_SPLIT.format(split=split), split)
         for source in sources:
             status = file_status(spark, source)
             if status == "missing":
-                report("error", "missing_split_path", f"Split path does not exist: {source}", split)
+                report("error", "missing_split_path", settings.NO_SPLIT_PATH.format(source=source), split)
                 continue
             if status == "file" and source.endswith(".txt"):
                 found = _scan_list(spark, source, spec.root, algorithm, sizes)
             else:
                 found = image_facts(scan_folder(spark, source), algorithm, sizes)
             if found.select("path").isEmpty():
-                report("warning", "empty_split", f"No supported images found in: {source}", split)
+                report("warning", "empty_split", settings.NO_IMAGES.format(source=source), split)
                 continue
             images = images.unionByName(found.withColumn("split", F.lit(split)))
     if any(len(sources) > 1 for sources in spec.sources.values()):

@@ -120,7 +120,8 @@ def test_model_parameters():
 
 def test_pluggable_image_check(spark):
     images = spark.createDataFrame([("a", b"ok"), ("b", b"")], "path string, content binary")
-    checked = inference.check_images(images, lambda: lambda contents: contents.map(len) > 0)
+    checked = inference.check_images(images, "path", lambda: lambda contents: contents.map(len) > 0)
+    assert checked.columns == ["path", "image_readable"]
     assert {r["path"]: r["image_readable"] for r in checked.collect()} == {"a": True, "b": False}
 
 
