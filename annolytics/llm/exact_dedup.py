@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics.llm.common import keep_rows, lower_ascii, row_digest, whole_text, written
+from annolytics.sources.storage import create_file, file_status
 
 INDEX_SCHEMA = "digest string, keep_id bigint"
 
@@ -25,13 +26,34 @@ def text_digest(column: str = "text") -> Column:
 class DigestIndex:
     """A bucketed table (digest, keep_id), one row per digest ever seen.
 
-    `buckets` is fixed when the table is made; choose it for the final size of the index.
+    `buckets` is fixed when the table is made; choose it for the final size of the index.  With `folder`
+    the index lies there and outlives the session's catalog: a later session that names the folder goes
+    on with what it holds.  Without, the table belongs to the catalog.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int):
+    def __init__(self, spark: SparkSession, name: str, buckets: int, folder: str | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets
-        if not spark.catalog.tableExists(name):
+        if spark.catalog.tableExists(name):
+            return
+        if folder is None:
             self._append(spark.createDataFrame([], INDEX_SCHEMA))
+            return
+        note = f"{folder.rstrip('/')}/buckets.txt"
+        if file_status(spark, note) == "file":
+            known = int(spark.read.text(note).first()[0])
+            if known != buckets:
+                raise ValueError(f"the index in {folder} has {known} buckets")
+        else:
+            create_file(spark, note, str(buckets))
+        place = folder.rstrip("/").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
+            f"INTO {buckets} BUCKETS LOCATION '{place}/data'"
+        )
+
+    def drop(self) -> None:
+        """Take the table out of the catalog; its data go with it unless they lie in a named folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def _append(self, rows: DataFrame) -> None:
         (

@@ -59,7 +59,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+    index = exact_dedup.fresh_index(spark)
+    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), index)
+    index.drop()  # the groups are written by now
+    return groups
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

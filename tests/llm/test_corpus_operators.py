@@ -125,6 +125,34 @@ def test_index_persists_and_only_grows_by_new_texts(spark, docs):
     assert again.read().count() == before
 
 
+def test_an_index_in_a_folder_outlives_the_catalog(spark, docs, tmp_path):
+    folder = str(tmp_path / "it's an index")
+    first = exact_dedup.DigestIndex(spark, "llm_reopened", 4, folder)
+    kept = exact_dedup.drop_copies(docs, first).count()
+    size = first.read().count()
+    first.drop()
+    assert not spark.catalog.tableExists("llm_reopened")
+    other = spark.newSession()
+    again = exact_dedup.DigestIndex(other, "llm_again", 4, folder)
+    assert again.read().count() == size == kept > 0
+    plan = again.unseen(again.read())._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
+    again.add(other.createDataFrame([(f"{0:064x}", 5), (again.read().first()["digest"], 9)], "digest string, doc_id bigint"))
+    assert again.read().count() == size + 1
+    again.drop()
+    with pytest.raises(ValueError, match="has 4 buckets"):
+        exact_dedup.DigestIndex(spark, "llm_third", 8, folder)
+
+
+def test_the_query_leaves_no_table_behind(spark, sf_dir):
+    from annolytics.llm.queries import op2_exact_dedup
+
+    before = {t.name for t in spark.catalog.listTables()}
+    found = op2_exact_dedup(spark, sf_dir)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_bpe_equals_the_library(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
