@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from annolytics.session import cut_lineage
 
-_COARSE, _FINE, _CUTS, _VALUE = "__coarse", "__fine", "__cuts", "__value"
-COARSE_CUTS, FINE_CUTS = 32, 32  # a large group has up to 1,024 fine buckets
+_COARSE, _FINE, _STEPS, _CUTS, _VALUE = "__coarse", "__fine", "__steps", "__cuts", "__value"
+COARSE_CUTS, FINE_CUTS = 16, 16  # a large group has up to 256 fine buckets
 LARGE = 4_096  # rows of a group that one task may order
 
 
@@ -93,8 +93,8 @@ def running_totals(
 
 
 def value_cuts(df: DataFrame, group: Sequence[str], value: Column) -> DataFrame:
-    """The columns of `group` and `__cuts`, rising values that part a large group into about equal shares.
-    Groups of up to LARGE rows have no row: they are not cut."""
+    """The columns of `group`, `__cuts`, rising values that part a large group into about equal shares, and
+    `__steps`, the last of every FINE_CUTS of them.  Groups of up to LARGE rows have no row: they are not cut."""
     count = COARSE_CUTS * FINE_CUTS
     number = value.cast("double")
     found = df.groupBy(*group).agg(
@@ -103,12 +103,12 @@ def value_cuts(df: DataFrame, group: Sequence[str], value: Column) -> DataFrame:
             F.when(~F.isnan(number), number), [i / count for i in range(1, count)], 8 * count
         ).alias(_CUTS),
     )
-    return found.where(F.col("__rows") > LARGE).select(*group, F.array_distinct(_CUTS).alias(_CUTS))
+    cuts = found.where(F.col("__rows") > LARGE).select(*group, F.array_distinct(_CUTS).alias(_CUTS))
+    return cuts.withColumn(_STEPS, F.filter(_CUTS, lambda _, i: i % FINE_CUTS == FINE_CUTS - 1))
 
 
-def _below(cuts: Column, value: Column) -> tuple[Column, Column]:
-    """Coarse and fine number of the cuts below a value: every 32nd cut is looked at, then those between two."""
-    steps = F.filter(cuts, lambda _, i: i % FINE_CUTS == FINE_CUTS - 1)
+def _below(steps: Column, cuts: Column, value: Column) -> tuple[Column, Column]:
+    """Coarse and fine number of the cuts below a value: the steps are looked at, then the cuts between two."""
     coarse = F.size(F.filter(steps, lambda c: c < value))
     near = F.slice(cuts, coarse * FINE_CUTS + 1, F.lit(FINE_CUTS))
     return coarse, F.size(F.filter(near, lambda c: c < value))
@@ -125,9 +125,9 @@ def ordered_totals(
     cuts = cut_lineage(value_cuts(df, group, value))
     valued = join_on(df.withColumn(_VALUE, value.cast("double")), cuts, group, "left")
     none = F.array().cast("array<double>")
-    coarse, fine = _below(F.coalesce(_CUTS, none), F.col(_VALUE))
+    coarse, fine = _below(F.coalesce(_STEPS, none), F.coalesce(_CUTS, none), F.col(_VALUE))
     found = running_totals(
-        valued.withColumns({"__c": coarse, "__f": fine}).drop(_CUTS, _VALUE),
+        valued.withColumns({"__c": coarse, "__f": fine}).drop(_STEPS, _CUTS, _VALUE),
         group,
         [value, *ties],
         (F.col("__c"), F.col("__f")),
