@@ -177,6 +177,70 @@ def require_coverage(sums: DataFrame, taxonomy: Taxonomy, required: Sequence[str
         )
 
 
+def repair_coverage(
+    assigned: DataFrame,
+    taxonomy: Taxonomy,
+    required: Sequence[str],
+    ratios: Mapping[str, float] = settings.SPLIT_RATIOS,
+) -> DataFrame:
+    """Give every split an image of every required class, as far as groups can be spared.
+
+    Split by split and class by class, a gap is closed by the group whose move costs the objective
+    least, the smallest source_key among equals, and that takes no required class from its split
+    altogether.  A gap that no group can close stays, for `require_coverage` to report.  Without
+    gaps nothing moves.  The driver sees sums per split and one group a gap: at most splits x
+    required classes.
+    """
+    classes, names = len(taxonomy.ids), list(ratios)
+    totals, targets, weights = _goals(assigned, classes, ratios)
+    places = [1 + classes + taxonomy.ids.index(taxonomy.id_of(name)) for name in required]
+    current = assigned
+    for target in names:
+        for place in places:
+            if totals[target][place] > 0:
+                continue
+            found = _cheapest_donor(current, classes, names, target, place, places, totals, targets, weights)
+            if found is None:
+                continue
+            for m in range(1 + 2 * classes):
+                totals[found["split"]][m] -= found["measures"][m]
+                totals[target][m] += found["measures"][m]
+            chosen = F.col("source_key").eqNullSafe(F.lit(found["source_key"]))
+            current = current.withColumn("split", F.when(chosen, target).otherwise(F.col("split")))
+    return current
+
+
+def _cheapest_donor(
+    current: DataFrame,
+    classes: int,
+    names: list[str],
+    target: str,
+    place: int,
+    places: list[int],
+    totals: dict[str, list[float]],
+    targets: dict[str, list[float]],
+    weights: list[float],
+):
+    """The group with measure `place` whose move to `target` costs least and opens no gap, or None."""
+    row = [c.cast("double") for c in _measures(classes)]
+    enter = _change(classes, totals[target], targets[target], weights, 1)
+    options = []
+    for name in names:
+        if name != target:
+            spared = F.lit(True)
+            for p in places:
+                spared = spared & ((row[p] == 0) | (F.lit(totals[name][p]) > row[p]))
+            leave = _change(classes, totals[name], targets[name], weights, -1)
+            options.append(F.when((F.col("split") == name) & spared, leave + enter))
+    if not options:
+        return None
+    priced = current.where(row[place] > 0).select(
+        F.coalesce(*options).alias("delta"), "source_key", "split", F.array(*row).alias("measures")
+    )
+    best = priced.where("delta IS NOT NULL").agg(F.min(F.struct("delta", "source_key", "split", "measures")).alias("m"))
+    return best.first()["m"]
+
+
 def refine_splits(
     assigned: DataFrame,
     classes: int,
@@ -266,6 +330,14 @@ def _totals(assigned: DataFrame, classes: int, names: list[str]) -> dict[str, li
     return {s: [float(found[s][f"m{i}"]) if s in found else 0.0 for i in range(width)] for s in names}
 
 
+def _change(classes: int, total: list[float], target: list[float], weights: list[float], direction: int) -> Column:
+    """What adding (+1) a group to a split, or taking it (-1), changes: a quadratic in its measures."""
+    row = [c.cast("double") for c in _measures(classes)]
+    square = [w / g**2 for w, g in zip(weights, target)]
+    linear = [2.0 * direction * w * (t - g) / g**2 for w, t, g in zip(weights, total, target)]
+    return sum((m * (m * a + b) for m, a, b in zip(row, square, linear)), F.lit(0.0))
+
+
 def _best_moves(
     current: DataFrame,
     classes: int,
@@ -277,19 +349,9 @@ def _best_moves(
 ) -> DataFrame:
     """Add `delta`, what the best move changes, `target` (null when no move helps) and `halvings`, how
     often a seeded coin kept the group."""
-    row = [c.cast("double") for c in _measures(classes)]
-
-    def change(split: str, direction: int) -> Column:
-        """What adding (+1) or taking (-1) the group changes: a quadratic in its measures."""
-        goal = targets[split]
-        square = [w / g**2 for w, g in zip(weights, goal)]
-        linear = [
-            2.0 * direction * w * (t - g) / g**2 for w, t, g in zip(weights, totals[split], goal)
-        ]
-        return sum((m * (m * a + b) for m, a, b in zip(row, square, linear)), F.lit(0.0))
-
     # columns of their own, so that every sum is worked out once
-    changes = {f"_enter_{s}": change(s, 1) for s in names} | {f"_leave_{s}": change(s, -1) for s in names}
+    changes = {f"_enter_{s}": _change(classes, totals[s], targets[s], weights, 1) for s in names}
+    changes |= {f"_leave_{s}": _change(classes, totals[s], targets[s], weights, -1) for s in names}
     leaving = F.coalesce(*(F.when(F.col("split") == s, F.col(f"_leave_{s}")) for s in names))
     options = F.array(
         *(

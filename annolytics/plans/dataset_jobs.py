@@ -223,6 +223,7 @@ def freeze_records(
     groups = cut_lineage(split.source_groups(retained, n))
     assigned = split.assign_splits(groups, n, ratios, seed)
     assigned = split.refine_splits(assigned, n, ratios, seed=seed)
+    assigned = split.repair_coverage(assigned, classes, required, ratios)
     sums = split.split_sums(assigned, n, list(ratios))
     split.require_coverage(sums, classes, required)
     final = cut_lineage(freeze.final_items(retained, assigned))

@@ -598,6 +598,109 @@ QUERIES["image_sizes"] = (
 QUERIES["truth_from_labels"] = "SELECT image_id, idx, class_id, x1, y1, x2, y2, width, height FROM label_truth"
 QUERIES["error_categories_from_labels"] = re.sub(r"\bevents_long\b", "label_events_long", QUERIES["error_categories"])
 
+# The refinement and the coverage repair, round by round.  Every state lists the groups with their splits.
+BLOCKS["counts"] = """SELECT g.source_key, c.class_id, coalesce(o.annotations, 0) AS annotations, coalesce(o.images, 0) AS images
+    FROM groups g CROSS JOIN finals c LEFT JOIN group_classes o ON o.source_key = g.source_key AND o.class_id = c.class_id"""
+BLOCKS["group_measures"] = """SELECT source_key, -1 AS class_id, 8 AS weight, size::DOUBLE AS v FROM groups
+    UNION ALL SELECT source_key, class_id, 1, annotations::DOUBLE FROM counts
+    UNION ALL SELECT source_key, class_id, 4, images::DOUBLE FROM counts"""
+BLOCKS["split_goals"] = """SELECT split, class_id, weight, greatest(n * ratio::DOUBLE, 1) AS g FROM out_splits
+    CROSS JOIN (SELECT class_id, weight, sum(v) AS n FROM group_measures GROUP BY ALL)"""
+
+
+def _changes(state: str) -> dict[str, str]:
+    """Sums of a state, and what entering or leaving a split changes for every group."""
+    return {
+        f"totals_{state}": f"""SELECT g.split, g.class_id, g.weight, g.g, coalesce(any_value(s.t), 0) AS t FROM split_goals g LEFT JOIN (
+            SELECT split, class_id, weight, sum(v) AS t FROM state_{state} JOIN group_measures USING (source_key) GROUP BY ALL) s
+            USING (split, class_id, weight) GROUP BY g.split, g.class_id, g.weight, g.g""",
+        f"changes_{state}": f"""SELECT source_key, split, sum(weight * v * (v + 2 * (t - g)) / g ** 2) AS enter,
+            sum(weight * v * (v - 2 * (t - g)) / g ** 2) AS leave
+            FROM group_measures JOIN totals_{state} USING (class_id, weight) GROUP BY ALL""",
+    }
+
+
+def _round(turn: int, state: str, following: str, before: str | None) -> dict[str, str]:
+    """One round of moves; `before` is the round that must have moved something."""
+    unless_stopped = f"AND EXISTS (SELECT 1 FROM choice_{before})" if before else ""
+    return _changes(state) | {
+        f"moves_{state}": f"""SELECT a.source_key, a.split, e.split AS target, least(24, floor(32 - log2(
+              ('0x' || substr(sha256('42:{turn}:' || a.source_key), 1, 8))::BIGINT + 1)))::INT AS halvings FROM state_{state} a
+            JOIN changes_{state} l USING (source_key, split) JOIN changes_{state} e ON e.source_key = a.source_key AND e.split <> a.split
+            WHERE l.leave + e.enter < -1e-12
+            QUALIFY row_number() OVER (PARTITION BY a.source_key ORDER BY l.leave + e.enter, e.split) = 1""",
+        f"flows_{state}": f"""SELECT halvings, u.split, class_id, weight, sum(sign * v) AS v FROM (
+            SELECT source_key, halvings, split, -1 AS sign FROM moves_{state}
+            UNION ALL SELECT source_key, halvings, target, 1 FROM moves_{state}) u JOIN group_measures USING (source_key) GROUP BY ALL""",
+        f"scores_{state}": f"""SELECT smallest, sum(weight * ((t + moved - g) / g) ** 2) AS score FROM (
+            SELECT smallest, x.split, x.class_id, x.weight, x.t, x.g, coalesce(sum(f.v), 0) AS moved
+            FROM (SELECT DISTINCT halvings AS smallest FROM moves_{state}) h CROSS JOIN totals_{state} x
+            LEFT JOIN flows_{state} f ON f.halvings >= smallest AND f.split = x.split AND f.class_id = x.class_id AND f.weight = x.weight
+            GROUP BY ALL) GROUP BY smallest""",
+        f"choice_{state}": f"""SELECT smallest FROM scores_{state} WHERE score <
+            (SELECT sum(weight * ((t - g) / g) ** 2) FROM totals_{state}) - 1e-12 {unless_stopped} ORDER BY score, smallest LIMIT 1""",
+        f"state_{following}": f"""SELECT a.source_key, CASE WHEN m.halvings >= (SELECT smallest FROM choice_{state}) THEN m.target
+            ELSE a.split END AS split FROM state_{state} a LEFT JOIN moves_{state} m USING (source_key)""",
+    }
+
+
+def _repair(state: str, following: str, target: str, place: int, places: list[int]) -> dict[str, str]:
+    """Close the gap of class `place` in `target`, if there is one."""
+    return _changes(state) | {
+        f"donor_{state}": f"""SELECT a.source_key FROM state_{state} a JOIN changes_{state} l USING (source_key, split)
+            JOIN changes_{state} e ON e.source_key = a.source_key AND e.split = '{target}'
+            JOIN counts c ON c.source_key = a.source_key AND c.class_id = {place} AND c.images > 0
+            WHERE a.split <> '{target}'
+              AND (SELECT t FROM totals_{state} WHERE split = '{target}' AND class_id = {place} AND weight = 4) = 0
+              AND NOT EXISTS (SELECT 1 FROM counts k JOIN totals_{state} x ON x.class_id = k.class_id AND x.weight = 4
+                WHERE k.source_key = a.source_key AND x.split = a.split AND k.images > 0 AND x.t <= k.images
+                  AND k.class_id IN ({", ".join(map(str, places))}))
+            ORDER BY l.leave + e.enter, a.source_key LIMIT 1""",
+        f"state_{following}": f"""SELECT source_key, CASE WHEN source_key IN (SELECT source_key FROM donor_{state})
+            THEN '{target}' ELSE split END AS split FROM state_{state}""",
+    }
+
+
+_ROUNDS = "abcdef"
+_REQUIRED = [settings.FINAL_CLASSES.index(name) for name in settings.VIOLATION_CLASSES]
+BLOCKS["state_a"] = "SELECT source_key, split FROM assigned"
+for _turn, (_now, _next) in enumerate(zip(_ROUNDS, _ROUNDS[1:])):
+    BLOCKS |= _round(_turn, _now, _next, _ROUNDS[_turn - 1] if _turn else None)
+_GAPS = [(split, place) for split in settings.SPLIT_RATIOS for place in _REQUIRED]
+
+
+def _repairs(prefix: str, start: str) -> str:
+    """Blocks for every possible gap; returns the last state."""
+    state = start
+    for number, (split, place) in enumerate(_GAPS):
+        following = f"{prefix}_{chr(ord('a') + number)}"
+        BLOCKS.update(_repair(state, following, split, place, _REQUIRED))
+        state = following
+    return state
+
+
+_DONE = _repairs("frozen", _ROUNDS[-1])
+BLOCKS["frozen"] = BLOCKS["final"].replace("JOIN assigned a", f"JOIN state_{_DONE} a")
+BLOCKS["frozen_classes"] = BLOCKS["final_classes"].replace("JOIN assigned a", f"JOIN state_{_DONE} a")
+BLOCKS["frozen_sums"] = BLOCKS["sums"].replace("final_classes", "frozen_classes")
+BLOCKS["state_bare"] = f"""SELECT source_key, CASE WHEN source_key IN (SELECT source_key FROM counts
+    WHERE images > 0 AND class_id IN ({", ".join(map(str, _REQUIRED))})) THEN 'train' ELSE split END AS split FROM assigned"""
+_COVERED = _repairs("covered", "bare")
+QUERIES["split_refined"] = "SELECT source_key, size, split FROM state_f JOIN groups USING (source_key)"
+QUERIES["frozen_manifest"] = QUERIES["freeze_manifest"].replace("FROM final", "FROM frozen")
+QUERIES["frozen_digest"] = _tree("frozen")
+QUERIES["frozen_split_stats"] = re.sub(r"\b(FROM) (final|sums)\b", r"\1 frozen_\2", QUERIES["split_stats"]).replace(
+    "frozen_final", "frozen"
+)
+QUERIES["coverage_gaps_forced"] = f"""SELECT x.split, class_name FROM totals_bare x JOIN finals USING (class_id)
+    WHERE weight = 4 AND t = 0 AND class_id IN ({", ".join(map(str, _REQUIRED))})"""
+QUERIES["coverage_moves"] = f"""SELECT source_key, b.split, a.split AS target FROM state_bare b JOIN state_{_COVERED} a USING (source_key)
+    WHERE a.split <> b.split"""
+QUERIES["coverage_repaired"] = f"""SELECT split, c.class_name, coalesce(sum(k.images), 0)::BIGINT AS images FROM out_splits
+    CROSS JOIN finals c LEFT JOIN state_{_COVERED} a USING (split)
+    LEFT JOIN counts k ON k.source_key = a.source_key AND k.class_id = c.class_id
+    WHERE c.class_id IN ({", ".join(map(str, _REQUIRED))}) GROUP BY ALL"""
+
 
 def _sources(sql: str) -> list[str]:
     """Blocks that `sql` reads from."""
@@ -618,9 +721,12 @@ _FOLDS = ("truth", "matches", "floor_matches", "unmatched", "missed_boxes", "ext
 _KEPT = (*_FOLDS, *(f"label_{name}" for name in _FOLDS))
 
 
+_STEPS = ("counts", "group_measures", "state_", "totals_", "changes_", "moves_", "choice_")
+
+
 def _assemble(sql: str) -> str:
     blocks = ", ".join(
-        f"{name} AS {'MATERIALIZED ' if name in _KEPT else ''}({BLOCKS[name]})" for name in _needed(sql)
+        f"{name} AS {'MATERIALIZED ' if name in _KEPT or name.startswith(_STEPS) else ''}({BLOCKS[name]})" for name in _needed(sql)
     )
     if not blocks:
         return sql

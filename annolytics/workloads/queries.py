@@ -28,6 +28,7 @@ from annolytics.operators import (
     validate,
 )
 from annolytics.plans.comparison import comparison_views
+from annolytics.plans.dataset_jobs import freeze_records
 from annolytics.session import cut_lineage, fresh_folder
 from annolytics.streaming import sessions as streams
 from annolytics.workloads import fixtures as fx
@@ -341,6 +342,62 @@ def split_refined(spark, sf):
     return split.refine_splits(assigned(spark, sf), FINAL_N).select("source_key", "size", "split")
 
 
+def uncovered(spark, sf):
+    """Groups of which all with a violation were put into the training split."""
+    places = [settings.FINAL_CLASSES.index(name) for name in settings.VIOLATION_CLASSES]
+    violating = F.greatest(*(F.get("class_image_counts", i) for i in places)) > 0
+    groups = assigned(spark, sf)
+    return cut_lineage(groups.withColumn("split", F.when(violating, "train").otherwise(F.col("split"))))
+
+
+def covered(groups: DataFrame) -> DataFrame:
+    return split.repair_coverage(groups, fx.FINAL, settings.VIOLATION_CLASSES)
+
+
+@query
+def coverage_gaps_forced(spark, sf):
+    totals = split.split_sums(uncovered(spark, sf), FINAL_N, settings.OUTPUT_SPLITS)
+    return split.coverage_gaps(totals, fx.FINAL, settings.VIOLATION_CLASSES)
+
+
+@query
+def coverage_moves(spark, sf):
+    """Groups that the repair moves, from and to."""
+    before = uncovered(spark, sf)
+    after = covered(before).select("source_key", F.col("split").alias("target"))
+    return before.select("source_key", "split").join(after, "source_key").where("split <> target")
+
+
+@query
+def coverage_repaired(spark, sf):
+    """Images of every required class in every split after the repair."""
+    totals = split.split_sums(covered(uncovered(spark, sf)), FINAL_N, settings.OUTPUT_SPLITS)
+    _, per_class = split.split_shares(totals, settings.SPLIT_RATIOS, fx.FINAL)
+    wanted = F.col("class_name").isin(*settings.VIOLATION_CLASSES)
+    return per_class.where(wanted).select("split", "class_name", "images")
+
+
+def frozen(spark, sf):
+    """The tables of the freeze job: refined, guarded and fingerprinted."""
+    return freeze_records(clean_records(spark, sf), fx.FINAL, settings.REMOVED_FINAL_CLASSES)
+
+
+@query
+def frozen_manifest(spark, sf):
+    return freeze.manifest(frozen(spark, sf)["manifest"])
+
+
+@query
+def frozen_digest(spark, sf):
+    return frozen(spark, sf)["fingerprint"]
+
+
+@query
+def frozen_split_stats(spark, sf):
+    stats = frozen(spark, sf)["split_stats"]
+    return stats.withColumns({c: joined_text(c) for c in ("class_counts", "class_image_counts")})
+
+
 def original_items(spark, sf):
     return clean_records(spark, sf).select(
         "split",

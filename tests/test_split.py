@@ -140,3 +140,44 @@ def test_digest_schemes(spark):
     assert freeze.tree_digest(changed).first()[0] != tree[0]
     with pytest.raises(ValueError, match="unknown hash scheme"):
         freeze.dataset_digest(rows, "other")
+
+
+GROUP = "source_key string, size long, class_counts array<long>, class_image_counts array<long>, split string"
+
+
+def placed(spark, *rows):
+    return spark.createDataFrame([(k, n, [0] * len(c), c, s) for k, n, c, s in rows], GROUP)
+
+
+def gaps(groups, required):
+    found = split.coverage_gaps(split.split_sums(groups, 3, list(RATIOS)), NAMES, required).collect()
+    return {(r["split"], r["class_name"]) for r in found}
+
+
+def test_repair_closes_gaps_without_opening_others(spark):
+    groups = placed(
+        spark,
+        ("k1", 90, [90, 1, 0], "train"),  # too large to be the cheapest
+        ("k2", 2, [2, 0, 0], "train"),
+        ("k3", 2, [2, 0, 0], "train"),
+        ("k4", 9, [9, 9, 0], "valid"),
+        ("k5", 3, [0, 3, 0], "test"),
+        ("k6", 3, [0, 3, 0], "test"),
+    )
+    assert gaps(groups, ["a", "b"]) == {("test", "a")}
+    fixed = split.repair_coverage(groups, NAMES, ["a", "b"], RATIOS)
+    assert gaps(fixed, ["a", "b"]) == set()
+    moved = {r["source_key"]: r["split"] for r in fixed.collect()}
+    # equal costs: the smaller key; k4 may not leave, as it holds all of a and b in its split
+    assert moved == {"k1": "train", "k2": "test", "k3": "train", "k4": "valid", "k5": "test", "k6": "test"}
+
+
+def test_repair_leaves_what_cannot_be_spared(spark):
+    groups = placed(spark, ("k1", 5, [5, 1, 0], "train"), ("k2", 3, [0, 3, 0], "valid"), ("k3", 1, [1, 1, 0], "test"))
+    fixed = split.repair_coverage(groups, NAMES, ["a", "c"], RATIOS)
+    assert sorted(map(tuple, fixed.collect())) == sorted(map(tuple, groups.collect()))
+    assert ("valid", "a") in gaps(fixed, ["a", "c"])
+    with pytest.raises(RuntimeError, match="c [(]train[)]"):
+        split.require_coverage(split.split_sums(fixed, 3, list(RATIOS)), NAMES, ["a", "c"])
+    none = groups.where("false")
+    assert split.repair_coverage(none, NAMES, ["a"], RATIOS).count() == 0
