@@ -13,6 +13,7 @@ from annolytics.functions.labels import file_text
 from annolytics.functions.paths import file_name, file_stem
 from annolytics.operators.remap import name_collisions
 from annolytics.operators.validate import duplicate_contents
+from annolytics.session import cut_lineage
 
 EXACT, TREE = "sha256-ordered", "sha256-tree"
 
@@ -128,10 +129,11 @@ def ordered_digest(rows: DataFrame) -> DataFrame:
     )
 
 
-def tree_digest(rows: DataFrame, depth: int = 3) -> DataFrame:
-    """The same evidence as a hash tree of fan-out 256: a leaf per row, nodes by leading hex digits
-    of the leaf, each the SHA-256 of its ordered children.  Leaf digests spread evenly, so the
-    lowest nodes join about rows / 256**depth leaves each, and the others at most 256 nodes."""
+_DEPTH = 3  # levels of the tree below its root, of two hex digits each
+
+
+def _leaf_level(rows: DataFrame, depth: int) -> DataFrame:
+    """prefix, node, n of the lowest nodes, which join the leaves with one prefix."""
     leaf = F.sha2(_record_line(), 256)
     level = rows.select(
         leaf.alias("key"),
@@ -139,20 +141,30 @@ def tree_digest(rows: DataFrame, depth: int = 3) -> DataFrame:
         leaf.alias("node"),
         F.lit(1).cast("bigint").alias("n"),
     )
+    return _joined(level)
+
+
+def _joined(level: DataFrame) -> DataFrame:
     children = F.transform(
         F.array_sort(F.collect_list(F.struct("key", "node"))), lambda child: child["node"]
     )
-    for digits in range(2 * depth, -1, -2):
-        level = (
-            level.groupBy("prefix")
-            .agg(F.sha2(F.array_join(children, ""), 256).alias("node"), F.sum("n").alias("n"))
-            .select(
-                F.col("prefix").alias("key"),
-                F.substring("prefix", 1, max(digits - 2, 0)).alias("prefix"),
-                "node",
-                "n",
-            )
-        )
+    return level.groupBy("prefix").agg(F.sha2(F.array_join(children, ""), 256).alias("node"), F.sum("n").alias("n"))
+
+
+def _parents(level: DataFrame, digits: int) -> DataFrame:
+    """The nodes with `digits` digits above a level."""
+    return _joined(
+        level.select(F.col("prefix").alias("key"), F.substring("prefix", 1, digits).alias("prefix"), "node", "n")
+    )
+
+
+def tree_digest(rows: DataFrame, depth: int = _DEPTH) -> DataFrame:
+    """The same evidence as a hash tree of fan-out 256: a leaf per row, nodes by leading hex digits
+    of the leaf, each the SHA-256 of its ordered children.  Leaf digests spread evenly, so the
+    lowest nodes join about rows / 256**depth leaves each, and the others at most 256 nodes."""
+    level = _leaf_level(rows, depth)
+    for digits in range(2 * depth - 2, -1, -2):
+        level = _parents(level, digits)
     return level.select(
         F.col("node").alias("dataset_sha256"),
         F.col("n").alias("files"),
@@ -160,6 +172,77 @@ def tree_digest(rows: DataFrame, depth: int = 3) -> DataFrame:
     )
 
 
+def tree_nodes(rows: DataFrame, depth: int = _DEPTH) -> DataFrame:
+    """digits, prefix, node, n: every node of the hash tree, the root with 0 digits."""
+    level = cut_lineage(_leaf_level(rows, depth))
+    nodes = level.withColumn("digits", F.lit(2 * depth))
+    for digits in range(2 * depth - 2, -1, -2):
+        level = _parents(level, digits)
+        nodes = nodes.unionByName(level.withColumn("digits", F.lit(digits)))
+    return nodes.select("digits", "prefix", "node", "n")
+
+
+def tree_leaves(rows: DataFrame) -> DataFrame:
+    """leaf, branch (its first two digits) and the files of every manifest row, in leaf order, so that
+    a reader that filters on branches skips the rest."""
+    leaf = F.sha2(_record_line(), 256)
+    return rows.select(
+        leaf.alias("leaf"),
+        F.substring(leaf, 1, 2).alias("branch"),
+        *("image", "label", "image_sha256", "label_sha256"),
+    ).sort("leaf")
+
+
+def differing_prefixes(old: DataFrame, new: DataFrame, depth: int = _DEPTH) -> DataFrame:
+    """prefix of the lowest nodes that differ between two trees, found from the root downwards: the
+    children of equal nodes are not compared."""
+    differing = None
+    for digits in range(0, 2 * depth + 1, 2):
+        sides = []
+        for nodes in (old, new):
+            level = nodes.where(F.col("digits") == digits).select("prefix", "node")
+            if differing is not None:
+                parents = differing.select(F.col("prefix").alias("parent"))
+                level = level.join(parents, F.substring("prefix", 1, digits - 2) == F.col("parent"), "left_semi")
+            sides.append(level)
+        known, found = sides[0].withColumnRenamed("node", "known"), sides[1].withColumnRenamed("node", "found")
+        both = known.join(found, "prefix", "full_outer")
+        differing = both.where(~F.col("known").eqNullSafe(F.col("found"))).select("prefix")
+    return differing
+
+
+def manifest_changes(
+    old_leaves: DataFrame, old_nodes: DataFrame, new_leaves: DataFrame, new_nodes: DataFrame, depth: int = _DEPTH
+) -> DataFrame:
+    """image, change of every file that differs between two manifests: added, removed, image, label,
+    image_and_label, or label_path.  Images are named once in a manifest.
+
+    Only the leaves below differing nodes are joined; only branches with a difference, of the 256
+    there are, are read.  Equal manifests read one node each.
+    """
+    prefixes = cut_lineage(differing_prefixes(old_nodes, new_nodes, depth))
+    branches = [row[0] for row in prefixes.select(F.substring("prefix", 1, 2)).distinct().collect()]  # at most 256
+
+    def below(leaves: DataFrame, side: str) -> DataFrame:
+        near = leaves.where(F.col("branch").isin(branches))
+        kept = near.join(prefixes, F.substring("leaf", 1, 2 * depth) == F.col("prefix"), "left_semi")
+        names = ("leaf", "label", "image_sha256", "label_sha256")
+        return kept.select("image", *(F.col(c).alias(f"{side}_{c}") for c in names))
+
+    both = below(old_leaves, "old").join(below(new_leaves, "new"), "image", "full_outer")
+    image = F.col("old_image_sha256") != F.col("new_image_sha256")
+    label = F.col("old_label_sha256") != F.col("new_label_sha256")
+    change = (
+        F.when(F.col("old_leaf").isNull(), "added")
+        .when(F.col("new_leaf").isNull(), "removed")
+        .when(image & label, "image_and_label")
+        .when(image, "image")
+        .when(label, "label")
+        .otherwise("label_path")
+    )
+    return both.where(~F.col("old_leaf").eqNullSafe(F.col("new_leaf"))).select("image", change.alias("change"))
+
+
 def dataset_digest(rows: DataFrame, scheme: str | None = None) -> DataFrame:
     """One row: dataset_sha256, files, hash_scheme.  The tree is the scheme at every size; the
     ordered form is made where it is named.  The scheme is part of the fingerprint."""

@@ -187,7 +187,7 @@ def freeze_dataset(
 ) -> str:
     """Deduplicate, drop emptied items, split by source, audit, fingerprint and publish.  `spec_path`
     may also be the target folder of a remap.  Tables:
-    items, manifest, fingerprint, split_stats, duplicate_groups, removed_files, counts, objective."""
+    items, manifest, fingerprint, tree, leaves, split_stats, duplicate_groups, removed_files, counts, objective."""
     split.check_ratios(ratios)
     spec, items, issues = load_items(spark, spec_path)
     check_target(spark, spec.require_all_splits().root, target, overwrite)
@@ -233,6 +233,8 @@ def freeze_records(
         "items": final,
         "manifest": rows,
         "fingerprint": freeze.dataset_digest(rows),
+        "tree": freeze.tree_nodes(rows),
+        "leaves": freeze.tree_leaves(rows),
         "split_stats": freeze.split_statistics(final, n),
         "duplicate_groups": duplicates,
         "removed_files": dedup.removed_files(judged),
@@ -265,6 +267,13 @@ def verify_frozen(
     )
 
 
+def compare_frozen(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """image, change of the files that differ between two frozen versions, named by their folders as
+    `freeze_dataset` returned them.  Equal parts of their hash trees are not read."""
+    leaves, nodes = ([spark.read.parquet(f"{folder}/{name}") for folder in (old, new)] for name in ("leaves", "tree"))
+    return freeze.manifest_changes(leaves[0], nodes[0], leaves[1], nodes[1])
+
+
 def export_dataset(spark: SparkSession, target: str, folder: str, name: str = "data.yaml") -> dict[str, int]:
     """The newest published remap or freeze below `target` as a plain folder that other tools read: a copy
     of every image, a label file each, and a specification, which is written last.

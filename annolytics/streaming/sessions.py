@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +38,20 @@ def running_summary(
     return finish_summary(grouped.agg(*summary_aggregates(taxonomy)), taxonomy, keys)
 
 
+def ended_sessions(
+    frames: DataFrame, taxonomy: Taxonomy, gap: str = "1 day", lateness: str = "1 hour"
+) -> DataFrame:
+    """Summaries of sessions that have ended, each once: no frame came for `gap`, and the watermark has
+    passed that point, so no later frame can join.  To be written in append mode; the state holds
+    open sessions only.  session_id, started, ended (one `gap` after the last frame), then the
+    columns of the summary.  Frames without a time are dropped."""
+    found = running_summary(frames, taxonomy, gap, lateness)
+    facts = [c for c in found.columns if c not in ("session_id", "session")]
+    return found.select(
+        "session_id", F.col("session.start").alias("started"), F.col("session.end").alias("ended"), *facts
+    )
+
+
 def running_rates(frames: DataFrame, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
     """Violations per event-time window; closed windows leave the state."""
     return violation_rates(frames.withWatermark("ts", lateness), width)
@@ -143,3 +159,125 @@ def first_violations(
             timeMode="None" if ttl_ms is None else "ProcessingTime",
         )
     )
+
+
+def merge_stretches(stretches: Iterable[tuple], gap_ms: int, k: int) -> list[tuple]:
+    """Join (first ms, last ms, frames) that lie less than `gap_ms` apart, in any order of arrival.  The
+    frames, (number, violations), are the `k` smallest of all that were joined, so a stretch stays
+    bounded."""
+    merged: list[tuple] = []
+    for first, last, found in sorted(stretches):
+        if merged and first - merged[-1][1] < gap_ms:
+            start, end, known = merged[-1]
+            merged[-1] = (start, max(end, last), sorted({*known, *found})[:k])
+        else:
+            merged.append((first, last, sorted(set(found))[:k]))
+    return merged
+
+
+def _packed(found: Iterable[tuple]) -> str:
+    return json.dumps([list(pair) for pair in found])
+
+
+def _unpacked(text: str) -> list[tuple]:
+    return [tuple(pair) for pair in json.loads(text)]
+
+
+class EndedViolations(StatefulProcessor):
+    """Keeps the open stretches of a session, each with its first `k` violation frames, and emits a
+    stretch when the watermark is `gap` past its last frame."""
+
+    def __init__(self, k: int, gap_ms: int) -> None:
+        self._k, self._gap_ms = k, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "first long, last long, frames string")
+
+    def _known(self) -> list[tuple]:
+        rows = self._open.get() if self._open.exists() else []
+        return [(row[0], row[1], _unpacked(row[2])) for row in rows]
+
+    def _keep(self, stretches: list[tuple]) -> None:
+        """Store the stretches, and wake up when the first of them may end."""
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if not stretches:
+            self._open.clear()
+            return
+        self._open.put([(first, last, _packed(found)) for first, last, found in stretches])
+        self._handle.registerTimer(min(last for _, last, _ in stretches) + self._gap_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stretches = self._known()
+        for batch in rows:
+            new = zip(batch["first"].tolist(), batch["last"].tolist(), map(_unpacked, batch["frames"]))
+            stretches = merge_stretches([*stretches, *new], self._gap_ms, self._k)
+        self._keep(stretches)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        ended, still = [], []
+        for stretch in self._known():
+            (ended if stretch[1] + self._gap_ms <= now else still).append(stretch)
+        self._keep(still)
+        rows = [
+            (key[0], last + self._gap_ms, number, text) for _, last, found in ended for number, text in found
+        ]
+        if rows:
+            yield pd.DataFrame(rows, columns=["session_id", "ended_ms", "frame", "violations"])
+
+    def close(self) -> None:
+        pass
+
+
+def ended_violations(
+    frames: DataFrame,
+    k: int = settings.VIOLATION_SAMPLES,
+    gap: timedelta = timedelta(days=1),
+    lateness: str = "1 hour",
+) -> DataFrame:
+    """The first `k` violation frames of every ended stretch, each stretch emitted once, in append mode:
+    session_id, ended (`gap` after the last of its violation frames), frame, violations (JSON).
+
+    A session's violation frames less than `gap` apart make one stretch.  It ends when the
+    watermark, `lateness` behind the newest violation frame of the stream, has passed its end, and its state goes
+    then; frames that come later than that are dropped.  Frames without a time are dropped, too.
+    Every Arrow batch is joined to stretches before the shuffle, so a hot session is thinned there.
+    """
+    gap_ms = round(gap.total_seconds() * 1000)
+    schema = "session_id long, seen timestamp, first long, last long, frames string"
+    frames.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    bad = frames.where("ts IS NOT NULL").select(
+        "session_id",
+        F.unix_millis("ts").alias("ms"),
+        "frame",
+        F.to_json(violations(F.col("detections"))).alias("violations"),
+    ).where(F.col("violations") != "[]")
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for session, part in batch.groupby("session_id", sort=False, dropna=False):
+                single = zip(part["ms"], part["ms"], [[pair] for pair in zip(part["frame"].tolist(), part["violations"])])
+                for first, last, found in merge_stretches(single, gap_ms, k):
+                    rows.append((session, pd.Timestamp(last, unit="ms", tz="UTC"), first, last, _packed(found)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["session_id", "seen", "first", "last", "frames"])
+
+    emitted = (
+        bad.mapInPandas(thin, schema)
+        .withWatermark("seen", lateness)
+        .groupBy("session_id")
+        .transformWithStateInPandas(
+            statefulProcessor=EndedViolations(k, gap_ms),
+            outputStructType=T.StructType.fromDDL("session_id long, ended_ms long, frame long, violations string"),
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+    return emitted.select("session_id", F.timestamp_millis("ended_ms").alias("ended"), "frame", "violations")

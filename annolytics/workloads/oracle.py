@@ -484,6 +484,10 @@ QUERIES: dict[str, str] = {
     "dataset_tree_digest": _TREE_DIGEST,
     "manifest_status": """SELECT image, label, CASE regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT % 50
         WHEN 7 THEN 'missing_file' WHEN 8 THEN 'image_mismatch' WHEN 9 THEN 'label_mismatch' ELSE 'ok' END AS status FROM final""",
+    "manifest_changes": """WITH numbered AS (SELECT image, regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT % 50 AS number FROM final)
+        SELECT image, CASE number WHEN 8 THEN 'image' WHEN 9 THEN 'label' WHEN 10 THEN 'image_and_label' ELSE 'removed' END AS change
+        FROM numbered WHERE number BETWEEN 6 AND 10
+        UNION ALL SELECT image || '.moved', 'added' FROM numbered WHERE number = 6""",
     "manifest_verification": f"""WITH numbered AS (SELECT *, regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT % 50 AS number FROM final),
         altered AS (SELECT * REPLACE (CASE number WHEN 8 THEN sha256('altered') ELSE image_sha256 END AS image_sha256,
                                       CASE number WHEN 9 THEN sha256('altered') ELSE label_sha256 END AS label_sha256) FROM numbered),
@@ -702,6 +706,43 @@ QUERIES["coverage_repaired"] = f"""SELECT split, c.class_name, coalesce(sum(k.im
     WHERE c.class_id IN ({", ".join(map(str, _REQUIRED))}) GROUP BY ALL"""
 
 
+def _stretches(rows: str) -> str:
+    """Rows with the number of their stretch: 18 hours without a row start a new one."""
+    return f"""SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS stretch FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) < INTERVAL 18 HOUR THEN 0 ELSE 1 END AS opens
+        FROM {rows})"""
+
+
+def _ended(ts: str) -> str:
+    return f"""SELECT session_id, stretch, min({ts}) AS started, max({ts}) + INTERVAL 18 HOUR AS ended FROM {{0}}
+        GROUP BY ALL HAVING max({ts}) + INTERVAL 18 HOUR <= (SELECT date_trunc('millisecond', max({ts})) - INTERVAL 1 HOUR FROM {{0}})"""
+
+
+BLOCKS["stretches"] = _stretches("bad_frames")
+BLOCKS["ended"] = _ended("ts").format("stretches")
+# The violations are timed in milliseconds.
+BLOCKS["violating"] = _stretches(
+    "(SELECT session_id, frame, date_trunc('millisecond', ts) AS ts, v FROM bad_frames WHERE len(v) > 0)"
+)
+BLOCKS["ended_violating"] = _ended("ts").format("violating")
+BLOCKS["ended_frames"] = "SELECT s.*, e.started, e.ended FROM stretches s JOIN ended e USING (session_id, stretch)"
+BLOCKS["ended_classes"] = """SELECT session_id, stretch, string_agg(name || '=' || k, ',' ORDER BY name) AS t FROM (
+    SELECT session_id, stretch, o.name AS name, count(*) AS k
+    FROM (SELECT session_id, stretch, unnest(d) AS o FROM ended_frames JOIN frames USING (session_id, frame)) GROUP BY ALL) GROUP BY ALL"""
+QUERIES["ended_sessions_stream"] = """SELECT f.session_id, started, ended,
+    CASE WHEN sum(len(v)) > 0 THEN 'violation_detected' ELSE 'no_violation_detected' END AS status,
+    count(*) AS frames_processed, count(*) FILTER (WHERE len(v) > 0) AS frames_with_violations,
+    sum(len(v))::BIGINT AS violation_detection_events, max(len(v)) AS max_violations_in_frame,
+    coalesce(any_value(c.t), '') AS class_counts,
+    'no_helmet=' || sum(len(list_filter(v, lambda o: o.name = 'no_helmet'))) ||
+    ',no_vest=' || sum(len(list_filter(v, lambda o: o.name = 'no_vest'))) AS violation_counts
+    FROM ended_frames f LEFT JOIN ended_classes c USING (session_id, stretch) GROUP BY f.session_id, stretch, started, ended"""
+QUERIES["ended_violations_stream"] = """SELECT session_id, ended, frame,
+    array_to_string(list_transform(v, lambda o: o.name || ':' || o.confidence), ',') AS violations FROM (
+      SELECT *, row_number() OVER (PARTITION BY session_id, stretch ORDER BY frame) AS rk
+      FROM violating JOIN ended_violating USING (session_id, stretch)) WHERE rk <= 5"""
+
+
 def _sources(sql: str) -> list[str]:
     """Blocks that `sql` reads from."""
     return [name for name in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_]+)", sql) if name in BLOCKS]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -478,6 +479,22 @@ def manifest_status(spark, sf):
     return status_of_altered(spark, sf).select("image", "label", "status")
 
 
+@query
+def manifest_changes(spark, sf):
+    """Files that differ after some were renamed, lost or altered, found by descending the hash trees."""
+    rows = freeze.manifest(final_items(spark, sf))
+    number = F.regexp_extract("image", r"_([0-9]+)[.]jpg$", 1).cast("bigint") % 50
+    altered = rows.withColumn("number", number).where("number <> 7").select(
+        F.when(F.col("number") == 6, F.concat("image", F.lit(".moved"))).otherwise(F.col("image")).alias("image"),
+        "label",
+        F.when(F.col("number").isin(8, 10), F.sha2("image_sha256", 256)).otherwise(F.col("image_sha256")).alias("image_sha256"),
+        F.when(F.col("number").isin(9, 10), F.sha2("label_sha256", 256)).otherwise(F.col("label_sha256")).alias("label_sha256"),
+    )
+    return freeze.manifest_changes(
+        freeze.tree_leaves(rows), freeze.tree_nodes(rows), freeze.tree_leaves(altered), freeze.tree_nodes(altered)
+    )
+
+
 @query
 def manifest_verification(spark, sf):
     """Bytes and texts are hashed anew: as they were frozen, and with some of them altered."""
@@ -780,14 +797,16 @@ def detection_normalisation(spark, sf):
     )
 
 
-def _streamed(spark: SparkSession, sf: str, start: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _streamed(
+    spark: SparkSession, sf: str, start: Callable[[DataFrame], DataFrame], mode: str = "update"
+) -> DataFrame:
     """All revisions that `start(frames)` writes while the events arrive in several parts, each read
     by a query started anew from the same checkpoint."""
     folder = fresh_folder(spark, "stream")
     for number, part in enumerate(fx.arrivals(spark, sf)):
         part.write.parquet(f"{folder}/in/batch={number}")
         stream = start(fx.frame_stream(spark, sf, f"{folder}/in"))
-        streams.write_revisions(stream, f"{folder}/rows", f"{folder}/state").awaitTermination()
+        streams.write_revisions(stream, f"{folder}/rows", f"{folder}/state", mode).awaitTermination()
     return spark.read.parquet(f"{folder}/rows")
 
 
@@ -797,6 +816,36 @@ def session_summary_stream(spark, sf):
     return _flat(streams.latest_rows(revisions, ["session_id"]))
 
 
+SESSION_GAP, SESSION_LATENESS = timedelta(hours=18), "1 hour"
+
+
+@query
+def ended_sessions_stream(spark, sf):
+    """Every session that ended before the last watermark, as emitted, once."""
+    gap = f"{SESSION_GAP // timedelta(hours=1)} hours"
+
+    def start(frames):
+        return streams.ended_sessions(frames, fx.FINAL, gap, SESSION_LATENESS)
+
+    found = _streamed(spark, sf, start, "append").select(
+        "session_id", F.col("started").cast("timestamp_ntz").alias("started"),
+        F.col("ended").cast("timestamp_ntz").alias("ended"), "status", "frames_processed", "frames_with_violations",
+        "violation_detection_events", "max_violations_in_frame", "class_counts", "violation_counts",
+    )
+    return _flat(found)
+
+
+@query
+def ended_violations_stream(spark, sf):
+    def start(frames):
+        return streams.ended_violations(frames, 5, SESSION_GAP, SESSION_LATENESS)
+
+    found = _streamed(spark, sf, start, "append").withColumn(
+        "violations", F.from_json("violations", "array<struct<class_id:long,class_name:string,confidence:double>>")
+    )
+    return found.select("session_id", F.col("ended").cast("timestamp_ntz").alias("ended"), "frame", _violation_text())
+
+
 @query
 def violation_rate_stream(spark, sf):
     revisions = _streamed(spark, sf, streams.running_rates)

@@ -150,3 +150,48 @@ def test_windows_close_with_the_watermark(spark, tmp_path):
     latest = streams.latest_rows(finished(spark, stream, tmp_path), ["window_start", "class_name"])
     batch = sessions.violation_rates(spark.createDataFrame(ROWS, FRAME), "2 seconds")
     assert sorted(map(tuple, latest.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def ticking(spark, folder, *parts):
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, FRAME).coalesce(1).write.parquet(str(folder / f"in/part={number}"))
+    return spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).parquet(str(folder / "in/part=*"))
+
+
+def test_ended_sessions_are_emitted_once_and_leave_the_state(spark, tmp_path):
+    late = frame(1, 1, "no_vest")  # its session has been emitted when it arrives
+    stream = ticking(spark, tmp_path, ROWS, [frame(3, 50, "no_vest")], [frame(3, 51)], [late], [frame(4, 900)])
+    found = streams.ended_sessions(stream, NAMES, gap="5 seconds", lateness="1 second")
+    query = streams.write_revisions(found, str(tmp_path / "out"), str(tmp_path / "state"), "append")
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["session_id"], r["frames_processed"], r["frames_with_violations"]) for r in rows) == [
+        (1, 3, 1), (2, 3, 2), (3, 2, 1)
+    ]
+    assert all((r["ended"] - r["started"]).total_seconds() >= 5 for r in rows)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # session 4 is open
+
+
+def test_ended_violations_are_emitted_once_and_leave_the_state(spark, tmp_path):
+    apart = [frame(1, 30, "no_vest"), frame(1, 31), frame(1, 33, "no_helmet"), frame(1, 32, "no_helmet")]
+    stream = ticking(
+        spark, tmp_path, ROWS, apart, [frame(3, 500, "no_vest")], [frame(3, 501, "no_vest")],
+        [frame(1, 34, "no_vest")], [frame(4, 900, "no_vest")],
+    )
+    gap = pd.Timedelta(seconds=5).to_pytimedelta()
+    found = streams.ended_violations(stream, k=2, gap=gap, lateness="1 second")
+    query = streams.write_revisions(found, str(tmp_path / "out"), str(tmp_path / "state"), "append")
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["session_id"], r["frame"]) for r in rows) == [(1, 0), (1, 30), (1, 32), (2, 2), (2, 3), (3, 500), (3, 501)]
+    assert {(r["ended"] - pd.Timestamp("2024-01-01")).total_seconds() for r in rows if r["session_id"] == 1} == {5.0, 38.0}
+    left = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "state")).collect()
+    assert {r["key"]["session_id"] for r in left} == {4}
+
+
+def test_stretches_join_in_any_order():
+    rows = [(0, 0, [(3, "c")]), (10, 10, [(1, "a")]), (5, 5, [(2, "b")]), (20, 20, [(9, "z")])]
+    assert streams.merge_stretches(rows, 10, 2) == [(0, 10, [(1, "a"), (2, "b")]), (20, 20, [(9, "z")])]
+    for cut in range(1, 4):
+        early = streams.merge_stretches(rows[cut:], 10, 2)
+        assert streams.merge_stretches(early + rows[:cut], 10, 2) == streams.merge_stretches(rows, 10, 2)
