@@ -55,6 +55,14 @@ def merge_adjacent(turns: Column) -> Column:
     )
 
 
+def in_blocks(items: Column) -> Column:
+    """An array in slices of about the square root of its size; no slices of an empty one.  `items`
+    should be a column, not an expression, as every slice refers to it."""
+    size = F.ceil(F.sqrt(F.size(items))).cast("int")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.greatest(size, F.lit(1))), lambda i: i <= F.size(items))
+    return F.transform(starts, lambda i: F.slice(items, i, size))
+
+
 def format_chats(
     rows: DataFrame, id_column: str = "conv_id", learn_from: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
@@ -98,21 +106,22 @@ def format_chats(
     cut = messages.select(
         "_id", formatted.alias("formatted"), F.flatten(F.transform("messages", pieces)).alias("pieces")
     )
-    zero = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,length:int>>").alias("spans"),
-    )
-    spans = F.aggregate(
-        "pieces",
-        zero,
-        lambda acc, p: F.struct(
+    # Appending to an array copies it, so spans are gathered in blocks and the blocks joined at the end.
+    def step(acc: Column, p: Column) -> Column:
+        span = F.struct(acc["at"].alias("start"), p["n"].alias("length"))
+        return F.struct(
             (acc["at"] + p["n"]).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), p["n"].alias("length")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
+            F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,length:int>>>").alias("blocks"))
+
+    def block(acc: Column, part: Column) -> Column:
+        ends = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+        return F.struct(ends["at"].alias("at"), F.concat(acc["blocks"], F.array(ends["spans"])).alias("blocks"))
+
+    spans = F.flatten(F.aggregate(in_blocks(F.col("pieces")), zero, block)["blocks"])
     return cut.select(F.col("_id").alias(id_column), "formatted", spans.alias("loss_spans"))
 
 
@@ -131,5 +140,21 @@ def read_turns(formatted: Column) -> Column:
 
 
 def learned_texts(formatted: Column, spans: Column) -> Column:
-    """array<string>: what the loss mask covers, span by span, unescaped."""
-    return F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"])))
+    """array<string>: what the loss mask covers, span by span, unescaped.
+
+    Finding a place in a text takes time in proportion to the place, so a block of spans is cut out
+    as one stretch first, and its spans from there.
+    """
+    def stretch(part: Column) -> Column:
+        first, last = F.element_at(part, 1), F.element_at(part, -1)
+        length = last["start"] + last["length"] - first["start"]
+        return F.struct(
+            part.alias("spans"), first["start"].alias("start"), F.substr(formatted, first["start"] + 1, length).alias("text")
+        )
+
+    return F.flatten(F.transform(
+        F.transform(in_blocks(spans), stretch),
+        lambda x: F.transform(
+            x["spans"], lambda s: unescape(F.substr(x["text"], s["start"] - x["start"] + 1, s["length"]))
+        ),
+    ))

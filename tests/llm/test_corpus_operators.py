@@ -97,6 +97,18 @@ def test_chat_round_trip_merge_and_loss(spark, none):
     assert chat_format.format_chats(empty).count() == 0
 
 
+def test_spans_of_long_conversations(spark):
+    rng = random.Random(4)
+    turns = [(i % 2, i // 2, rng.choice(["user", "assistant", None]), rng.choice(["", "é</s>\\", "x" * 30, None])) for i in range(900)]
+    turns.append((2, 0, "user", "alone"))
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    done = chat_format.format_chats(frame)
+    found = done.select("conv_id", chat_format.learned_texts(F.col("formatted"), F.col("loss_spans")).alias("learned"))
+    for conversation, learned in found.collect():
+        mine = sorted((t, r or "", x or "") for c, t, r, x in turns if c == conversation)
+        assert learned == [x for _, r, x in mine if r == "assistant"]
+
+
 def test_exact_groups_and_kept_rows(spark, docs, none):
     found = exact_dedup.exact_groups(docs, index(spark)).collect()
     assert len(found) == len(rows())
