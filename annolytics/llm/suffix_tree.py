@@ -1,23 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Texts are sequences of symbols (folded bytes) with an end.  Contexts of up to DEPTH symbols that
-are common enough stay in the tree if their next-symbol distribution diverges from that of the
-context one symbol shorter.  Distributions are smoothed towards the shorter context's, more so the more
-different symbols were seen, and a text is scored from the state of the longest retained suffix at each
-position.  A byte's probability is that
-of its symbol times that of the byte within the symbol, so probabilities of texts are proper.
-
-The tree's size has a bound that no corpus can exceed: at most 1/LEAST_SHARE contexts of each
-length.  Word counts have none; they are joined, never broadcast.
+Texts are sequences of bytes with an end.  A context of up to DEPTH bytes that precedes LEAST positions
+or more stays in the tree if its next-byte distribution diverges from that of the context one byte
+shorter.  Distributions are smoothed towards the longest shorter context's that stayed, more so the more
+different bytes were seen, and each position of a text is scored from the longest suffix that stayed.
+
+LEAST does not depend on the input, so the tree grows with it, and neither the tree nor the word counts
+are ever collected or broadcast.  A block of documents has its distinct grams (a context of
+DEPTH bytes and the next one) and words; these are joined with the probabilities and counts, and come back to
+the block, where the texts are scored.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -27,366 +27,332 @@ from pyspark.sql import functions as F
 from annolytics.llm.common import id_crc, whole_text, written
 
 DEPTH = 5
-LEAST_SHARE = 4e-6  # of all positions that a context must precede
+LEAST = 20  # positions that a context must precede
 DIVERGENCE = 0.01  # nats
 BLOCK_BYTES = 8 << 20  # text that shares one local vocabulary
-GATHER_BYTES = 4 << 20  # text that is counted before counts are handed on; bounds a task's memory
+GROUP_GRAMS = 1 << 16  # distinct grams whose probabilities one task works out together, about
+BUCKET_GRAMS = 1 << 20  # grams of blocks that one task looks up together, about
 
-BITS = 6
+BITS = 8
 SYMBOLS = 1 << BITS
-END = SYMBOLS - 1
-PAD = b"\xff" * DEPTH  # no UTF-8 text holds this byte; it stands for the end
+END = 0xFF  # no UTF-8 text holds this byte; it stands for the end
+PAD = bytes([END]) * DEPTH
 END_WORD = b"\n"  # no word holds white space
+LOW = 2  # contexts of up to LOW bytes are worked out first: at most 2^24 grams
 
 
-def symbol_table() -> np.ndarray:
-    """byte -> symbol: letters, common marks and white space have symbols of their own; other
-    bytes share some by rule."""
-    own = b"abcdefghijklmnopqrstuvwxyz \n.,;:!?'\"()-/_=%&*$#@+|<>"
-    table = np.full(256, len(own), np.uint8)  # anything else below 128
-    table[list(own)] = np.arange(len(own))
-    table[list(b"0123456789")] = len(own) + 1
-    table[0x80:0xC0] = len(own) + 2 + np.arange(64) % 4  # continuation bytes
-    table[0xC0:] = len(own) + 6  # first bytes
-    table[0xC3] = len(own) + 7
-    table[0xFF] = END
-    assert len(own) + 7 < END
-    return table
+def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, start, end) of texts one after another, each after PAD; the end mark counts as a
+    position of its text.  The first byte of a gram is in its highest bits."""
+    raw = np.frombuffer(PAD + b"".join(t + PAD for t in texts), np.uint8)
+    grams = raw[:-DEPTH].astype(np.int64)
+    for d in range(1, DEPTH + 1):
+        grams <<= BITS
+        grams |= raw[d : len(raw) - DEPTH + d]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    start = np.cumsum(np.concatenate([[0], lengths[:-1] + DEPTH]))
+    return grams, start, start + lengths + 1
 
 
-SYMBOL = symbol_table()
-FOLD = SYMBOL.tobytes()
+def _suffix(gram, depth: int):
+    """The last `depth` bytes of the context, and the next byte."""
+    return gram & (1 << BITS * (depth + 1)) - 1
 
 
-def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, symbols, start, end) of texts one after another, each after PAD; start and end
-    index positions after the first DEPTH; the end mark counts as a position of its text."""
-    raw = PAD + b"".join(t + PAD for t in texts)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    start = np.cumsum(np.concatenate([[0], lengths[:-1] + DEPTH]))
-    return (
-        np.frombuffer(raw, np.uint8),
-        np.frombuffer(raw.translate(FOLD), np.uint8).astype(np.int32),
-        start,
-        start + lengths + 1,
-    )
+# --- arrays in few bytes --------------------------------------------------------------------------
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Byte by byte place: the upper bytes of small numbers are runs of zeros."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
 
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
-def _contexts(x: np.ndarray) -> np.ndarray:
-    """The DEPTH symbols before each position, the last one in the lowest bits."""
-    code = x[:-DEPTH].astype(np.int64)
-    for d in range(1, DEPTH):
-        code <<= BITS
-        code |= x[d : d - DEPTH]
-    return code
+
+def _pack_sorted(grams: np.ndarray) -> bytes:
+    return _pack(np.diff(grams, prepend=0))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.int64))
+
+
+# --- blocks of documents --------------------------------------------------------------------------
+
+_BLOCK_TYPES = {
+    "block": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "body": pa.binary(), "word": pa.binary(),
+    "n": pa.int64(), "grams": pa.binary(), "times": pa.binary(),
+}
+_BLOCK_DDL = (
+    "block bigint, doc_id bigint, held boolean, body binary, word binary, n bigint, grams binary, times binary"
+)
 
 
-# --- what is gathered from the training texts -----------------------------------------------------
+def _rows(**columns) -> pa.RecordBatch:
+    n = len(columns["block"])
+    arrays = []
+    for name, kind in _BLOCK_TYPES.items():
+        values = columns.get(name)
+        if values is None:
+            values = pa.nulls(n, kind)
+        arrays.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=list(_BLOCK_TYPES))
 
 
-def _blocks(batches, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of batches with lower-cased texts, of about a megabyte."""
+def _parts(batches) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of batches (doc_id, held, body) with lower-cased texts, of about a megabyte."""
     for batch in batches:
-        at, texts, held = 0, [], 0
-        for i, text in enumerate(batch.column(column)):
+        at, texts, size = 0, [], 0
+        for i, text in enumerate(batch.column(2)):
             texts.append(text.as_py().lower())
-            held += len(texts[-1])
-            if held >= 1 << 20 or i + 1 == batch.num_rows:
+            size += len(texts[-1])
+            if size >= 1 << 20 or i + 1 == batch.num_rows:
                 yield batch.slice(at, len(texts)), texts
-                at, texts, held = i + 1, [], 0
+                at, texts, size = i + 1, [], 0
+
+
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and the sums of their counts."""
+    grams = np.concatenate([g for g, _ in counts])
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], np.concatenate([n for _, n in counts])[order]
+    first = np.flatnonzero(np.diff(grams, prepend=-1))
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def gather(texts: DataFrame) -> DataFrame:
-    """(word, code, n) of `texts(body)`: counts of words (code null) and of symbols after their contexts
-    (word null).  Codes below zero count bytes: -1 - byte."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """`docs(doc_id, held, body)` as rows of blocks: the documents, one row a distinct word, and one row with
+    all distinct grams.  `n` and `times` count training texts; what only held-out texts hold has 0 there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, used = TaskContext.get().partitionId() << 32, 0
         words: Counter = Counter()
-        codes: list[np.ndarray] = []
-        seen = np.zeros(256, np.int64)
-        held = 0
-
-        def out(keys, codes, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())],
-                names=["word", "code", "n"],
-            )
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield out(list(words), [None] * len(words), list(words.values()))
-            grams, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield out([None] * len(grams), grams, n)
-            yield out([None] * 256, -1 - np.arange(256), seen)
-
-        for _, part in _blocks(batches, 0):
-            for text in part:
-                words.update(text.split())
-                held += len(text)
-            words[END_WORD] += len(part)
-            raw, x, _, end = _stream(part)
-            grams = (_contexts(x) << BITS) | x[DEPTH:]
-            counted = np.ones(len(grams), bool)
+            yield _rows(block=np.full(len(words), block), word=list(words), n=list(words.values()))
+            grams, n = _merged(counts)
+            yield _rows(block=[block], n=[len(grams)], grams=[_pack_sorted(grams)], times=[_pack(n)])
+
+        for batch, texts in _parts(batches):
+            held = batch.column(1).to_numpy(zero_copy_only=False)
+            for text, out in zip(texts, held.tolist(), strict=True):
+                if out:
+                    for word in text.split():
+                        words.setdefault(word, 0)
+                    words.setdefault(END_WORD, 0)
+                else:
+                    words.update(text.split())
+                    words[END_WORD] += 1
+                used += len(text)
+            grams, _, end = _stream(texts)
+            taken = np.repeat(~held, [len(t) + DEPTH for t in texts])
+            real = np.ones(len(grams), bool)
             for k in range(DEPTH - 1):
-                counted[end + k] = False  # padding
-            codes.append(grams[counted])
-            seen += np.bincount(raw[DEPTH:][counted], minlength=256)
-            if held >= GATHER_BYTES:
+                real[end + k] = False  # padding
+            counts.append(np.unique(grams[real & taken], return_counts=True))
+            unseen = np.unique(grams[real & ~taken])
+            counts.append((unseen, np.zeros(len(unseen), np.int64)))
+            yield _rows(
+                block=np.full(len(texts), block), doc_id=batch.column(0), held=batch.column(1), body=texts
+            )
+            if used >= BLOCK_BYTES:
                 yield from flush()
-                words, codes, held = Counter(), [], 0
-                seen[:] = 0
-        if words:
+                block, used, words, counts = block + 1, 0, Counter(), []
+        if counts:
             yield from flush()
 
-    parts = texts.mapInArrow(run, "word binary, code bigint, n bigint")
-    return parts.groupBy("word", "code").agg(F.sum("n").alias("n")).filter("n > 0")
+    return written(docs.mapInArrow(run, _BLOCK_DDL), "blocks")
 
 
 # --- the tree -------------------------------------------------------------------------------------
 
 
-class Tree:
-    """`levels[d]` are the contexts of d + 1 symbols that stay; states are numbered in this order,
-    after the root.  The tables to walk the tree with are made where it is used."""
-
-    def __init__(self, levels: list[np.ndarray], log10: np.ndarray, byte: np.ndarray):
-        self.levels, self.log10, self.byte = levels, log10.astype(np.float32), byte
-        self._tables: tuple[np.ndarray, np.ndarray] | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_tables": None}
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(child, state): a node and the symbol before it -> the longer node; the state at a node, 0
-        where its context did not stay.  Node 0 has no children, node 1 is the empty context."""
-        if self._tables is None:
-            nodes = [np.zeros(1, np.int64)]
-            for depth in range(1, DEPTH + 1):
-                suffixes = [contexts & (1 << BITS * depth) - 1 for contexts in self.levels[depth - 1 :]]
-                nodes.append(np.unique(np.concatenate(suffixes)))
-            first = np.cumsum([1, *map(len, nodes)])
-            child = np.zeros((first[DEPTH], SYMBOLS), np.int32)
-            state = np.zeros(first[-1], np.int32)
-            states = 1
-            for depth, contexts in enumerate(self.levels, start=1):
-                own, shorter = nodes[depth], nodes[depth] & (1 << BITS * (depth - 1)) - 1
-                parent = first[depth - 1] + np.searchsorted(nodes[depth - 1], shorter)
-                child[parent, own >> BITS * (depth - 1)] = first[depth] + np.arange(len(own))
-                state[first[depth] + np.searchsorted(own, contexts)] = states + np.arange(len(contexts))
-                states += len(contexts)
-            self._tables = child.ravel(), state
-        return self._tables
-
-    def states(self, x: np.ndarray) -> np.ndarray:
-        """The longest retained suffix before each symbol after the first DEPTH."""
-        child, state = self.tables()
-        node = np.ones(len(x) - DEPTH, np.int32)
-        longest = np.zeros_like(node)
-        for depth in range(1, DEPTH + 1):
-            node = child.take((node << BITS) | x[DEPTH - depth : -depth])
-            np.maximum(longest, state.take(node), out=longest)  # longer contexts have larger numbers
-        return longest
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each (lower-cased) text."""
-        if not texts:
-            return np.zeros(0)
-        raw, x, start, end = _stream(texts)
-        each = self.log10[self.states(x), x[DEPTH:]] + self.byte[raw[DEPTH:]]
-        return np.add.reduceat(each, np.column_stack([start, end]).ravel())[::2]
-
-
-def retained(grams: DataFrame) -> DataFrame:
-    """(depth, context, next, n) of the contexts that stay, from `grams(code, n)`.
-
-    Depth 0 always stays.  At most 1/LEAST_SHARE contexts of each depth can.
-    """
-    depths = F.array(*map(F.lit, range(DEPTH + 1)))
-    each = grams.select("code", "n", F.explode(depths).alias("depth")).select(
-        "depth",
-        F.shiftright("code", BITS)
-        .bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * depth) - 1"))
-        .alias("context"),
-        F.col("code").bitwiseAND(SYMBOLS - 1).alias("next"),
-        "n",
-    )
-    nexts = each.groupBy("depth", "context", "next").agg(F.sum("n").alias("n"))
-    totals = nexts.groupBy("depth", "context").agg(F.sum("n").alias("total"))
-    everything = totals.filter("depth = 0").select(F.col("total").alias("positions"))
-    # one row on the right: the number of positions
-    common = totals.join(F.broadcast(everything), F.col("total") >= LEAST_SHARE * F.col("positions"))
-    shares = written(
-        nexts.join(common, ["depth", "context"]).select(
-            "depth", "context", "next", "n", (F.col("n") / F.col("total")).alias("p")
-        ),
-        "contexts",
-    )
-    shorter = shares.select(
-        (F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "next", F.col("p").alias("q")
-    )
-    suffix = F.col("context").bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * (depth - 1)) - 1"))
-    gain = (
-        shares.filter("depth > 0")
-        .withColumn("suffix", suffix)
-        .join(shorter, ["depth", "suffix", "next"])
-        .groupBy("depth", "context")
-        .agg(F.sum(F.expr("p * ln(p / q)")).alias("gain"))
-    )
-    stay = gain.filter(F.col("gain") >= DIVERGENCE).select("depth", "context")
-    return shares.filter("depth = 0").drop("p").unionByName(
-        shares.drop("p").join(stay, ["depth", "context"], "left_semi")
+def descend(gram, n, p, q, depth, depths, least, divergence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability, raw share and depth of the state of each gram after `depths`, from those after the
+    depth before.  All grams that share a context of the first of `depths` must be given."""
+    for d in depths:
+        own, first, at = np.unique(_suffix(gram, d), return_index=True, return_inverse=True)
+        seen = np.bincount(at, n, len(own))
+        wider, share, state = p[first], q[first], depth[first]
+        context = np.unique(own >> BITS, return_inverse=True)[1]
+        total = np.bincount(context, seen)
+        kinds = np.bincount(context, seen > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = np.where(seen > 0, seen * np.log(seen / share), 0)
+            gain = np.bincount(context, each) / total - np.log(total)
+            stays = ((total >= least) & (gain >= divergence))[context]
+            smooth = (seen + kinds[context] * wider) / (total + kinds)[context]
+            share = seen / total[context]
+        p, q, depth = np.where(stays, smooth, wider)[at], share[at], np.where(stays, d, state)[at]
+    return p, q, depth
+
+
+def _descending(rows: DataFrame, group, depths: range, least: int, divergence: float) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        gram, n, p, q, depth = (t.column(c).to_numpy() for c in ("gram", "n", "p", "q", "depth"))
+        p, q, depth = descend(gram, n, p, q, depth, depths, least, divergence)
+        return pa.table({"gram": gram, "n": n, "p": p, "q": q, "depth": depth.astype(np.int32)})
+
+    kept = rows.select("gram", "n", "p", "q", "depth", group.alias("part"))
+    return kept.groupBy("part").applyInArrow(run, "gram bigint, n bigint, p double, q double, depth int")
+
+
+def probabilities(grams: DataFrame, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+    """gram, n, p, q, depth of distinct `grams(gram, n)`: the probability of the last byte after the longest
+    suffix of the others that stays in the tree, which has `depth` bytes."""
+    low = written(
+        grams.groupBy(F.lit(_suffix(-1, LOW)).bitwiseAND(F.col("gram")).alias("gram")).agg(F.sum("n").alias("n")),
+        "low",
     )
+    root = np.zeros(SYMBOLS, np.int64)
+    for r in low.groupBy(F.col("gram").bitwiseAND(SYMBOLS - 1).alias("next")).agg(F.sum("n").alias("n")).collect():
+        root[r.next] = r.n  # SYMBOLS rows at most
+    shares, total = (root + 1) / (root.sum() + SYMBOLS), max(1, int(root.sum()))
+    next_byte = (F.col("gram").bitwiseAND(SYMBOLS - 1) + 1).cast("int")
 
+    def of_root(values) -> F.Column:
+        return F.element_at(F.array(*map(F.lit, values.tolist())), next_byte)
 
-def build_tree(counts: DataFrame) -> Tree:
-    """Smooth the retained contexts, shortest first, on the driver: their number is bounded."""
-    grams = counts.filter("code >= 0").select("code", "n")
-    found = retained(grams).select("depth", "context", "next", "n").toArrow()
-    rows = np.column_stack([found.column(c).to_numpy().astype(np.int64) for c in found.column_names])
-    root = np.full(SYMBOLS, 1.0)
-    own = rows[rows[:, 0] == 0]
-    np.add.at(root, own[:, 2], own[:, 3])
-    states, levels = [root / root.sum()], []
-    number = {(0, 0): 0}  # (depth, context) -> state
-    for depth in range(1, DEPTH + 1):
-        level = rows[rows[:, 0] == depth]
-        contexts, at = np.unique(level[:, 1], return_inverse=True)
-        seen = np.zeros((len(contexts), SYMBOLS))
-        np.add.at(seen, (at, level[:, 2]), level[:, 3])
-        for context, n in zip(contexts.tolist(), seen, strict=True):
-            suffixes = ((d, context & (1 << BITS * d) - 1) for d in range(depth - 1, -1, -1))
-            wider = states[next(number[s] for s in suffixes if s in number)]
-            number[depth, context] = len(states)
-            kinds = np.count_nonzero(n)
-            states.append((n + kinds * wider) / (n.sum() + kinds))
-        levels.append(contexts)
-    seen = np.full(256, 0.5)
-    for r in counts.filter("code < 0").collect():  # 256 rows at most
-        seen[-1 - r.code] += r.n
-    total = np.bincount(SYMBOL, seen, SYMBOLS)
-    return Tree(levels, np.log10(np.array(states)), np.log10(seen / total[SYMBOL]))
+    started = low.select(
+        "gram", "n", of_root(shares).alias("p"), of_root(root / total).alias("q"), F.lit(0).alias("depth")
+    )
+    last = F.shiftright("gram", BITS).bitwiseAND(SYMBOLS - 1)
+    wide = written(_descending(started, last, range(1, LOW + 1), least, divergence), "low_states")
+    begun = grams.withColumn("low", F.col("gram").bitwiseAND(_suffix(-1, LOW))).join(
+        wide.select(F.col("gram").alias("low"), "p", "q", "depth"), "low"
+    )
+    groups = max(1, grams.count() // GROUP_GRAMS)
+    context = F.shiftright("gram", BITS).bitwiseAND((1 << BITS * (LOW + 1)) - 1)
+    group = F.pmod(F.xxhash64(context), F.lit(groups))
+    return _descending(begun, group, range(LOW + 1, DEPTH + 1), least, divergence)
 
 
-# --- scoring --------------------------------------------------------------------------------------
+def gram_counts(parts: DataFrame) -> DataFrame:
+    """Distinct (gram, n) of all blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = pa.RecordBatch.from_arrays(
+                    [pa.array(_unpack_sorted(grams)), pa.array(_unpack(times, np.int64))], names=["gram", "n"]
+                )
+                for at in range(0, found.num_rows, 1 << 16):
+                    yield found.slice(at, 1 << 16)
+
+    each = parts.filter("grams IS NOT NULL").select("grams", "times").mapInArrow(run, "gram bigint, n bigint")
+    return written(each.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def log_shares(parts: DataFrame, values: DataFrame) -> DataFrame:
+    """(block, grams, logs): the grams of each block in some pieces, with the log10 of their probabilities."""
+    packed = parts.filter("grams IS NOT NULL")
+    total = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, total // BUCKET_GRAMS) | 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = _unpack_sorted(data)
+                bucket = grams % buckets
+                order = np.argsort(bucket, kind="stable")
+                used, first = np.unique(bucket[order], return_index=True)
+                pieces = [_pack_sorted(g) for g in np.split(grams[order], first[1:])] if len(used) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(used), pa.int64()), pa.array(used), pa.array(pieces, pa.binary())],
+                    names=["block", "bucket", "grams"],
+                )
+
+    def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        where = pd.Index(known.column("gram").to_numpy())
+        log = np.log10(known.column("p").to_numpy()).astype(np.float32)
+        grams = asked.column("grams").to_pylist()
+        logs = [_pack(log[where.get_indexer(_unpack_sorted(g))]) for g in grams]
+        return pa.table(
+            {"block": asked.column("block"), "grams": asked.column("grams"), "logs": pa.array(logs, pa.binary())}
+        )
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Small numbers byte by byte place: the upper bytes are runs of zeros, which shuffles and files
-    compress away."""
-    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    asked = packed.select("block", "grams").mapInArrow(deal, "block bigint, bucket bigint, grams binary")
+    known = values.select("gram", "p", F.pmod("gram", F.lit(buckets)).alias("bucket"))
+    return (
+        asked.groupBy("bucket")
+        .cogroup(known.groupBy("bucket"))
+        .applyInArrow(look_up, "block bigint, grams binary, logs binary")
+    )
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+# --- scoring --------------------------------------------------------------------------------------
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from rows whose id's crc32 is not 0 modulo 10 (a null id counts as the empty text and
     is held out).  Null texts count as empty: one token, the end.  Texts are read whole; equal texts
     get equal scores; repeated rows stay and count; other columns are ignored; no rows give no
     rows.  Without training rows all base scores are 0 and the tree is uniform.
-
-    Word counts reach documents by blocks: a block of documents has a local vocabulary, each word of
-    it is joined with its count once, and documents move as local word numbers, not as texts.
     """
-    held = id_crc() % 10 == 0
-    body = whole_text().cast("binary").alias("body")
-    counts = written(gather(docs.filter(~held).select(body)), "counts")
-    words = counts.filter("word IS NOT NULL").select("word", F.col("n").alias("c"))
-    n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    tree = build_tree(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        numbers = count(base)
-        block, vocabulary, used = next(numbers), defaultdict(count().__next__), 0
-
-        def flush() -> pa.RecordBatch:
-            keys, n = list(vocabulary), len(vocabulary)
-            return _rows(block=np.full(n, block), word=keys, local=list(vocabulary.values()))
-
-        for batch, part in _blocks(batches, 2):
-            scores = tree.scores(part)
-            ids, times, sizes = [], [], []
-            for text in part:
-                own = text.split()
-                own.append(END_WORD)
-                local = np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own))
-                i, n = np.unique(local, return_counts=True)
-                ids.append(_planes(np.diff(i, prepend=0)))
-                times.append(_planes(n))
-                sizes.append(len(own))
-                used += len(text)
-            yield _rows(
-                block=np.full(len(part), block), doc_id=batch.column(0), held=batch.column(1),
-                tokens=sizes, score=scores, ids=ids, times=times,
-            )
-            if used >= BLOCK_BYTES:
-                yield flush()
-                block, vocabulary, used = next(numbers), defaultdict(count().__next__), 0
-        yield flush()
-
-    fed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held"), body)
-    parts = written(fed.mapInArrow(run, _BLOCK_DDL), "blocks")
-    known = (
-        parts.filter("word IS NOT NULL")
-        .select("block", "word", "local")
-        .join(words, "word")  # a word of held-out texts only has no count
-        .select("block", "local", "c")
+    fed = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        (id_crc() % 10 == 0).alias("held"),
+        whole_text().cast("binary").alias("body"),
     )
-    rows = parts.filter("word IS NULL").select("block", "doc_id", "held", "tokens", "score", "ids", "times")
-    none = {c: F.lit(None).cast(t) for c, t in rows.dtypes if c != "block"}
-    mixed = rows.withColumns({"local": F.lit(None).cast("int"), "c": F.lit(None).cast("bigint")}).unionByName(
-        known.withColumns(none)
+    parts = blocks(fed)
+    own_words = parts.filter("word IS NOT NULL").select("block", "word", "n")
+    words = written(own_words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    n_words, n_tokens = (
+        words.filter("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     )
+    known = own_words.select("block", "word").join(words, "word")
+    shares = log_shares(parts, probabilities(gram_counts(parts), least, divergence))
+    texts = parts.filter("body IS NOT NULL").select("block", "doc_id", "held", "body")
+    mixed = texts.unionByName(known, allowMissingColumns=True).unionByName(shares, allowMissingColumns=True)
     floor = n_tokens + 0.1 * (n_words + 1)
 
-    def base(block: pa.Table) -> pa.Table:
-        is_word = block.column("local").is_valid()
-        found, texts = block.filter(is_word), block.filter(pa.compute.invert(is_word))
-        local = found.column("local").to_numpy()
-        ids = [np.cumsum(_from_planes(b)) for b in texts.column("ids").to_pylist()]
-        size = max([int(local.max(initial=-1)), *(int(i.max(initial=-1)) for i in ids)], default=-1) + 1
-        c = np.zeros(size, np.int64)
-        c[local] = found.column("c").to_numpy()
-        logs, there = np.log10((c + 0.1) / floor), c > 0
-        times = [_from_planes(b) for b in texts.column("times").to_pylist()]
+    def run(block: pa.Table) -> pa.Table:
+        words = block.filter(block.column("word").is_valid())
+        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+        c = words.column("c").to_numpy().astype(np.int64)
+        base, there = np.log10((c + 0.1) / floor), c > 0
+        pieces = block.filter(block.column("grams").is_valid())
+        grams = [_unpack_sorted(g.as_py()) for g in pieces.column("grams")]
+        where = pd.Index(np.concatenate([np.zeros(0, np.int64), *grams]))
+        logs = [_unpack(g.as_py(), np.float32) for g in pieces.column("logs")]
+        log = np.concatenate([np.zeros(0, np.float32), *logs]).astype(np.float64)
+        rows = block.filter(block.column("body").is_valid()).select(["doc_id", "held", "body"])
+        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+        for _, texts in _parts(rows.combine_chunks().to_batches()):
+            for text in texts:
+                tokens = text.split()
+                tokens.append(END_WORD)
+                at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
+                out["n_tokens"].append(len(at))
+                out["n_known"].append(int(there[at].sum()))
+                out["base_score"].append(float(base[at].sum()))
+            found, start, end = _stream(texts)
+            each = log[where.get_indexer(found)]  # places of padding get a wrong share, which is left out
+            out["score"] += np.add.reduceat(each, np.column_stack([start, end]).ravel())[::2].tolist()
         return pa.table(
             {
-                "doc_id": texts.column("doc_id"),
-                "held_out": texts.column("held"),
-                "n_tokens": texts.column("tokens"),
-                "n_known": pa.array([int(n[there[i]].sum()) for i, n in zip(ids, times, strict=True)], pa.int64()),
-                "train_tokens": pa.array([n_tokens] * texts.num_rows, pa.int64()),
-                "base_score": pa.array([float(n @ logs[i]) for i, n in zip(ids, times, strict=True)], pa.float64()),
-                "score": texts.column("score"),
+                "doc_id": rows.column("doc_id"),
+                "held_out": rows.column("held"),
+                "n_tokens": pa.array(out["n_tokens"], pa.int64()),
+                "n_known": pa.array(out["n_known"], pa.int64()),
+                "train_tokens": pa.array([n_tokens] * rows.num_rows, pa.int64()),
+                "base_score": pa.array(out["base_score"], pa.float64()),
+                "score": pa.array(out["score"], pa.float64()),
             }
         )
 
-    return mixed.groupBy("block").applyInArrow(base, SCORED_DDL)
+    return mixed.groupBy("block").applyInArrow(run, SCORED_DDL)
 
 
 SCORED_DDL = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
     "base_score double, score double"
 )
-_BLOCK_TYPES = {
-    "block": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "tokens": pa.int64(), "score": pa.float64(),
-    "ids": pa.binary(), "times": pa.binary(), "word": pa.binary(), "local": pa.int32(),
-}
-_BLOCK_DDL = (
-    "block bigint, doc_id bigint, held boolean, tokens bigint, score double, ids binary, times binary, "
-    "word binary, local int"
-)
-
-
-def _rows(**columns) -> pa.RecordBatch:
-    n = len(columns["block"])
-    arrays = []
-    for name, kind in _BLOCK_TYPES.items():
-        values = columns.get(name)
-        if values is None:
-            values = pa.nulls(n, kind)
-        arrays.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
-    return pa.RecordBatch.from_arrays(arrays, names=list(_BLOCK_TYPES))

@@ -361,31 +361,78 @@ def test_base_scores_and_tree(spark, docs, none):
     assert suffix_tree.score_documents(none).count() == 0
 
 
-def test_tree_probabilities_are_proper_and_use_the_longest_suffix(spark):
-    texts = spark.createDataFrame([(b"abcabcabcabc",), (b"abcabc",)] * 20, "body binary")
-    tree = suffix_tree.build_tree(suffix_tree.gather(texts))
-    assert np.allclose((10.0**tree.log10).sum(axis=1), 1, atol=1e-5)
-    good, bad = tree.scores([b"abcabc", b"cbacba"])
-    assert good > bad + 5
-    before = suffix_tree.SYMBOL[list(b"bcabca")].astype(np.int32)[-suffix_tree.DEPTH - 1 :]
-    (state,) = tree.states(np.append(before[1:], before[0]))
-    assert tree.log10[state].argmax() == suffix_tree.SYMBOL[ord("b")]
-
-
-def test_the_tree_walk_finds_what_a_plain_search_finds():
-    rng, depth = np.random.default_rng(5), suffix_tree.DEPTH
-    levels = [np.unique(rng.integers(0, 3, (9, d)) @ (64 ** np.arange(d))) for d in range(1, depth + 1)]
-    n = 1 + sum(map(len, levels))
-    tree = suffix_tree.Tree(levels, np.zeros((n, suffix_tree.SYMBOLS)), np.zeros(256))
-    x = rng.integers(0, 4, 400).astype(np.int32)
-    number = {}
-    for d, contexts in enumerate(levels, start=1):
-        for context in contexts.tolist():
-            number[d, context] = len(number) + 1
-    for position, state in enumerate(tree.states(x), start=depth):
-        last = [sum(int(x[position - 1 - i]) << 6 * i for i in range(d)) for d in range(1, depth + 1)]
-        stay = [number[d, c] for d, c in enumerate(last, start=1) if (d, c) in number]
-        assert state == (stay[-1] if stay else 0)
+class PlainTree:
+    """The suffix tree with dictionaries, one context after another."""
+
+    def __init__(self, texts, least, divergence):
+        from collections import Counter, defaultdict
+
+        self.root = Counter()
+        seen = defaultdict(Counter)
+        for text in texts:
+            padded = b"\xff" * suffix_tree.DEPTH + text + b"\xff"
+            for at in range(suffix_tree.DEPTH, len(padded)):
+                self.root[padded[at]] += 1
+                for d in range(suffix_tree.DEPTH + 1):
+                    seen[padded[at - d : at]][padded[at]] += 1
+        self.stays = {}
+        for context, nexts in seen.items():
+            n, wider = sum(nexts.values()), seen[context[1:]]
+            m = sum(wider.values())
+            gain = sum(c / n * np.log(c / n / (wider[b] / m)) for b, c in nexts.items())
+            if context and n >= least and gain >= divergence:
+                self.stays[context] = nexts
+
+    def share(self, context, byte):
+        while context and context not in self.stays:
+            context = context[1:]
+        if not context:
+            return (self.root[byte] + 1) / (sum(self.root.values()) + 256)
+        nexts = self.stays[context]
+        total, kinds = sum(nexts.values()), len(nexts)
+        return (nexts[byte] + kinds * self.share(context[1:], byte)) / (total + kinds)
+
+    def score(self, text):
+        padded = b"\xff" * suffix_tree.DEPTH + text + b"\xff"
+        places = range(suffix_tree.DEPTH, len(padded))
+        return sum(np.log10(self.share(padded[at - suffix_tree.DEPTH : at], padded[at])) for at in places)
+
+
+@pytest.mark.parametrize("least,divergence,block,grams", [(3, 0.01, 8 << 20, 1 << 16), (10, 0.2, 2_000, 50)])
+def test_suffix_tree_scores_equal_a_plain_tree(spark, monkeypatch, least, divergence, block, grams):
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_tree, "GROUP_GRAMS", grams)
+    monkeypatch.setattr(suffix_tree, "BUCKET_GRAMS", grams)
+    texts = [(i, prose(i, 40) + " É\u4e2d"[i % 3 :]) for i in range(60)] + [(60, ""), (61, None), (62, "ZQZQ zqzq \x00")]
+    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 10 == 0}
+    tree = PlainTree([lower(t).encode() for i, t in texts if i not in held], least, divergence)
+    assert held and any(len(c) == suffix_tree.DEPTH for c in tree.stays)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)
+    for r in suffix_tree.score_documents(docs, least, divergence).collect():
+        assert abs(r.score - tree.score(lower(dict(texts)[r.doc_id]).encode())) < 1e-3
+
+
+def test_suffix_tree_probabilities_are_proper_and_grow_with_the_text(spark):
+    def states(n):
+        texts = [(i, prose(i, 300).encode()) for i in range(n)]
+        docs = spark.createDataFrame(texts, "doc_id bigint, body binary").selectExpr("doc_id", "false held", "body")
+        values = suffix_tree.probabilities(suffix_tree.gram_counts(suffix_tree.blocks(docs)))
+        return values.toPandas()
+
+    found = states(40)
+    shares = found[found.depth == suffix_tree.DEPTH].groupby(found.gram // 256).p.sum()
+    assert len(shares) and (shares <= 1 + 1e-9).all()
+    context = {d: found[found.depth == d].gram // 256 % 256**d for d in range(1, suffix_tree.DEPTH + 1)}
+    kept = sum(c.nunique() for c in context.values())
+    more = states(160)
+    assert sum((more[more.depth == d].gram // 256 % 256**d).nunique() for d in context) > kept
+
+
+def test_suffix_tree_without_training_rows_is_uniform(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(held, "ab"), (held, "ab"), (None, None)], "doc_id bigint, text string")
+    found = sorted((r.n_tokens, r.n_known, r.base_score, round(r.score, 4)) for r in suffix_tree.score_documents(docs).collect())
+    assert found == [(1, 0, 0.0, round(-np.log10(256), 4)), *[(2, 0, 0.0, round(-3 * np.log10(256), 4))] * 2]
 
 
 def plain_fingerprint(text):
