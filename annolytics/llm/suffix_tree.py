@@ -14,12 +14,13 @@ the block, where the texts are scored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +32,14 @@ LEAST = 20  # positions that a context must precede
 DIVERGENCE = 0.01  # nats
 BLOCK_BYTES = 8 << 20  # text that shares one local vocabulary
 GROUP_GRAMS = 1 << 16  # distinct grams whose probabilities one task works out together, about
-BUCKET_GRAMS = 1 << 20  # grams of blocks that one task looks up together, about
+BUCKET_KEYS = 1 << 20  # grams or words of blocks that one task looks up together, about
 
 BITS = 8
 SYMBOLS = 1 << BITS
 END = 0xFF  # no UTF-8 text holds this byte; it stands for the end
 PAD = bytes([END]) * DEPTH
-END_WORD = b"\n"  # no word holds white space
+END_WORD = b""  # the end as a token
+BETWEEN = b"\n"  # no word holds white space
 LOW = 2  # contexts of up to LOW bytes are worked out first: at most 2^24 grams
 
 
@@ -62,45 +64,64 @@ def _suffix(gram, depth: int):
 # --- arrays in few bytes --------------------------------------------------------------------------
 
 
+def _small(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Byte by byte place: the upper bytes of small numbers are runs of zeros."""
-    planes = numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    return _small(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes())
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+    planes = np.frombuffer(_whole(data), np.uint8)
     return planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def _pack_sorted(grams: np.ndarray) -> bytes:
+def _pack_grams(grams: np.ndarray) -> bytes:
     return _pack(np.diff(grams, prepend=0))
 
 
-def _unpack_sorted(data: bytes) -> np.ndarray:
+def _unpack_grams(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.int64))
 
 
+def _pack_words(words: np.ndarray) -> bytes:
+    return _small(BETWEEN.join(words.tolist()))
+
+
+def _unpack_words(data: bytes) -> np.ndarray:
+    """Words that `_pack_words` was given; these must be one at least."""
+    return np.array(_whole(data).split(BETWEEN), object)
+
+
+def _gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return grams % buckets
+
+
+def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+
+
 # --- blocks of documents --------------------------------------------------------------------------
 
 _BLOCK_TYPES = {
-    "block": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "body": pa.binary(), "word": pa.binary(),
-    "n": pa.int64(), "grams": pa.binary(), "times": pa.binary(),
+    "block": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "texts": pa.binary(),
+    "words": pa.binary(), "word_times": pa.binary(), "n_words": pa.int64(),
+    "grams": pa.binary(), "gram_times": pa.binary(), "n_grams": pa.int64(),
 }
 _BLOCK_DDL = (
-    "block bigint, doc_id bigint, held boolean, body binary, word binary, n bigint, grams binary, times binary"
+    "block bigint, ids array<bigint>, held array<boolean>, texts binary, words binary, word_times binary, "
+    "n_words bigint, grams binary, gram_times binary, n_grams bigint"
 )
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    n = len(columns["block"])
-    arrays = []
-    for name, kind in _BLOCK_TYPES.items():
-        values = columns.get(name)
-        if values is None:
-            values = pa.nulls(n, kind)
-        arrays.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
+def _row(**values) -> pa.RecordBatch:
+    arrays = [pa.array([values.get(name)], kind) for name, kind in _BLOCK_TYPES.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(_BLOCK_TYPES))
 
 
@@ -126,18 +147,22 @@ def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """`docs(doc_id, held, body)` as rows of blocks: the documents, one row a distinct word, and one row with
-    all distinct grams.  `n` and `times` count training texts; what only held-out texts hold has 0 there."""
+    """`docs(doc_id, held, body)` as rows of blocks: one a megabyte of documents, and one with the distinct words
+    and grams of the block.  Times count training texts; what only held-out texts hold has 0 there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, used = TaskContext.get().partitionId() << 32, 0
         words: Counter = Counter()
         counts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            yield _rows(block=np.full(len(words), block), word=list(words), n=list(words.values()))
+        def vocabulary() -> pa.RecordBatch:
+            own = np.array(sorted(words), object)
+            times = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
             grams, n = _merged(counts)
-            yield _rows(block=[block], n=[len(grams)], grams=[_pack_sorted(grams)], times=[_pack(n)])
+            return _row(
+                block=block, words=_pack_words(own), word_times=_pack(times), n_words=len(own),
+                grams=_pack_grams(grams), gram_times=_pack(n), n_grams=len(grams),
+            )
 
         for batch, texts in _parts(batches):
             held = batch.column(1).to_numpy(zero_copy_only=False)
@@ -158,14 +183,14 @@ def blocks(docs: DataFrame) -> DataFrame:
             counts.append(np.unique(grams[real & taken], return_counts=True))
             unseen = np.unique(grams[real & ~taken])
             counts.append((unseen, np.zeros(len(unseen), np.int64)))
-            yield _rows(
-                block=np.full(len(texts), block), doc_id=batch.column(0), held=batch.column(1), body=texts
-            )
+            # no text holds the byte of the end
+            packed = _small(bytes([END]).join(texts))
+            yield _row(block=block, ids=batch.column(0).to_pylist(), held=held.tolist(), texts=packed)
             if used >= BLOCK_BYTES:
-                yield from flush()
+                yield vocabulary()
                 block, used, words, counts = block + 1, 0, Counter(), []
         if counts:
-            yield from flush()
+            yield vocabulary()
 
     return written(docs.mapInArrow(run, _BLOCK_DDL), "blocks")
 
@@ -233,56 +258,81 @@ def probabilities(grams: DataFrame, least: int = LEAST, divergence: float = DIVE
     return _descending(begun, group, range(LOW + 1, DEPTH + 1), least, divergence)
 
 
-def gram_counts(parts: DataFrame) -> DataFrame:
-    """Distinct (gram, n) of all blocks."""
+# --- keys of blocks and what is known about them ----------------------------------------------------
+
+
+class Keys(NamedTuple):
+    """Columns of `blocks` that hold packed keys, and how these are read and dealt to buckets."""
+
+    name: str
+    size: str
+    times: str
+    kind: str
+    pack: Callable[[np.ndarray], bytes]
+    unpack: Callable[[bytes], np.ndarray]
+    bucket: Callable[[np.ndarray, int], np.ndarray]
+
+
+GRAMS = Keys("grams", "n_grams", "gram_times", "bigint", _pack_grams, _unpack_grams, _gram_bucket)
+WORDS = Keys("words", "n_words", "word_times", "binary", _pack_words, _unpack_words, _word_bucket)
+
+
+def counted(parts: DataFrame, keys: Keys) -> DataFrame:
+    """Distinct (key, n) of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.int64() if keys.kind == "bigint" else pa.binary()
         for batch in batches:
-            for grams, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = pa.RecordBatch.from_arrays(
-                    [pa.array(_unpack_sorted(grams)), pa.array(_unpack(times, np.int64))], names=["gram", "n"]
-                )
-                for at in range(0, found.num_rows, 1 << 16):
-                    yield found.slice(at, 1 << 16)
+            for data, times in zip(*batch.columns, strict=True):
+                found, n = keys.unpack(data.as_py()), _unpack(times.as_py(), np.int64)
+                for at in range(0, len(n), 1 << 15):
+                    part = slice(at, at + (1 << 15))
+                    yield pa.RecordBatch.from_arrays([pa.array(found[part], kind), pa.array(n[part])], names=["key", "n"])
 
-    each = parts.filter("grams IS NOT NULL").select("grams", "times").mapInArrow(run, "gram bigint, n bigint")
-    return written(each.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    packed = parts.filter(F.col(keys.name).isNotNull()).select(keys.name, keys.times)
+    each = packed.mapInArrow(run, f"key {keys.kind}, n bigint")
+    return written(each.groupBy("key").agg(F.sum("n").alias("n")), keys.name)
 
 
-def log_shares(parts: DataFrame, values: DataFrame) -> DataFrame:
-    """(block, grams, logs): the grams of each block in some pieces, with the log10 of their probabilities."""
-    packed = parts.filter("grams IS NOT NULL")
-    total = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, total // BUCKET_GRAMS) | 1
+def gram_counts(parts: DataFrame) -> DataFrame:
+    return counted(parts, GRAMS).withColumnRenamed("key", "gram")
+
+
+def looked_up(parts: DataFrame, keys: Keys, known: DataFrame) -> DataFrame:
+    """(block, keys, value): the keys of each block in some pieces, with the numbers that `known(key, value)` has
+    for them."""
+    packed = parts.filter(F.col(keys.name).isNotNull())
+    total = packed.agg(F.coalesce(F.sum(keys.size), F.lit(0))).first()[0]
+    buckets = max(1, total // BUCKET_KEYS) | 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                grams = _unpack_sorted(data)
-                bucket = grams % buckets
+            for block, data in zip(*batch.columns, strict=True):
+                own = keys.unpack(data.as_py())
+                bucket = keys.bucket(own, buckets)
                 order = np.argsort(bucket, kind="stable")
                 used, first = np.unique(bucket[order], return_index=True)
-                pieces = [_pack_sorted(g) for g in np.split(grams[order], first[1:])] if len(used) else []
+                pieces = [keys.pack(k) for k in np.split(own[order], first[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(used), pa.int64()), pa.array(used), pa.array(pieces, pa.binary())],
-                    names=["block", "bucket", "grams"],
+                    [pa.array([block.as_py()] * len(used), pa.int64()), pa.array(used), pa.array(pieces, pa.binary())],
+                    names=["block", "bucket", keys.name],
                 )
 
     def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
-        where = pd.Index(known.column("gram").to_numpy())
-        log = np.log10(known.column("p").to_numpy()).astype(np.float32)
-        grams = asked.column("grams").to_pylist()
-        logs = [_pack(log[where.get_indexer(_unpack_sorted(g))]) for g in grams]
-        return pa.table(
-            {"block": asked.column("block"), "grams": asked.column("grams"), "logs": pa.array(logs, pa.binary())}
-        )
-
-    asked = packed.select("block", "grams").mapInArrow(deal, "block bigint, bucket bigint, grams binary")
-    known = values.select("gram", "p", F.pmod("gram", F.lit(buckets)).alias("bucket"))
+        key = known.column("key")
+        where = pd.Index(key.to_numpy() if keys.kind == "bigint" else key.to_pylist(), dtype=key.type.to_pandas_dtype())
+        value = known.column("value").to_numpy()
+        values = [_pack(value[where.get_indexer(keys.unpack(k.as_py()))]) for k in asked.column(keys.name)]
+        columns = {"block": asked.column("block"), keys.name: asked.column(keys.name)}
+        return pa.table({**columns, f"{keys.name}_value": pa.array(values, pa.binary())})
+
+    asked = packed.select("block", keys.name).mapInArrow(deal, f"block bigint, bucket bigint, {keys.name} binary")
+    hashed = F.col("key") if keys.kind == "bigint" else F.crc32("key")
+    dealt = known.select("key", "value", F.pmod(hashed, F.lit(buckets)).alias("bucket"))
     return (
         asked.groupBy("bucket")
-        .cogroup(known.groupBy("bucket"))
-        .applyInArrow(look_up, "block bigint, grams binary, logs binary")
+        .cogroup(dealt.groupBy("bucket"))
+        .applyInArrow(look_up, f"block bigint, {keys.name} binary, {keys.name}_value binary")
     )
 
 
@@ -303,30 +353,35 @@ def score_documents(docs: DataFrame, least: int = LEAST, divergence: float = DIV
         whole_text().cast("binary").alias("body"),
     )
     parts = blocks(fed)
-    own_words = parts.filter("word IS NOT NULL").select("block", "word", "n")
-    words = written(own_words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    n_words, n_tokens = (
-        words.filter("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    words = counted(parts, WORDS)
+    n_words, n_tokens = words.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    values = probabilities(gram_counts(parts), least, divergence)
+    shares = values.select(F.col("gram").alias("key"), F.log10("p").cast("float").alias("value"))
+    mixed = (
+        parts.filter("texts IS NOT NULL")
+        .select("block", "ids", "held", "texts")
+        .unionByName(looked_up(parts, WORDS, words.withColumnRenamed("n", "value")), allowMissingColumns=True)
+        .unionByName(looked_up(parts, GRAMS, shares), allowMissingColumns=True)
     )
-    known = own_words.select("block", "word").join(words, "word")
-    shares = log_shares(parts, probabilities(gram_counts(parts), least, divergence))
-    texts = parts.filter("body IS NOT NULL").select("block", "doc_id", "held", "body")
-    mixed = texts.unionByName(known, allowMissingColumns=True).unionByName(shares, allowMissingColumns=True)
     floor = n_tokens + 0.1 * (n_words + 1)
 
     def run(block: pa.Table) -> pa.Table:
-        words = block.filter(block.column("word").is_valid())
-        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        c = words.column("c").to_numpy().astype(np.int64)
+        def given(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            unpack = {"words": _unpack_words, "grams": _unpack_grams}[name]
+            rows = block.filter(block.column(name).is_valid())
+            found = [unpack(k.as_py()) for k in rows.column(name)]
+            numbers = [_unpack(v.as_py(), kind) for v in rows.column(f"{name}_value")]
+            return np.concatenate(found), np.concatenate(numbers)
+
+        words, c = given("words", np.int64)
+        place = {w: i for i, w in enumerate(words.tolist())}
         base, there = np.log10((c + 0.1) / floor), c > 0
-        pieces = block.filter(block.column("grams").is_valid())
-        grams = [_unpack_sorted(g.as_py()) for g in pieces.column("grams")]
-        where = pd.Index(np.concatenate([np.zeros(0, np.int64), *grams]))
-        logs = [_unpack(g.as_py(), np.float32) for g in pieces.column("logs")]
-        log = np.concatenate([np.zeros(0, np.float32), *logs]).astype(np.float64)
-        rows = block.filter(block.column("body").is_valid()).select(["doc_id", "held", "body"])
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for _, texts in _parts(rows.combine_chunks().to_batches()):
+        grams, log = given("grams", np.float32)
+        where, log = pd.Index(grams), log.astype(np.float64)
+        out: dict[str, list] = {n: [] for n in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
+        rows = block.filter(block.column("texts").is_valid())
+        for ids, held, data in zip(*(rows.column(n) for n in ("ids", "held", "texts")), strict=True):
+            texts = _whole(data.as_py()).split(bytes([END]))
             for text in texts:
                 tokens = text.split()
                 tokens.append(END_WORD)
@@ -337,16 +392,12 @@ def score_documents(docs: DataFrame, least: int = LEAST, divergence: float = DIV
             found, start, end = _stream(texts)
             each = log[where.get_indexer(found)]  # places of padding get a wrong share, which is left out
             out["score"] += np.add.reduceat(each, np.column_stack([start, end]).ravel())[::2].tolist()
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "held_out": rows.column("held"),
-                "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-                "n_known": pa.array(out["n_known"], pa.int64()),
-                "train_tokens": pa.array([n_tokens] * rows.num_rows, pa.int64()),
-                "base_score": pa.array(out["base_score"], pa.float64()),
-                "score": pa.array(out["score"], pa.float64()),
-            }
+            out["doc_id"] += ids.as_py()
+            out["held_out"] += held.as_py()
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        made = {name: pa.array(out[name], kind) for name, kind in zip(out, kinds, strict=True)}
+        return pa.table({**made, "train_tokens": pa.array([n_tokens] * len(out["doc_id"]), pa.int64())}).select(
+            [c.split()[0] for c in SCORED_DDL.split(", ")]
         )
 
     return mixed.groupBy("block").applyInArrow(run, SCORED_DDL)

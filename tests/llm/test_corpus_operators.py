@@ -402,7 +402,7 @@ class PlainTree:
 def test_suffix_tree_scores_equal_a_plain_tree(spark, monkeypatch, least, divergence, block, grams):
     monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
     monkeypatch.setattr(suffix_tree, "GROUP_GRAMS", grams)
-    monkeypatch.setattr(suffix_tree, "BUCKET_GRAMS", grams)
+    monkeypatch.setattr(suffix_tree, "BUCKET_KEYS", grams)
     texts = [(i, prose(i, 40) + " É\u4e2d"[i % 3 :]) for i in range(60)] + [(60, ""), (61, None), (62, "ZQZQ zqzq \x00")]
     held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 10 == 0}
     tree = PlainTree([lower(t).encode() for i, t in texts if i not in held], least, divergence)
