@@ -2,7 +2,8 @@
 
 `decode` reads any lossless stream: prefix codes with meta codes, back-references, the colour cache,
 and the predictor, cross-colour, subtract-green and palette transforms, and returns the pixel array.
-`encode_samples` stores 8-bit samples in the green channel under one prefix code.
+`encode_samples` stores 8-bit samples in the green channel: repeated passages become back-references, and up to 16
+different samples become a palette, several indices a pixel.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ NEAR = (
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 GREEN_BASE, LENGTHS, DISTANCES, LONGEST = 256, 24, 40, 15
+WINDOW = (1 << 20) - len(NEAR)  # farthest distance
+LONGEST_COPY = 4096
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1)[:, ::-1], axis=1).ravel()
 
@@ -138,37 +141,93 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
 # --- pixels ---------------------------------------------------------------------------------------
 
 
-def _literal_samples(bits: BitReader, code: PrefixCode, n: int) -> np.ndarray:
-    """n symbols of one code in a row: the step from every bit position is looked up at once, then
-    the chain of steps is followed."""
-    if not code.bits:
-        return np.full(n, code.symbol[0])
-    raw = np.frombuffer(bits.data[bits.at >> 3 :] + b"\0\0\0", np.uint8)
+def _green_samples(bits: BitReader, green: PrefixCode, distance: PrefixCode, n: int, width: int) -> np.ndarray:
+    """n samples where only the green channel takes bits: the step from every bit position is looked up at once,
+    then the chain of steps is followed, with a stop at each back-reference."""
+    if not green.bits:
+        if green.symbol[0] >= GREEN_BASE:
+            raise ValueError("a reference leaves the image")
+        return np.full(n, green.symbol[0])
+    first = bits.at >> 3
+    raw = np.frombuffer(bits.data[first:] + b"\0\0\0", np.uint8)
     top = REVERSED[raw].astype(np.int32)  # first bit highest
     word = top[:-2] << 16 | top[1:-1] << 8 | top[2:]
-    shift = np.arange(24 - code.bits, 16 - code.bits, -1, dtype=np.int32)
-    window = ((word[:, None] >> shift) & ((1 << code.bits) - 1)).ravel()
-    steps = memoryview(code.length.astype(np.uint8)[window])
-    end, at, places = 8 * (len(bits.data) - (bits.at >> 3)), bits.at & 7, []
-    begun = at
-    for _ in range(n):
-        places.append(at)
-        at += steps[at]
-        if at > end:
-            raise ValueError("the stream ends early")
-    bits.at += at - begun
-    return code.symbol[window[places]]
+    shift = np.arange(24 - green.bits, 16 - green.bits, -1, dtype=np.int32)
+    window = ((word[:, None] >> shift) & ((1 << green.bits) - 1)).ravel()
+    literal = np.where(green.symbol < GREEN_BASE, green.length, 0).astype(np.uint8)
+    steps = memoryview(literal[window])
+    at, places, copies, made = bits.at & 7, [], [], 0  # copies: literals before, length, distance
+    data, far, far_bits = bits.data, distance.symbol.tolist(), distance.length.tolist()
+    turned, unused = REVERSED.tolist(), 16 - distance.bits
+    try:
+        while made < n:
+            before = len(places)
+            for _ in range(n - made):
+                step = steps[at]
+                if not step:
+                    break
+                places.append(at)
+                at += step
+            made += len(places) - before
+            if made < n:
+                code = window[at]
+                at += int(green.length[code])
+                byte = first + (at >> 3)
+                ahead = int.from_bytes(data[byte : byte + 8], "little") >> (at & 7)  # a reference ends within 57 bits
+                extra, least = _extra(int(green.symbol[code]) - GREEN_BASE)
+                length = least + (ahead & (1 << extra) - 1)
+                ahead >>= extra
+                at += extra
+                code = (turned[ahead & 255] << 8 | turned[ahead >> 8 & 255]) >> unused
+                ahead >>= far_bits[code]
+                at += far_bits[code]
+                extra, least = _extra(far[code])
+                back = _distance(least + (ahead & (1 << extra) - 1), width)
+                at += extra
+                if back > made or made + length > n:
+                    raise ValueError("a reference leaves the image")
+                copies.append((len(places), length, back))
+                made += length
+    except IndexError:
+        raise ValueError("the stream ends early") from None
+    bits.at = 8 * first + at
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
+    literals = green.symbol[window[places]].astype(np.uint8)
+    if not copies:
+        return literals
+    own, out, done = literals.tobytes(), bytearray(), 0
+    for upto, length, back in copies:
+        out += own[done:upto]
+        done = upto
+        source = out[-back:] if back <= length else out[-back : length - back]
+        out += (source * (length // len(source) + 1))[:length]
+    out += own[done:]
+    return np.frombuffer(bytes(out), np.uint8)
+
+
+def _distance(code: int, width: int) -> int:
+    if code > len(NEAR):
+        return code - len(NEAR)
+    dx, dy = NEAR[code - 1]
+    return max(1, dx + dy * width)
+
+
+def _extra(symbol: int) -> tuple[int, int]:
+    """(extra bits, least value) of a length or distance symbol."""
+    if symbol < 4:
+        return 0, symbol + 1
+    extra = (symbol - 2) >> 1
+    return extra, ((2 + (symbol & 1)) << extra) + 1
 
 
 def _prefixed(bits: BitReader, symbol: int) -> int:
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
+    extra, least = _extra(symbol)
+    return least + bits.read(extra)
 
 
-def _read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
-    """Entropy-coded image: uint32 ARGB, flat."""
+def _read_pixels(bits: BitReader, width: int, height: int, main: bool, one_by_one: bool = False) -> np.ndarray:
+    """Entropy-coded image: uint32 ARGB, flat.  `one_by_one` takes the loop over pixels for any stream."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups_at, group_bits = None, 0
     groups = 1
@@ -184,9 +243,9 @@ def _read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.nda
     n = width * height
 
     green, red, blue, alpha, distance = codes[0]
-    if groups == 1 and not (green.lengths[GREEN_BASE:].any() or red.bits or blue.bits or alpha.bits):
+    if groups == 1 and not (cache_bits or red.bits or blue.bits or alpha.bits or one_by_one):
         rest = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(blue.symbol[0])
-        return (_literal_samples(bits, green, n) << 8 | rest).astype(np.uint32)
+        return _green_samples(bits, green, distance, n, width).astype(np.uint32) << 8 | np.uint32(rest)
 
     pixels: list[int] = []
     cache, cached = [0] * cache_size, 0  # pixels from `cached` on have not been put in yet
@@ -202,12 +261,7 @@ def _read_pixels(bits: BitReader, width: int, height: int, main: bool) -> np.nda
             pixels.append(a << 24 | r << 16 | symbol << 8 | b)
         elif symbol < GREEN_BASE + LENGTHS:
             length = _prefixed(bits, symbol - GREEN_BASE)
-            back = _prefixed(bits, distance.read(bits))
-            if back > len(NEAR):
-                back -= len(NEAR)
-            else:
-                dx, dy = NEAR[back - 1]
-                back = max(1, dx + dy * width)
+            back = _distance(_prefixed(bits, distance.read(bits)), width)
             if back > at or at + length > n:
                 raise ValueError("a reference leaves the image")
             for _ in range(length):
@@ -303,8 +357,8 @@ def _palette_shift(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(height, width) uint32 ARGB of a lossless WebP file."""
+def decode(data: bytes, one_by_one: bool = False) -> np.ndarray:
+    """(height, width) uint32 ARGB of a lossless WebP file.  `one_by_one` reads each pixel in a loop."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
@@ -322,17 +376,17 @@ def decode(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             block = bits.read(3) + 2
             across, down = ((s + (1 << block) - 1) >> block for s in (now, height))
-            sub = _read_pixels(bits, across, down, False)
+            sub = _read_pixels(bits, across, down, False, one_by_one)
             undo.append((kind, now, block, sub))
         elif kind == SUBTRACT_GREEN:
             undo.append((kind, now, 0, None))
         else:
             n = bits.read(8) + 1
-            colours = _packed(np.cumsum(_channels(_read_pixels(bits, n, 1, False)), axis=0))
+            colours = _packed(np.cumsum(_channels(_read_pixels(bits, n, 1, False, one_by_one)), axis=0))
             undo.append((kind, now, 0, colours))
             shift = _palette_shift(n)
             now = (now + (1 << shift) - 1) >> shift
-    pixels = _read_pixels(bits, now, height, True)
+    pixels = _read_pixels(bits, now, height, True, one_by_one)
     for kind, wide, block, extra in reversed(undo):
         if kind == PREDICTOR:
             pixels = _undo_predictor(pixels, wide, block, extra >> 8 & 255)
@@ -440,35 +494,137 @@ def header(bits: BitWriter, width: int, height: int) -> None:
     bits.write(0, 4)
 
 
+LEAST_COPY = 8
+HASH_FACTOR = 0x9E3779B97F4A7C15  # odd, 64 bits
+
+
+def references(samples: np.ndarray) -> np.ndarray:
+    """(start, length, distance) of passages of LEAST_COPY samples or more that occurred before, none overlapping.
+
+    Each place looks at the last one with the same next LEAST_COPY samples; neighbouring places with the same
+    distance are one passage, and passages are taken from the left.
+    """
+    n = len(samples) - LEAST_COPY + 1
+    if n < 2:
+        return np.zeros((0, 3), np.int64)
+    key = samples.astype(np.uint64)
+    for k in (1, 2, 4):  # 2, 4 and 8 samples
+        key = key[:-k] << np.uint64(8 * k) | key[k:]
+    bits = np.uint64(n.bit_length())
+    hashes = key * np.uint64(HASH_FACTOR) >> bits << bits  # a collision costs a passage, no more
+    order = (np.sort(hashes | np.arange(n, dtype=np.uint64)) & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+    before, after = order[:-1], order[1:]
+    same = (key[after] == key[before]) & (after > before)
+    back = np.zeros(n, np.int64)
+    back[after[same]] = (after - before)[same]
+    back[back > WINDOW] = 0
+    first = np.flatnonzero(np.diff(back, prepend=0))  # a run of one distance begins
+    ends = np.append(first, n)[1:] + LEAST_COPY - 1
+    found, done = [], 0
+    for start, end, distance in zip(first.tolist(), ends.tolist(), back[first].tolist(), strict=True):
+        start = max(start, done)
+        if not distance or end - start < LEAST_COPY:
+            continue
+        while end - start >= LEAST_COPY:
+            length = min(end - start, LONGEST_COPY)
+            found.append((start, length, distance))
+            start += length
+        done = start
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def _prefix_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, number of extra bits) of lengths or distances from 1."""
+    less = values - 1
+    high = np.frexp(less.astype(float))[1].astype(np.int64) - 1  # place of the highest bit
+    extra = np.where(less < 4, 0, high - 1)
+    symbol = np.where(less < 4, less, 2 * high + (less >> np.maximum(extra, 0) & 1))
+    return symbol, less & (1 << extra) - 1, extra
+
+
+def _write_codes(bits: BitWriter, green: np.ndarray, distance: np.ndarray) -> None:
+    write_code(bits, green)
+    for symbol in (0, 0, 255):  # red, blue, alpha: one symbol each
+        only = np.zeros(256, np.int64)
+        only[symbol] = 1
+        write_code(bits, only)
+    write_code(bits, distance)
+
+
+def _write_palette(bits: BitWriter, colours: np.ndarray) -> None:
+    bits.write(1 | PALETTE << 1, 3)
+    bits.write(len(colours) - 1, 8)
+    bits.write(0, 1)  # no cache
+    steps = np.diff(colours, prepend=0)
+    lengths = code_lengths(np.bincount(steps, minlength=GREEN_BASE + LENGTHS), LONGEST)
+    _write_codes(bits, lengths, np.zeros(DISTANCES, np.int64))
+    codes, widths = canonical(lengths), lengths if np.count_nonzero(lengths) > 1 else np.zeros_like(lengths)
+    for step in steps.tolist():
+        bits.write(int(codes[step]), int(widths[step]))
+
+
 def encode_samples(samples: np.ndarray, width: int) -> bytes:
     """A WebP file whose green channel holds `samples`, row by row; the last row is filled up
-    with zeros."""
+    with zeros.  Up to 16 different samples take a palette; repeated passages are referred to."""
     rows = -(-len(samples) // width)
     samples = np.concatenate([samples, np.zeros(rows * width - len(samples), np.uint8)])
     bits = BitWriter()
     header(bits, width, rows)
-    bits.write(0, 3)  # no transform, no cache, one group
-    lengths = code_lengths(np.bincount(samples, minlength=GREEN_BASE + LENGTHS), LONGEST)
-    write_code(bits, lengths)
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance: one symbol each
-        only = np.zeros(256, np.int64)
-        only[symbol] = 1
-        write_code(bits, only)
-    if np.count_nonzero(lengths) > 1:
-        n = lengths[samples]
-        ends = bits.n + np.cumsum(n)
-        starts = ends - n
-        total = int(ends[-1])
-        value = canonical(lengths)[samples] << (starts & 31)
-        words = np.bincount(starts >> 5, value & 0xFFFFFFFF, total // 32 + 2)
-        words += np.bincount((starts >> 5) + 1, value >> 32, total // 32 + 2)
-        body = words.astype("<u4")  # bits of different codes do not overlap, so sums are unions
-        for i in range(bits.n // 32 + 1):
-            body[i] |= bits.value >> 32 * i & 0xFFFFFFFF
-        stream = body.tobytes()[: -(-total // 8)]
-    else:
-        stream = bits.value.to_bytes(-(-bits.n // 8), "little")
-    return wrap(stream)
+    colours = np.flatnonzero(np.bincount(samples, minlength=256))
+    shift = _palette_shift(len(colours))
+    if shift:
+        _write_palette(bits, colours)
+        index = np.zeros(256, np.uint8)
+        index[colours] = np.arange(len(colours))
+        grid, size = index[samples].reshape(rows, width), 8 >> shift
+        grid = np.pad(grid, ((0, 0), (0, -width % (1 << shift))))
+        parts = [grid[:, k :: 1 << shift] << size * k for k in range(1 << shift)]
+        samples = np.bitwise_or.reduce(parts).ravel()
+    bits.write(0, 3)  # no further transform, no cache, one group
+    copies = references(samples)
+    start, length, back = copies.T
+    token = np.ones(len(samples), bool)
+    covered = np.zeros(len(samples) + 1, np.int64)
+    covered[start] += 1
+    covered[start + length] -= 1  # passages may touch, not overlap
+    token[np.cumsum(covered[:-1]) > 0] = False
+    literals = np.flatnonzero(token)
+    long_symbol, long_value, long_extra = _prefix_symbols(length)
+    far_symbol, far_value, far_extra = _prefix_symbols(back + len(NEAR))
+    used = np.bincount(np.concatenate([samples[literals], GREEN_BASE + long_symbol]), minlength=GREEN_BASE + LENGTHS)
+    green = code_lengths(used, LONGEST)
+    distance = code_lengths(np.bincount(far_symbol, minlength=DISTANCES), LONGEST)
+    _write_codes(bits, green, distance)
+    if np.count_nonzero(green) < 2:
+        return wrap(bits.value.to_bytes(-(-bits.n // 8), "little"))
+    code, far_code = canonical(green), canonical(distance)
+    far_width = distance if np.count_nonzero(distance) > 1 else np.zeros_like(distance)
+    value, wide = code[samples[literals]], green[samples[literals]]
+    if len(copies):  # a reference: length with its extra bits, distance, the extra bits of the distance
+        own = green[GREEN_BASE + long_symbol]
+        fields = (
+            (code[GREEN_BASE + long_symbol] | long_value << own, own + long_extra),
+            (far_code[far_symbol], far_width[far_symbol]),
+            (far_value, far_extra),
+        )
+        takes = token.astype(np.int64)
+        takes[start] = len(fields)
+        slot = np.cumsum(takes) - takes
+        own_value, own_wide = value, wide
+        value, wide = np.zeros((2, int(takes.sum())), np.int64)
+        value[slot[literals]], wide[slot[literals]] = own_value, own_wide
+        for k, (v, w) in enumerate(fields):
+            value[slot[start] + k], wide[slot[start] + k] = v, w
+    ends = bits.n + np.cumsum(wide)
+    starts = ends - wide
+    total = int(ends[-1])
+    value = value << (starts & 31)
+    words = np.bincount(starts >> 5, value & 0xFFFFFFFF, total // 32 + 2)
+    words += np.bincount((starts >> 5) + 1, value >> 32, total // 32 + 2)
+    body = words.astype("<u4")  # bits of different codes do not overlap, so sums are unions
+    for i in range(bits.n // 32 + 1):
+        body[i] |= bits.value >> 32 * i & 0xFFFFFFFF
+    return wrap(body.tobytes()[: -(-total // 8)])
 
 
 # --- the column -----------------------------------------------------------------------------------

@@ -674,6 +674,67 @@ def test_webp_refuses_what_does_not_fit():
         webp.header(webp.BitWriter(), webp.side(payload + webp.UNIT), webp.MAX_SIDE)
 
 
+def stored(data):
+    payload = webp.to_payload(data)
+    return payload, webp.encode_samples(np.frombuffer(payload, np.uint8), webp.side(len(payload)))
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 3, 4, 5, 16, 17, 90, 256])
+def test_webp_samples_are_read_alike_by_both_readers(kinds):
+    rng = np.random.default_rng(kinds)
+    piece = [rng.integers(0, kinds, n).astype(np.uint8).tobytes() for n in (7, 200, 1_500)]
+    for data in (
+        piece[2], piece[1] * 3 + piece[0] + piece[1][50:150] * 2, piece[1] + b"\0" * 9_000 + piece[1], piece[0] * 900
+    ):
+        payload, media = stored(data)
+        pixels = webp.decode(media)
+        assert (pixels >> 8).astype(np.uint8).tobytes()[: len(payload)] == payload
+        assert (webp.decode(media, one_by_one=True) == pixels).all()
+        for end in (30, len(media) // 2, len(media) - 3):
+            with pytest.raises(ValueError):
+                webp.decode(media[:end] if end < 40 else media[:16] + (end - 20).to_bytes(4, "little") + media[20:end])
+
+
+def test_webp_references_do_not_overlap_and_repeat_what_came_before():
+    rng = np.random.default_rng(8)
+    piece = rng.integers(0, 200, 500).astype(np.uint8)
+    far = rng.integers(0, 200, webp.WINDOW + 500).astype(np.uint8)  # the first piece is out of reach of the last
+    samples = np.concatenate([piece, far, piece, piece[100:400], np.zeros(20_000, np.uint8)])
+    found = webp.references(samples)
+    assert (found[1:, 0] >= found[:-1, 0] + found[:-1, 1]).all() and found[:, 2].max() <= webp.WINDOW
+    assert found[:, 1].max() == webp.LONGEST_COPY and [300, 400] in found[:, 1:].tolist()
+    for start, length, back in found.tolist():
+        assert all(samples[start + k] == samples[start + k - back] for k in range(length))
+    assert not len(webp.references(np.arange(7, dtype=np.uint8)))
+
+
+def test_webp_repeats_and_few_kinds_take_less():
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 123, 4_000).astype(np.uint8).tobytes()
+    assert len(stored(text * 4)[1]) < 1.05 * len(stored(text)[1])
+    assert len(stored(rng.integers(0, 2, 8_000).astype(np.uint8).tobytes())[1]) < 8_000 / 8 + 100
+
+
+def test_webp_meta_codes():
+    pixels = [0xFF000000 | v << 8 for v in (5, 5, 5, 5, 9, 9, 9, 9)] * 4  # two groups side by side
+
+    def grouped(bits):
+        bits.write(0, 1)  # no transform
+        bits.write(0, 1)  # no cache
+        bits.write(1, 1)  # groups, by blocks of four by four
+        bits.write(0, 3)
+        bits.write(0, 1)  # the image of groups: no cache, and two pixels
+        codes = flat_codes(bits)
+        put_pixels(bits, [0xFF000000, 0xFF000100], codes)
+        for green in (5, 9):
+            for symbol, size in ((green, 280), (0, 256), (0, 256), (255, 256), (0, 40)):
+                only = np.zeros(size, np.int64)
+                only[symbol] = 1
+                webp.write_code(bits, only)
+
+    assert webp.decode(write_image(8, 4, grouped)).ravel().tolist() == pixels
+
+
 def test_webp_payloads(docs, none):
     found = webp.media_table(docs).collect()
     wanted = sorted(
