@@ -641,13 +641,12 @@ def to_payload(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % UNIT or (0 if text else UNIT))
 
 
-def feature(pixels: np.ndarray) -> str:
+def feature(samples: np.ndarray) -> str:
     """Mean, spread and an 8-bin histogram of the samples, as whole numbers."""
-    samples = (pixels >> 8 & 255).ravel()
-    bins = np.bincount(samples >> 5, minlength=8).tolist()
-    mean = int(samples.sum(dtype=np.int64)) // len(samples)
-    spread = int(np.abs(samples.astype(np.int64) - mean).sum()) // len(samples)
-    return ":".join(map(str, (mean, spread, *bins)))
+    counts, value = np.bincount(samples.ravel(), minlength=256), np.arange(256)
+    mean = int(counts @ value) // samples.size
+    spread = int(counts @ np.abs(value - mean)) // samples.size
+    return ":".join(map(str, (mean, spread, *counts.reshape(8, -1).sum(axis=1).tolist())))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -692,11 +691,11 @@ def read_media(stored: DataFrame) -> DataFrame:
             found = []
             for n, media in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 data = media.as_py()
-                pixels = decode(data)
-                payload = (pixels >> 8).astype(np.uint8).tobytes()[:n]
+                samples = (decode(data) >> 8).astype(np.uint8)
+                payload = samples.tobytes()[:n]
                 found.append(
                     (sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(data), sha256(data).hexdigest(),
-                     feature(pixels))
+                     feature(samples))
                 )
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
