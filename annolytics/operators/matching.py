@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics import settings
+from annolytics.operators.components import connected
 from annolytics.operators.spatial import overlapping_pairs
 from annolytics.session import cut_lineage
 
 GROUP = ["image_id", "class_id"]
 ROUNDS = 2
+CROWD = 100_000  # open candidates of an image and class that one task walks through as one
 _BOX = ["image_id", "class_id", "idx", "x1", "y1", "x2", "y2"]
 
 
@@ -31,15 +33,17 @@ def greedy_match(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     A candidate that ranks first for both of its boxes is always taken, and taking all of these at
     once changes nothing for the others.  `rounds` such rounds, spread over the boxes, settle most of
     a group however large it is.  What is left is walked through in order, one group of an image and
-    class after the other, remembering used boxes only.  The plan is the same for every input.
+    class after the other, remembering used boxes only.  Groups that still have more than CROWD candidates
+    are cut into connected components first, which do not share a box, so that they spread over tasks.
     """
     judged = candidates.select(*GROUP, "gi", "pi", "iou", F.lit(None).cast("boolean").alias("taken"))
     for _ in range(rounds):
         judged = _settle_leaders(judged)
     judged = cut_lineage(judged)
     left = judged.where(F.col("taken").isNull()).drop("taken")
-    ordered = left.repartition(*GROUP).sortWithinPartitions(
-        *GROUP, F.desc("iou"), F.desc("gi"), F.desc("pi")
+    parts = _parts(left)
+    ordered = parts.repartition(*GROUP, "part").sortWithinPartitions(
+        *GROUP, "part", F.desc("iou"), F.desc("gi"), F.desc("pi")
     )
     walked = ordered.mapInPandas(_take_free, left.schema)
     return judged.where("taken").drop("taken").unionByName(walked)
@@ -63,18 +67,34 @@ def _settle_leaders(judged: DataFrame) -> DataFrame:
     )
 
 
+def _parts(left: DataFrame) -> DataFrame:
+    """`left` with `part`: candidates of one image and class that share a box, directly or over others, have the
+    same.  Only groups of more than CROWD candidates are cut."""
+    crowded = left.groupBy(*GROUP).count().where(F.col("count") > CROWD).select(*GROUP)
+    if crowded.isEmpty():
+        return left.withColumn("part", F.lit(0).cast("bigint"))
+    crowded = cut_lineage(crowded)
+    # a candidate links its two boxes; sides tell boxes of equal index apart
+    truth, prediction = F.struct(F.lit(0).alias("side"), "gi"), F.struct(F.lit(1).alias("side"), F.col("pi").alias("gi"))
+    edges = left.join(crowded, GROUP, "left_semi").select(*GROUP, truth.alias("u"), prediction.alias("v"))
+    roots = connected(edges, GROUP).where("node.side = 0").select(
+        *GROUP, F.col("node.gi").alias("gi"), F.col("root.gi").alias("part")
+    )  # the least node of a component is a truth
+    return left.join(roots, [*GROUP, "gi"], "left").select(*left.columns, F.coalesce("part", F.lit(0)).alias("part"))
+
+
 def _take_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     group, truths, predictions = None, set(), set()
     for batch in batches:
         free = []
-        for image, kind, gi, pi in zip(*(batch[c].tolist() for c in (*GROUP, "gi", "pi")), strict=True):
-            if (image, kind) != group:
-                group, truths, predictions = (image, kind), set(), set()
+        for *own, gi, pi in zip(*(batch[c].tolist() for c in (*GROUP, "part", "gi", "pi")), strict=True):
+            if own != group:
+                group, truths, predictions = own, set(), set()
             free.append(gi not in truths and pi not in predictions)
             if free[-1]:
                 truths.add(gi)
                 predictions.add(pi)
-        yield batch[free]
+        yield batch.loc[free, batch.columns != "part"]
 
 
 def with_match(boxes: DataFrame, matches: DataFrame, index: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annolytics import settings
-from annolytics.operators import errors, matching, metrics, spatial
+from annolytics.operators import components, errors, matching, metrics, spatial
 from annolytics.taxonomy import Taxonomy
 
 BOX = "image_id long, idx long, class_id long, x1 double, y1 double, x2 double, y2 double"
@@ -86,6 +86,56 @@ def test_matching_equals_the_plain_greedy_way(spark, rounds):
     assert len(matches) == len(greedy(truth, predictions, 0.3))
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_crowds_are_matched_component_by_component(spark, monkeypatch, rounds):
+    rng = random.Random(11)
+    truth = random_boxes(rng, 5, 30)
+    predictions = jittered(rng, truth)
+    candidates = matching.match_candidates(
+        spark.createDataFrame(truth, BOX), spark.createDataFrame(predictions, BOX), 0.2
+    )
+    monkeypatch.setattr(matching, "CROWD", 3)
+    sizes = candidates.groupBy(*matching.GROUP).count().agg(F.min("count"), F.max("count")).first()
+    assert sizes[0] <= 3 < sizes[1]  # some groups are cut, some are not
+    matches = matching.greedy_match(candidates, rounds).collect()
+    assert {(m["image_id"], m["gi"], m["pi"]) for m in matches} == greedy(truth, predictions, 0.2)
+    assert len(matches) == len(greedy(truth, predictions, 0.2))
+    parts = matching._parts(candidates)
+    spread = parts.groupBy(*matching.GROUP).agg(F.countDistinct("part").alias("parts")).agg(F.max("parts")).first()[0]
+    assert spread > 1
+    for box in ("gi", "pi"):  # no box lies in two parts
+        shared = parts.groupBy(*matching.GROUP, box).agg(F.countDistinct("part").alias("parts")).where("parts > 1")
+        assert shared.isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "hub", "none"])
+def test_components_equal_a_plain_search(spark, monkeypatch, kind):
+    rng = random.Random(3)
+    edges = {
+        "random": [(rng.randrange(2), rng.randrange(60), rng.randrange(60)) for _ in range(70)],
+        "path": [(0, k, k + 1) for k in range(400)] + [(1, 5, 5)],
+        "hub": [(0, 500, k) for k in range(300)] + [(1, 0, 1)],
+        "none": [],
+    }[kind]
+    rng.shuffle(edges)
+    root = {}
+
+    def find(node):
+        while root.setdefault(node, node) != node:
+            node = root[node]
+        return node
+
+    for key, u, v in edges:
+        a, b = sorted((find((key, u)), find((key, v))))
+        root[b] = a
+    cuts = []
+    cut = components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    found = components.connected(spark.createDataFrame(edges, "key int, u long, v long"), ["key"]).collect()
+    assert sorted(((r.key, r.node), (r.key, r.root)) for r in found) == sorted((n, find(n)) for n in root)
+    assert len(cuts) <= 14
+
+
 def test_ties_go_to_the_larger_indices(spark):
     rows = [(1, 0, 0.5), (1, 1, 0.5), (0, 1, 0.5), (0, 0, 0.4)]
     df = spark.createDataFrame([(9, 0, g, p, v) for g, p, v in rows], "image_id long, class_id long, gi long, pi long, iou double")
