@@ -74,13 +74,17 @@ def _parts(left: DataFrame) -> DataFrame:
     if crowded.isEmpty():
         return left.withColumn("part", F.lit(0).cast("bigint"))
     crowded = cut_lineage(crowded)
-    # a candidate links its two boxes; sides tell boxes of equal index apart
+    parts = match_components(left.join(crowded, GROUP, "left_semi"))
+    return left.join(parts, [*GROUP, "gi"], "left").select(*left.columns, F.coalesce("part", F.lit(0)).alias("part"))
+
+
+def match_components(candidates: DataFrame) -> DataFrame:
+    """image_id, class_id, gi, part: truths that compete for predictions, directly or over others, have the same
+    part, the least of their indices."""
+    # a candidate links its two boxes; sides tell boxes of equal index apart, and put truths first
     truth, prediction = F.struct(F.lit(0).alias("side"), "gi"), F.struct(F.lit(1).alias("side"), F.col("pi").alias("gi"))
-    edges = left.join(crowded, GROUP, "left_semi").select(*GROUP, truth.alias("u"), prediction.alias("v"))
-    roots = connected(edges, GROUP).where("node.side = 0").select(
-        *GROUP, F.col("node.gi").alias("gi"), F.col("root.gi").alias("part")
-    )  # the least node of a component is a truth
-    return left.join(roots, [*GROUP, "gi"], "left").select(*left.columns, F.coalesce("part", F.lit(0)).alias("part"))
+    roots = connected(candidates.select(*GROUP, truth.alias("u"), prediction.alias("v")), GROUP)
+    return roots.where("node.side = 0").select(*GROUP, F.col("node.gi").alias("gi"), F.col("root.gi").alias("part"))
 
 
 def _take_free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

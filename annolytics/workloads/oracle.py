@@ -276,9 +276,9 @@ def _iou(a: str, b: str) -> str:
     return f"CASE WHEN {union} <> 0 THEN {inter} / {union} ELSE 0 END"
 
 
-def _candidates(predictions: str) -> str:
+def _candidates(predictions: str, least: float = 0.5) -> str:
     return f"""SELECT * FROM (SELECT t.image_id, t.class_id, t.idx AS gi, p.idx AS pi, {_iou('t', 'p')} AS iou
-        FROM truth t JOIN {predictions} p ON p.image_id = t.image_id AND p.class_id = t.class_id) WHERE iou >= 0.5"""
+        FROM truth t JOIN {predictions} p ON p.image_id = t.image_id AND p.class_id = t.class_id) WHERE iou >= {least}"""
 
 
 def _greedy(predictions: str) -> str:
@@ -508,6 +508,14 @@ QUERIES: dict[str, str] = {
         (SELECT count(*) FROM clean_lines WHERE class_id = 8) AS input_no_boots""",
     "iou_candidates": _candidates("predictions"),
     "greedy_matches": "SELECT * FROM matches",
+    "match_components": f"""SELECT image_id, class_id, gi, min(reached) AS part FROM (
+        WITH RECURSIVE found AS MATERIALIZED ({_candidates("predictions", settings.OCCLUSION_IOU)}),
+            linked AS MATERIALIZED (SELECT DISTINCT a.image_id, a.class_id, a.gi, b.gi AS other
+                                    FROM found a JOIN found b USING (image_id, class_id, pi)),
+            reach AS (SELECT image_id, class_id, gi, other AS reached FROM linked
+                      UNION SELECT r.image_id, r.class_id, r.gi, l.other FROM reach r
+                            JOIN linked l ON l.image_id = r.image_id AND l.class_id = r.class_id AND l.gi = r.reached)
+        SELECT * FROM reach) GROUP BY image_id, class_id, gi""",
     "missed_and_extra": "SELECT side, image_id, class_id, idx FROM unmatched",
     "class_confusions": "SELECT * FROM confusions",
     "overlapping_truth": "SELECT * FROM overlapped",

@@ -565,6 +565,12 @@ def greedy_matches(spark, sf):
     return matches(spark, sf)
 
 
+@query
+def match_components(spark, sf):
+    found = matching.match_candidates(fx.truth(spark, sf), fx.predictions(spark, sf), settings.OCCLUSION_IOU)
+    return matching.match_components(found)
+
+
 @query
 def missed_and_extra(spark, sf):
     both = matching.missed_and_extra(fx.truth(spark, sf), active(spark, sf), matches(spark, sf))

@@ -20,7 +20,7 @@ CHECKED = [
     "split_best_moves", "split_refinement_check", "image_sizes", "truth_from_labels",
     "error_categories_from_labels", "pr_curve", "ranked_experiments", "model_selection",
     "split_refined", "coverage_gaps_forced", "coverage_moves", "coverage_repaired", "frozen_manifest",
-    "frozen_split_stats", "frozen_digest", "ended_sessions_stream", "ended_violations_stream", "manifest_changes",
+    "match_components", "frozen_split_stats", "frozen_digest", "ended_sessions_stream", "ended_violations_stream", "manifest_changes",
 ]
 
 
