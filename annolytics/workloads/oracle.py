@@ -491,10 +491,10 @@ QUERIES: dict[str, str] = {
     "manifest_verification": f"""WITH numbered AS (SELECT *, regexp_extract(image, '_([0-9]+)[.]jpg$', 1)::BIGINT % 50 AS number FROM final),
         altered AS (SELECT * REPLACE (CASE number WHEN 8 THEN sha256('altered') ELSE image_sha256 END AS image_sha256,
                                       CASE number WHEN 9 THEN sha256('altered') ELSE label_sha256 END AS label_sha256) FROM numbered),
-        frozen AS ({_TREE_DIGEST}), found AS ({_tree("altered")}),
-        verified AS (SELECT 'as frozen' AS state, f.dataset_sha256 AS e, f.dataset_sha256 AS c, f.files, 0::BIGINT AS bad FROM frozen f
+        sealed AS ({_TREE_DIGEST}), found AS ({_tree("altered")}),
+        verified AS (SELECT 'as frozen' AS state, f.dataset_sha256 AS e, f.dataset_sha256 AS c, f.files, 0::BIGINT AS bad FROM sealed f
                  UNION ALL SELECT 'altered', f.dataset_sha256, g.dataset_sha256, g.files,
-                                  (SELECT count(*) FROM numbered WHERE number IN (8, 9)) FROM frozen f, found g)
+                                  (SELECT count(*) FROM numbered WHERE number IN (8, 9)) FROM sealed f, found g)
         SELECT state, e AS expected_sha256, e AS manifest_sha256, c AS computed_sha256, files AS files_verified,
                bad AS bad_files, e = c AND bad = 0 AS passed FROM verified""",
     "freeze_summary": """SELECT (SELECT count(*) FROM records) AS input_images,
