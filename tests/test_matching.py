@@ -223,3 +223,39 @@ def test_average_precision_by_hand(spark):
     assert by_class["a"]["ap50_95"] == pytest.approx((3 * both + 7 * one) / 10)
     assert tuple(by_class["absent"])[2:] == (0.0, 0.0, 0.0, 0.0)
     assert metrics.prediction_count(pred_df, 0.75).first()[0] == 2
+
+
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k % 5, rng.choice([None, *range(30)]), rng.randrange(30)) for k in range(150)] + [(9, 1, 1), (None, 3, 4)]
+    df = spark.createDataFrame(rows, "key int, g long, p long").selectExpr(
+        "key", "struct(0 as side, g) as u", "struct(1 as side, p as g) as v"
+    )
+    cuts = []
+    cut = components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    spread = sorted(map(repr, components.connected(df, ["key"], crowd=0).collect()))
+    assert sorted(map(repr, components.connected(df, ["key"], crowd=40).collect())) == spread
+    cuts.clear()
+    assert sorted(map(repr, components.connected(df.where("key >= 0"), ["key"]).collect())) == [
+        r for r in spread if "key=None" not in r
+    ]
+    assert len(cuts) == 1
+
+
+def test_few_boxes_are_joined_as_they_are(spark, monkeypatch):
+    rng = random.Random(9)
+    boxes = random_boxes(rng, 3, 40)
+    df = spark.createDataFrame(boxes, BOX)
+    pairs = spatial.overlapping_pairs(df, df, ["image_id", "class_id"], 0.1)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" in plan
+    few = sorted(map(repr, pairs.collect()))
+    hidden = matching.overlapping_truth(df, df)
+    assert "Generate" not in hidden._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(repr, hidden.collect()))
+    for most in (0, 39):
+        monkeypatch.setattr(spatial, "FEW", most)
+        pairs = spatial.overlapping_pairs(df, df, ["image_id", "class_id"], 0.1)
+        assert sorted(map(repr, pairs.collect())) == few
+        assert sorted(map(repr, matching.overlapping_truth(df, df).collect())) == found
