@@ -50,13 +50,20 @@ def _size(width: Column, height: Column) -> Column:
     return F.struct(width.try_cast("int").alias("width"), height.try_cast("int").alias("height"))
 
 
-def _jpeg_walk(content: Column, steps: Column) -> Column:
-    """Up to `steps` segments, each skipped by its length, to the frame header: (at, width, height);
-    `at` is null when the walk has ended."""
+def _bound(value: Column, use) -> Column:
+    """`use(value)`, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
 
-    def step(state: Column, _: Column) -> Column:
+
+def _jpeg_walk(content: Column) -> Column:
+    """The segments, each skipped by its length, up to the frame header: (at, width, height).
+
+    `at` is null when the walk has ended.  It goes on in stretches, each twice as long as the one before, up
+    to the end of the bytes; stretches after its end have no steps.
+    """
+
+    def after_marker(state: Column, marker: Column) -> Column:
         at = state["at"]
-        marker = F.hex(F.substring(content, at.try_cast("int"), F.lit(2)))
         frame = marker.rlike("^FFC[0-35-79-BD-F]$")
         after = (
             F.when(frame | ~F.startswith(marker, F.lit("FF")) | marker.isin("FFDA", "FFD9"), None)
@@ -70,21 +77,31 @@ def _jpeg_walk(content: Column, steps: Column) -> Column:
             F.when(frame, _number(content, (at + 5).try_cast("int"), 2)).otherwise(state["height"]).alias("height"),
         )
 
+    def step(state: Column, _: Column) -> Column:
+        marker = F.hex(F.substring(content, state["at"].try_cast("int"), F.lit(2)))
+        walked = _bound(marker, lambda found: after_marker(state, found))
+        return F.when(state["at"].isNull(), state).otherwise(walked)
+
+    def stretch(state: Column, steps: Column) -> Column:
+        some = F.when(state["at"].isNotNull(), F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(some, state, step)
+
     none = F.lit(None).cast("bigint")
     start = F.struct(F.lit(3).cast("bigint").alias("at"), none.alias("width"), none.alias("height"))
-    return F.aggregate(F.sequence(F.lit(1), steps), start, step)
+    # stretches of 16, 32, ... steps; a segment has two bytes or more
+    last = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length(content), F.lit(1)) / 32)).cast("int"))
+    lengths = F.transform(F.sequence(F.lit(0), last), lambda k: F.pow(F.lit(2), k + 4).cast("int"))
+    return F.aggregate(lengths, start, stretch)
 
 
 def image_size(content: Column) -> Column:
     """Struct (width, height) in pixels from the header of PNG, JPEG, BMP and WebP bytes, null for others.
 
-    PNG, BMP and WebP have their sizes at fixed places.  A JPEG is walked from segment to segment; one with
-    more segments before its frame than nearly all files have is walked again, as far as it goes.
+    PNG, BMP and WebP have their sizes at fixed places.  A JPEG is walked from segment to segment, as far as
+    it goes.
     """
     head = F.hex(F.substring(content, 1, 30))
-    few = _jpeg_walk(content, F.lit(64))
-    every = _jpeg_walk(content, F.greatest(F.lit(1), (F.octet_length(content) / 2).cast("int")))
-    jpeg = F.when(few["at"].isNull(), few).otherwise(every)
+    jpeg = _jpeg_walk(content)
     lossless, tall = _number(content, 22, 4, little=True), _number(content, 23, 4, little=True)
     return (
         F.when(

@@ -1,6 +1,7 @@
 """From image headers, label lines and predictions to errors and their reports."""
 
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,12 @@ def test_the_audit_writes_its_reports(spark, tmp_path):
     assert written.count() == tables["issue_counts"].count()
     (run,) = spark.read.json(str(tmp_path / "audit/run")).collect()
     assert run["rows"]["classes"] == 9
+
+
+def test_a_walk_ends_with_its_header(spark):
+    """Many segments before the frame cost no more than twice their number, however long the file is."""
+    long = jpeg(640, 480, *[(0xFE, b"")] * 99) + b"\0" * 4_000_000
+    df = spark.createDataFrame([(bytearray(long),), (bytearray(long[:200]),), (bytearray(b"\xff\xd8\xff"),)], "content binary")
+    begun = time.monotonic()
+    assert [tuple(r[0]) for r in df.select(image_size(F.col("content"))).collect()] == [(640, 480), (None, None), (None, None)]
+    assert time.monotonic() - begun < 30
