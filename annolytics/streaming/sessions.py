@@ -183,50 +183,77 @@ def _unpacked(text: str) -> list[tuple]:
     return [tuple(pair) for pair in json.loads(text)]
 
 
+def _ids(sessions: pd.Series) -> Iterator[int | None]:
+    return (None if session != session else int(session) for session in sessions.tolist())
+
+
 class EndedViolations(StatefulProcessor):
-    """Keeps the open stretches of a session, each with its first `k` violation frames, and emits a
-    stretch when the watermark is `gap` past its last frame."""
+    """Keeps the open stretches of a range of sessions, each with its first `k` violation frames, and emits
+    a stretch when the watermark is `gap` past its last frame.
+
+    State, timers and rows pass between Python and the JVM once a range and batch, not once a session.
+    """
 
     def __init__(self, k: int, gap_ms: int) -> None:
         self._k, self._gap_ms = k, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getListState("open", "first long, last long, frames string")
+        self._open = handle.getListState("open", "session_id long, first long, last long, frames string")
 
-    def _known(self) -> list[tuple]:
-        rows = self._open.get() if self._open.exists() else []
-        return [(row[0], row[1], _unpacked(row[2])) for row in rows]
+    def _known(self) -> dict[int | None, list[tuple]]:
+        known: dict[int | None, list[tuple]] = {}
+        for session, first, last, found in self._open.get() if self._open.exists() else []:
+            known.setdefault(session, []).append((first, last, _unpacked(found)))
+        return known
 
-    def _keep(self, stretches: list[tuple]) -> None:
+    def _keep(self, known: dict[int | None, list[tuple]]) -> None:
         """Store the stretches, and wake up when the first of them may end."""
+        rows = [
+            (session, first, last, _packed(found))
+            for session, stretches in known.items()
+            for first, last, found in stretches
+        ]
+        end = min((row[2] for row in rows), default=0) + self._gap_ms
+        there = False
         for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if not stretches:
+            at = timer[0] if isinstance(timer, tuple) else timer
+            if rows and at == end:
+                there = True
+            else:
+                self._handle.deleteTimer(at)
+        if not rows:
             self._open.clear()
             return
-        self._open.put([(first, last, _packed(found)) for first, last, found in stretches])
-        self._handle.registerTimer(min(last for _, last, _ in stretches) + self._gap_ms)
+        self._open.put(rows)
+        if not there:
+            self._handle.registerTimer(end)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stretches = self._known()
+        known = self._known()
         for batch in rows:
-            new = zip(batch["first"].tolist(), batch["last"].tolist(), map(_unpacked, batch["frames"]))
-            stretches = merge_stretches([*stretches, *new], self._gap_ms, self._k)
-        self._keep(stretches)
+            new: dict[int | None, list[tuple]] = {}
+            facts = zip(batch["first"].tolist(), batch["last"].tolist(), map(_unpacked, batch["frames"]))
+            for session, stretch in zip(_ids(batch["session"]), facts):
+                new.setdefault(session, []).append(stretch)
+            for session, found in new.items():
+                known[session] = merge_stretches([*known.get(session, []), *found], self._gap_ms, self._k)
+        self._keep(known)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        ended, still = [], []
-        for stretch in self._known():
-            (ended if stretch[1] + self._gap_ms <= now else still).append(stretch)
+        rows, still = [], {}
+        for session, stretches in self._known().items():
+            for first, last, found in stretches:
+                if last + self._gap_ms <= now:
+                    rows.extend((session, last + self._gap_ms, number, text) for number, text in found)
+                else:
+                    still.setdefault(session, []).append((first, last, found))
         self._keep(still)
-        rows = [
-            (key[0], last + self._gap_ms, number, text) for _, last, found in ended for number, text in found
-        ]
         if rows:
-            yield pd.DataFrame(rows, columns=["session_id", "ended_ms", "frame", "violations"])
+            emitted = pd.DataFrame(rows, columns=["session_id", "ended_ms", "frame", "violations"])
+            yield emitted.astype({"session_id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -237,6 +264,7 @@ def ended_violations(
     k: int = settings.VIOLATION_SAMPLES,
     gap: timedelta = timedelta(days=1),
     lateness: str = "1 hour",
+    together: int = 1,
 ) -> DataFrame:
     """The first `k` violation frames of every ended stretch, each stretch emitted once, in append mode:
     session_id, ended (`gap` after the last of its violation frames), frame, violations (JSON).
@@ -244,10 +272,11 @@ def ended_violations(
     A session's violation frames less than `gap` apart make one stretch.  It ends when the
     watermark, `lateness` behind the newest violation frame of the stream, has passed its end, and its state goes
     then; frames that come later than that are dropped.  Frames without a time are dropped, too.
-    Every Arrow batch is joined to stretches before the shuffle, so a hot session is thinned there.
+    Every Arrow batch is joined to stretches before the shuffle, so a hot session is thinned there.  State is
+    kept by ranges of `together` ids, under the least of them; more make fewer, larger states.
     """
     gap_ms = round(gap.total_seconds() * 1000)
-    schema = "session_id long, seen timestamp, first long, last long, frames string"
+    schema = "session long, seen timestamp, first long, last long, frames string"
     frames.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -261,17 +290,23 @@ def ended_violations(
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for session, part in batch.groupby("session_id", sort=False, dropna=False):
-                single = zip(part["ms"], part["ms"], [[pair] for pair in zip(part["frame"].tolist(), part["violations"])])
-                for first, last, found in merge_stretches(single, gap_ms, k):
-                    rows.append((session, pd.Timestamp(last, unit="ms", tz="UTC"), first, last, _packed(found)))
+            single: dict[int | None, list[tuple]] = {}
+            for session, ms, *pair in zip(_ids(batch["session_id"]), *(batch[c].tolist() for c in ("ms", "frame", "violations"))):
+                single.setdefault(session, []).append((ms, ms, [tuple(pair)]))
+            rows = [
+                (session, first, last, _packed(found))
+                for session, frames in single.items()
+                for first, last, found in merge_stretches(frames, gap_ms, k)
+            ]
             if rows:
-                yield pd.DataFrame(rows, columns=["session_id", "seen", "first", "last", "frames"])
+                out = pd.DataFrame(rows, columns=["session", "first", "last", "frames"])
+                out.insert(1, "seen", pd.to_datetime(out["last"], unit="ms", utc=True))
+                yield out
 
     emitted = (
         bad.mapInPandas(thin, schema)
         .withWatermark("seen", lateness)
+        .withColumn("session_id", F.col("session") - F.pmod("session", F.lit(together)))
         .groupBy("session_id")
         .transformWithStateInPandas(
             statefulProcessor=EndedViolations(k, gap_ms),

@@ -195,3 +195,20 @@ def test_stretches_join_in_any_order():
     for cut in range(1, 4):
         early = streams.merge_stretches(rows[cut:], 10, 2)
         assert streams.merge_stretches(early + rows[:cut], 10, 2) == streams.merge_stretches(rows, 10, 2)
+
+
+def test_sessions_share_a_state_and_end_by_themselves(spark, tmp_path):
+    lost = [frame(None, 6, "no_vest")]
+    arrivals = (ROWS, [frame(1, 30, "no_vest"), frame(3, 31, "no_helmet")], lost, [frame(70, 500, "no_vest")], [frame(3, 900, "no_vest")])
+    gap = pd.Timedelta(seconds=5).to_pytimedelta()
+    found = []
+    for together in (1, 64):
+        at = tmp_path / str(together)
+        at.mkdir()
+        stream = streams.ended_violations(ticking(spark, at, *arrivals), k=2, gap=gap, lateness="1 second", together=together)
+        streams.write_revisions(stream, str(at / "out"), str(at / "state"), "append").awaitTermination()
+        rows = spark.read.parquet(str(at / "out")).select("session_id", "ended", "frame", "violations").collect()
+        found.append(sorted(map(repr, rows)))
+        left = spark.read.format("statestore").option("stateVarName", "open").load(str(at / "state")).collect()
+        assert {r["key"]["session_id"] for r in left} == {3 if together == 1 else 0}
+    assert found[0] == found[1] and len(found[0]) > 3
