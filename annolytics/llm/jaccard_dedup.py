@@ -6,11 +6,14 @@ connected then.  What two unconnected nodes of a bucket still might share is fou
 filter: shingles are ordered from rare to frequent, and two sets as similar as wanted have one in common
 among the first of both.  So texts that are only somewhat alike, whose rare shingles are their
 own, never meet, however many they are.  Pairs are rows, so no bucket meets in one task.
+
+Links that another method finds between SimHash fingerprints (`near_dedup.links`) can go first: those that the
+exact check confirms need no bucket, and what they connect is not compared again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from annolytics.llm.common import keep_rows, row_digest, whole_text, written
-from annolytics.llm.near_dedup import SEED, components
+from annolytics.llm.near_dedup import SEED, components, fingerprint
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -70,23 +73,25 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 # --- nodes and buckets ----------------------------------------------------------------------------
 
 
-def _nodes(rows: DataFrame, size: int) -> DataFrame:
-    """`rows(doc_id, row, body)` as (doc_id, row, node, keys)."""
+def _nodes(rows: DataFrame, size: int, marked: bool) -> DataFrame:
+    """`rows(doc_id, row, body)` as (doc_id, row, node, keys, fp); the SimHash `fp` is null unless `marked`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(2)]
+            texts = batch.column(2).to_pylist()
+            sets = [shingles(t, size) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
                     pa.array([node(s) for s in sets], pa.int64()),
                     pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([fingerprint(t) if marked else None for t in texts], pa.int64()),
                 ],
-                names=["doc_id", "row", "node", "keys"],
+                names=["doc_id", "row", "node", "keys", "fp"],
             )
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, row bigint, node bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, row bigint, node bigint, keys array<bigint>, fp bigint")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -203,10 +208,27 @@ def _star(rows: DataFrame, key: str, salt: int, condition: Column) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _classes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, root) of all linked nodes."""
-    links = None
-    still = members.withColumn("root", F.col("node"))
+def _fingerprint_links(nodes: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links between `nodes(node, fp)`: of one fingerprint, or of fingerprints that `linked` links.  A node
+    may have several: its texts differ in the order or repetition of their shingles."""
+    pairs = nodes.select("node", "fp").distinct()
+    first = pairs.groupBy("fp").agg(F.min("node").alias("first"))
+    found = linked(written(first.select("fp"), "fingerprints"))
+    ends = found.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b"
+    )
+    same = pairs.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b").distinct()
+
+
+def _classes(members: DataFrame, sets: DataFrame, similarity: float, links: DataFrame | None = None) -> DataFrame:
+    """(a, root) of all linked nodes; `links` are pairs that are likely ones."""
+    if links is None:
+        still = members.withColumn("root", F.col("node"))
+    else:
+        links = written(_confirmed(links, sets, similarity), "links")
+        roots = written(components(links), "roots")
+        still = written(_open(_rooted(members, roots), "bucket"), "open")
     apart = F.col("x.root") != F.col("y.root")
     for salt in range(STARS):
         found = _confirmed(_star(still, "bucket", salt, apart), sets, similarity)
@@ -236,14 +258,24 @@ def _classes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return components(links.unionByName(_confirmed(pairs, sets, similarity)))
 
 
-def similar_classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, row, class) of every row; `row` is `row_digest`.  Null and empty texts are one class."""
+def similar_classes(
+    docs: DataFrame,
+    size: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    linked: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(doc_id, row, class) of every row; `row` is `row_digest`.  Null and empty texts are one class.  `linked` gives
+    links (a, b) between distinct SimHash fingerprints (fp), whose texts are compared first."""
     named = docs.select("doc_id", row_digest(docs).alias("row"), whole_text().cast("binary").alias("body"))
-    rows = written(_nodes(named, size), "documents")
+    rows = written(_nodes(named, size, linked is not None), "documents")
     nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"))
     members = written(_members(nodes), "members")
     # one row for each node that is to be compared
-    needed = members.select("node").distinct()
+    needed, likely = members.select("node"), None
+    if linked is not None:
+        likely = written(_fingerprint_links(rows, linked), "likely")
+        needed = needed.union(likely.select("a")).union(likely.select("b"))
+    needed = needed.distinct()
     source = (
         rows.join(needed, "node", "left_semi")
         .groupBy("node")
@@ -252,17 +284,22 @@ def similar_classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     )
     texts = named.withColumn("i", F.xxhash64("doc_id")).join(source, ["i", "row"]).select("node", "body")
     sets = written(_sets(texts, size).dropDuplicates(["node"]), "shingles")
-    roots = written(_classes(members, sets, similarity), "roots")
+    roots = written(_classes(members, sets, similarity, likely), "roots")
     return rows.join(roots.withColumnRenamed("a", "node"), "node", "left").select(
         "doc_id", "row", F.coalesce("root", "node").alias("class")
     )
 
 
-def drop_similar(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def drop_similar(
+    docs: DataFrame,
+    size: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    linked: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One document of each class, with all its columns: that of the smallest id (null last), among
     rows of one id that with the smallest hash of all columns."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    counted = similar_classes(docs, size, similarity).groupBy("class", "doc_id", "row").count()
+    counted = similar_classes(docs, size, similarity, linked).groupBy("class", "doc_id", "row").count()
     best = counted.groupBy("class").agg(F.min_by(F.struct("doc_id", "row", "count"), order).alias("d"))
     winners = best.select("d.doc_id", "d.row", F.col("d.count").alias("copies"))
     return keep_rows(docs, written(winners, "kept"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolytics.llm import exact_dedup, jaccard_dedup, packing, quality, secret_scan
+from annolytics.llm import exact_dedup, jaccard_dedup, near_dedup, packing, quality, secret_scan
 from annolytics.llm.common import free_names, table, written
 
 
@@ -27,8 +27,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 or more over shingles of five words, the document
-    with the smallest id.  A pair at 0.8 is missed with probability 7e-5 (by law), a closer one less."""
-    return jaccard_dedup.drop_similar(docs)
+    with the smallest id.  Links of SimHash fingerprints (op8's BK-trees) are checked exactly first; MinHash bands add
+    what fingerprints miss.  A pair at 0.8 is missed with probability 7e-5 (by law), a closer one less."""
+    return jaccard_dedup.drop_similar(docs, linked=near_dedup.links)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -748,3 +748,17 @@ def test_webp_payloads(docs, none):
     with pytest.raises(ValueError):
         webp.decode(media[:40])
     assert webp.media_table(none).count() == 0
+
+
+def test_the_stage_links_fingerprints_by_trees(spark, monkeypatch):
+    """Close copies are found by the BK-trees' links, with no bucket at all; an exact check follows."""
+    base = prose(5, 400)
+    texts = [base, base + " once more", prose(6, 400), base.upper() + " once", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    asked = []
+    trees = near_dedup.links
+    monkeypatch.setattr(near_dedup, "links", lambda distinct: asked.append(1) or trees(distinct))
+    members = jaccard_dedup._members
+    monkeypatch.setattr(jaccard_dedup, "_members", lambda nodes: members(nodes.limit(0)))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, frame, "").collect()) == [0, 2, 4]
+    assert asked == [1]
