@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -103,10 +104,21 @@ class FileWriter(DataSourceWriter):
             out.write(json.dumps(report).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        """The folder was made by this job, so nothing else is in it."""
+        """The folder was made by this job, so nothing else is in it.  Tasks that are being killed may still write,
+        so it is removed until it has stayed away for a second, for ten seconds at most."""
         from pyarrow.fs import FileType
 
         system, root = _store(self.folder)
+        away, end = 0, time.monotonic() + 10
+        while away < 4 and time.monotonic() < end:
+            away += 1
+            try:
+                if system.get_file_info(root).type == FileType.Directory:
+                    away = 0
+                    system.delete_dir(root)
+            except OSError:  # a task has changed it meanwhile
+                pass
+            time.sleep(0.25)
         if system.get_file_info(root).type == FileType.Directory:
             system.delete_dir(root)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import threading
 
 import pytest
 
@@ -121,3 +122,14 @@ def test_a_task_that_runs_twice_changes_nothing(tmp_path):
     assert len(plain(tmp_path / "out")) == 6
     writer.abort([second])
     assert not (tmp_path / "out").exists()
+
+
+def test_an_aborted_folder_stays_away(tmp_path):
+    """A task that is being killed writes once more after the folder is gone."""
+    out = tmp_path / "out"
+    (out / "a").mkdir(parents=True)
+    late = threading.Timer(0.4, lambda: (out / "b").mkdir(parents=True))
+    late.start()
+    files.FileWriter(str(out)).abort([])
+    late.join()
+    assert not out.exists()
