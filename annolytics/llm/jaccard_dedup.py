@@ -5,7 +5,9 @@ share a bucket.  Every bucket is compared with one node of it, exactly, twice; m
 connected then.  What two unconnected nodes of a bucket still might share is found by an exact prefix
 filter: shingles are ordered from rare to frequent, and two sets as similar as wanted have one in common
 among the first of both.  So texts that are only somewhat alike, whose rare shingles are their
-own, never meet, however many they are.  Pairs are rows, so no bucket meets in one task.
+own, never meet, however many they are.  Those that meet are compared with a few nodes of the largest part among them, round
+after round as long as that finds links, and only what stays unconnected with all.  Pairs are rows, so no bucket meets in
+one task.
 
 Links that another method finds between SimHash fingerprints (`near_dedup.links`) can go first: those that the
 exact check confirms need no bucket, and what they connect is not compared again.
@@ -29,6 +31,7 @@ SIMILARITY = 0.8
 # A pair at 0.8 shares no bucket with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
 BANDS, PER_BAND = 24, 5
 STARS = 2  # rounds in which buckets are compared with one of their nodes
+PROBES, CENTRES = 4, 32  # rounds at most in which posts are compared with nodes of their shingle's largest part
 
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 64, (BANDS * PER_BAND, 1), np.uint64)
@@ -221,31 +224,67 @@ def _fingerprint_links(nodes: DataFrame, linked: Callable[[DataFrame], DataFrame
     return same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).filter("a <> b").distinct()
 
 
+def _merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """`roots(a, root)` of earlier links, with the links `found(a, b)` taken in: only roots that these join are walked
+    again."""
+    if roots is None:
+        return written(components(found), "roots")
+    for end in ("a", "b"):
+        known = roots.select(F.col("a").alias(end), F.col("root").alias("of"))
+        found = found.join(known, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    joined = written(components(found.filter("a <> b").distinct()), "joined")
+    moved = roots.join(joined.select(F.col("a").alias("root"), F.col("root").alias("least")), "root", "left")
+    fresh = joined.join(roots.select("a"), "a", "left_anti")
+    return written(moved.select("a", F.coalesce("least", "root").alias("root")).unionByName(fresh), "roots")
+
+
+def _marked(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The open ones of `posts`, with the `largest` root of each shingle."""
+    still = written(_open(_rooted(posts, roots), "shingle"), "open-posts")
+    largest = (
+        still.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", "count").alias("largest"))
+    )
+    return still.join(largest, "shingle")
+
+
+def _probes(marked: DataFrame, salt: int, similarity: float) -> DataFrame:
+    """(a, b): up to CENTRES nodes of each shingle's largest root, the same ones wherever they occur, against the nodes
+    of other roots."""
+    draw = F.xxhash64(F.lit(salt), "node")
+    post = F.struct("node", "root", "size", "place")
+    centres = (
+        marked.filter("root = largest")
+        .groupBy("shingle", F.pmod(draw, F.lit(CENTRES)).alias("part"))
+        .agg(F.min_by(post, draw).alias("c"))
+        .select("shingle", "c.*")
+    )
+    others = marked.filter("root <> largest").alias("y")
+    pairs = others.join(centres.alias("x"), F.col("x.shingle") == F.col("y.shingle")).filter(_possible(similarity))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def _classes(members: DataFrame, sets: DataFrame, similarity: float, links: DataFrame | None = None) -> DataFrame:
     """(a, root) of all linked nodes; `links` are pairs that are likely ones."""
     if links is None:
-        still = members.withColumn("root", F.col("node"))
+        roots, still = None, members.withColumn("root", F.col("node"))
     else:
-        links = written(_confirmed(links, sets, similarity), "links")
-        roots = written(components(links), "roots")
+        roots = _merged(None, _confirmed(links, sets, similarity))
         still = written(_open(_rooted(members, roots), "bucket"), "open")
     apart = F.col("x.root") != F.col("y.root")
     for salt in range(STARS):
-        found = _confirmed(_star(still, "bucket", salt, apart), sets, similarity)
-        links = written(links.unionByName(found) if links is not None else found, "links")
-        roots = written(components(links), "roots")
+        roots = _merged(roots, _confirmed(_star(still, "bucket", salt, apart), sets, similarity))
         still = written(_open(_rooted(members, roots), "bucket"), "open")
     posts = written(_prefixes(still.select("node").distinct(), sets, similarity), "posts")
-    still = written(_open(_rooted(posts, roots), "shingle"), "open-posts")
-    found = _confirmed(_star(still, "shingle", STARS, _possible(similarity)), sets, similarity)
-    links = written(links.unionByName(found), "links")
-    roots = written(components(links), "roots")
+    # most of what belongs to a large part is linked to one of a few of its nodes; each round costs no more than
+    # CENTRES pairs a post
+    for salt in range(PROBES):
+        found = _confirmed(_probes(_marked(posts, roots), salt, similarity), sets, similarity)
+        found = written(found, "links")
+        if found.isEmpty():
+            break
+        roots = _merged(roots, found)
     # every pair left, but for those within the largest part that is connected already
-    still = written(_open(_rooted(posts, roots), "shingle"), "open-posts")
-    largest = (
-        still.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", "count").alias("largest"))
-    )
-    marked = still.join(largest, "shingle")
+    marked = _marked(posts, roots)
     minor = marked.filter("root <> largest")
     once = (F.col("y.root") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
     pairs = (
@@ -255,7 +294,7 @@ def _classes(members: DataFrame, sets: DataFrame, similarity: float, links: Data
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
     )
-    return components(links.unionByName(_confirmed(pairs, sets, similarity)))
+    return _merged(roots, _confirmed(pairs, sets, similarity))
 
 
 def similar_classes(
@@ -284,7 +323,7 @@ def similar_classes(
     )
     texts = named.withColumn("i", F.xxhash64("doc_id")).join(source, ["i", "row"]).select("node", "body")
     sets = written(_sets(texts, size).dropDuplicates(["node"]), "shingles")
-    roots = written(_classes(members, sets, similarity, likely), "roots")
+    roots = _classes(members, sets, similarity, likely)
     return rows.join(roots.withColumnRenamed("a", "node"), "node", "left").select(
         "doc_id", "row", F.coalesce("root", "node").alias("class")
     )

@@ -762,3 +762,21 @@ def test_the_stage_links_fingerprints_by_trees(spark, monkeypatch):
     monkeypatch.setattr(jaccard_dedup, "_members", lambda nodes: members(nodes.limit(0)))
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, frame, "").collect()) == [0, 2, 4]
     assert asked == [1]
+
+
+def test_a_large_part_is_probed_not_paired(spark):
+    """40 texts beside 500 connected ones are compared with some of these first; new links walk joined roots only."""
+    rows = [(1, i, 0 if i < 500 else i, 100, 1, 0) for i in range(540)]
+    marked = spark.createDataFrame(rows, "shingle long, node long, root long, size long, place long, largest long")
+    pairs = jaccard_dedup._probes(marked, 0, 0.8).collect()
+    assert {p.b for p in pairs} == set(range(500, 540)) and {p.a for p in pairs} <= set(range(500))
+    assert len(pairs) <= jaccard_dedup.CENTRES * 40
+
+    def links(*pairs):
+        return spark.createDataFrame(pairs, "a long, b long")
+
+    roots = jaccard_dedup._merged(None, links((5, 4), (4, 3), (9, 8)))
+    after = jaccard_dedup._merged(roots, links((9, 5), (8, 4), (7, 7), (21, 20), (2, 21)))
+    wanted = {n: 3 for n in (3, 4, 5, 8, 9)} | {n: 2 for n in (2, 20, 21)}
+    assert sorted((r.a, r.root) for r in after.collect()) == sorted(wanted.items())
+    assert after.count() == len(jaccard_dedup._merged(after, links((3, 9))).collect())
