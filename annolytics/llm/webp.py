@@ -8,10 +8,10 @@ different samples become a palette, several indices a pixel.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from hashlib import sha256
-from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -92,16 +92,18 @@ class PrefixCode:
             self.symbol, self.length = np.repeat(order, spans), np.repeat(lengths[order], spans)
         self.lookup: list[tuple[int, int]] | None = None
 
+    def table(self) -> list[tuple[int, int]]:
+        """(symbol, length) by the next `bits` bits in stream order."""
+        if self.lookup is None:
+            turned = REVERSED[np.arange(1 << self.bits) & 255].astype(np.int64) << 8
+            turned = (turned | REVERSED[np.arange(1 << self.bits) >> 8]) >> (16 - self.bits)
+            self.lookup = list(zip(self.symbol[turned].tolist(), self.length[turned].tolist(), strict=True))
+        return self.lookup
+
     def read(self, bits: BitReader) -> int:
         if not self.bits:
             return int(self.symbol[0])
-        if self.lookup is None:  # by bits in stream order
-            size = 1 << self.bits
-            stream = np.zeros(size, np.int64)
-            for k in range(self.bits):
-                stream |= (np.arange(size) >> k & 1) << (self.bits - 1 - k)
-            self.lookup = list(zip(self.symbol[stream].tolist(), self.length[stream].tolist(), strict=True))
-        symbol, n = self.lookup[bits.peek(self.bits)]
+        symbol, n = self.table()[bits.peek(self.bits)]
         bits.read(n)
         return symbol
 
@@ -120,21 +122,29 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
         of_lengths[place] = bits.read(3)
     code = PrefixCode(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and left:
+    table, wide = code.table(), (1 << code.bits) - 1
+    # a symbol and its extra bits take 14 at most, so these bytes hold all that are left
+    first, used = bits.at >> 3, bits.at & 7
+    ahead = int.from_bytes(bits.data[first : first + 2 * left + 2], "little") >> used
+    found, last, start = [], 8, used
+    while len(found) < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        symbol, n = table[ahead & wide]
+        ahead >>= n
+        used += n
         if symbol < 16:
-            lengths[at] = symbol
+            found.append(symbol)
             last = symbol or last
-            at += 1
             continue
         value, extra, least = ((last, 2, 3), (0, 3, 3), (0, 7, 11))[symbol - 16]
-        n = least + bits.read(extra)
-        if at + n > alphabet:
+        n = least + (ahead & (1 << extra) - 1)
+        ahead >>= extra
+        used += extra
+        if len(found) + n > alphabet:
             raise ValueError("too many code lengths")
-        lengths[at : at + n] = value
-        at += n
+        found.extend([value] * n)
+    bits.read(used - start)
+    lengths[: len(found)] = found
     return PrefixCode(lengths)
 
 
@@ -414,13 +424,22 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
         return lengths
     weights = counts[used].tolist()
     while True:
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapify(heap)
+        leaves = sorted((w, i) for i, w in enumerate(weights))  # two queues: joined nodes come in order of weight
+        leaves.append((sum(weights) + 1, 0))
         parent = [0] * (2 * len(used) - 1)
+        joined, first, leaf = [], 0, 0
         for node in range(len(used), 2 * len(used) - 1):
-            a, b = heappop(heap), heappop(heap)
-            parent[a[1]] = parent[b[1]] = node
-            heappush(heap, (a[0] + b[0], node))
+            weight = 0
+            for _ in range(2):
+                w, i = leaves[leaf]
+                if first < len(joined) and joined[first] < w:
+                    w, i = joined[first], len(used) + first
+                    first += 1
+                else:
+                    leaf += 1
+                parent[i] = node
+                weight += w
+            joined.append(weight)
         depth = [0] * len(parent)
         for node in range(len(parent) - 2, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -446,25 +465,28 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+def _write_single(bits: BitWriter, symbol: int) -> None:
+    bits.write(1 | (symbol > 1) << 2, 3)
+    bits.write(symbol, 8 if symbol > 1 else 1)
+
+
+RUNS = re.compile(rb"\0{1,138}|[^\0]", re.DOTALL)  # zeros in a row, or one code length
+
+
 def write_code(bits: BitWriter, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
     if len(used) <= 1:
-        symbol = int(used[0]) if len(used) else 0
-        bits.write(1 | (symbol > 1) << 2, 3)
-        bits.write(symbol, 8 if symbol > 1 else 1)
+        _write_single(bits, int(used[0]) if len(used) else 0)
         return
     said: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    at, values = 0, lengths.tolist()
-    while at < len(values):
-        run = 1
-        if not values[at]:
-            while at + run < len(values) and run < 138 and not values[at + run]:
-                run += 1
-            said.append((18, run - 11, 7) if run > 10 else (17, run - 3, 3) if run > 2 else (0, 0, 0))
-            run = run if run > 2 else 1
+    for run in RUNS.findall(lengths.astype(np.uint8).tobytes()):
+        n = len(run)
+        if run[0]:
+            said.append((run[0], 0, 0))
+        elif n > 2:
+            said.append((18, n - 11, 7) if n > 10 else (17, n - 3, 3))
         else:
-            said.append((values[at], 0, 0))
-        at += run
+            said.extend([(0, 0, 0)] * n)
     own = code_lengths(np.bincount([s for s, _, _ in said], minlength=19), 7)
     codes = canonical(own).tolist()
     bits.write(0, 1)
@@ -545,9 +567,7 @@ def _prefix_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _write_codes(bits: BitWriter, green: np.ndarray, distance: np.ndarray) -> None:
     write_code(bits, green)
     for symbol in (0, 0, 255):  # red, blue, alpha: one symbol each
-        only = np.zeros(256, np.int64)
-        only[symbol] = 1
-        write_code(bits, only)
+        _write_single(bits, symbol)
     write_code(bits, distance)
 
 

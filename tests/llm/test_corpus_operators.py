@@ -780,3 +780,26 @@ def test_a_large_part_is_probed_not_paired(spark):
     wanted = {n: 3 for n in (3, 4, 5, 8, 9)} | {n: 2 for n in (2, 20, 21)}
     assert sorted((r.a, r.root) for r in after.collect()) == sorted(wanted.items())
     assert after.count() == len(jaccard_dedup._merged(after, links((3, 9))).collect())
+
+
+def test_code_lengths_are_those_of_a_heap():
+    """Two queues join in the order of (weight, node), as a heap would; runs of zeros are written as before."""
+    rng = random.Random(5)
+    for n in (2, 3, 40, 280):
+        counts = [rng.choice((0, 1, 1, 2, 3, 8, rng.randrange(5_000))) for _ in range(n - 2)] + [1, 1]
+        heap = sorted((c, i) for i, c in enumerate(c for c in counts if c))
+        parent, node = {}, len(heap)
+        while len(heap) > 1:
+            (v, a), (w, b), *heap = heap
+            parent[a] = parent[b] = node
+            heap, node = sorted([*heap, (v + w, node)]), node + 1
+        depth = {node - 1: 0}
+        for i in sorted(parent, reverse=True):
+            depth[i] = depth[parent[i]] + 1
+        lengths = webp.code_lengths(np.array(counts), 64)
+        assert lengths[lengths > 0].tolist() == [depth[i] for i in range(sum(c > 0 for c in counts))]
+        if lengths.max() <= webp.LONGEST:
+            bits = webp.BitWriter()
+            webp.write_code(bits, lengths)
+            read = webp.BitReader(bits.value.to_bytes(bits.n // 8 + 1, "little"))
+            assert webp.read_code(read, n).lengths.tolist() == lengths.tolist() and read.at == bits.n
