@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 from zlib import crc32
 
@@ -40,10 +41,12 @@ NEAR = (
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 GREEN_BASE, LENGTHS, DISTANCES, LONGEST = 256, 24, 40, 15
+LEAPS = 4  # a leap of the reader passes up to 2 ** LEAPS literals
 WINDOW = (1 << 20) - len(NEAR)  # farthest distance
 LONGEST_COPY = 4096
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1)[:, ::-1], axis=1).ravel()
+TURNED = REVERSED.tolist()
 
 # --- bits and prefix codes ------------------------------------------------------------------------
 
@@ -75,6 +78,30 @@ class BitWriter:
         self.n += n
 
 
+def _in_order(used: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(symbol, code with its first bit lowest, length) of a canonical code, from (length, symbol)."""
+    first = 0  # of 16 bits, first bit highest
+    for n, symbol in sorted(used):
+        yield symbol, TURNED[first >> 8] | TURNED[first & 255] << 8, n
+        first += 1 << 16 - n
+        if first > 1 << 16:
+            break
+    if first != 1 << 16:
+        raise ValueError("not a complete prefix code")
+
+
+def _lookup(lengths: list[int]) -> tuple[list[tuple[int, int]], int]:
+    """(symbol, length) by the next bits in stream order, and how many bits these are; for short codes."""
+    used = [(n, symbol) for symbol, n in enumerate(lengths) if n]
+    if len(used) <= 1:  # one symbol takes no bits
+        return [(used[0][1] if used else 0, 0)], 0
+    wide = max(used)[0]
+    table = [(0, 0)] * (1 << wide)
+    for symbol, code, n in _in_order(used):
+        table[code :: 1 << n] = [(symbol, n)] * (1 << wide - n)
+    return table, wide
+
+
 class PrefixCode:
     """A canonical code; `symbol` and `length` by the next `bits` bits, first bit highest."""
 
@@ -82,7 +109,7 @@ class PrefixCode:
         used = np.flatnonzero(lengths)
         self.lengths = lengths
         if len(used) <= 1:  # one symbol takes no bits
-            self.bits, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64)
+            self.bits, self.symbol, self.length = 0, used if len(used) else np.zeros(1, np.int64), np.zeros(1, np.int64)
         else:
             order = used[np.argsort(lengths[used], kind="stable")]
             self.bits = int(lengths[order[-1]])
@@ -108,21 +135,25 @@ class PrefixCode:
         return symbol
 
 
-def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
+@lru_cache(maxsize=1024)
+def _stated(alphabet: int, *symbols: int) -> PrefixCode:
     lengths = np.zeros(alphabet, np.int64)
+    lengths[list(symbols)] = 1
+    return PrefixCode(lengths)
+
+
+def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     if bits.read(1):  # one or two symbols, stated
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return PrefixCode(lengths)
-    of_lengths = np.zeros(len(LENGTH_ORDER), np.int64)
+        return _stated(alphabet, first, bits.read(8)) if two else _stated(alphabet, first)
+    lengths = np.zeros(alphabet, np.int64)
+    of_lengths = [0] * len(LENGTH_ORDER)
     for place in LENGTH_ORDER[: 4 + bits.read(4)]:
         of_lengths[place] = bits.read(3)
-    code = PrefixCode(of_lengths)
+    table, wide = _lookup(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table, wide = code.table(), (1 << code.bits) - 1
+    wide = (1 << wide) - 1
     # a symbol and its extra bits take 14 at most, so these bytes hold all that are left
     first, used = bits.at >> 3, bits.at & 7
     ahead = int.from_bytes(bits.data[first : first + 2 * left + 2], "little") >> used
@@ -153,7 +184,7 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
 
 def _green_samples(bits: BitReader, green: PrefixCode, distance: PrefixCode, n: int, width: int) -> np.ndarray:
     """n samples where only the green channel takes bits: the step from every bit position is looked up at once,
-    then the chain of steps is followed, with a stop at each back-reference."""
+    steps are joined to leaps over several literals, and the chain of leaps is followed, with a stop at each back-reference."""
     if not green.bits:
         if green.symbol[0] >= GREEN_BASE:
             raise ValueError("a reference leaves the image")
@@ -165,44 +196,61 @@ def _green_samples(bits: BitReader, green: PrefixCode, distance: PrefixCode, n:
     shift = np.arange(24 - green.bits, 16 - green.bits, -1, dtype=np.int32)
     window = ((word[:, None] >> shift) & ((1 << green.bits) - 1)).ravel()
     literal = np.where(green.symbol < GREEN_BASE, green.length, 0).astype(np.uint8)
-    steps = memoryview(literal[window])
-    at, places, copies, made = bits.at & 7, [], [], 0  # copies: literals before, length, distance
+    steps = np.append(literal[window], np.uint8(0))  # none at a reference, nor behind the stream
+    leap = np.minimum(np.arange(len(steps)) + steps, len(window))
+    passed, leaps = (steps > 0).view(np.uint8), []  # literals within a leap; leaps over 1, 2, 4, ... literals
+    while len(leaps) < LEAPS:
+        leaps.append(leap)
+        passed, leap = passed + passed[leap], leap[leap]
+    at, heads, taken, copies = bits.at & 7, [], [], []  # copies: literals before, length, distance
+    made, own = 0, 0
     data, far, far_bits = bits.data, distance.symbol.tolist(), distance.length.tolist()
-    turned, unused = REVERSED.tolist(), 16 - distance.bits
+    unused = 16 - distance.bits
+    passing, leaping, codes = memoryview(passed), memoryview(leap), memoryview(window)
+    green_symbol, green_length = memoryview(green.symbol), memoryview(green.length)
     try:
         while made < n:
-            before = len(places)
-            for _ in range(n - made):
-                step = steps[at]
-                if not step:
-                    break
-                places.append(at)
-                at += step
-            made += len(places) - before
-            if made < n:
-                code = window[at]
-                at += int(green.length[code])
+            literals = passing[at]
+            heads.append(at)
+            if made + literals >= n:  # padding follows the last pixel
+                literals = n - made
+                for _ in range(literals):
+                    at += int(steps[at])
+                taken.append(literals)
+                own += literals
+                break
+            taken.append(literals)
+            made += literals
+            own += literals
+            at = leaping[at]
+            if literals < 1 << LEAPS:
+                code = codes[at]
+                at += green_length[code]
                 byte = first + (at >> 3)
                 ahead = int.from_bytes(data[byte : byte + 8], "little") >> (at & 7)  # a reference ends within 57 bits
-                extra, least = _extra(int(green.symbol[code]) - GREEN_BASE)
+                extra, least = EXTRAS[green_symbol[code] - GREEN_BASE]
                 length = least + (ahead & (1 << extra) - 1)
                 ahead >>= extra
                 at += extra
-                code = (turned[ahead & 255] << 8 | turned[ahead >> 8 & 255]) >> unused
+                code = (TURNED[ahead & 255] << 8 | TURNED[ahead >> 8 & 255]) >> unused
                 ahead >>= far_bits[code]
                 at += far_bits[code]
-                extra, least = _extra(far[code])
+                extra, least = EXTRAS[far[code]]
                 back = _distance(least + (ahead & (1 << extra) - 1), width)
                 at += extra
                 if back > made or made + length > n:
                     raise ValueError("a reference leaves the image")
-                copies.append((len(places), length, back))
+                copies.append((own, length, back))
                 made += length
     except IndexError:
         raise ValueError("the stream ends early") from None
     bits.at = 8 * first + at
     if bits.at > 8 * len(bits.data):
         raise ValueError("the stream ends early")
+    places = np.array(heads)[:, None]
+    for leap in leaps:
+        places = np.concatenate([places, leap[places]], axis=1)
+    places = places[np.arange(1 << LEAPS) < np.array(taken)[:, None]]
     literals = green.symbol[window[places]].astype(np.uint8)
     if not copies:
         return literals
@@ -231,6 +279,10 @@ def _extra(symbol: int) -> tuple[int, int]:
     return extra, ((2 + (symbol & 1)) << extra) + 1
 
 
+EXTRAS = [_extra(symbol) for symbol in range(DISTANCES)]
+EXTRA_BITS, LEAST_VALUES = np.array(EXTRAS, np.int64).T.copy()
+
+
 def _prefixed(bits: BitReader, symbol: int) -> int:
     extra, least = _extra(symbol)
     return least + bits.read(extra)
@@ -451,18 +503,12 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes as the stream has them, first bit lowest."""
-    codes = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    if len(used) < 2:
-        return codes
-    order = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[order]
-    longest = int(n[-1])
-    spans = 1 << (longest - n)
-    firsts = np.cumsum(spans) - spans
-    wide = (REVERSED[firsts >> 8].astype(np.int64)) | (REVERSED[firsts & 255].astype(np.int64) << 8)
-    codes[order] = wide >> (16 - longest)
-    return codes
+    codes, own = [0] * len(lengths), lengths.tolist()
+    used = [(n, symbol) for symbol, n in enumerate(own) if n]
+    if len(used) > 1:
+        for symbol, code, _ in _in_order(used):
+            codes[symbol] = code
+    return np.array(codes, np.int64)
 
 
 def _write_single(bits: BitWriter, symbol: int) -> None:
@@ -488,16 +534,16 @@ def write_code(bits: BitWriter, lengths: np.ndarray) -> None:
         else:
             said.extend([(0, 0, 0)] * n)
     own = code_lengths(np.bincount([s for s, _, _ in said], minlength=19), 7)
-    codes = canonical(own).tolist()
+    codes, own = canonical(own).tolist(), own.tolist()
     bits.write(0, 1)
     n = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if own[s]))
     bits.write(n - 4, 4)
     for s in LENGTH_ORDER[:n]:
-        bits.write(int(own[s]), 3)
+        bits.write(own[s], 3)
     bits.write(0, 1)
-    alone = np.count_nonzero(own) < 2
+    alone = sum(n > 0 for n in own) < 2
     for s, extra, wide in said:
-        bits.write(codes[s], 0 if alone else int(own[s]))
+        bits.write(codes[s], 0 if alone else own[s])
         bits.write(extra, wide)
 
 
@@ -540,12 +586,14 @@ def references(samples: np.ndarray) -> np.ndarray:
     back = np.zeros(n, np.int64)
     back[after[same]] = (after - before)[same]
     back[back > WINDOW] = 0
-    first = np.flatnonzero(np.diff(back, prepend=0))  # a run of one distance begins
+    first = np.flatnonzero(back[1:] != back[:-1]) + 1  # a run of one distance begins; the first place has none
     ends = np.append(first, n)[1:] + LEAST_COPY - 1
+    some = np.flatnonzero(back[first])
+    first, ends = first[some], ends[some]
     found, done = [], 0
     for start, end, distance in zip(first.tolist(), ends.tolist(), back[first].tolist(), strict=True):
         start = max(start, done)
-        if not distance or end - start < LEAST_COPY:
+        if end - start < LEAST_COPY:
             continue
         while end - start >= LEAST_COPY:
             length = min(end - start, LONGEST_COPY)
@@ -557,11 +605,8 @@ def references(samples: np.ndarray) -> np.ndarray:
 
 def _prefix_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, extra bits, number of extra bits) of lengths or distances from 1."""
-    less = values - 1
-    high = np.frexp(less.astype(float))[1].astype(np.int64) - 1  # place of the highest bit
-    extra = np.where(less < 4, 0, high - 1)
-    symbol = np.where(less < 4, less, 2 * high + (less >> np.maximum(extra, 0) & 1))
-    return symbol, less & (1 << extra) - 1, extra
+    symbol = LEAST_VALUES.searchsorted(values, "right") - 1
+    return symbol, values - LEAST_VALUES[symbol], EXTRA_BITS[symbol]
 
 
 def _write_codes(bits: BitWriter, green: np.ndarray, distance: np.ndarray) -> None:
@@ -604,10 +649,8 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
     copies = references(samples)
     start, length, back = copies.T
     token = np.ones(len(samples), bool)
-    covered = np.zeros(len(samples) + 1, np.int64)
-    covered[start] += 1
-    covered[start + length] -= 1  # passages may touch, not overlap
-    token[np.cumsum(covered[:-1]) > 0] = False
+    for a, n in zip(start.tolist(), length.tolist(), strict=True):
+        token[a : a + n] = False
     literals = np.flatnonzero(token)
     long_symbol, long_value, long_extra = _prefix_symbols(length)
     far_symbol, far_value, far_extra = _prefix_symbols(back + len(NEAR))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -803,3 +804,22 @@ def test_code_lengths_are_those_of_a_heap():
             webp.write_code(bits, lengths)
             read = webp.BitReader(bits.value.to_bytes(bits.n // 8 + 1, "little"))
             assert webp.read_code(read, n).lengths.tolist() == lengths.tolist() and read.at == bits.n
+
+
+def test_webp_reader_takes_fewer_steps_than_literals():
+    samples = np.random.default_rng(5).integers(0, 100, 64 * 400).astype(np.uint8)
+    stored, lines = webp.encode_samples(samples, 64), 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        lines += event == "line" and frame.f_code.co_name == "_green_samples"
+        return count
+
+    sys.settrace(count)
+    try:
+        pixels = webp.decode(stored)
+    finally:
+        sys.settrace(None)
+    assert np.array_equal((pixels >> 8).astype(np.uint8).ravel(), samples)
+    assert np.array_equal(pixels, webp.decode(stored, one_by_one=True))
+    assert lines < len(samples)
