@@ -259,3 +259,41 @@ def test_few_boxes_are_joined_as_they_are(spark, monkeypatch):
         pairs = spatial.overlapping_pairs(df, df, ["image_id", "class_id"], 0.1)
         assert sorted(map(repr, pairs.collect())) == few
         assert sorted(map(repr, matching.overlapping_truth(df, df).collect())) == found
+
+
+def test_images_of_few_boxes_move_once_and_count_as_the_operators_do(spark):
+    schema = "image_id bigint, idx bigint, class_id bigint, x1 double, y1 double, x2 double, y2 double"
+    draw = random.Random(11)
+
+    def boxes(image):
+        rows = []
+        for idx in range(draw.randrange(1, 9)):
+            x, y, size = draw.randrange(6), draw.randrange(6), draw.randrange(0, 9)
+            rows.append((image, draw.choice((idx, idx, 0, None)), draw.choice((0, 0, 1, None)), x, y, x + size, y + 6))
+        return [tuple(float(v) if i > 2 else v for i, v in enumerate(row)) for row in rows]
+
+    truth = [(*r, 640, 640) for i in range(40) for r in boxes(i)] + [(None, 0, 0, 0.0, 0.0, 5.0, 5.0, 640, 640)]
+    predictions = [(*r, draw.choice((0.05, 0.15, 0.9, 0.8))) for i in range(40) for r in boxes(i)]
+    truth_df = spark.createDataFrame(truth, schema + ", width int, height int")
+    predictions_df = spark.createDataFrame(predictions, schema + ", conf double")
+    found = errors.image_errors(truth_df, predictions_df)
+
+    in_use = predictions_df.where("conf >= 0.25")
+    matches = matching.greedy_match(matching.match_candidates(truth_df, in_use))
+    missed, extra = matching.unmatched(truth_df, matches, "gi"), matching.unmatched(in_use, matches, "pi")
+    wanted = {}
+    for column, rows in (
+        ("suspected_missed_detection", missed.groupBy("image_id").count()),
+        ("suspected_false_positive", extra.groupBy("image_id").count()),
+        ("class_confusion", matching.class_confusions(missed, extra).groupBy("image_id").count()),
+        ("occlusion_scene_failure", matching.overlapping_truth(missed, truth_df).groupBy("image_id").count()),
+    ):
+        wanted[column] = {r[0]: r[1] for r in rows.collect()}
+    for row in found.collect():
+        for column, counts in wanted.items():
+            assert row[column] == counts.get(row["image_id"], 0), (row, column)
+
+    named = errors.image_errors(truth_df.where("image_id IS NOT NULL"), predictions_df)
+    plan = named._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 0
+    assert named.agg({"suspected_missed_detection": "sum"}).first()[0] == missed.where("image_id IS NOT NULL").count()
