@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from annolytics import settings
 from annolytics.operators import components, errors, matching, metrics, spatial
 from annolytics.taxonomy import Taxonomy
@@ -297,3 +298,30 @@ def test_images_of_few_boxes_move_once_and_count_as_the_operators_do(spark):
     plan = named._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 0
     assert named.agg({"suspected_missed_detection": "sum"}).first()[0] == missed.where("image_id IS NOT NULL").count()
+
+
+def test_confusions_count_boxes_without_matching_them_again(spark, sf_dir, monkeypatch):
+    draw = random.Random(12)
+    truth = random_boxes(draw, 4, 30)
+    predictions = [(i, k, (c + draw.randrange(2)) % 2, *box) for i, k, c, *box in jittered(draw, truth)]
+    truth_df, predictions_df = spark.createDataFrame(truth, BOX), spark.createDataFrame(predictions, BOX)
+    found = matching.greedy_match(matching.match_candidates(truth_df, predictions_df))
+    missed, extra = matching.unmatched(truth_df, found, "gi"), matching.unmatched(predictions_df, found, "pi")
+    wanted = sorted(map(repr, matching.class_confusions(missed, extra).collect()))
+    assert wanted
+    read = []
+    counting = spatial.crowded_images
+
+    def crowded(image, *sides, **options):
+        read.extend(side._jdf.queryExecution().analyzed().toString() for side in sides)
+        return counting(image, *sides, **options)
+
+    monkeypatch.setattr(spatial, "crowded_images", crowded)
+    for most in (64, 10, 0):
+        monkeypatch.setattr(spatial, "FEW", most)
+        confusions = matching.class_confusions(missed, extra, counted=(truth_df, predictions_df))
+        assert sorted(map(repr, confusions.collect())) == wanted
+    assert len(read) == 6 and not any("Join" in plan for plan in read)
+    read.clear()
+    registry.queries()["class_confusions"](spark, sf_dir)
+    assert read and not any("Join" in plan for plan in read)
