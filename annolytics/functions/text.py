@@ -23,7 +23,8 @@ def split_lines(text: Column) -> Column:
 
 
 def split_fields(stripped: Column) -> Column:
-    return F.split(stripped, f"{settings.WHITESPACE}+")
+    # a split at one character needs no pattern, which Spark would compile for every text
+    return F.split(F.regexp_replace(stripped, f"{settings.WHITESPACE}+", " "), " ")
 
 
 def is_integer(text: Column) -> Column:
@@ -40,6 +41,6 @@ def to_number(text: Column) -> Column:
 
     A plain cast would also take Java spellings such as `1d` or `0x1p3`.
     """
-    return F.when(text.rlike(_NOT_FINITE), F.lit(float("nan"))).when(
-        text.rlike(_DECIMAL), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    return F.when(text.rlike(_DECIMAL), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")).when(
+        text.rlike(_NOT_FINITE), F.lit(float("nan"))
     )

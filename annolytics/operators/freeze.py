@@ -173,11 +173,14 @@ def tree_digest(rows: DataFrame, depth: int = _DEPTH) -> DataFrame:
 
 
 def tree_nodes(rows: DataFrame, depth: int = _DEPTH) -> DataFrame:
-    """digits, prefix, node, n: every node of the hash tree, the root with 0 digits."""
+    """digits, prefix, node, n: every node of the hash tree, the root with 0 digits.  The two lowest levels, which grow
+    with the rows, are written once: all others start from them."""
     level = cut_lineage(_leaf_level(rows, depth))
     nodes = level.withColumn("digits", F.lit(2 * depth))
     for digits in range(2 * depth - 2, -1, -2):
         level = _parents(level, digits)
+        if digits == 2 * depth - 2:
+            level = cut_lineage(level)
         nodes = nodes.unionByName(level.withColumn("digits", F.lit(digits)))
     return nodes.select("digits", "prefix", "node", "n")
 
@@ -195,7 +198,8 @@ def tree_leaves(rows: DataFrame) -> DataFrame:
 
 def differing_prefixes(old: DataFrame, new: DataFrame, depth: int = _DEPTH) -> DataFrame:
     """prefix of the lowest nodes that differ between two trees, found from the root downwards: the
-    children of equal nodes are not compared."""
+    children of equal nodes are not compared.  What differs on a level is written once, as both sides of the next
+    one start from it."""
     differing = None
     for digits in range(0, 2 * depth + 1, 2):
         sides = []
@@ -207,7 +211,7 @@ def differing_prefixes(old: DataFrame, new: DataFrame, depth: int = _DEPTH) -> D
             sides.append(level)
         known, found = sides[0].withColumnRenamed("node", "known"), sides[1].withColumnRenamed("node", "found")
         both = known.join(found, "prefix", "full_outer")
-        differing = both.where(~F.col("known").eqNullSafe(F.col("found"))).select("prefix")
+        differing = cut_lineage(both.where(~F.col("known").eqNullSafe(F.col("found"))).select("prefix"))
     return differing
 
 
@@ -220,7 +224,7 @@ def manifest_changes(
     Only the leaves below differing nodes are joined; only branches with a difference, of the 256
     there are, are read.  Equal manifests read one node each.
     """
-    prefixes = cut_lineage(differing_prefixes(old_nodes, new_nodes, depth))
+    prefixes = differing_prefixes(old_nodes, new_nodes, depth)
     branches = [row[0] for row in prefixes.select(F.substring("prefix", 1, 2)).distinct().collect()]  # at most 256
 
     def below(leaves: DataFrame, side: str) -> DataFrame:

@@ -31,13 +31,19 @@ def image_facts(images: DataFrame, algorithm: str = "sha256", sizes: bool = Fals
 
 def join_labels(facts: DataFrame, label_files: DataFrame, root: str) -> DataFrame:
     """`facts`: split, path and what `image_facts` made; `label_files`: label_path, content.  The join
-    on the label path keeps images without a label file."""
+    on the label path keeps images without a label file.
+
+    Both sides are dealt to all shuffle partitions: parsing the texts takes far longer than moving them, and adaptive
+    execution, which looks at sizes only, would leave little more than one task a core.
+    """
     left = facts.withColumn("label_path", label_path(F.col("path"), root))
     right = label_files.select(
         "label_path",
         F.lit(True).alias("label_present"),
         utf8_text(F.col("content")).alias("label_text"),
     )
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.repartition(tasks, "label_path") for side in (left, right))
     return left.join(right, "label_path", "left").withColumn(
         "label_present", F.coalesce("label_present", F.lit(False))
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from annolytics import settings
 from annolytics.functions import labels
 from annolytics.functions.text import to_integer, to_number
+from annolytics.operators import items
 from annolytics.taxonomy import Taxonomy
 
 THREE = Taxonomy.of(["person", "helmet", "vest"])
@@ -70,3 +71,16 @@ def test_taxonomy_rules():
     for bad in ([], {-1: "a"}, "abc", {"x": "a"}, None):
         with pytest.raises(ValueError):
             Taxonomy.of(bad)
+
+
+def test_label_texts_spread_over_all_partitions(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    images = spark.range(400).selectExpr("'train' AS split", "'/ds/train/images/' || id || '.jpg' AS path", "X'FFD8FF' AS content")
+    files = spark.range(300).selectExpr("'/ds/train/labels/' || id || '.txt' AS label_path", "encode('0 .5 .5 .1 .1', 'utf-8') AS content")
+    joined = items.annotated_items(images, files, "/ds")
+    assert joined.rdd.getNumPartitions() == tasks
+    assert joined.where("label_present").count() == 300 and joined.count() == 400
+    per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == tasks
+    nobody = items.annotated_items(images.withColumn("path", F.lit(None).cast("string")), files, "/ds")
+    assert nobody.where("NOT label_present").count() == 400

@@ -154,6 +154,26 @@ def gaps(groups, required):
     return {(r["split"], r["class_name"]) for r in found}
 
 
+def test_each_level_of_two_trees_is_compared_once(spark):
+    schema = "image string, image_sha256 string, label string, label_sha256 string"
+    old = [(f"train/images/{i}.jpg", f"i{i}", f"train/labels/{i}.txt", f"l{i}") for i in range(300)]
+    new = [(image, "x" if i == 7 else a, label, "y" if i in (7, 8) else b) for i, (image, a, label, b) in enumerate(old)]
+    new = [row for i, row in enumerate(new) if i != 9] + [("train/images/n.jpg", "i", "train/labels/n.txt", "l")]
+    trees = [freeze.tree_nodes(spark.createDataFrame(rows, schema)) for rows in (old, new)]
+    differing = freeze.differing_prefixes(*trees)
+    # the rows are there: nothing of the levels above is left in the plan
+    assert "Join" not in differing._jdf.queryExecution().analyzed().toString()
+    lowest = [{(r["prefix"], r["node"]) for r in t.where("digits = 6").collect()} for t in trees]
+    assert {r["prefix"] for r in differing.collect()} == {prefix for prefix, _ in lowest[0] ^ lowest[1]}
+    leaves = [freeze.tree_leaves(spark.createDataFrame(rows, schema)) for rows in (old, new)]
+    changes = freeze.manifest_changes(leaves[0], trees[0], leaves[1], trees[1])
+    assert {tuple(r) for r in changes.collect()} == {
+        ("train/images/7.jpg", "image_and_label"), ("train/images/8.jpg", "label"),
+        ("train/images/9.jpg", "removed"), ("train/images/n.jpg", "added"),
+    }
+    assert freeze.differing_prefixes(trees[0], trees[0]).isEmpty()
+
+
 def test_repair_closes_gaps_without_opening_others(spark):
     groups = placed(
         spark,
